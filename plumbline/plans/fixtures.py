@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.session import landed
+
 AS_OF = date(2001, 11, 4)
 
 
@@ -52,6 +54,14 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "prices", lambda: build_prices(spark, sf_dir))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "facts", lambda: build_facts(spark, sf_dir))
+
+
+def build_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily close per symbol, four decimals."""
     close = F.floor(F.sum("cents") * F.lit(100.0) / F.sum("qty") + F.lit(0.5)) / F.lit(10000.0)
     return (
@@ -81,7 +91,7 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = "array<struct<effective_date:date,ratio:double>>"
     ratios = (
         F.when(F.col("symbol") == "AMERICA", F.expr(
-            "array(struct(date'1997-06-02' as effective_date, 4D as ratio), struct(date'1999-03-01', 10D))"))
+            "array(struct(date'1997-06-02' as effective_date, 4D as ratio), struct(date'1999-03-01' as effective_date, 10D as ratio))"))
         .when(F.col("symbol") == "ASIA", F.expr("array(struct(date'1998-07-20' as effective_date, 20D as ratio))"))
         .otherwise(F.array().cast(item))
     )
@@ -124,7 +134,7 @@ def _fact(kind, taxonomy, concept, unit, start, end, filed, form, val, when):
     return F.when(when, item)
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw dated facts (duration and balance rows), one pass over the quarter table."""
     c = F.col
     q, n, qs, qe, ys = c("q"), c("n"), c("qs"), c("qe"), c("ys")

@@ -143,6 +143,180 @@ SELECT * FROM (VALUES
 ) AS c(metric, concept, priority, unit)"""
 
 
+def r2(x: str, digits: int = 2) -> str:
+    """Half-up rounding, spelled like the Spark side."""
+    return f"(floor(({x}) * 1e{digits} + 0.5e0) / 1e{digits})"
+
+
+VIEWS["v_obs"] = """
+SELECT f.*, metric, priority, CASE taxonomy WHEN 'us-gaap' THEN 0 ELSE 1 END AS tax
+FROM fx_facts f JOIN fx_concepts c USING (concept, unit)
+WHERE regexp_replace(form, '/A$', '') IN ('10-Q', '10-K', '20-F', '40-F', '6-K', '8-K') AND val IS NOT NULL
+  AND "end" - start BETWEEN 50 AND 400"""
+
+VIEWS["v_periods"] = f"""
+SELECT symbol, metric, start, "end", val, filed, form, accn, concept FROM v_obs WHERE filed <= {AS_OF} AND "end" <= {AS_OF}
+QUALIFY row_number() OVER (PARTITION BY symbol, metric, start, "end" ORDER BY filed DESC, priority, tax DESC, pos DESC) = 1"""
+
+VIEWS["v_factor"] = f"""
+SELECT o.*, val / coalesce((SELECT product(ratio) FROM fx_splits s WHERE s.symbol = o.symbol AND s.effective_date > o.filed
+  AND s.effective_date <= {AS_OF}), 1e0) AS adjusted,
+  coalesce((SELECT product(ratio) FROM fx_splits s WHERE s.symbol = o.symbol AND s.effective_date > o.filed
+  AND s.effective_date <= {AS_OF}), 1e0) AS factor
+FROM v_obs o JOIN fx_known USING (symbol)"""
+
+VIEWS["v_quarters"] = """
+SELECT symbol, metric, "end", start, val, filed, form, accn, concept, derived FROM (
+  SELECT symbol, metric, "end", start, val, filed, form, accn, concept, false AS derived, 0 AS kind, filed AS k1, start AS k2
+  FROM v_periods WHERE "end" - start BETWEEN 60 AND 110
+  UNION ALL
+  SELECT c.symbol, c.metric, c."end", CAST(p."end" + 1 AS DATE), c.val - p.val, greatest(c.filed, p.filed), c.form, c.accn,
+    c.concept, true, 1, NULL, c.start
+  FROM v_periods c JOIN v_periods p ON c.symbol = p.symbol AND c.metric = p.metric AND c.start = p.start
+    AND c."end" - p."end" BETWEEN 60 AND 110
+  QUALIFY row_number() OVER (PARTITION BY c.symbol, c.metric, c.start, c."end" ORDER BY p."end" DESC) = 1)
+QUALIFY row_number() OVER (PARTITION BY symbol, metric, "end" ORDER BY kind, k1 DESC, k2) = 1"""
+
+VIEWS["v_ttm"] = """
+WITH latest AS (SELECT symbol, metric, max("end") AS last FROM v_periods GROUP BY ALL),
+p AS (SELECT * FROM v_periods JOIN latest USING (symbol, metric)),
+r1 AS (SELECT symbol, metric, 1 AS rule, start, "end", val, filed FROM p WHERE "end" = last AND "end" - start BETWEEN 330 AND 400
+  QUALIFY row_number() OVER (PARTITION BY symbol, metric ORDER BY filed DESC, start) = 1),
+r2 AS (SELECT c.symbol, c.metric, 2 AS rule, CAST(q."end" + 1 AS DATE) AS start, c."end", a.val + c.val - q.val AS val,
+    greatest(a.filed, c.filed, q.filed) AS filed
+  FROM p c JOIN p a ON a.symbol = c.symbol AND a.metric = c.metric AND a."end" - a.start BETWEEN 330 AND 400
+    AND c.start - a."end" BETWEEN 0 AND 8
+  JOIN p q ON q.symbol = c.symbol AND q.metric = c.metric AND q.start = a.start AND abs(c."end" - q."end" - 365) <= 14
+  WHERE c."end" = c.last
+  QUALIFY row_number() OVER (PARTITION BY c.symbol, c.metric ORDER BY c.start, a."end", a.start, q.filed DESC, q."end") = 1),
+q4 AS (SELECT q.*, row_number() OVER (PARTITION BY symbol, metric ORDER BY "end" DESC) AS rn,
+    start - lag("end") OVER (PARTITION BY symbol, metric ORDER BY "end") AS gap, last
+  FROM v_quarters q JOIN latest USING (symbol, metric)),
+r3 AS (SELECT symbol, metric, 3 AS rule, min(start) AS start, max("end") AS "end",
+    any_value(CASE WHEN rn = 4 THEN val END) + any_value(CASE WHEN rn = 3 THEN val END)
+      + any_value(CASE WHEN rn = 2 THEN val END) + any_value(CASE WHEN rn = 1 THEN val END) AS val, max(filed) AS filed
+  FROM q4 WHERE rn <= 4 GROUP BY symbol, metric
+  HAVING count(*) = 4 AND max("end") = any_value(last) AND bool_and(rn = 4 OR gap BETWEEN 0 AND 8)
+    AND max("end") - min(start) BETWEEN 330 AND 400)
+SELECT * FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)
+QUALIFY row_number() OVER (PARTITION BY symbol, metric ORDER BY rule) = 1"""
+
+VIEWS["v_eps_ttm"] = """
+WITH latest AS (SELECT symbol, metric, max("end") AS last FROM v_periods WHERE metric = 'eps' GROUP BY ALL),
+d AS (SELECT * FROM v_periods WHERE metric = 'eps' AND "end" - start BETWEEN 60 AND 110
+  QUALIFY row_number() OVER (PARTITION BY symbol, "end" ORDER BY filed DESC, start DESC) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY "end" DESC) AS rn,
+  start - lag("end") OVER (PARTITION BY symbol ORDER BY "end") AS gap FROM d JOIN latest USING (symbol, metric))
+SELECT symbol, min(start) AS start, max("end") AS "end", max(filed) AS filed,
+  any_value(CASE WHEN rn = 4 THEN val END) + any_value(CASE WHEN rn = 3 THEN val END)
+    + any_value(CASE WHEN rn = 2 THEN val END) + any_value(CASE WHEN rn = 1 THEN val END) AS val
+FROM k WHERE rn <= 4 GROUP BY symbol
+HAVING count(*) = 4 AND max("end") = any_value(last) AND bool_and(rn = 4 OR gap = 1) AND max("end") - min(start) BETWEEN 330 AND 400"""
+
+VIEWS["v_timeline"] = f"""
+WITH e AS (SELECT * FROM v_factor WHERE metric = 'eps' AND filed <= {AS_OF}),
+dates AS (SELECT DISTINCT symbol, filed AS d FROM e),
+seen AS (SELECT dates.d, e.* FROM dates JOIN e ON e.symbol = dates.symbol AND e.filed <= d AND e."end" <= d
+  QUALIFY row_number() OVER (PARTITION BY e.symbol, d, start, "end" ORDER BY filed DESC, priority, tax DESC, pos DESC) = 1),
+last AS (SELECT symbol, d, max("end") AS period_end FROM seen GROUP BY ALL),
+q AS (SELECT * FROM seen WHERE "end" - start BETWEEN 60 AND 110
+  QUALIFY row_number() OVER (PARTITION BY symbol, d, "end" ORDER BY filed DESC, start DESC) = 1),
+k AS (SELECT q.*, row_number() OVER (PARTITION BY symbol, d ORDER BY "end" DESC) AS rn,
+  start - lag("end") OVER (PARTITION BY symbol, d ORDER BY "end") AS gap FROM q),
+s AS (SELECT symbol, d, max("end") AS last_end, any_value(CASE WHEN rn = 1 THEN accn END) AS accession,
+    any_value(CASE WHEN rn = 4 THEN adjusted END) + any_value(CASE WHEN rn = 3 THEN adjusted END)
+      + any_value(CASE WHEN rn = 2 THEN adjusted END) + any_value(CASE WHEN rn = 1 THEN adjusted END) AS eps
+  FROM k WHERE rn <= 4 GROUP BY symbol, d
+  HAVING count(*) = 4 AND bool_and(rn = 4 OR gap = 1) AND max("end") - min(start) BETWEEN 330 AND 400)
+SELECT dates.symbol, CAST(dates.d + 1 AS DATE) AS available_on, dates.d AS filed_at, period_end, eps, accession
+FROM dates LEFT JOIN last USING (symbol, d) LEFT JOIN s ON s.symbol = dates.symbol AND s.d = dates.d AND last_end = period_end"""
+
+VIEWS["v_clean"] = f"SELECT * FROM fx_prices WHERE close > 0 AND date <= {AS_OF}"
+
+VIEWS["v_states"] = """
+SELECT p.symbol, p.date, close AS price, eps, filed_at AS eps_filed_at, period_end AS eps_period_end,
+  CASE WHEN eps IS NULL THEN 'missing_eps' WHEN date - period_end > 160 THEN 'stale_eps' WHEN eps <= 0 THEN 'nonpositive_eps'
+    ELSE 'valid' END AS state,
+  CASE WHEN eps IS NOT NULL AND date - period_end <= 160 AND eps > 0 THEN close / eps END AS pe
+FROM v_clean p ASOF LEFT JOIN v_timeline t ON p.symbol = t.symbol AND p.date >= t.available_on"""
+
+VIEWS["v_ends"] = """
+SELECT symbol, max(date) AS valuation_date, arg_max_null(pe, date) AS current_pe, arg_max_null(eps, date) AS current_eps,
+  max_by(state, date) AS current_state FROM v_states GROUP BY symbol"""
+
+VIEWS["v_windows"] = f"""
+WITH h AS (SELECT *, CAST(valuation_date - to_years(years) AS DATE) AS window_start
+  FROM v_ends, (SELECT unnest([10, 5, 3, 1]) AS years)),
+grid AS (SELECT h.symbol, years, session_date, state, state IN ('valid', 'nonpositive_eps') AS covered
+  FROM h JOIN fx_calendar ON session_date BETWEEN window_start AND valuation_date
+  LEFT JOIN v_states s ON s.symbol = h.symbol AND s.date = session_date),
+runs AS (SELECT *, row_number() OVER (PARTITION BY symbol, years ORDER BY session_date)
+    - row_number() OVER (PARTITION BY symbol, years, coalesce(covered, false) ORDER BY session_date) AS island FROM grid),
+gaps AS (SELECT symbol, years, max(n) AS max_missing_run FROM (
+  SELECT symbol, years, island, count(*) AS n FROM runs WHERE NOT coalesce(covered, false) GROUP BY ALL) GROUP BY ALL),
+tally AS (SELECT symbol, years, count(*) AS expected_sessions, count(state) AS priced_sessions,
+    count(*) FILTER (NOT coalesce(covered, false)) AS missing_sessions,
+    count(*) FILTER (state = 'nonpositive_eps') AS nonpositive_sessions FROM grid GROUP BY ALL),
+valid AS (SELECT h.symbol, years, count(pe) AS valid_samples, count(*) FILTER (pe <= current_pe) AS at_or_below
+  FROM h LEFT JOIN v_states s ON s.symbol = h.symbol AND date BETWEEN window_start AND valuation_date GROUP BY ALL)
+SELECT symbol, years, window_start, valuation_date, expected_sessions, priced_sessions, valid_samples, missing_sessions,
+  nonpositive_sessions, {r2("(expected_sessions - missing_sessions) / expected_sessions * 100", 3)} AS coverage_percent,
+  coalesce(max_missing_run, 0) AS max_missing_run,
+  (expected_sessions - missing_sessions) / expected_sessions >= 0.995e0 AND expected_sessions - priced_sessions <= 2
+    AND coalesce(max_missing_run, 0) <= 3 AND valid_samples >= 200 * years AS qualified,
+  CASE WHEN qualified THEN {r2("1e2 * at_or_below / valid_samples")} END AS percentile
+FROM h JOIN tally USING (symbol, years) LEFT JOIN gaps USING (symbol, years) JOIN valid USING (symbol, years)"""
+
+VIEWS["v_selected"] = """
+SELECT symbol, any_value(valuation_date) AS valuation_date, max(CASE WHEN qualified THEN years END) AS years,
+  max_by(percentile, CASE WHEN qualified THEN years END) AS percentile, max(CASE WHEN years = 10 THEN percentile END) AS percentile10y
+FROM v_windows GROUP BY symbol"""
+
+VIEWS["v_history"] = """
+SELECT s.* FROM v_states s JOIN v_selected w USING (symbol)
+WHERE state = 'valid' AND date >= CAST(valuation_date - to_years(coalesce(years, 10)) AS DATE)"""
+
+VIEWS["v_continuity"] = f"""
+SELECT * EXCLUDE (b, a), b AS price_before, a AS price_after, b / a AS price_ratio,
+  CASE WHEN b / a BETWEEN 0.5e0 AND 2 THEN 'passed' ELSE 'rejected' END AS status FROM (
+  SELECT s.symbol, effective_date, ratio AS split_ratio, max_by(close, date) FILTER (date < effective_date) AS b,
+    min_by(close, date) FILTER (date >= effective_date) AS a
+  FROM fx_splits s JOIN v_clean p USING (symbol) WHERE effective_date <= {AS_OF} GROUP BY ALL)
+WHERE a IS NOT NULL AND b IS NOT NULL"""
+
+VIEWS["v_summary"] = f"""
+WITH s AS (SELECT e.*, w.years, w.percentile AS pct, w.percentile10y AS pct10, price,
+    eps_filed_at, eps_period_end,
+    (SELECT count(*) FROM fx_calendar WHERE session_date > e.valuation_date AND close_ts <= TIMESTAMP '2001-11-05 00:00:00') AS lag,
+    CASE WHEN NOT EXISTS (FROM fx_known k WHERE k.symbol = e.symbol) THEN 'policy_unknown'
+      WHEN EXISTS (FROM v_continuity c WHERE c.symbol = e.symbol AND c.status = 'rejected') THEN 'split_discontinuity'
+      WHEN current_state <> 'valid' THEN 'earnings_not_meaningful' END AS reason,
+    a.* EXCLUDE (symbol)
+  FROM v_ends e LEFT JOIN v_selected w USING (symbol) JOIN v_states t ON t.symbol = e.symbol AND t.date = e.valuation_date
+  JOIN (SELECT symbol, count(*) FILTER (state IN ('missing_eps', 'stale_eps')) AS missing_days,
+          count(*) FILTER (state = 'nonpositive_eps') AS loss_days, min(date) FILTER (state = 'valid') AS first_sample
+        FROM v_states GROUP BY symbol) a ON a.symbol = e.symbol),
+n AS (SELECT symbol, count(*) AS sample_count, min(date) AS history_start, max(date) AS history_end FROM v_history GROUP BY symbol)
+SELECT symbol, 4 AS algorithm_version,
+  CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN lag > 1 THEN 'stale' WHEN years = 10 THEN 'qualified'
+    WHEN years IS NOT NULL THEN 'limited' ELSE 'current_only' END AS status,
+  reason, reason IS NULL AND lag <= 1 AS current_pe_qualified, 'daily' AS frequency, valuation_date AS as_of, price,
+  CASE WHEN reason IS NULL THEN current_pe END AS pe, CASE WHEN reason IS NULL THEN current_eps END AS eps_ttm,
+  CASE WHEN reason IS NULL THEN eps_filed_at END AS eps_filed_at, CASE WHEN reason IS NULL THEN eps_period_end END AS eps_period_end,
+  CASE WHEN reason IS NULL THEN years END AS horizon_years,
+  CASE WHEN reason IS NULL AND lag <= 1 THEN pct END AS percentile, CASE WHEN reason IS NULL AND lag <= 1 THEN pct10 END AS percentile10y,
+  CASE WHEN reason IS NULL THEN sample_count END AS sample_count, CASE WHEN reason IS NULL THEN history_start END AS history_start,
+  CASE WHEN reason IS NULL THEN history_end END AS history_end, CASE WHEN reason IS NULL THEN 1e2 / current_pe END AS earnings_yield_percent,
+  lag AS lag_sessions, CASE WHEN reason IS NULL THEN {r2("(valuation_date - first_sample) / 365.25e0")} END AS coverage_years,
+  missing_days AS missing_earnings_days, loss_days AS nonpositive_earnings_days
+FROM s LEFT JOIN n USING (symbol)"""
+
+
+def day(name: str, alias: str | None = None) -> str:
+    """A date column as ISO text."""
+    return f'CAST("{name}" AS VARCHAR) AS "{alias or name}"'
+
+
 def complete(body: str) -> str:
     """The statement with every view it needs as a common table expression."""
     needed: list[str] = []
@@ -157,4 +331,7 @@ def complete(body: str) -> str:
     if not needed:
         return body
     views = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in needed)
+    body = body.strip()
+    if body.startswith("WITH "):
+        return f"WITH {views},\n{body[5:]}"
     return f"WITH {views}\n{body}"

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "plumbline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -19,18 +20,35 @@ def build_session(app: str = "plumbline", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
 
 
+_local_roots: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under `spark.checkpoint.dir`; a temporary one only on a local master that names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_roots.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="plumbline-")
+        _local_roots[context.applicationId] = root
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+
+
+_landed: dict[tuple[str, str, str], str] = {}
+
+
+def landed(spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written once per application to the shared folder and read back: short lineage for all that use it."""
+    key = (spark.sparkContext.applicationId, scope, name)
+    if key not in _landed:
+        path = shared_folder(spark, name)
+        build().write.parquet(path)
+        _landed[key] = path
+    return spark.read.parquet(_landed[key])
