@@ -182,12 +182,14 @@ def native_currency_annuals(quarters: DataFrame) -> DataFrame:
     def whole(name: str) -> Column:
         return F.when(F.count(name) == 4, F.sum(name)).alias(name)
 
+    month = F.month("end")
+    month_bit = F.when(month == 3, 1).when(month == 6, 2).when(month == 9, 4).when(month == 12, 8).otherwise(16)
     return (
         quarters.groupBy("symbol", F.year("end").alias("year")).agg(
-            F.count("*").alias("_n"), F.bit_or(F.shiftleft(F.lit(1), F.month("end"))).alias("_months"),
+            F.count("*").alias("_n"), F.bit_or(month_bit).alias("_months"),
             whole("revenue"), whole("net_income"),
         )
-        .where((F.col("_n") == 4) & (F.col("_months") == sum(1 << m for m in (3, 6, 9, 12))))
+        .where((F.col("_n") == 4) & (F.col("_months") == 15))
         .select(
             "symbol", F.make_date("year", F.lit(1), F.lit(1)).alias("period_start"),
             F.make_date("year", F.lit(12), F.lit(31)).alias("period_end"), "revenue", "net_income",

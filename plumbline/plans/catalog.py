@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from plumbline.plans import (  # noqa: F401
+    queries_fundamentals,
     queries_valuation,
 )
 from plumbline.plans.registry import CHECKS, COVERS, QUERIES  # noqa: F401

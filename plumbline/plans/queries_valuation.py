@@ -70,9 +70,10 @@ def coverage_windows(spark, sf):
 WITH g AS (SELECT e.symbol, session_date, s.date IS NULL AS gone FROM v_ends e JOIN fx_calendar
     ON session_date BETWEEN CAST(valuation_date - to_years(3) AS DATE) AND valuation_date
   LEFT JOIN v_clean s ON s.symbol = e.symbol AND s.date = session_date),
-i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session_date) - row_number() OVER (PARTITION BY symbol, gone ORDER BY session_date) AS island FROM g)
-SELECT symbol, coalesce(max(n), 0) AS longest_run, CAST(coalesce(sum(n), 0) AS BIGINT) AS unpriced FROM (
-  SELECT symbol, gone, island, CASE WHEN gone THEN count(*) ELSE 0 END AS n FROM i GROUP BY ALL) GROUP BY symbol""")
+i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session_date) - row_number() OVER (PARTITION BY symbol, gone ORDER BY session_date) AS island FROM g),
+r AS (SELECT symbol, gone, island, count(*) AS n FROM i GROUP BY symbol, gone, island)
+SELECT symbol, coalesce(max(n) FILTER (gone), 0) AS longest_run, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS unpriced
+FROM r GROUP BY symbol""")
 def longest_missing_run(spark, sf):
     prices = V.clean_prices(spark, sf).withColumn("state", F.lit("valid")).withColumn("pe", F.col("close"))
     windows = valuation.coverage_windows(prices.withColumnRenamed("close", "price"), fx.calendar(spark, sf), V.AS_OF, horizons=(3,))

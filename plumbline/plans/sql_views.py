@@ -312,6 +312,124 @@ SELECT symbol, 4 AS algorithm_version,
 FROM s LEFT JOIN n USING (symbol)"""
 
 
+VIEWS["v_basis"] = """
+WITH rev AS (SELECT * FROM v_periods WHERE metric = 'revenue'),
+l AS (SELECT symbol, max("end") AS period_end FROM rev GROUP BY symbol),
+prior AS (SELECT symbol, max("end") AS prior_end FROM rev JOIN l USING (symbol) WHERE period_end - "end" BETWEEN 60 AND 110 GROUP BY symbol),
+whole AS (SELECT rev.* FROM rev JOIN l ON rev.symbol = l.symbol AND rev."end" = l.period_end
+  QUALIFY row_number() OVER (PARTITION BY rev.symbol ORDER BY start) = 1)
+SELECT l.symbol, period_end, prior_end, coalesce(q.start, w.start) AS period_start,
+  CASE WHEN q.symbol IS NOT NULL THEN 'quarter' WHEN period_end - w.start >= 330 THEN 'annual' ELSE 'ytd' END AS period_type,
+  CASE WHEN q.symbol IS NOT NULL THEN q.form ELSE w.form END AS form, CASE WHEN q.symbol IS NOT NULL THEN q.accn ELSE w.accn END AS accession
+FROM l JOIN whole w USING (symbol) LEFT JOIN prior USING (symbol)
+LEFT JOIN v_quarters q ON q.symbol = l.symbol AND q.metric = 'revenue' AND q."end" = period_end"""
+
+_METRICS = ("revenue", "net_income", "operating_income", "operating_cash_flow", "capex", "eps")
+
+
+def _matched(metric: str, column: str = "val") -> str:
+    key = f"x.symbol = b.symbol AND x.metric = '{metric}' AND x.\"end\" = period_end AND x.start = period_start"
+    return (f"CASE WHEN period_type = 'quarter' THEN (SELECT {column} FROM v_quarters x WHERE {key}) "
+            f"ELSE (SELECT {column} FROM v_periods x WHERE {key}) END")
+
+
+def _ttm(metric: str) -> str:
+    view = "v_eps_ttm x WHERE" if metric == "eps" else f"v_ttm x WHERE x.metric = '{metric}' AND"
+    return f"(SELECT val FROM {view} x.symbol = b.symbol AND x.\"end\" = period_end)"
+
+
+def _prior(metric: str) -> str:
+    ends = f"(SELECT max(\"end\") FROM v_periods e WHERE e.symbol = b.symbol AND e.metric = '{metric}' AND abs(period_end - e.\"end\" - 365) <= 14)"
+    return (f"CASE WHEN period_type = 'quarter' THEN (SELECT val FROM v_quarters x WHERE x.symbol = b.symbol AND x.metric = '{metric}' AND x.\"end\" = {ends}) "
+            f"WHEN period_type = 'annual' THEN (SELECT arg_min(val, start) FROM v_periods x WHERE x.symbol = b.symbol AND x.metric = '{metric}' AND x.\"end\" - x.start >= 330 AND x.\"end\" = {ends}) END")
+
+
+def _then(metric: str, column: str) -> str:
+    return f"(SELECT {column} FROM v_quarters x WHERE x.symbol = b.symbol AND x.metric = '{metric}' AND x.\"end\" = prior_end)"
+
+
+_YOY = "CASE WHEN {0}_then > 0 THEN " + r2("1e2 * ({0} / {0}_then - 1e0)") + " END AS {0}_yoy"
+
+VIEWS["v_snapshot"] = f"""
+WITH w AS (SELECT b.*, {', '.join(f'{_matched(m)} AS {m}' for m in _METRICS)},
+  greatest({', '.join(_matched(m, 'filed') for m in _METRICS)}) AS filed_at,
+  {', '.join(f'{_ttm(m)} AS {m}_ttm' for m in _METRICS)}, {_matched('capex', 'concept')} AS capex_concept,
+  {_prior('revenue')} AS revenue_then, {_prior('net_income')} AS net_income_then,
+  {_then('operating_cash_flow', 'val')} AS ocf_then, {_then('capex', 'val')} AS capex_then,
+  {_then('operating_cash_flow', 'start')} AS ocf_start, {_then('capex', 'start')} AS capex_start
+  FROM v_basis b),
+d AS (SELECT *, CASE WHEN period_type = 'quarter' AND ocf_start = capex_start THEN operating_cash_flow - ocf_then + (capex - capex) END AS cash_delta,
+  CASE WHEN period_type = 'quarter' AND ocf_start = capex_start AND operating_cash_flow IS NOT NULL THEN capex - capex_then END AS capex_delta FROM w)
+SELECT symbol, 3 AS schema_version, 'USD' AS currency, period_type, period_start, period_end, filed_at, form, accession,
+  revenue, net_income, operating_income, operating_cash_flow, capex, operating_cash_flow - capex AS free_cash_flow,
+  {', '.join(f'{m}_ttm' for m in _METRICS)}, operating_cash_flow_ttm - capex_ttm AS free_cash_flow_ttm,
+  {_YOY.format('revenue')}, {_YOY.format('net_income')}, cash_delta, capex_delta, cash_delta - capex_delta AS fcf_delta,
+  CASE WHEN capex_delta > 0 THEN {r2('cash_delta / capex_delta', 4)} END AS marginal_coverage, capex_concept, period_type = 'quarter' AS quarterly
+FROM d"""
+
+VIEWS["v_annual_history"] = """
+WITH r AS (SELECT symbol, start, "end", filed, accn FROM v_periods WHERE metric = 'revenue' AND "end" - start BETWEEN 330 AND 400
+  QUALIFY row_number() OVER (PARTITION BY symbol, "end" ORDER BY start DESC) = 1),
+s AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY "end" DESC) <= 6)
+SELECT s.symbol, s.start AS period_start, s."end" AS period_end, s.filed AS filed_at, s.accn AS accession,
+  max(val) FILTER (metric = 'revenue') AS revenue, max(val) FILTER (metric = 'net_income') AS net_income,
+  max(val) FILTER (metric = 'operating_income') AS operating_income, max(val) FILTER (metric = 'operating_cash_flow') AS operating_cash_flow,
+  max(val) FILTER (metric = 'capex') AS capex, max(val) FILTER (metric = 'share_compensation') AS share_compensation,
+  max(val) FILTER (metric = 'operating_cash_flow') - max(val) FILTER (metric = 'capex') AS free_cash_flow
+FROM s JOIN v_periods p ON p.symbol = s.symbol AND p.start = s.start AND p."end" = s."end" GROUP BY ALL"""
+
+VIEWS["v_annual_summary"] = """
+WITH h AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) AS rn,
+  period_end - lag(period_end) OVER (PARTITION BY symbol ORDER BY period_end) AS step FROM v_annual_history),
+g AS (SELECT symbol, count(*) AS n, bool_and(coalesce(step BETWEEN 330 AND 400, true)) AS history_contiguous,
+  arg_min_null(revenue, period_end) AS a, arg_max_null(revenue, period_end) AS b, max(period_end) - min(period_end) AS span,
+  count(free_cash_flow) FILTER (rn <= 5) AS cash_years_known, count(*) FILTER (rn <= 5 AND free_cash_flow > 0) AS cash_years_positive,
+  count(net_income) FILTER (rn <= 5) AS profit_years_known, count(*) FILTER (rn <= 5 AND net_income > 0) AS profit_years_positive
+  FROM h GROUP BY symbol)
+SELECT symbol, history_contiguous, CASE WHEN n = 6 AND history_contiguous AND a > 0 AND b > 0
+    THEN 1e2 * (pow(b / a, 1e0 / (span / 365.25e0)) - 1e0) END AS revenue_cagr5y,
+  cash_years_known, cash_years_positive, profit_years_known, profit_years_positive FROM g"""
+
+VIEWS["v_instants"] = f"""
+SELECT f.symbol, metric, f."end", val, filed, accn, concept FROM fx_facts f JOIN fx_concepts c USING (concept, unit)
+WHERE start IS NULL AND val IS NOT NULL AND filed <= {AS_OF}
+QUALIFY row_number() OVER (PARTITION BY f.symbol, metric, f."end" ORDER BY filed DESC, priority,
+  CASE taxonomy WHEN 'us-gaap' THEN 0 ELSE 1 END, pos) = 1"""
+
+VIEWS["v_prior_equity"] = """
+SELECT i.symbol, i.val AS prior_equity FROM v_instants i JOIN v_snapshot s USING (symbol)
+WHERE metric = 'equity' AND i."end" = (SELECT max("end") FROM fx_facts f WHERE f.symbol = s.symbol AND concept = 'StockholdersEquity'
+  AND abs(s.period_end - f."end" - 365) <= 14)"""
+
+VIEWS["v_shares"] = """
+SELECT s.symbol, coalesce(q.val, CASE WHEN period_type = 'quarter' THEN y.val END) AS diluted_shares,
+  coalesce(q.start, CASE WHEN period_type = 'quarter' THEN y.start END) || ' / ' || period_end AS shares_period
+FROM v_snapshot s LEFT JOIN v_quarters q ON q.symbol = s.symbol AND q.metric = 'diluted_shares' AND q."end" = period_end AND NOT q.derived
+LEFT JOIN (SELECT * FROM v_periods WHERE metric = 'diluted_shares' AND "end" - start BETWEEN 330 AND 400) y
+  ON y.symbol = s.symbol AND y."end" = period_end
+WHERE q.val IS NOT NULL OR (period_type = 'quarter' AND y.val IS NOT NULL)"""
+
+VIEWS["v_quality"] = """
+WITH bal AS (SELECT i.symbol, max(val) FILTER (metric = 'equity') AS equity, max(val) FILTER (metric = 'cash') AS cash,
+  max(val) FILTER (metric = 'current_long_debt') AS cur, max(val) FILTER (metric = 'noncurrent_long_debt') AS noncur,
+  max(val) FILTER (metric = 'short_borrowings') AS short_borrowings, max(val) FILTER (metric = 'commercial_paper') AS commercial_paper
+  FROM v_instants i JOIN v_snapshot s ON s.symbol = i.symbol AND s.period_end = i."end" GROUP BY i.symbol)
+SELECT s.symbol, 1 AS version, s.currency, s.period_end, coalesce(a.history_contiguous, true) AS history_contiguous, a.revenue_cagr5y,
+  coalesce(a.cash_years_known, 0) AS cash_years_known, coalesce(a.cash_years_positive, 0) AS cash_years_positive,
+  coalesce(a.profit_years_known, 0) AS profit_years_known, coalesce(a.profit_years_positive, 0) AS profit_years_positive,
+  CASE WHEN equity > 0 AND prior_equity > 0 THEN 1e2 * net_income_ttm / ((equity + prior_equity) / 2) END AS roe_ttm, equity,
+  cur + noncur AS long_debt, CASE WHEN operating_cash_flow_ttm > 0 THEN (cur + noncur) / operating_cash_flow_ttm END AS long_debt_to_ocf,
+  cash, short_borrowings, commercial_paper, t.val AS share_compensation_ttm, diluted_shares, shares_period,
+  CASE WHEN diluted_shares > 0 THEN (free_cash_flow_ttm - t.val) / diluted_shares END AS cash_per_share_proxy
+FROM v_snapshot s LEFT JOIN v_annual_summary a USING (symbol) LEFT JOIN bal USING (symbol) LEFT JOIN v_prior_equity USING (symbol)
+LEFT JOIN v_ttm t ON t.symbol = s.symbol AND t.metric = 'share_compensation' AND t."end" = s.period_end
+LEFT JOIN v_shares h ON h.symbol = s.symbol"""
+
+
+for _name in ("v_periods", "v_quarters", "v_ttm"):
+    VIEWS[f"{_name}_mid"] = VIEWS[_name].replace(AS_OF, "DATE '2000-03-15'").replace("v_periods", "v_periods_mid").replace("v_quarters", "v_quarters_mid")
+
+
 def day(name: str, alias: str | None = None) -> str:
     """A date column as ISO text."""
     return f'CAST("{name}" AS VARCHAR) AS "{alias or name}"'
