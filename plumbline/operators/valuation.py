@@ -391,8 +391,8 @@ def suspend_on_new_filing(valuation: DataFrame, pending: DataFrame) -> DataFrame
     rows = valuation.join(pending.select("symbol", "pending", F.col("period_end").alias("_end")), "symbol", "left")
     ahead = F.coalesce(F.col("pending"), F.lit(False)) | F.coalesce(F.col("_end") > F.col("eps_period_end"), F.lit(False))
     stop = F.coalesce(F.col("current_pe_qualified"), F.lit(False)) & ahead
-    return rows.drop("pending", "_end").withColumns({
+    return rows.withColumns({
         "status": F.when(stop, "incomplete").otherwise(F.col("status")),
         "current_pe_qualified": ~stop & F.col("current_pe_qualified"),
         "percentile": F.when(~stop, F.col("percentile")), "percentile10y": F.when(~stop, F.col("percentile10y")),
-    })
+    }).drop("pending", "_end")

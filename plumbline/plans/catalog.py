@@ -1,6 +1,8 @@
 """All registered queries."""
 
 from plumbline.plans import (  # noqa: F401
+    queries_companies,
+    queries_events,
     queries_fundamentals,
     queries_valuation,
 )

@@ -36,7 +36,7 @@ def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
             (cents * (20 - 4 * discount + F.when(flag == "A", 10).otherwise(0))).alias("income"),
             (cents * (15 - discount - F.when(flag == "R", 12).otherwise(0))).alias("operating"),
             (cents * (12 - tax)).alias("cash_flow"),
-            (cents * (2 + F.col("l_linenumber"))).alias("capex"),
+            (cents * (2 * F.col("l_linenumber"))).alias("capex"),
         )
         .groupBy("l_suppkey", "date")
         .agg(*[F.sum(c).alias(c) for c in ("cents", "qty", "income", "operating", "cash_flow", "capex")])
@@ -190,14 +190,18 @@ def build_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filing rows from orders, keyed by customer."""
+    return filing_rows(table(spark, sf_dir, "orders"))
+
+
+def filing_rows(orders: DataFrame) -> DataFrame:
+    """Filing rows from orders (batch or stream), keyed by customer."""
     key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     priority = F.substring("o_orderpriority", 1, 1)
     form = (
         F.when(priority == "1", "10-Q").when(priority == "2", "10-K").when(priority == "3", "8-K")
         .when(priority == "4", "6-K").otherwise("S-1")
     )
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"),
         F.col("o_custkey").cast("string").alias("cik"),
         F.concat(F.lpad(key.cast("string"), 10, "0"), F.lit("-"), F.lpad((key % 100).cast("string"), 2, "0")).alias("accession"),
@@ -224,8 +228,12 @@ def nation_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw quote texts from events; error events carry no price."""
-    return table(spark, sf_dir, "events").select(
+    return quote_rows(table(spark, sf_dir, "events"))
+
+
+def quote_rows(events: DataFrame) -> DataFrame:
+    """Raw quote texts from events (batch or stream); error events carry no price."""
+    return events.select(
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"),
         F.col("ts").alias("captured_at"), "event_id",
         F.when(F.col("event_type") == "error", "N/A")
@@ -243,3 +251,34 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.col("p_partkey").cast("string"), 10, "0").alias("cik"),
         F.array("p_brand").alias("aliases"), F.lit("US").alias("exchange"),
     )
+
+
+def assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cash-flow assumptions per customer; negative balances and a few odd rows hit the guards."""
+    k = F.col("c_custkey")
+
+    def number(column):
+        return column.cast("double")
+
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("C"), k.cast("string")).alias("symbol"), (F.col("c_acctbal") / 100).alias("cash_per_share"),
+        number(k % 9 - 2).alias("growth"), number(k % 5 + 8).alias("required_return"),
+        F.when(k % 50 == 0, 20.0).otherwise(number(k % 4)).alias("terminal_growth"), number(k % 3 * 20).alias("safety_margin"),
+        (number(k % 8 + 5) + F.when(k % 77 == 0, 0.5).otherwise(0.0)).alias("years"),
+        F.when(k % 10 != 3, F.col("c_acctbal") / 4).alias("price"),
+    )
+
+
+def projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+
+    def number(column):
+        return column.cast("double")
+
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("C"), k.cast("string")).alias("symbol"), (F.col("c_acctbal") * 1e6).alias("annual_revenue"),
+        F.when(k % 20 == 0, "TWD").otherwise("USD").alias("currency"), number(k % 30).alias("net_margin"),
+        number(k % 25 + 10).alias("target_pe"), number(k + 1000000).alias("diluted_shares"), number(k % 40 - 5).alias("first_growth"),
+        F.when(k % 6 != 0, number(k % 15)).alias("second_growth"), number(k % 5 - 2).alias("annual_share_change"),
+        (k % 3).alias("years"), F.when(k % 10 != 3, number(k % 90) + 10.0).alias("price"),
+    )

@@ -18,7 +18,7 @@ SELECT l_suppkey, date, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in _
   SELECT l_suppkey, CAST(l_shipdate AS DATE) AS date, cents, CAST(l_quantity AS BIGINT) AS qty,
     cents * (20 - 4 * disc + CASE WHEN l_returnflag = 'A' THEN 10 ELSE 0 END) AS income,
     cents * (15 - disc - CASE WHEN l_returnflag = 'R' THEN 12 ELSE 0 END) AS operating,
-    cents * (12 - tax) AS cash_flow, cents * (2 + l_linenumber) AS capex
+    cents * (12 - tax) AS cash_flow, cents * (2 * l_linenumber) AS capex
   FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(round(l_discount * 100) AS BIGINT) AS disc,
           CAST(round(l_tax * 100) AS BIGINT) AS tax FROM lineitem))
 GROUP BY l_suppkey, date"""
@@ -426,6 +426,81 @@ LEFT JOIN v_ttm t ON t.symbol = s.symbol AND t.metric = 'share_compensation' AND
 LEFT JOIN v_shares h ON h.symbol = s.symbol"""
 
 
+VIEWS["v_relevant"] = """
+SELECT *, regexp_replace(form, '/A$', '') AS base FROM fx_filings WHERE regexp_replace(form, '/A$', '') IN ('10-Q', '10-K', '20-F', '40-F')
+  OR (regexp_replace(form, '/A$', '') = '8-K' AND contains(items, '2.02'))
+  OR (regexp_replace(form, '/A$', '') = '6-K' AND regexp_matches(document, 'fsx|earn|result|quarter', 'i'))"""
+VIEWS["v_nation_relevant"] = VIEWS["v_relevant"].replace("fx_filings", "fx_nation_filings")
+
+VIEWS["v_pending"] = """
+WITH l AS (SELECT * FROM v_nation_relevant QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY filed DESC, accession DESC) = 1)
+SELECT l.symbol, accession, l.form, filed, report_date, period_end, CASE WHEN period_end IS NULL THEN true
+  WHEN base = '8-K' OR ends_with(l.form, '/A') THEN filed > filed_at ELSE report_date > period_end END AS pending
+FROM l LEFT JOIN (SELECT symbol, period_end, filed_at FROM v_snapshot) s USING (symbol)"""
+
+VIEWS["v_companies"] = f"""
+SELECT s.* EXCLUDE (form, accession), v.algorithm_version, v.status, v.current_pe_qualified, v.frequency, v.price, v.pe,
+  v.eps_period_end, v.horizon_years, v.percentile, v.percentile10y, q.version AS q_version, q.currency AS q_currency,
+  q.period_end AS q_period_end, q.history_contiguous AS q_history_contiguous, q.revenue_cagr5y AS q_revenue_cagr5y,
+  q.cash_years_known AS q_cash_years_known, q.cash_years_positive AS q_cash_years_positive, q.roe_ttm AS q_roe_ttm,
+  q.long_debt_to_ocf AS q_long_debt_to_ocf, q.diluted_shares AS q_diluted_shares, q.cash_per_share_proxy AS q_cash_per_share_proxy,
+  coalesce(p.pending, false) AS pending, {AS_OF} - s.period_end BETWEEN 0 AND 160 AND NOT coalesce(p.pending, false) AS fresh,
+  coalesce(CASE WHEN s.operating_income <= 0 THEN s.net_income > 0 ELSE s.net_income > s.operating_income * 1.5 END, false) AS abnormal,
+  coalesce(s.operating_income > 0 AND s.net_income > s.operating_income * 1.5, false) AS effect,
+  coalesce(v.current_pe_qualified AND v.pe > 0, false) AS pe_valid,
+  CASE WHEN v.current_pe_qualified AND v.status IN ('qualified', 'limited') THEN v.percentile END AS eligible
+FROM v_snapshot s LEFT JOIN v_summary v USING (symbol) LEFT JOIN v_quality q USING (symbol) LEFT JOIN v_pending p USING (symbol)"""
+
+_RATIO = "CASE WHEN {1} > 0 THEN {0} / {1} * {2} END"
+_MARKS = [
+    ("growth", "revenue_yoy", "%", "value > 0", None), ("margin", _RATIO.format("operating_income", "revenue", "1e2"), "%", "value >= 15", None),
+    ("conversion", _RATIO.format("operating_cash_flow", "net_income", "1e2"), "%", "value >= 100", None),
+    ("cash", _RATIO.format("free_cash_flow", "revenue", "1e2"), "%", "value > 0", None),
+    ("reinvestment", _RATIO.format("capex", "operating_cash_flow", "1e2"), "%", "value <= 100", None),
+    ("yield", "CASE WHEN pe_valid THEN 1e2 / pe END", "%", "true", "'unknown'"),
+    ("profit_quality", _RATIO.format("net_income", "operating_income", "1e0"), "x", "true", "'caution'"),
+    ("cagr", "q_revenue_cagr5y", "%", "value > 0", None),
+    ("consistency", "CASE WHEN q_cash_years_known = 5 AND q_history_contiguous THEN CAST(q_cash_years_positive AS DOUBLE) END", "years", "value = 5", None),
+    ("roe", "q_roe_ttm", "%", "value BETWEEN 15 AND 80 AND NOT abnormal", None),
+    ("debt", "q_long_debt_to_ocf", "x", "true", "CASE WHEN fresh AND value > 3 THEN 'caution' ELSE 'unknown' END"),
+]
+VIEWS["v_metrics"] = "\nUNION ALL ".join(
+    f"SELECT symbol, fresh, pe_valid, '{key}' AS metric, value, '{unit}' AS unit, "
+    + (fixed or f"CASE WHEN NOT fresh OR value IS NULL THEN 'unknown' WHEN {support} THEN 'support' ELSE 'caution' END")
+    + f" AS state FROM (SELECT *, {value} AS value FROM v_companies)" + (" WHERE fresh AND abnormal" if key == "profit_quality" else "")
+    for key, value, unit, support, fixed in _MARKS
+)
+
+VIEWS["fx_assumptions"] = """
+SELECT 'C' || c_custkey AS symbol, c_acctbal / 1e2 AS cash_per_share, CAST(c_custkey % 9 - 2 AS DOUBLE) AS growth,
+  CAST(8 + c_custkey % 5 AS DOUBLE) AS required_return, CASE WHEN c_custkey % 50 = 0 THEN 20e0 ELSE CAST(c_custkey % 4 AS DOUBLE) END AS terminal_growth,
+  CAST(c_custkey % 3 * 20 AS DOUBLE) AS safety_margin, CAST(5 + c_custkey % 8 AS DOUBLE) + CASE WHEN c_custkey % 77 = 0 THEN 0.5e0 ELSE 0e0 END AS years,
+  CASE WHEN c_custkey % 10 <> 3 THEN c_acctbal / 4e0 END AS price FROM customer"""
+
+VIEWS["v_valued"] = """
+WITH u AS (SELECT *, cash_per_share > 0 AND growth > -100 AND required_return > 0 AND terminal_growth > -100 AND required_return > terminal_growth
+    AND safety_margin >= 0 AND safety_margin < 100 AND years = floor(years) AND years BETWEEN 1 AND 20 AS ok FROM fx_assumptions),
+p AS (SELECT *, CASE WHEN ok THEN list_sum(list_transform(generate_series(1, CAST(floor(years) AS BIGINT)),
+    lambda y: cash_per_share * pow(1 + growth / 1e2, y) / pow(1 + required_return / 1e2, y))) END AS present_cash,
+  CASE WHEN ok THEN cash_per_share * pow(1 + growth / 1e2, years) * (1 + terminal_growth / 1e2) / (required_return / 1e2 - terminal_growth / 1e2)
+    / pow(1 + required_return / 1e2, years) END AS present_terminal FROM u)
+SELECT symbol, growth, required_return, safety_margin, present_cash, present_terminal, present_cash + present_terminal AS value,
+  (present_cash + present_terminal) * (1 - safety_margin / 1e2) AS entry_price,
+  CASE WHEN price > 0 THEN (1 - price / (present_cash + present_terminal)) * 100 END AS margin_at_price,
+  present_terminal / (present_cash + present_terminal) * 100 AS terminal_weight FROM p"""
+
+VIEWS["fx_projections"] = """
+SELECT 'C' || c_custkey AS symbol, c_acctbal * 1e6 AS annual_revenue, CASE WHEN c_custkey % 20 = 0 THEN 'TWD' ELSE 'USD' END AS currency,
+  CAST(c_custkey % 30 AS DOUBLE) AS net_margin, CAST(10 + c_custkey % 25 AS DOUBLE) AS target_pe, CAST(1000000 + c_custkey AS DOUBLE) AS diluted_shares,
+  CAST(c_custkey % 40 - 5 AS DOUBLE) AS first_growth, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey % 15 AS DOUBLE) END AS second_growth,
+  CAST(c_custkey % 5 - 2 AS DOUBLE) AS annual_share_change, c_custkey % 3 AS years, CASE WHEN c_custkey % 10 <> 3 THEN 10e0 + c_custkey % 90 END AS price FROM customer"""
+
+
+VIEWS["fx_grid"] = """
+SELECT * REPLACE (growth + g AS growth, required_return + r AS required_return), g AS growth_offset, r AS return_offset
+FROM fx_assumptions, (SELECT unnest([-3e0, 0e0, 3e0]) AS g), (SELECT unnest([-1e0, 0e0, 1e0]) AS r)"""
+VIEWS["v_grid_valued"] = VIEWS["v_valued"].replace("fx_assumptions", "fx_grid").replace("SELECT symbol, growth,", "SELECT symbol, growth_offset, return_offset, growth,")
+
 for _name in ("v_periods", "v_quarters", "v_ttm"):
     VIEWS[f"{_name}_mid"] = VIEWS[_name].replace(AS_OF, "DATE '2000-03-15'").replace("v_periods", "v_periods_mid").replace("v_quarters", "v_quarters_mid")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from plumbline.operators import fundamentals, periods, quality, valuation
+from pyspark.sql import functions as F
+
+from plumbline.operators import filings, fundamentals, periods, quality, valuation
 from plumbline.plans import fixtures as fx
 from plumbline.schemas import concept_map
 from plumbline.session import landed
@@ -12,6 +14,10 @@ from plumbline.session import landed
 AS_OF = fx.AS_OF
 
 
+def today() -> Column:
+    return F.lit(AS_OF).cast("date")
+
+
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     return periods.observations(fx.facts(spark, sf), concept_map(spark))
 
@@ -67,3 +73,27 @@ def build_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 def quality_record(spark: SparkSession, sf: str) -> DataFrame:
     return landed(spark, sf, "quality", lambda: build_quality(spark, sf))
+
+
+def pending(spark: SparkSession, sf: str) -> DataFrame:
+    latest = filings.latest_filing(filings.relevant_filings(fx.nation_filings(spark, sf)))
+    return filings.pending_report(latest, snapshot(spark, sf))
+
+
+def build_companies(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per symbol: snapshot, valuation, quality columns with prefix `q_`, and `pending`."""
+    shots = snapshot(spark, sf)
+    marks = quality_record(spark, sf)
+    marks = marks.select("symbol", *[F.col(c).alias(f"q_{c}") for c in marks.columns if c != "symbol"])
+    values = summary(spark, sf).select(
+        "symbol", "algorithm_version", "status", "current_pe_qualified", "frequency", F.col("as_of").alias("priced_on"), "price",
+        "pe", F.col("eps_period_end"), "horizon_years", "percentile", "percentile10y")
+    waiting = pending(spark, sf).select("symbol", "pending")
+    return (
+        shots.join(values, "symbol", "left").join(marks, "symbol", "left").join(waiting, "symbol", "left")
+        .withColumn("pending", F.coalesce("pending", F.lit(False)))
+    )
+
+
+def companies(spark: SparkSession, sf: str) -> DataFrame:
+    return landed(spark, sf, "companies", lambda: build_companies(spark, sf))
