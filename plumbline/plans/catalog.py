@@ -2,6 +2,7 @@
 
 from plumbline.plans import (  # noqa: F401
     queries_companies,
+    queries_corpus,
     queries_events,
     queries_fundamentals,
     queries_valuation,

@@ -23,17 +23,23 @@ def publish(df: DataFrame) -> DataFrame:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DateType):
             column = column.cast("string").alias(field.name)
-        elif isinstance(field.dataType, T.TimestampType):
+        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             column = F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(field.name)
         columns.append(column)
     return df.select(*columns)
 
 
+def run(build: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days are UTC days whatever the session's zone was."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return publish(build(spark, sf_dir))
+
+
 def query(name: str, covers: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: publish(build(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: run(build, spark, sf_dir)
         COVERS[name] = tuple(covers.split())
         if sql is not None:
             CHECKS[name] = complete(sql)

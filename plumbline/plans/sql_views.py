@@ -501,6 +501,35 @@ SELECT * REPLACE (growth + g AS growth, required_return + r AS required_return),
 FROM fx_assumptions, (SELECT unnest([-3e0, 0e0, 3e0]) AS g), (SELECT unnest([-1e0, 0e0, 1e0]) AS r)"""
 VIEWS["v_grid_valued"] = VIEWS["v_valued"].replace("fx_assumptions", "fx_grid").replace("SELECT symbol, growth,", "SELECT symbol, growth_offset, return_offset, growth,")
 
+_T = VIEWS["v_timeline"]
+VIEWS["v_components"] = _T[:_T.index("SELECT dates.symbol")] + """
+SELECT k.symbol, k.d AS event_id, k.start, k."end", k.filed AS filed_at, k.val AS reported_eps, k.factor AS split_adjustment, k.adjusted AS eps,
+  k.accn AS accession FROM k JOIN s ON s.symbol = k.symbol AND s.d = k.d JOIN last ON last.symbol = k.symbol AND last.d = k.d AND last_end = period_end
+WHERE rn <= 4"""
+
+
+def _strip(text: str, *patterns: tuple[str, str]) -> str:
+    for pattern, replacement in patterns:
+        text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
+    return text
+
+
+def _unescape(text: str) -> str:
+    for name, plain in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"),
+                        ("&middot;", "'·'"), ("&copy;", "'©'"), ("&mdash;", "'—'"), ("&ndash;", "'–'"), ("&hellip;", "'…'"), ("&amp;", "'&'")):
+        text = f"replace({text}, '{name}', {plain})"
+    return text
+
+
+_BLOCKS = ("address|article|aside|blockquote|div|figcaption|figure|footer|h1|h2|h3|h4|h5|h6|header|li|main|ol|p|pre|section|table|td|th|tr|ul")
+_BARE = _strip(
+    "html", *[(rf"(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>".replace("\\\\", "\\"), "") for tag in ("script", "style", "noscript", "template")],
+    (r"(?s)<!--.*?-->|<![^>]*>", ""), (rf"(?i)<br\b[^>]*>|<img\b[^>]*>|</({_BLOCKS})\s*>", "\n"), ("<[^>]*>", ""))
+_PLAIN = _strip(f"replace(replace({_unescape(_BARE)}, chr(160), ' '), chr(8203), '')", (r"\r\n?", "\n"), (r"[\t\f\v ]+", " "), (r" ?\n ?", "\n"),
+                (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""))
+VIEWS["v_page_text"] = f"SELECT page_id, trim({_PLAIN}) AS text FROM pages"
+
+
 for _name in ("v_periods", "v_quarters", "v_ttm"):
     VIEWS[f"{_name}_mid"] = VIEWS[_name].replace(AS_OF, "DATE '2000-03-15'").replace("v_periods", "v_periods_mid").replace("v_quarters", "v_quarters_mid")
 
