@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
 from plumbline.operators.matching import band_join, keep_latest
 from plumbline.operators.periods import (
-    DETAIL, as_date, early, periods_as_of, standalone_quarters, trailing_eps, trailing_year,
+    as_date, early, period_type, periods_as_of, standalone_quarters, trailing_eps, trailing_year, with_latest_end,
 )
 from plumbline.schemas import FLOW_METRICS, SNAPSHOT_VERSION
 
@@ -19,44 +17,28 @@ SNAPSHOT_METRICS = (*FLOW_METRICS, "eps")
 
 def snapshot_basis(periods: DataFrame) -> DataFrame:
     """Per symbol: the latest revenue end, the basis period there, and the end of the quarter before."""
-    revenue = periods.where("metric = 'revenue'")
-    last = revenue.groupBy("symbol").agg(F.max("end").alias("period_end"))
-    gap = F.datediff("period_end", "end")
-    ends = revenue.join(last, "symbol").groupBy("symbol", "period_end").agg(
-        F.max(F.when(gap.between(60, 110), F.col("end"))).alias("prior_end"),
-        F.min_by(F.struct("start", *DETAIL), F.when(gap == 0, F.col("start"))).alias("whole"),
-    )
-    quarters = standalone_quarters(revenue).select(
-        "symbol", F.col("end").alias("period_end"), F.struct("start", *DETAIL).alias("quarter"))
-    chosen = F.coalesce("quarter", "whole")
-    return (
-        ends.join(quarters, ["symbol", "period_end"], "left")
-        .withColumn("basis", chosen)
-        .select(
-            "symbol", "period_end", "prior_end", F.col("basis.start").alias("period_start"),
-            F.when(F.col("quarter").isNotNull(), "quarter")
-            .when(F.datediff("period_end", "basis.start") >= 330, "annual").otherwise("ytd").alias("period_type"),
-            F.col("basis.form").alias("form"), F.col("basis.accn").alias("accession"),
-        )
-    )
+    revenue = with_latest_end(periods.where("metric = 'revenue'"))
+    gap = F.datediff("latest_end", "end")
+    ends = revenue.groupBy("symbol").agg(F.max(F.when(gap.between(60, 110), F.col("end"))).alias("prior_end"))
+    basis = period_type(periods.where("metric = 'revenue'")).select(
+        "symbol", F.col("end").alias("period_end"), F.col("start").alias("period_start"), "period_type", "form",
+        F.col("accn").alias("accession"))
+    return basis.join(ends, "symbol")
 
 
 def financial_snapshot(periods: DataFrame) -> DataFrame:
     """One wide row per symbol with revenue: the current period, trailing year, growth and cash deltas.
 
-    Quarters, whole periods and trailing sums are laid out in long form, tagged, and folded by one aggregate per
-    symbol. A metric counts only on the very period of revenue; anything else stays null.
+    Resolved periods are brought together by symbol once. Quarters and whole periods are laid out in long form and folded
+    by one aggregate per symbol; trailing sums join on the symbol. All of it keeps the one partitioning. A metric counts
+    only on the very period of revenue; anything else stays null.
     """
-    base = snapshot_basis(periods)
-    flows = periods.where(F.col("metric").isin(*SNAPSHOT_METRICS))
-    columns = ["symbol", "metric", "start", "end", "val", "filed", "concept"]
-    none = F.lit(None).cast("string").alias("concept")
-    quarters = standalone_quarters(flows).select(*columns, F.lit("quarter").alias("tag"))
-    whole = flows.select(*columns, F.lit("period").alias("tag"))
-    # the two trailing rules read the same resolved periods; each metric has exactly one of them
-    ttm = trailing_year(flows.where("metric <> 'eps'")).select(*columns[:-1], none, F.lit("ttm").alias("tag"))
-    eps = trailing_eps(flows.where("metric = 'eps'")).select(*columns[:-1], none, F.lit("ttm").alias("tag"))
-    rows = reduce(DataFrame.unionByName, [whole, ttm, eps], quarters).join(base, "symbol")
+    flows = periods.where(F.col("metric").isin(*SNAPSHOT_METRICS)).repartition("symbol")
+    base = snapshot_basis(flows)
+    detail = F.struct("start", "end", "val", "filed", "concept")
+    quarters = standalone_quarters(flows).select("symbol", "metric", F.lit("quarter").alias("tag"), detail.alias("r"))
+    whole = flows.select("symbol", "metric", F.lit("period").alias("tag"), detail.alias("r"))
+    rows = quarters.unionByName(whole).repartition("symbol").select("symbol", "metric", "tag", "r.*").join(base, "symbol")
 
     is_quarter = F.col("period_type") == "quarter"
     gap = F.datediff("period_end", "end")
@@ -70,7 +52,6 @@ def financial_snapshot(periods: DataFrame) -> DataFrame:
         folded += [
             F.max(F.when(here & aligned, F.col("val"))).alias(name),
             F.max(F.when(here & aligned, F.col("filed"))).alias(f"{name}_filed"),
-            F.max(F.when(here & (tag == "ttm") & (gap == 0), F.col("val"))).alias(f"{name}_ttm"),
         ]
     folded.append(F.max(F.when((metric == "capex") & aligned, F.col("concept"))).alias("capex_concept"))
     for name in ("revenue", "net_income"):
@@ -85,7 +66,15 @@ def financial_snapshot(periods: DataFrame) -> DataFrame:
         here = (metric == name) & (tag == "quarter") & (F.col("end") == F.col("prior_end"))
         folded.append(F.max(F.when(here, F.struct("start", "val"))).alias(f"{name}_prior"))
     keys = ["symbol", "period_start", "period_end", "period_type", "form", "accession"]
-    wide = rows.groupBy(*keys).agg(*folded)
+    yearly = trailing_year(flows.where("metric <> 'eps'")).select("symbol", "metric", "end", "val")
+    per_share = trailing_eps(flows.where("metric = 'eps'")).select("symbol", F.col("end").alias("_eps_end"), F.col("val").alias("_eps"))
+    trailing = yearly.groupBy("symbol").agg(*[
+        F.max(F.when(metric == name, F.struct("end", "val"))).alias(f"_{name}") for name in FLOW_METRICS])
+    wide = rows.groupBy(*keys).agg(*folded).join(trailing, "symbol", "left").join(per_share, "symbol", "left")
+    wide = wide.withColumns({
+        **{f"{n}_ttm": F.when(F.col(f"_{n}.end") == F.col("period_end"), F.col(f"_{n}.val")) for n in FLOW_METRICS},
+        "eps_ttm": F.when(F.col("_eps_end") == F.col("period_end"), F.col("_eps")),
+    })
 
     def growth(name: str) -> Column:
         prior = F.when(is_quarter, F.col(f"{name}_q")).when(F.col("period_type") == "annual", F.col(f"{name}_a"))

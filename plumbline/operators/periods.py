@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators.matching import asof_backward, band_join
+from plumbline.operators.matching import band_join
 from plumbline.schemas import taxonomy_rank
 
 DETAIL = ("val", "filed", "form", "accn", "concept")
@@ -34,6 +34,19 @@ def observations(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     )
 
 
+def compact(obs: DataFrame) -> DataFrame:
+    """One row per (symbol, metric, start, end, filed): no later resolution can pick another one.
+
+    What is left per symbol is bounded by dates, so steps that gather a symbol's periods stay small however many raw
+    rows the symbol has. Worth writing as a table partitioned by metric.
+    """
+    return (
+        obs.groupBy("symbol", "metric", "start", "end", "filed")
+        .agg(F.max_by(F.struct("val", "form", "accn", "concept", "unit", "priority", "taxonomy_rank", "pos"), winner_order()).alias("w"))
+        .select("symbol", "metric", "start", "end", "filed", "w.*")
+    )
+
+
 def split_factor(filed: Column, splits: Column, as_of: Column) -> Column:
     """Product of the split ratios that took effect after a row was filed and by the run date."""
     later = F.filter(splits, lambda s: (s["effective_date"] > filed) & (s["effective_date"] <= as_of))
@@ -104,10 +117,11 @@ def knowledge_summary(obs: DataFrame) -> DataFrame:
     )
 
 
-def standalone_quarters(periods: DataFrame) -> DataFrame:
+def standalone_quarters(periods: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """One quarter per (symbol, metric, end): the directly reported one, else a cumulative minus the one before it.
 
     The previous cumulative is found by a range frame of 60 to 110 days over rows that share a start, so no self join.
+    `carry` names columns that depend on (symbol, metric) alone and are kept.
     """
     day = F.datediff(F.col("end"), F.lit("1970-01-01").cast("date"))
     before = W.partitionBy("symbol", "metric", "start").orderBy("_day").rangeBetween(-110, -60)
@@ -131,8 +145,8 @@ def standalone_quarters(periods: DataFrame) -> DataFrame:
     )
     return (
         rows.where(direct | F.col("_prior").isNotNull())
-        .groupBy("symbol", "metric", "end").agg(F.max_by(candidate, rank).alias("q"))
-        .select("symbol", "metric", "end", "q.*")
+        .groupBy("symbol", "metric", "end", *carry).agg(F.max_by(candidate, rank).alias("q"))
+        .select("symbol", "metric", "end", *carry, "q.*")
     )
 
 
@@ -146,90 +160,86 @@ def direct_quarters(periods: DataFrame) -> DataFrame:
     )
 
 
-def four_in_a_row(quarters: DataFrame, keys: list[str], gap_low: int, gap_high: int) -> DataFrame:
-    """Trailing four quarters ending at each quarter, when they are contiguous and span a year.
+def mark_four_in_a_row(quarters: DataFrame, keys: list[str], gap_low: int, gap_high: int) -> DataFrame:
+    """Adds, at each quarter, whether it closes four contiguous quarters that span a year, and their sum.
 
-    `gap` is this start minus the previous end in days. The four values are added oldest first.
+    The gap is this start minus the previous end in days. The four values are added oldest first.
     """
     order = W.partitionBy(*keys).orderBy("end")
-    gap = F.datediff(F.col("start"), F.lag("end").over(order))
-    rows = quarters.withColumn("_joined", gap.between(gap_low, gap_high))
+    rows = quarters.withColumn("_joined", F.datediff(F.col("start"), F.lag("end").over(order)).between(gap_low, gap_high))
     joined = F.col("_joined") & F.lag("_joined", 1).over(order) & F.lag("_joined", 2).over(order)
-    first = F.lag("start", 3).over(order)
-    frame = order.rowsBetween(-3, 0)
     total = F.lag("val", 3).over(order) + F.lag("val", 2).over(order) + F.lag("val", 1).over(order) + F.col("val")
-    return (
-        rows.withColumn("_ok", joined).withColumn("_first", first).withColumn("_total", total)
-        .withColumn("_filed", F.max("filed").over(frame))
-        .where(F.col("_ok") & S.annual_span(F.datediff(F.col("end"), F.col("_first"))))
-        .withColumn("start", F.col("_first")).withColumn("val", F.col("_total")).withColumn("filed", F.col("_filed"))
-        .drop("_joined", "_ok", "_first", "_total", "_filed")
-    )
+    first = F.lag("start", 3).over(order)
+    return rows.withColumns({
+        "year_start": first, "year_val": total, "year_filed": F.max("filed").over(order.rowsBetween(-3, 0)),
+        "year_ok": F.coalesce(joined & S.annual_span(F.datediff(F.col("end"), first)), F.lit(False)),
+    }).drop("_joined")
+
+
+def four_in_a_row(quarters: DataFrame, keys: list[str], gap_low: int, gap_high: int) -> DataFrame:
+    """Trailing four quarters ending at each quarter, where they are contiguous and span a year."""
+    rows = mark_four_in_a_row(quarters, keys, gap_low, gap_high).where("year_ok")
+    return rows.withColumns({"start": F.col("year_start"), "val": F.col("year_val"), "filed": F.col("year_filed")}).drop(
+        "year_start", "year_val", "year_filed", "year_ok")
 
 
 def latest_ends(periods: DataFrame) -> DataFrame:
     return periods.groupBy("symbol", "metric").agg(F.max("end").alias("latest_end"))
 
 
+def with_latest_end(periods: DataFrame) -> DataFrame:
+    """Adds the latest end of the (symbol, metric); resolved periods are few per symbol, so this is a plain window."""
+    return periods.withColumn("latest_end", F.max("end").over(W.partitionBy("symbol", "metric")))
+
+
 def trailing_year(periods: DataFrame) -> DataFrame:
     """Trailing twelve months per (symbol, metric), by the first rule that applies:
 
     1 an annual period ending now; 2 last annual + current year-to-date - the comparable one; 3 four contiguous quarters.
-    Only rows near the latest end take part, which bounds every group by dates rather than by data.
+    Rows are brought together once by (symbol, metric) or coarser; windows, aggregates and the last join keep that
+    partitioning. Only rows near the latest end take part, which bounds every group by dates rather than by data.
     """
     keys = ["symbol", "metric"]
-    near = periods.join(latest_ends(periods), keys)
-    span = S.period_days(F.col("start"), F.col("end"))
-    ending = near.where(F.col("end") == F.col("latest_end"))
     columns = ["start", "end", "val", "filed", "form", "accn"]
-
-    annual = (
-        ending.where(S.annual_span(span))
-        .groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct("filed", early(F.col("start")))).alias("t"))
-        .select(*keys, F.lit(1).alias("rule"), "t")
-    )
-
-    comparable = (
-        near.where(F.abs(F.datediff("latest_end", "end") - 365) <= 14)
-        .groupBy(*keys, "start")
-        .agg(F.max_by(F.struct("end", "val", "filed"), F.struct("filed", early(F.col("end")))).alias("p"))
-    )
-    anchors = (
-        near.where(S.annual_span(span) & (F.datediff("latest_end", "end") <= 408))
-        .join(comparable, [*keys, "start"])
-        .select(*keys, F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("val").alias("a_val"), F.col("filed").alias("a_filed"), "p")
+    near = with_latest_end(periods)
+    span = S.period_days(F.col("start"), F.col("end"))
+    ending = F.col("end") == F.col("latest_end")
+
+    year_ago = F.abs(F.datediff("latest_end", "end") - 365) <= 14
+    comparable = F.max_by(
+        F.struct("end", "val", "filed"), F.when(year_ago, F.struct("filed", early(F.col("end"))))
+    ).over(W.partitionBy(*keys, "start"))
+    rows = near.withColumn("_comparable", comparable)
+    anchor = F.when(
+        S.annual_span(span) & (F.datediff("latest_end", "end") <= 408) & F.col("_comparable").isNotNull(),
+        F.struct("end", "start", "val", "filed", F.col("_comparable").alias("prior")),
     )
-    rolled = (
-        ending.join(anchors, keys).where(F.datediff("start", "a_end").between(0, 8))
-        .select(
-            *keys, F.struct("start", "a_end", "a_start").alias("first"),
-            F.struct(
-                F.date_add(F.col("p.end"), 1).alias("start"), "end",
-                (F.col("a_val") + F.col("val") - F.col("p.val")).alias("val"),
-                F.greatest("a_filed", "filed", "p.filed").alias("filed"), "form", "accn",
-            ).alias("t"),
-        )
-        .groupBy(*keys).agg(F.min_by("t", "first").alias("t")).select(*keys, F.lit(2).alias("rule"), "t")
+    rows = rows.withColumn("_anchors", F.collect_list(anchor).over(W.partitionBy(*keys))).where(ending)
+    fitting = F.filter("_anchors", lambda a: F.datediff(F.col("start"), a["end"]).between(0, 8))
+    rows = rows.withColumn("_anchor", F.get(F.array_sort(fitting), F.lit(0)))
+    base, prior = F.col("_anchor"), F.col("_anchor.prior")
+    rolled = F.struct(
+        F.date_add(prior["end"], 1).alias("start"), "end", (base["val"] + F.col("val") - prior["val"]).alias("val"),
+        F.greatest(base["filed"], "filed", prior["filed"]).alias("filed"), "form", "accn")
+    direct = rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*columns), F.when(S.annual_span(span), F.struct("filed", early(F.col("start"))))).alias("annual"),
+        F.min_by(rolled, F.when(base.isNotNull(), F.col("start"))).alias("rolled"),
     )
 
-    quarters = standalone_quarters(near.drop("latest_end")).join(latest_ends(periods), keys)
-    quarters = quarters.where(F.datediff("latest_end", "end") <= 400)
-    summed = (
-        four_in_a_row(quarters, keys, 0, 8).where(F.col("end") == F.col("latest_end"))
-        .select(*keys, F.lit(3).alias("rule"), F.struct(*columns).alias("t"))
-    )
+    quarters = standalone_quarters(near, carry=("latest_end",)).where(F.datediff("latest_end", "end") <= 400)
+    summed = four_in_a_row(quarters, keys, 0, 8).where(ending).select(*keys, F.struct(*columns).alias("summed"))
+
+    rule = F.when(F.col("annual").isNotNull(), 1).when(F.col("rolled").isNotNull(), 2).when(F.col("summed").isNotNull(), 3)
     return (
-        annual.unionByName(rolled).unionByName(summed)
-        .groupBy(*keys).agg(F.min("rule").alias("rule"), F.min_by("t", "rule").alias("t"))
-        .select(*keys, "rule", "t.*")
+        direct.join(summed, keys, "left").withColumn("rule", rule).where("rule IS NOT NULL")
+        .select(*keys, "rule", F.coalesce("annual", "rolled", "summed").alias("t")).select(*keys, "rule", "t.*")
     )
 
 
 def trailing_eps(periods: DataFrame) -> DataFrame:
     """Sum of the last four directly reported quarters per (symbol, metric); never derived by subtraction."""
     keys = ["symbol", "metric"]
-    quarters = direct_quarters(periods).join(latest_ends(periods), keys)
-    quarters = quarters.where(F.datediff("latest_end", "end") <= 400)
+    quarters = direct_quarters(with_latest_end(periods)).where(F.datediff("latest_end", "end") <= 400)
     return four_in_a_row(quarters, keys, 1, 1).where(F.col("end") == F.col("latest_end")).drop("latest_end")
 
 
@@ -245,62 +255,64 @@ def earnings_timeline(obs: DataFrame, policy: DataFrame, as_of) -> DataFrame:
     eps = obs.where((F.col("metric") == "eps") & (F.col("filed") <= as_of))
     rows = with_split_factor(eps, policy, as_of).withColumn("seen", F.greatest("filed", "end"))
 
-    dates = rows.select("symbol", F.col("filed").alias("filed_at")).distinct()
-    ends = rows.groupBy("symbol", F.col("seen").alias("t")).agg(F.max("end").alias("end"))
-    run = W.partitionBy("symbol").orderBy("t", "side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    latest = (
-        ends.select("symbol", "t", F.lit(0).alias("side"), "end")
-        .unionByName(dates.select("symbol", F.col("filed_at").alias("t"), F.lit(1).alias("side"), F.lit(None).cast("date").alias("end")))
-        .withColumn("period_end", F.max("end").over(run)).where("side = 1")
-        .select("symbol", F.col("t").alias("filed_at"), "period_end")
-    )
+    # per day: was something filed, and the latest end known by then
+    moment = F.explode(F.array_distinct(F.array("filed", "seen")))
+    moments = rows.select("symbol", "filed", "seen", "end", moment.alias("t")).groupBy("symbol", "t").agg(
+        F.bool_or(F.col("t") == F.col("filed")).alias("is_filing"), F.max(F.when(F.col("t") == F.col("seen"), F.col("end"))).alias("end"))
+    run = W.partitionBy("symbol").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    latest = moments.withColumn("period_end", F.max("end").over(run)).where("is_filing").select(
+        "symbol", F.col("t").alias("filed_at"), "period_end")
 
     direct = rows.where(S.quarter_span(S.period_days(F.col("start"), F.col("end")))).withColumnRenamed("end", "q_end")
     detail = ("start", "filed", "val", "reported_value", "split_adjustment", "accn")
     versions = (
         direct.groupBy("symbol", "q_end", "seen")
-        .agg(F.max_by(F.struct(*detail), F.struct("filed", "start", -F.col("priority"), "taxonomy_rank", "pos")).alias("v"))
-        .select("symbol", "q_end", "seen", "v.*")
+        .agg(F.max_by(F.struct(*detail), F.struct("filed", "start", -F.col("priority"), "taxonomy_rank", "pos")).alias("_event"))
+        .select("symbol", "q_end", F.col("seen").alias("t"), F.lit(0).alias("side"), "_event")
     )
     quarter_ends = direct.select("symbol", "q_end").distinct()
     wanted = band_join(latest, quarter_ends, ["symbol"], "period_end", "q_end", -400, 0)
-    known = asof_backward(wanted, versions, ["symbol", "q_end"], "filed_at", "seen", list(detail)).where("event IS NOT NULL")
+    # one bare row per date keeps dates without any quarter
+    asked = wanted.unionByName(latest.withColumn("q_end", F.lit(None).cast("date"))).select(
+        "symbol", "q_end", F.col("filed_at").alias("t"), F.lit(1).alias("side"), "period_end")
+
+    # a handful of rows per filing date: bring each symbol together once, everything below keeps that partitioning
+    both = asked.unionByName(versions, allowMissingColumns=True).repartition("symbol")
+    backward = W.partitionBy("symbol", "q_end").orderBy("t", "side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    known = both.withColumn("event", F.last("_event", ignorenulls=True).over(backward)).where("side = 1")
 
     component = F.struct(
         F.col("event.start").alias("start"), F.col("q_end").alias("end"), F.col("event.filed").alias("filed_at"),
         F.col("event.val").alias("eps"), F.col("event.reported_value").alias("reported_eps"),
         F.col("event.split_adjustment").alias("split_adjustment"), F.col("event.accn").alias("accession"),
     )
-    quarters = known.select(
-        "symbol", "filed_at", "period_end", F.col("q_end").alias("end"), "event.start", "event.val", "event.filed",
+    quarters = known.where("q_end IS NULL OR event IS NOT NULL").select(
+        "symbol", F.col("t").alias("filed_at"), "period_end", F.col("q_end").alias("end"), "event.start", "event.val", "event.filed",
         "event.accn", component.alias("component"),
     )
-    order = W.partitionBy("symbol", "filed_at").orderBy("end")
+    keys = ["symbol", "filed_at"]
+    order = W.partitionBy(*keys).orderBy("end")
     components = F.array(*[F.lag("component", back).over(order) for back in (3, 2, 1)], F.col("component"))
-    sums = (
-        four_in_a_row(quarters.withColumn("components", components), ["symbol", "filed_at"], 1, 1)
-        .where(F.col("end") == F.col("period_end"))
-        .select("symbol", "filed_at", F.col("val").alias("eps"), F.col("accn").alias("accession"), "components")
-    )
-    return latest.join(sums, ["symbol", "filed_at"], "left").select(
-        "symbol", F.date_add("filed_at", 1).alias("available_on"), "filed_at", "period_end", "eps", "accession",
-        F.when(F.col("eps").isNull(), "four_quarters_missing").alias("reason"), "components",
+    total = mark_four_in_a_row(quarters.withColumn("components", components), keys, 1, 1)
+    valid = F.col("year_ok") & (F.col("end") == F.col("period_end"))
+    events = total.groupBy(*keys, "period_end").agg(
+        F.max_by(F.struct(F.col("year_val").alias("eps"), F.col("accn").alias("accession"), "components"), F.when(valid, F.col("end"))).alias("e"))
+    return events.select(
+        "symbol", F.date_add("filed_at", 1).alias("available_on"), "filed_at", "period_end", "e.eps", "e.accession",
+        F.when(F.col("e.eps").isNull(), "four_quarters_missing").alias("reason"), "e.components",
     )
 
 
 def period_type(periods: DataFrame) -> DataFrame:
     """Basis of the latest end per (symbol, metric): a quarter when resolvable, else the earliest start as annual or ytd."""
     keys = ["symbol", "metric"]
-    ending = periods.join(latest_ends(periods), keys).where(F.col("end") == F.col("latest_end"))
-    fallback = ending.groupBy(*keys, "end").agg(F.min_by(F.struct("start", *DETAIL), "start").alias("p"))
-    quarters = standalone_quarters(periods).select(*keys, "end", F.struct("start", *DETAIL).alias("q"))
-    basis = F.coalesce("q", "p")
-    return (
-        fallback.join(quarters, [*keys, "end"], "left")
-        .select(*keys, "end", F.col("q").isNotNull().alias("quarterly"), basis.alias("b"))
-        .select(
-            *keys, "end",
-            F.when(F.col("quarterly"), "quarter")
-            .when(F.datediff("end", "b.start") >= 330, "annual").otherwise("ytd").alias("period_type"), "b.*",
-        )
+    near = with_latest_end(periods)
+    fallback = near.where(F.col("end") == F.col("latest_end")).groupBy(*keys).agg(F.min_by(F.struct("start", "end", *DETAIL), "start").alias("p"))
+    quarters = standalone_quarters(near, carry=("latest_end",)).where(F.col("end") == F.col("latest_end")).select(
+        *keys, F.struct("start", "end", *DETAIL).alias("q"))
+    kind = (
+        F.when(F.col("q").isNotNull(), "quarter")
+        .when(F.datediff("p.end", "p.start") >= 330, "annual").otherwise("ytd")
     )
+    return fallback.join(quarters, keys, "left").select(
+        *keys, kind.alias("period_type"), F.coalesce("q", "p").alias("b")).select(*keys, "period_type", "b.*")

@@ -96,22 +96,15 @@ def debt_to_cash_flow(current: Column, noncurrent: Column, cash_flow: Column) ->
 def diluted_shares(periods: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Direct quarter at the snapshot end, never derived; for a quarterly snapshot else the matching annual one."""
     shares = periods.where("metric = 'diluted_shares'")
-    direct = (
-        standalone_quarters(shares).where("NOT derived")
-        .select("symbol", F.col("end").alias("period_end"), F.struct("start", "val").alias("q"))
-    )
-    annual = (
-        shares.where(S.annual_span(F.datediff("end", "start")))
-        .groupBy("symbol", F.col("end").alias("period_end")).agg(F.max(F.struct("start", "val")).alias("y"))
-    )
-    pick = F.coalesce(F.col("q"), F.when(F.col("period_type") == "quarter", F.col("y")))
-    return (
-        snapshots.select("symbol", "period_end", "period_type")
-        .join(direct, ["symbol", "period_end"], "left").join(annual, ["symbol", "period_end"], "left")
-        .withColumn("s", pick).where(F.col("s").isNotNull())
-        .select("symbol", F.col("s.val").alias("diluted_shares"), F.col("s.start").alias("shares_start"),
-                F.concat_ws(" / ", F.col("s.start").cast("string"), F.col("period_end").cast("string")).alias("shares_period"))
-    )
+    at = snapshots.select("symbol", "period_end", "period_type")
+    direct = standalone_quarters(shares).where("NOT derived").select("symbol", "start", "end", "val", F.lit(0).alias("rank"))
+    annual = shares.where(S.annual_span(F.datediff("end", "start"))).select("symbol", "start", "end", "val", F.lit(1).alias("rank"))
+    rows = direct.unionByName(annual).join(at, "symbol").where(
+        (F.col("end") == F.col("period_end")) & ((F.col("rank") == 0) | (F.col("period_type") == "quarter")))
+    best = rows.groupBy("symbol", "period_end").agg(F.max_by(F.struct("start", "val"), F.struct(-F.col("rank"), F.col("start"))).alias("s"))
+    return best.select(
+        "symbol", F.col("s.val").alias("diluted_shares"), F.col("s.start").alias("shares_start"),
+        F.concat_ws(" / ", F.col("s.start").cast("string"), F.col("period_end").cast("string")).alias("shares_period"))
 
 
 def balance_evidence(instants: DataFrame) -> DataFrame:
@@ -135,21 +128,28 @@ def financial_quality(facts: DataFrame, concepts: DataFrame, snapshots: DataFram
     as_of = as_date(as_of)
     obs = observations(facts, concepts)
     wanted = (*HISTORY_METRICS, "diluted_shares")
-    periods = periods_as_of(obs.where(F.col("metric").isin(*wanted)), as_of)
+    return quality_of(
+        periods_as_of(obs.where(F.col("metric").isin(*wanted)), as_of), instant_rows(facts, concepts), snapshots, as_of)
+
+
+def quality_of(periods: DataFrame, instants: DataFrame, snapshots: DataFrame, as_of) -> DataFrame:
+    """`financial_quality` from resolved periods and balance rows; every join is on the symbol alone."""
+    periods = periods.repartition("symbol")
     summary = annual_summary(annual_history(periods))
-    rows = instant_rows(facts, concepts)
     ends = snapshots.select("symbol", F.col("period_end").alias("end"))
     balance = (
-        instant_facts(rows, ends, as_of).groupBy("symbol").pivot("metric", list(INSTANT_CONCEPTS)).agg(F.first("val"))
+        instant_facts(instants, ends, as_of).groupBy("symbol").pivot("metric", list(INSTANT_CONCEPTS)).agg(F.first("val"))
     )
-    prior = instant_facts(rows.where("metric = 'equity'"), prior_equity_ends(facts, snapshots), as_of).select(
+    equity = instants.where("metric = 'equity'")
+    prior = instant_facts(equity, prior_equity_ends(equity, snapshots), as_of).select(
         "symbol", F.col("val").alias("prior_equity"))
     compensation = trailing_year(periods.where("metric = 'share_compensation'")).select(
-        "symbol", F.col("end").alias("period_end"), F.col("val").alias("share_compensation_ttm"))
+        "symbol", F.col("end").alias("_sbc_end"), F.col("val").alias("_sbc"))
     shares = diluted_shares(periods, snapshots)
     wide = (
         snapshots.join(summary, "symbol", "left").join(balance, "symbol", "left").join(prior, "symbol", "left")
-        .join(compensation, ["symbol", "period_end"], "left").join(shares, "symbol", "left")
+        .join(compensation, "symbol", "left").join(shares, "symbol", "left")
+        .withColumn("share_compensation_ttm", F.when(F.col("_sbc_end") == F.col("period_end"), F.col("_sbc")))
     )
     proxy = F.when(
         F.col("diluted_shares") > 0,

@@ -280,15 +280,15 @@ def last_closed_session(calendar: DataFrame, now: Column) -> DataFrame:
 
 def session_lag(priced: DataFrame, calendar: DataFrame, now: Column) -> DataFrame:
     """Adds `lag_sessions`: sessions completed by `now` after `priced_on`."""
-    done = calendar.where(F.col("close_ts") <= now).select("session_date", "close_ts")
-    index = session_index(done, F.date_add(now.cast("date"), 1))
-    total = with_sessions_through(priced.withColumn("_now", now.cast("date")), index, "_now", "_total")
-    total = total.withColumn("_priced", F.least("priced_on", "_now"))
-    return (
-        with_sessions_through(total, index, "_priced", "_through")
-        .withColumn("lag_sessions", F.col("_total") - F.col("_through"))
-        .drop("_now", "_total", "_priced", "_through")
+    # the days in question: completed sessions and pricing days, at most a few hundred a year
+    done = calendar.where(F.col("close_ts") <= now).select(F.col("session_date").alias("_day"), F.lit(1).alias("_session"))
+    asked = priced.select(F.col("priced_on").alias("_day"), F.lit(0).alias("_session")).distinct()
+    later = W.orderBy(F.desc("_day")).rowsBetween(W.unboundedPreceding, -1)
+    lags = (
+        done.unionByName(asked).groupBy("_day").agg(F.max("_session").alias("_session"))
+        .select(F.col("_day").alias("priced_on"), F.coalesce(F.sum("_session").over(later), F.lit(0)).alias("lag_sessions"))
     )
+    return priced.join(lags, "priced_on", "left")
 
 
 def valuation_summary(clean: DataFrame, states: DataFrame, policy: DataFrame, calendar: DataFrame, as_of, now: Column | None = None) -> DataFrame:

@@ -74,6 +74,10 @@ def build_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "calendar", lambda: build_calendar(spark, sf_dir))
+
+
+def build_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekdays between the first and the last shipping day; closes at 21:00 UTC."""
     span = table(spark, sf_dir, "lineitem").agg(
         F.min("l_shipdate").cast("date").alias("first"), F.max("l_shipdate").cast("date").alias("last")
@@ -86,6 +90,10 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "splits", lambda: build_splits(spark, sf_dir))
+
+
+def build_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split policy: ratios for two regions, none elsewhere; suppliers ending in 7 have no known policy."""
     symbols = entities(spark, sf_dir).select("symbol").distinct()
     item = "array<struct<effective_date:date,ratio:double>>"
@@ -99,6 +107,10 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "quarters", lambda: build_quarters(spark, sf_dir))
+
+
+def build_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarter sums per symbol with year-to-date totals; `n` numbers the quarters from 1995."""
     sums = ("cents", "qty", "income", "operating", "cash_flow", "capex")
     by_quarter = (

@@ -179,7 +179,7 @@ def release_conflicts(spark, sf):
 @query("extracted_conflicts", "A6", """
 SELECT symbol, "end"::VARCHAR AS "end", count(DISTINCT val) AS n FROM v_obs WHERE metric = 'revenue' GROUP BY ALL HAVING count(DISTINCT val) > 1""")
 def extracted_conflicts(spark, sf):
-    return V.obs(spark, sf).where("metric = 'revenue'").groupBy("symbol", "end").agg(F.count_distinct("val").alias("n")).where("n > 1")
+    return V.raw_obs(spark, sf).where("metric = 'revenue'").groupBy("symbol", "end").agg(F.count_distinct("val").alias("n")).where("n > 1")
 
 
 def _reports(spark, sf):

@@ -19,12 +19,12 @@ _SPAN = f"{day('start')}, {day('end')}, {day('filed')}"
 @query("observations", "C1 F1 P3 P7", f"""
 SELECT symbol, metric, concept, unit, priority, {_SPAN}, form, accn, val, pos FROM v_obs""")
 def observations(spark, sf):
-    return V.obs(spark, sf).select("symbol", "metric", "concept", "unit", "priority", "start", "end", "filed", "form", "accn", "val", "pos")
+    return V.raw_obs(spark, sf).select("symbol", "metric", "concept", "unit", "priority", "start", "end", "filed", "form", "accn", "val", "pos")
 
 
 @query("periods_as_of", "C2 W1 F2 A16", f"SELECT symbol, metric, {_SPAN}, val, form, accn, concept FROM v_periods")
 def periods_as_of(spark, sf):
-    return V.current_periods(spark, sf).select("symbol", "metric", "start", "end", "filed", "val", "form", "accn", "concept")
+    return periods.periods_as_of(V.raw_obs(spark, sf), V.AS_OF).select("symbol", "metric", "start", "end", "filed", "val", "form", "accn", "concept")
 
 
 @query("split_adjusted_periods", "C2 J3", f"""
@@ -34,7 +34,7 @@ QUALIFY row_number() OVER (PARTITION BY symbol, start, "end" ORDER BY filed DESC
   coalesce((SELECT product(ratio) FROM fx_splits s WHERE s.symbol = v_factor.symbol AND effective_date > filed AND effective_date <= DATE '1999-06-30'), 1e0) AS""").replace(
     "adjusted AS val", "val / coalesce((SELECT product(ratio) FROM fx_splits s WHERE s.symbol = v_factor.symbol AND effective_date > filed AND effective_date <= DATE '1999-06-30'), 1e0) AS val"))
 def split_adjusted_periods(spark, sf):
-    rows = periods.periods_as_of(V.obs(spark, sf).where("metric = 'eps'"), "1999-06-30", fx.splits(spark, sf))
+    rows = periods.periods_as_of(V.raw_obs(spark, sf).where("metric = 'eps'"), "1999-06-30", fx.splits(spark, sf))
     return rows.select("symbol", "start", "end", "filed", "val", "reported_value", "split_adjustment")
 
 
@@ -104,14 +104,14 @@ def span_classes(spark, sf):
 @query("accepted_facts", "F1 P7", """
 SELECT symbol, regexp_replace(form, '/A$', '') AS base_form, count(*) AS n, CAST(min(filed) AS VARCHAR) AS first_filed FROM v_obs GROUP BY ALL""")
 def accepted_facts(spark, sf):
-    return V.obs(spark, sf).groupBy("symbol", S.base_form(F.col("form")).alias("base_form")).agg(
+    return V.raw_obs(spark, sf).groupBy("symbol", S.base_form(F.col("form")).alias("base_form")).agg(
         F.count("*").alias("n"), F.min("filed").alias("first_filed"))
 
 
 @query("known_facts", "F2", """
 SELECT symbol, metric, count(*) AS n FROM v_obs WHERE filed <= DATE '1998-06-30' AND "end" <= DATE '1998-06-30' GROUP BY ALL""")
 def known_facts(spark, sf):
-    return periods.known_by(V.obs(spark, sf), periods.as_date("1998-06-30")).groupBy("symbol", "metric").agg(F.count("*").alias("n"))
+    return periods.known_by(V.raw_obs(spark, sf), periods.as_date("1998-06-30")).groupBy("symbol", "metric").agg(F.count("*").alias("n"))
 
 
 @query("prior_year_pairs", "J4 P9", f"""
@@ -350,7 +350,7 @@ def financial_quality(spark, sf):
 
 @query("return_on_equity", "K4", "SELECT symbol, round(roe_ttm, 6) AS roe_ttm FROM v_quality WHERE roe_ttm IS NOT NULL")
 def return_on_equity(spark, sf):
-    rows = quality.instant_rows(fx.facts(spark, sf), concept_map(spark)).where("metric = 'equity'")
+    rows = V.instants(spark, sf).where("metric = 'equity'")
     shots = V.snapshot(spark, sf).select("symbol", "period_end", "net_income_ttm")
     now = quality.instant_facts(rows, shots.select("symbol", F.col("period_end").alias("end")), V.AS_OF).select("symbol", F.col("val").alias("equity"))
     then = quality.instant_facts(rows, quality.prior_equity_ends(fx.facts(spark, sf), shots), V.AS_OF).select("symbol", F.col("val").alias("before"))
@@ -360,7 +360,7 @@ def return_on_equity(spark, sf):
 
 @query("debt_to_cash_flow", "K5", "SELECT symbol, long_debt, round(long_debt_to_ocf, 9) AS ratio FROM v_quality")
 def debt_to_cash_flow(spark, sf):
-    rows = quality.instant_rows(fx.facts(spark, sf), concept_map(spark))
+    rows = V.instants(spark, sf)
     shots = V.snapshot(spark, sf).select("symbol", "period_end", "operating_cash_flow_ttm")
     debt = quality.instant_facts(rows, shots.select("symbol", F.col("period_end").alias("end")), V.AS_OF).groupBy("symbol").pivot(
         "metric", ["current_long_debt", "noncurrent_long_debt"]).agg(F.first("val"))
@@ -383,7 +383,7 @@ def cash_per_share_proxy(spark, sf):
 SELECT i.symbol, count(*) AS items, max(val) FILTER (metric = 'equity') AS equity, max(accn) FILTER (metric = 'cash') AS cash_accession
 FROM v_instants i JOIN v_snapshot s ON s.symbol = i.symbol AND s.period_end = i."end" GROUP BY i.symbol""")
 def balance_evidence(spark, sf):
-    rows = quality.instant_rows(fx.facts(spark, sf), concept_map(spark))
+    rows = V.instants(spark, sf)
     ends = V.snapshot(spark, sf).select("symbol", F.col("period_end").alias("end"))
     evidence = quality.balance_evidence(quality.instant_facts(rows, ends, V.AS_OF))
     return evidence.select(

@@ -264,6 +264,6 @@ def publish_columns(spark, sf):
 @query("future_split_factor", "J3 A7 P6", f"""
 SELECT symbol, concept, {day('start')}, {day('end')}, {day('filed')}, pos, factor, adjusted FROM v_factor WHERE metric = 'eps'""")
 def future_split_factor(spark, sf):
-    rows = periods.with_split_factor(V.obs(spark, sf).where("metric = 'eps'"), fx.splits(spark, sf), periods.as_date(V.AS_OF))
+    rows = periods.with_split_factor(V.raw_obs(spark, sf).where("metric = 'eps'"), fx.splits(spark, sf), periods.as_date(V.AS_OF))
     return rows.select("symbol", "concept", "start", "end", "filed", "pos",
                        F.col("split_adjustment").alias("factor"), F.col("val").alias("adjusted"))

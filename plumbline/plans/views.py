@@ -18,12 +18,21 @@ def today() -> Column:
     return F.lit(AS_OF).cast("date")
 
 
-def obs(spark: SparkSession, sf: str) -> DataFrame:
+def raw_obs(spark: SparkSession, sf: str) -> DataFrame:
     return periods.observations(fx.facts(spark, sf), concept_map(spark))
 
 
+def obs(spark: SparkSession, sf: str) -> DataFrame:
+    """Compact observations, stored by metric so that a reader of one metric reads nothing else."""
+    return landed(spark, sf, "obs", lambda: periods.compact(raw_obs(spark, sf)), partition_by=("metric",))
+
+
 def current_periods(spark: SparkSession, sf: str) -> DataFrame:
-    return periods.periods_as_of(obs(spark, sf), AS_OF)
+    return landed(spark, sf, "periods", lambda: periods.periods_as_of(obs(spark, sf), AS_OF), partition_by=("metric",))
+
+
+def instants(spark: SparkSession, sf: str) -> DataFrame:
+    return landed(spark, sf, "instants", lambda: quality.instant_rows(fx.facts(spark, sf), concept_map(spark)))
 
 
 def clean_prices(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +77,7 @@ def snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.financial_quality(fx.facts(spark, sf), concept_map(spark), snapshot(spark, sf), AS_OF)
+    return quality.quality_of(current_periods(spark, sf), instants(spark, sf), snapshot(spark, sf), AS_OF)
 
 
 def quality_record(spark: SparkSession, sf: str) -> DataFrame:

@@ -44,11 +44,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 _landed: dict[tuple[str, str, str], str] = {}
 
 
-def landed(spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def landed(
+    spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = (),
+) -> DataFrame:
     """A table written once per application to the shared folder and read back: short lineage for all that use it."""
     key = (spark.sparkContext.applicationId, scope, name)
     if key not in _landed:
         path = shared_folder(spark, name)
-        build().write.parquet(path)
+        build().write.partitionBy(*partition_by).parquet(path)
         _landed[key] = path
     return spark.read.parquet(_landed[key])
