@@ -147,23 +147,26 @@ def verify_content(manifest: DataFrame, content: DataFrame) -> DataFrame:
     """Issue rows (item, issue) of a manifest (item, bytes, sha256) against content (item, content binary).
 
     A second hash basis with LF line endings is accepted for text; `hash_by_text_basis` reports that it was needed.
+    Hashes, sizes and signatures are computed where the content is read, so the join moves only these, never the bytes.
     """
-    actual = content.select("item", "content", F.lit(True).alias("_there"))
-    rows = manifest.withColumn("_listed", F.lit(True)).join(actual, "item", "full")
     lf = F.encode(F.regexp_replace(F.decode("content", "UTF-8"), "\r\n", "\n"), "UTF-8")
-    exact = F.sha2("content", 256) == F.col("sha256")
     is_page = F.col("item").rlike(r"(?i)\.html?$")
-    by_text = is_page & (F.sha2(lf, 256) == F.col("sha256"))
     prefix = F.lower(F.decode(F.substring("content", 1, 1024), "ISO-8859-1"))
+    actual = content.select(
+        "item", F.lit(True).alias("_there"), F.octet_length("content").alias("_bytes"), F.sha2("content", 256).alias("_hash"),
+        F.when(is_page, F.sha2(lf, 256)).alias("_text_hash"), image_signature_ok(F.col("item"), F.col("content")).alias("_signature"),
+        (F.contains(prefix, F.lit("<html")) | F.contains(prefix, F.lit("<!doctype html"))).alias("_looks_html"),
+    )
+    rows = manifest.withColumn("_listed", F.lit(True)).join(actual, "item", "full")
     listed = F.col("_listed") & F.col("_there")
-    signature = image_signature_ok(F.col("item"), F.col("content"))
-    looks_html = F.contains(prefix, F.lit("<html")) | F.contains(prefix, F.lit("<!doctype html"))
+    exact = F.col("_hash") == F.col("sha256")
+    by_text = F.coalesce(F.col("_text_hash") == F.col("sha256"), F.lit(False))
     checks = [
         ("unlisted", F.col("_listed").isNull()), ("missing", F.col("_there").isNull()),
-        ("byte_count", listed & (F.octet_length("content") != F.col("bytes"))),
+        ("byte_count", listed & (F.col("_bytes") != F.col("bytes"))),
         ("sha256", listed & ~exact & ~by_text), ("hash_by_text_basis", listed & ~exact & by_text),
-        ("bad_signature", listed & (signature == F.lit(False))),
-        ("html_as_image", listed & signature.isNotNull() & looks_html),
+        ("bad_signature", listed & (F.col("_signature") == F.lit(False))),
+        ("html_as_image", listed & F.col("_signature").isNotNull() & F.col("_looks_html")),
     ]
     found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in checks]))
     return rows.select("item", F.explode(found).alias("issue"))

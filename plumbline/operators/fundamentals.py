@@ -136,8 +136,9 @@ def quarters_without_timely_eps(obs: DataFrame, as_of, years: int = 12) -> DataF
 
 def first_release(targets: DataFrame, filings: DataFrame) -> DataFrame:
     """The earliest 8-K with item 2.02 filed 1 to 100 days after each period end (left rows without one are kept)."""
-    releases = filings.where((F.col("form") == "8-K") & F.contains(F.col("items"), F.lit("2.02"))).select(
-        "symbol", F.col("filed").alias("release_filed"), F.col("accession").alias("release_accession"))
+    # one release per symbol and day is enough to find the first, and bounds what the join moves
+    releases = filings.where((F.col("form") == "8-K") & F.contains(F.col("items"), F.lit("2.02"))).groupBy(
+        "symbol", F.col("filed").alias("release_filed")).agg(F.min("accession").alias("release_accession"))
     near = band_join(targets.select("symbol", "end"), releases, ["symbol"], "end", "release_filed", 1, 100)
     first = near.groupBy("symbol", "end").agg(
         F.min(F.struct("release_filed", "release_accession")).alias("r")).select("symbol", "end", "r.*")

@@ -29,7 +29,8 @@ def accepted_quotes(quotes: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def missing_symbols(requested: DataFrame, received: DataFrame) -> DataFrame:
-    return requested.select("symbol").join(received.select("symbol"), "symbol", "left_anti")
+    """Requested symbols without any row; the received side is reduced to distinct symbols before it is shuffled."""
+    return requested.select("symbol").join(received.select("symbol").distinct(), "symbol", "left_anti")
 
 
 def last_good_quotes(previous: DataFrame, batch: DataFrame) -> DataFrame:
