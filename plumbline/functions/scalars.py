@@ -15,7 +15,9 @@ MONTHS = {
 }
 MONTH_WORDS = "|".join(sorted((word for words in MONTHS.values() for word in words), key=len, reverse=True))
 TEXT_DATE = rf"(?i)\b({MONTH_WORDS})\.?\s+(\d{{1,2}})\s*,?\s+((?:19|20)\d{{2}})\b"
+# Words that mean "no number", and the legal suffix a short name drops.
 BLANK_NUMBERS = ("n/a", "na", "none", "unch")
+LEGAL_SUFFIX = r"(?is),?\s+(Inc\.?|Corp\.?|Corporation|Ltd\.?).*$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -178,7 +180,7 @@ def error_summary(**stages: Column) -> Column:
 
 def short_name(name: Column) -> Column:
     """Name without its legal suffix, at most 24 characters."""
-    return F.substring(F.regexp_replace(name, r"(?is),?\s+(Inc\.?|Corp\.?|Corporation|Ltd\.?).*$", ""), 1, 24)
+    return F.substring(F.regexp_replace(name, LEGAL_SUFFIX, ""), 1, 24)
 
 
 def override(user: Column, automatic: Column) -> Column:

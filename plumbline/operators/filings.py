@@ -9,14 +9,18 @@ from plumbline.functions import scalars as S
 from plumbline.operators.matching import top_n_per_key
 from plumbline.schemas import REPORT_FORMS
 
+# The release item of an 8-K and the document names that mark a 6-K as a report.
+RELEASE_ITEM = "2.02"
+REPORT_DOCUMENT = "(?i)fsx|earn|result|quarter"
+
 
 def relevant_filings(filings: DataFrame) -> DataFrame:
     """Periodic reports, 8-K earnings items and 6-K reports by document name, with an accession and a date."""
     base = S.base_form(F.col("form"))
     wanted = (
         base.isin(*REPORT_FORMS)
-        | ((base == "8-K") & F.contains(F.col("items"), F.lit("2.02")))
-        | ((base == "6-K") & F.col("document").rlike("(?i)fsx|earn|result|quarter"))
+        | ((base == "8-K") & F.contains(F.col("items"), F.lit(RELEASE_ITEM)))
+        | ((base == "6-K") & F.col("document").rlike(REPORT_DOCUMENT))
     )
     return filings.where(wanted & (F.col("accession") != "") & F.col("filed").isNotNull())
 

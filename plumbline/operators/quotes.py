@@ -9,8 +9,8 @@ from plumbline.functions import scalars as S
 from plumbline.operators.matching import top_n_per_key
 from plumbline.schemas import ALGORITHM_VERSION, QUALITY_VERSION, SNAPSHOT_VERSION
 
-INVALID_PRICE = "Source returned no valid price; keeping previous quote"
-NO_QUOTE = "No quote in provider response; keeping previous quote"
+INVALID_PRICE = "invalid_price_kept_previous"
+NO_QUOTE = "no_quote_kept_previous"
 
 
 def clean_quotes(quotes: DataFrame) -> DataFrame:

@@ -275,8 +275,8 @@ WITH b AS (SELECT * FROM fx_quotes WHERE captured_at >= TIMESTAMP '2024-01-20'),
 p AS (SELECT symbol, arg_max(price, event_id) FILTER (price > 0) AS price0, max(captured_at) FILTER (price > 0) AS at0 FROM fx_quotes WHERE captured_at < TIMESTAMP '2024-01-20' GROUP BY symbol),
 g AS (SELECT symbol, arg_max(price, event_id) FILTER (price > 0) AS price1, max(captured_at) FILTER (price > 0) AS at1, arg_max(kind, event_id) AS last_kind FROM b GROUP BY symbol)
 SELECT symbol, coalesce(price1, price0) AS price, strftime(coalesce(at1, at0), '%Y-%m-%d %H:%M:%S') AS quote_at,
-  CASE WHEN last_kind IS NULL THEN 'No quote in provider response; keeping previous quote'
-    WHEN last_kind = 'error' THEN 'Source returned no valid price; keeping previous quote' END AS error
+  CASE WHEN last_kind IS NULL THEN 'no_quote_kept_previous'
+    WHEN last_kind = 'error' THEN 'invalid_price_kept_previous' END AS error
 FROM p LEFT JOIN g USING (symbol)""")
 def last_good_quotes(spark, sf):
     rows = _clean(spark, sf)
