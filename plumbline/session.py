@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -26,19 +24,10 @@ def build_session(app: str = "plumbline", master: str | None = None, shuffle_par
     return builder.getOrCreate()
 
 
-_local_roots: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under `spark.checkpoint.dir`; a temporary one only on a local master that names none."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = _local_roots.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="plumbline-")
-        _local_roots[context.applicationId] = root
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    """A fresh folder under `spark.checkpoint.dir`; where none is set, under the warehouse, which executors share as well."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(root or spark.conf.get('spark.sql.warehouse.dir') + '/shared').rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 _landed: dict[tuple[str, str, str], str] = {}
