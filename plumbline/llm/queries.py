@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import pieces
+from plumbline.llm import licenses, pieces, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers on this machine find the package wherever the driver was started; a cluster gets it with --py-files."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def query(name: str, sql: str | None = None):
     def register(build):
-        QUERIES[name] = build
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return build(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             CHECKS[name] = sql
         return build
@@ -37,3 +47,63 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+def held_out(id_col: str = "doc_id"):
+    """Whether a row is kept from training."""
+    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+
+
+# The rules of the url query.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op1_url_rules", f"""
+WITH rules(host, path, verdict) AS (VALUES {", ".join(map(str, RULES))}),
+parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{url_filters.UPPER}', '{url_filters.LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+fit AS (
+  SELECT p.*, (SELECT max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) FROM rules r
+    WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)) AS best
+  FROM parts p)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM fit""")
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filters.judge(table(spark, sf_dir, "pages", "page_id", "url"), rules).drop("url")
+
+
+@query("op5_top_products", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of each query vector."""
+    return topk.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("_id") % 20 == 0)
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), ~held_out())
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("sentences").alias("n_sentences"),
+    )
+
+
+@query("op9_licenses")
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every text."""
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score",
+    )
