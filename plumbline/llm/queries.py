@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import licenses, near_dedup, pieces, topk, toxicity, url_filters
+from plumbline.llm import langid, licenses, near_dedup, pieces, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -113,3 +113,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the rows outside the held-out third."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.train(docs, ~held_out())
+    return langid.predict(docs.drop("lang"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from plumbline.llm import batches as B
 from plumbline.llm.store import land
 
-SAMPLE, ENTRIES, ROUNDS, STEPS, BEGINNINGS = 5_000, 4_096, 3, 80, (4, 5, 6, 7)
+SAMPLE, ENTRIES, ROUNDS, STEPS, BEGINNINGS = 5_000, 4_096, 3, 200, (4, 5, 6, 7)
 LEAK = 0.001
 KIND = B.byte_table(B.LETTERS)
 ENDS = np.zeros(256, bool)
