@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import langid, licenses, near_dedup, pieces, topk, toxicity, url_filters
+from plumbline.llm import langid, licenses, near_dedup, pieces, suffix_dedup, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -121,3 +121,18 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.train(docs, ~held_out())
     return langid.predict(docs.drop("lang"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_repeats")
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without strings of 100 bytes that stand earlier."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    cut = suffix_dedup.remove_repeats(docs)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    cut = cut.select("doc", "tk", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    whole = docs.select("doc_id", F.coalesce("doc_id", F.lit(suffix_dedup.LAST)).alias("doc"), F.xxhash64(body).alias("tk"), F.length(body).cast("bigint").alias("n_bytes"), F.sha2(body, 256).alias("sha"))
+    return whole.join(cut, ["doc", "tk"], "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+    )
