@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, licenses, near_dedup, pieces, suffix_dedup, topk, toxicity, url_filters
+from plumbline.llm import decontaminate, html_template, langid, licenses, near_dedup, pieces, suffix_dedup, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -142,3 +142,9 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents."""
     return decontaminate.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op7_main_text")
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_template.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
