@@ -239,3 +239,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"),
         F.coalesce(F.coalesce("label", "id") == F.col("id"), F.lit(True)).alias("kept"),
     )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` without all but one document of each group of near-duplicates: the one with the smallest id, and of
+    rows that repeat it the one whose text sorts first. Rows with a null id stay."""
+    kept = land(near_duplicates(docs, id_col, text).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_kept")).distinct(), "kept")
+    chosen = docs.join(kept, docs[id_col].cast("bigint") == F.col("_kept"), "left_semi")
+    first = Window.partitionBy(id_col).orderBy(text)
+    return chosen.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row").union(docs.where(F.col(id_col).isNull()))

@@ -131,7 +131,7 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     cut = cut.select("doc", "tk", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     body = F.coalesce("text", F.lit("")).cast("binary")
-    whole = docs.select("doc_id", F.coalesce("doc_id", F.lit(suffix_dedup.LAST)).alias("doc"), F.xxhash64(body).alias("tk"), F.length(body).cast("bigint").alias("n_bytes"), F.sha2(body, 256).alias("sha"))
+    whole = docs.select("doc_id", *suffix_dedup.names(), F.length(body).cast("bigint").alias("n_bytes"), F.sha2(body, 256).alias("sha"))
     return whole.join(cut, ["doc", "tk"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),

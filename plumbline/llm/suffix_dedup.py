@@ -78,8 +78,7 @@ def anchors(t: B.Texts, length: int, gram: int) -> Iterator[tuple[np.ndarray, ..
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """doc (null ids come last), tk (names the text where an id repeats), text as bytes."""
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"), F.xxhash64(body).alias("tk"), body.alias("text"))
+    return docs.select(*names(id_col, text), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
 
 def shared(keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -285,6 +284,25 @@ def _frequent(rows: DataFrame, length: int) -> DataFrame:
     return whole.union(again)
 
 
+def names(id_col: str = "doc_id", text: str = "text") -> list:
+    """The columns doc and tk by which `remove_repeats` names a row."""
+    return [F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("tk")]
+
+
+def shortened(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` with their texts cut; bytes of a character that was cut apart go with it. Null texts stay null."""
+    cut = remove_repeats(docs, id_col, text)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.decode("utf-8", "ignore") for b in batch.column(2).to_pylist()], pa.string())], ["doc", "tk", "shorter"])
+
+    cut = cut.select("doc", "tk", "kept").mapInArrow(spell, "doc bigint, tk bigint, shorter string")
+    doc, tk = names(id_col, text)
+    joined = docs.select(F.struct("*").alias("row"), doc, tk).join(cut, ["doc", "tk"], "left")
+    return joined.select(*(F.coalesce("shorter", F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, tk, spans, kept) for each document that holds repeated strings: the removed spans and the bytes that stay.
 

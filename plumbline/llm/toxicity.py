@@ -180,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
             cut = np.searchsorted(w.row[word], np.arange(1, batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(np.split(x, cut), pa.list_(pa.int64())) for x in (sentence, entry))], ["y", "sentence", "entry"])
 
-    bag = land(rows.mapInArrow(sparse, "y int, sentence array<bigint>, entry array<bigint>").repartition(4, F.xxhash64("y", "sentence", "entry")), "bags")
+    bag = rows.mapInArrow(sparse, "y int, sentence array<bigint>, entry array<bigint>").where(F.size("entry") > 0)  # the others have no gradient
+    bag = land(bag.repartition(4, F.xxhash64("y", "sentence", "entry")), "bags")
     weights = np.full(len(entries) + 1, 1.0)
     weights[-1] = -3.0
     for _ in range(ROUNDS):
