@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import batches as B
 
-GRAM, SEGMENT, STEP, SHORTEST, EDITS = 12, 80, 40, 40, 0.05
+GRAM, SEGMENT, STEP, SHORTEST, EDITS = 12, 80, 20, 40, 0.05
 BLOCK = 4_000_000
 PART = B.PIECE // 2
 INSIDE, VALUE = B.byte_table(B.MARKS)
