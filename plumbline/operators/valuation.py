@@ -139,18 +139,25 @@ def coverage_windows(
     bounds = with_sessions_through(
         bounds.withColumn("_eve", F.date_sub("window_start", 1)), index, "_eve", "start_ordinal"
     ).drop("_eve")
-    inside = rows.join(bounds.drop("end_ordinal"), "symbol").where(F.col("date") >= F.col("window_start"))
-    gap = F.col("ordinal") - F.greatest(F.coalesce("before", F.lit(0)), F.col("start_ordinal")) - 1
+    # one row per symbol and day: the horizons are told apart by conditions, not by copies of the row
+    starts = bounds.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("years", F.struct("window_start", "start_ordinal")))).alias("_starts"))
     session = F.col("is_session")
-    counted = inside.groupBy("symbol", "years", "window_start", "valuation_date", "start_ordinal", "end_ordinal").agg(
-        F.count_if(session).alias("priced_sessions"),
-        F.count_if(covered).alias("covered"),
-        F.count_if(session & (F.col("state") == "nonpositive_eps")).alias("nonpositive_sessions"),
-        F.count("pe").alias("valid_samples"),
-        F.count_if(F.col("pe") <= F.col("current_pe")).alias("at_or_below"),
-        F.coalesce(F.max(gap), F.lit(0)).alias("inner_gap"),
-        F.coalesce(F.max("ordinal"), F.col("start_ordinal")).alias("last_ordinal"),
-    )
+
+    def counters(years: int):
+        start = F.col("_starts")[F.lit(years)]
+        inside = F.col("date") >= start["window_start"]
+        gap = F.col("ordinal") - F.greatest(F.coalesce("before", F.lit(0)), start["start_ordinal"]) - 1
+        first = F.first(start["start_ordinal"])
+        return F.struct(
+            F.lit(years).alias("years"), F.first(start["window_start"]).alias("window_start"), first.alias("start_ordinal"),
+            F.count_if(inside & session).alias("priced_sessions"), F.count_if(inside & covered).alias("covered"),
+            F.count_if(inside & session & (F.col("state") == "nonpositive_eps")).alias("nonpositive_sessions"),
+            F.count(F.when(inside, F.col("pe"))).alias("valid_samples"), F.count_if(inside & (F.col("pe") <= F.col("current_pe"))).alias("at_or_below"),
+            F.coalesce(F.max(F.when(inside, gap)), F.lit(0)).alias("inner_gap"), F.coalesce(F.max(F.when(inside, F.col("ordinal"))), first).alias("last_ordinal"),
+        )
+
+    counted = rows.join(starts, "symbol").groupBy("symbol", "valuation_date", "end_ordinal").agg(F.array(*map(counters, horizons)).alias("_horizons"))
+    counted = counted.select("symbol", "valuation_date", "end_ordinal", F.inline("_horizons"))
     coverage = F.col("covered") / F.col("expected_sessions")
     qualified = (
         (coverage >= min_coverage) & (F.col("expected_sessions") - F.col("priced_sessions") <= max_unpriced)

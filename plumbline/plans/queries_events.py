@@ -350,7 +350,9 @@ SELECT 'quotes' AS source, CASE WHEN count(*) FILTER (price IS NULL) > 0 THEN 'p
 def run_log(spark, sf):
     rows = quotes.run_outcome(_clean(spark, sf).withColumn("day", F.col("captured_at").cast("date")), ["day"])
     detail = F.repeat(F.concat(sinks.detail_text(F.col("updated"), F.col("failed")), F.lit(" ")), F.lit(60))
-    return sinks.run_log(rows.select(F.lit("quotes").alias("source"), "status", detail.alias("detail"), F.col("day").alias("created_at")))
+    path = shared_folder(spark, "outcomes")
+    sinks.write_run_log(rows.select(F.lit("quotes").alias("source"), "status", detail.alias("detail"), F.col("day").alias("created_at")), path, 1000)
+    return spark.read.parquet(path)
 
 
 @query("quote_upsert", "S9 Y7", """
@@ -370,9 +372,15 @@ def sample_upsert(spark, sf):
     return sinks.upsert(stored, fresh, ["symbol", "date", "frequency"], ["run"]).drop("run")
 
 
-@query("results_export", "S12")
+@query("results_export", "S12", """
+SELECT s.symbol, w.years, s.status, w.valid_samples, w.max_missing_run FROM v_summary s LEFT JOIN v_windows w USING (symbol)""")
 def results_export(spark, sf):
-    return sinks.nested_results(V.summary(spark, sf), V.windows(spark, sf))
+    """Written as JSON files, read back with a schema, one row per symbol and horizon."""
+    path = shared_folder(spark, "export")
+    sinks.export_results(sinks.nested_results(V.summary(spark, sf), V.windows(spark, sf)), path)
+    payload = "valuation struct<status:string>, coverage array<struct<years:int,valid_samples:bigint,max_missing_run:bigint>>"
+    read = spark.read.schema("symbol string, payload string").json(path).select("symbol", F.from_json("payload", payload).alias("p"))
+    return read.select("symbol", "p.valuation.status", F.explode_outer("p.coverage").alias("c")).select("symbol", "c.years", "status", "c.valid_samples", "c.max_missing_run")
 
 
 # directory ---------------------------------------------------------------------------------------------------------
@@ -431,34 +439,60 @@ def watch_order(spark, sf):
 
 # streams -----------------------------------------------------------------------------------------------------------
 
-def _stream(spark, sf, name):
-    schema = fx.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+def _arrivals(rows, key):
+    """Three deliveries that are not in order of time: each has rows of all days, and the later ones repeat some of the earlier."""
+    part = F.pmod(F.col(key), F.lit(3))
+    again = F.pmod(F.col(key), F.lit(7)) == 0
+    return [rows.where(part == 0), rows.where((part == 1) | (again & (part == 0))), rows.where((part == 2) | again)]
+
+
+def _run(spark, rows, key, name, start):
+    """Write each delivery to an inbox and let the stream take what has arrived."""
+    inbox, checkpoint = shared_folder(spark, f"{name}-inbox"), shared_folder(spark, f"{name}-checkpoint")
+    for delivery in _arrivals(rows, key):
+        delivery.write.mode("append").parquet(inbox)
+        start(spark.readStream.schema(delivery.schema).parquet(inbox), checkpoint).awaitTermination()
 
 
 @query("quote_stream", "Y1", """
-SELECT DISTINCT symbol, strftime(date_trunc('hour', captured_at), '%Y-%m-%d %H:%M:%S') AS captured_at FROM fx_quotes WHERE price > 0""")
+SELECT symbol, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at, price FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol, captured_at ORDER BY event_id % 3, event_id) AS r FROM fx_quotes WHERE price > 0) WHERE r = 1""")
 def quote_stream(spark, sf):
-    rows = quotes.clean_quotes(fx.quote_rows(_stream(spark, sf, "events"))).withColumn("captured_at", F.date_trunc("hour", "captured_at"))
-    once = streams.first_seen_quotes(rows).select("symbol", "captured_at")
     path = shared_folder(spark, "quote_history")
-    streams.available_now(once, path, shared_folder(spark, "quote_checkpoint")).awaitTermination()
-    return spark.read.schema("symbol string, captured_at timestamp").parquet(path)
+    rows = quotes.clean_quotes(fx.quote_rows(fx.table(spark, sf, "events")))
+    _run(spark, rows, "event_id", "quotes", lambda stream, checkpoint: streams.append_quotes(stream, path, checkpoint, buckets=4))
+    return spark.read.parquet(path).select("symbol", "captured_at", "price")
 
 
 @query("latest_quote_stream", "Y2 S9", """
-SELECT symbol, arg_max(price, captured_at) AS price, strftime(max(captured_at), '%Y-%m-%d %H:%M:%S') AS captured_at FROM fx_quotes WHERE price > 0 GROUP BY symbol""")
+SELECT symbol, arg_max(price, struct_pack(captured_at, event_id)) FILTER (price > 0) AS price,
+  strftime(max(captured_at) FILTER (price > 0), '%Y-%m-%d %H:%M:%S') AS quote_at,
+  CASE WHEN arg_max(CASE WHEN price > 0 THEN 1 ELSE 0 END, struct_pack(captured_at, event_id)) = 0 THEN 'invalid_price_kept_previous' END AS error FROM fx_quotes GROUP BY symbol""")
 def latest_quote_stream(spark, sf):
-    rows = quotes.clean_quotes(fx.quote_rows(_stream(spark, sf, "events")))
     path = shared_folder(spark, "latest_quote")
-    streams.upsert_quotes(rows, path, shared_folder(spark, "latest_checkpoint")).awaitTermination()
-    return spark.read.parquet(path).drop("bucket")
+    rows = quotes.clean_quotes(fx.quote_rows(fx.table(spark, sf, "events")))
+    _run(spark, rows, "event_id", "latest", lambda stream, checkpoint: streams.upsert_quotes(stream, path, checkpoint))
+    return spark.read.parquet(path).select("symbol", "price", "quote_at", "error")
 
 
-@query("filing_stream", "Y3 S10", "SELECT symbol, accession FROM v_relevant")
+@query("filing_stream", "Y3 S10", """
+SELECT symbol, accession, o_orderkey % 3 AS first_batch FROM (SELECT *, CAST(left(accession, 10) AS BIGINT) AS o_orderkey FROM v_relevant)""")
 def filing_stream(spark, sf):
-    rows = filings.relevant_filings(fx.filing_rows(_stream(spark, sf, "orders"))).select("symbol", "accession", "filed")
-    twice = rows.unionByName(rows)
     path = shared_folder(spark, "filing_events")
-    streams.append_filings(streams.first_seen_filings(twice), path, shared_folder(spark, "filing_checkpoint")).awaitTermination()
-    return spark.read.parquet(path).select("symbol", "accession")
+    rows = filings.relevant_filings(fx.filing_rows(fx.table(spark, sf, "orders"))).select("symbol", "accession", "filed")
+    rows = rows.withColumn("number", F.substring("accession", 1, 10).cast("long"))
+    _run(spark, rows, "number", "filings", lambda stream, checkpoint: streams.append_filings(stream, path, checkpoint, lambda n: F.lit(n).cast("long"), 4))
+    return spark.read.parquet(path).select("symbol", "accession", F.col("discovered_at").alias("first_batch"))
+
+
+@query("batch_log", "Y9 S11", """
+SELECT 'quotes' AS source, 'ok' AS status, 'batch ' || b || '; rows ' || n AS detail, b AS created_at FROM (
+  SELECT 0 AS b, count(*) FILTER (event_id % 3 = 0) AS n FROM fx_quotes UNION ALL
+  SELECT 1, count(*) FILTER (event_id % 3 = 1 OR (event_id % 7 = 0 AND event_id % 3 = 0)) FROM fx_quotes UNION ALL
+  SELECT 2, count(*) FILTER (event_id % 3 = 2 OR event_id % 7 = 0) FROM fx_quotes)""")
+def batch_log(spark, sf):
+    log = shared_folder(spark, "run_log")
+    step = streams.logged(lambda batch, number: None, "quotes", log, lambda number: F.lit(number))
+    rows = fx.table(spark, sf, "events").select("event_id")
+    _run(spark, rows, "event_id", "log", lambda stream, checkpoint: streams.each_batch(stream, checkpoint, step))
+    return spark.read.parquet(log)

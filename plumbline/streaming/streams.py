@@ -1,70 +1,95 @@
-"""Streaming jobs. State is bounded by watermarks; `available_now` runs a stream as a batch over what has arrived."""
+"""Streaming jobs over keyed tables. Nothing is dropped for being late: a row counts as known only if its key is stored.
+
+Each job runs as `foreachBatch` over what has arrived. Replaying a batch after a failure gives the same tables: inserts skip
+stored keys, states keep the newest row.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from plumbline.operators.quotes import last_good_quotes
-from plumbline.sources.sinks import write_insert_absent, write_upsert
-
+from plumbline.operators.quotes import INVALID_PRICE
+from plumbline.sources.sinks import bucket_count, table_exists, touched_rows, with_bucket, write_insert_absent, write_run_log, write_upsert
 
-def first_seen_quotes(quotes: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Valid quotes once per symbol and capture time."""
-    return (
-        quotes.where("valid").withWatermark("captured_at", delay)
-        .dropDuplicatesWithinWatermark(["symbol", "captured_at"])
-    )
+Step = Callable[[DataFrame, int], None]
 
 
-def first_seen_filings(filings: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Filings once per symbol and accession; event time is the filing date."""
-    return (
-        filings.withColumn("filed_at", F.col("filed").cast("timestamp")).withWatermark("filed_at", delay)
-        .dropDuplicatesWithinWatermark(["symbol", "accession"]).drop("filed_at")
-    )
+def each_batch(stream: DataFrame, checkpoint: str, step: Step) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def available_now(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> StreamingQuery:
-    """Append a stream to a parquet table with whatever input is there, then stop."""
-    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    return writer.outputMode("append").trigger(availableNow=True).start()
+def append_quotes(stream: DataFrame, path: str, checkpoint: str, order: str = "event_id", buckets: int = 64) -> StreamingQuery:
+    """History of valid quotes, one per symbol and capture time: the first that arrived, however late."""
 
+    def step(batch: DataFrame, _: int) -> None:
+        write_insert_absent(batch.where("valid"), path, ["symbol", "captured_at"], [order], buckets)
 
-def each_batch(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return each_batch(stream, checkpoint, step)
 
 
-def upsert_quotes(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest valid quote per symbol in a keyed table; replaying a batch gives the same table."""
+def append_filings(stream: DataFrame, path: str, checkpoint: str, discovered: Callable[[int], Column], buckets: int = 64) -> StreamingQuery:
+    """Filings not stored yet, by symbol and accession, each with the time `discovered(batch)` of its first batch."""
 
-    def step(batch: DataFrame, _: int) -> None:
-        newest = batch.where("valid").groupBy("symbol").agg(F.max_by(F.struct("price", "captured_at"), "captured_at").alias("q"))
-        write_upsert(newest.select("symbol", "q.*"), path, ["symbol"], ["captured_at"], buckets=8)
+    def step(batch: DataFrame, number: int) -> None:
+        write_insert_absent(batch.withColumn("discovered_at", discovered(number)), path, ["symbol", "accession"], ["filed"], buckets)
 
     return each_batch(stream, checkpoint, step)
 
 
-def append_filings(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Insert filings not stored yet, by symbol and accession."""
+def merged_state(stored: DataFrame, batch: DataFrame, order: str = "event_id") -> DataFrame:
+    """Last-good state per symbol: price and time of the newest valid quote, and `error` if the newest quote is a bad one.
+
+    A late quote changes neither; `seen_at` and `seen_id` name the newest quote, good or bad.
+    """
+    seen = F.struct("captured_at", order)
+    new = batch.withColumn("captured_at", F.col("captured_at").cast("timestamp")).groupBy("symbol").agg(
+        F.max_by(F.struct("price", F.col("captured_at").alias("at")), F.when(F.col("valid"), seen)).alias("good"),
+        F.max(F.struct(F.col("captured_at").alias("at"), F.col(order).cast("bigint").alias("id"), "valid")).alias("last"),
+    )
+    rows = new.join(stored.select("symbol", *(F.col(c).alias(f"_{c}") for c in ("price", "quote_at", "error", "seen_at", "seen_id"))), "symbol", "left")
+    newer_good = F.col("good").isNotNull() & (F.col("_quote_at").isNull() | (F.col("good.at") >= F.col("_quote_at")))
+    newer = F.col("_seen_at").isNull() | (F.struct("last.at", "last.id") >= F.struct("_seen_at", "_seen_id"))
+    return rows.select(
+        "symbol", F.when(newer_good, F.col("good.price")).otherwise(F.col("_price")).alias("price"),
+        F.when(newer_good, F.col("good.at")).otherwise(F.col("_quote_at")).alias("quote_at"),
+        F.when(newer, F.when(~F.col("last.valid"), INVALID_PRICE)).otherwise(F.col("_error")).alias("error"),
+        F.when(newer, F.col("last.at")).otherwise(F.col("_seen_at")).alias("seen_at"),
+        F.when(newer, F.col("last.id")).otherwise(F.col("_seen_id")).alias("seen_id"),
+    )
+
+
+STATE = "symbol string, price double, quote_at timestamp, error string, seen_at timestamp, seen_id bigint"
+
+
+def upsert_quotes(stream: DataFrame, path: str, checkpoint: str, order: str = "event_id", buckets: int = 8) -> StreamingQuery:
+    """Keep the last-good state of each symbol in a keyed table; bad quotes set the error and leave the price."""
 
     def step(batch: DataFrame, _: int) -> None:
-        write_insert_absent(batch, path, ["symbol", "accession"], ["filed"])
+        spark = batch.sparkSession
+        incoming = with_bucket(batch, ["symbol"], bucket_count(spark, path, buckets))
+        stored = touched_rows(spark, path, incoming) if table_exists(spark, path) else spark.createDataFrame([], STATE)
+        write_upsert(merged_state(stored, batch, order), path, ["symbol"], ["seen_at", "seen_id"], buckets)
 
     return each_batch(stream, checkpoint, step)
 
 
-def keep_last_good(previous: DataFrame, batches: DataFrame) -> DataFrame:
-    """The batch form of the last-good state, for recomputing state from history."""
-    return last_good_quotes(previous, batches)
+def logged(step: Step, source: str, log: str, now: Callable[[int], Column]) -> Step:
+    """The step, followed by one log row per batch: status, rows, time `now(batch)`. A failing batch is logged and fails."""
 
+    def run(batch: DataFrame, number: int) -> None:
+        spark, status, detail = batch.sparkSession, "ok", ""
+        try:
+            step(batch, number)
+            detail = f"batch {number}; rows {batch.count()}"
+        except Exception as error:
+            status, detail = "failed", f"batch {number}; {error}"
+            raise
+        finally:
+            row = spark.createDataFrame([(source, status, detail)], "source string, status string, detail string")
+            write_run_log(row.withColumn("created_at", now(number)), log)
 
-def run_progress(query: StreamingQuery, spark: SparkSession) -> DataFrame:
-    """Outcome rows of a finished stream: batch, input rows and status."""
-    rows = [(p["batchId"], p["numInputRows"], "ok") for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch_id long, input_rows long, status string")
+    return run

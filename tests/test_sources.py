@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from conftest import d, only
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import directory, quotes
 from plumbline.sources import readers
 from plumbline.streaming import streams
@@ -63,23 +66,39 @@ def quote_file(tmp_path, name, at, *items):
     return write(tmp_path / name, {"captured_at": at, "quotes": json.dumps(items[0] if len(items) == 1 else list(items))})
 
 
-def test_quote_stream_keeps_first_seen_and_state_keeps_last_good(spark, tmp_path):
+def arrived(spark, folder):
+    rows = readers.stream_quotes(spark, str(folder))
+    return rows.withColumns({"valid": F.coalesce(rows["price"] > 0, F.lit(False)), "event_id": F.lit(0)})
+
+
+def test_quote_history_takes_late_quotes_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
 
     def run():
-        rows = readers.stream_quotes(spark, str(folder))
-        rows = rows.withColumn("valid", rows["price"] > 0)
-        streams.available_now(streams.first_seen_quotes(rows).select("symbol", "captured_at", "price"), out, checkpoint).awaitTermination()
-        return sorted((r["symbol"], r["price"]) for r in spark.read.parquet(out).collect())
+        streams.append_quotes(arrived(spark, folder), out, checkpoint, buckets=2).awaitTermination()
+        return sorted((r["symbol"], str(r["captured_at"])[:10], r["price"]) for r in spark.read.parquet(out).collect())
 
-    quote_file(folder, "1.json", "2026-09-04T10:00:00", {"symbol": "aapl", "last": "320.5"}, {"symbol": "MSFT", "last": "N/A"})
-    assert run() == [("AAPL", 320.5)]
-    # the same capture arrives again: nothing is added
-    quote_file(folder, "2.json", "2026-09-04T10:00:00", {"symbol": "aapl", "last": "320.5"})
-    quote_file(folder, "3.json", "2026-09-04T10:01:00", {"symbol": "aapl", "last": "321"})
-    assert run() == [("AAPL", 320.5), ("AAPL", 321.0)]
+    quote_file(folder, "1.json", "2026-03-19T10:00:00", {"symbol": "kolb", "last": "12.5"}, {"symbol": "RIND", "last": "--"})
+    assert run() == [("KOLB", "2026-03-19", 12.5)]
+    quote_file(folder, "2.json", "2026-03-19T10:00:00", {"symbol": "KOLB", "last": "99"})
+    quote_file(folder, "3.json", "2019-01-02T10:00:00", {"symbol": "rind", "last": "4"})
+    assert run() == [("KOLB", "2026-03-19", 12.5), ("RIND", "2019-01-02", 4.0)]
+
+
+def test_stream_state_records_errors_and_keeps_the_price(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    path, checkpoint = str(tmp_path / "state"), str(tmp_path / "cp")
+    seen = []
+    for name, at, text in (("1", "2026-03-19T10:00:00", "7"), ("2", "2026-03-19T11:00:00", "n/a"), ("3", "2026-03-18T09:00:00", "5"), ("4", "2026-03-19T12:00:00", "8")):
+        quote_file(folder, f"{name}.json", at, {"symbol": "KOLB", "last": text})
+        streams.upsert_quotes(arrived(spark, folder), path, checkpoint).awaitTermination()
+        row = spark.read.parquet(path).collect()
+        assert len(row) == 1
+        seen.append((row[0]["price"], row[0]["error"]))
+    assert seen == [(7.0, None), (7.0, quotes.INVALID_PRICE), (7.0, quotes.INVALID_PRICE), (8.0, None)]
 
 
 def test_bad_and_missing_quotes_keep_the_price(spark):
@@ -91,20 +110,29 @@ def test_bad_and_missing_quotes_keep_the_price(spark):
     assert rows == {"A": (1.0, quotes.INVALID_PRICE), "B": (2.0, quotes.NO_QUOTE), "C": (9.0, None)}
 
 
-def test_filing_stream_is_first_seen(spark, tmp_path):
+def test_filing_stream_keeps_late_filings_and_when_they_were_found(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    path, checkpoint = str(tmp_path / "events"), str(tmp_path / "cp")
+    path, checkpoint, log = str(tmp_path / "events"), str(tmp_path / "cp"), str(tmp_path / "log")
 
     def run():
         stream = spark.readStream.schema("symbol string, accession string, filed date").json(str(folder))
-        streams.append_filings(streams.first_seen_filings(stream), path, checkpoint).awaitTermination()
-        return sorted(r["accession"] for r in spark.read.parquet(path).collect())
+        streams.append_filings(stream, path, checkpoint, lambda n: F.lit(n), buckets=2).awaitTermination()
+        return sorted((r["symbol"], r["accession"], r["discovered_at"]) for r in spark.read.parquet(path).collect())
+
+    write(folder / "1.json", {"symbol": "KOLB", "accession": "n-1", "filed": "2026-02-11"}, {"symbol": "KOLB", "accession": "n-1", "filed": "2026-02-11"})
+    assert run() == [("KOLB", "n-1", 0)]
+    write(folder / "2.json", {"symbol": "RIND", "accession": "o-1", "filed": "2014-05-06"}, {"symbol": "KOLB", "accession": "n-1", "filed": "2026-02-11"})
+    assert run() == [("KOLB", "n-1", 0), ("RIND", "o-1", 1)]
+
+    def broken(batch, number):
+        raise RuntimeError("no disk")
 
-    write(folder / "1.json", {"symbol": "X", "accession": "a", "filed": "2026-07-30"}, {"symbol": "X", "accession": "a", "filed": "2026-07-30"})
-    assert run() == ["a"]
-    write(folder / "2.json", {"symbol": "X", "accession": "a", "filed": "2026-07-30"}, {"symbol": "X", "accession": "b", "filed": "2026-08-30"})
-    assert run() == ["a", "b"]
+    step = streams.logged(broken, "filings", log, lambda n: F.lit(n))
+    with pytest.raises(RuntimeError):
+        step(spark.range(3), 5)
+    streams.logged(lambda batch, number: None, "filings", log, lambda n: F.lit(n))(spark.range(3), 6)
+    assert sorted((r["status"], r["detail"]) for r in spark.read.parquet(log).collect()) == [("failed", "batch 5; no disk"), ("ok", "batch 6; rows 3")]
 
 
 def test_latest_quote_table_is_keyed_and_replayable(spark, tmp_path):
@@ -114,6 +142,5 @@ def test_latest_quote_table_is_keyed_and_replayable(spark, tmp_path):
     quote_file(folder, "1.json", "2026-09-04T10:00:00", {"symbol": "AAPL", "last": "1"})
     quote_file(folder, "2.json", "2026-09-04T11:00:00", {"symbol": "AAPL", "last": "2"}, {"symbol": "MSFT", "last": "7"})
     for attempt in ("a", "b"):
-        rows = readers.stream_quotes(spark, str(folder))
-        streams.upsert_quotes(rows.withColumn("valid", rows["price"] > 0), path, str(tmp_path / attempt)).awaitTermination()
+        streams.upsert_quotes(arrived(spark, folder), path, str(tmp_path / attempt)).awaitTermination()
         assert sorted((r["symbol"], r["price"]) for r in spark.read.parquet(path).collect()) == [("AAPL", 2.0), ("MSFT", 7.0)]
