@@ -10,14 +10,15 @@ average 12 with a deviation of 3. It is split into 12 chunks of 4. By the pigeon
 allowed errors enumerated): 48 keys, and every pair within 23 shares one. A pair that is linked is missed only if at least two
 values differ in every chunk, about once in ten million pairs at Jaccard 0.75, less often above.
 
-Sets equal as sets are one class from the start. No bucket is expanded into pairs: in each round its members are compared
-with one pivot, each member with the pivot nearest to it by signature, and confirmed links merge components. Buckets that hold
-one component are done. What is left after `ROUNDS` is compared in blocks: pairs of blocks of a bucket meet as whole rows, and
-only pairs of different components within distance 23 come out. Nothing is dropped or capped on the way.
+Sets equal as sets are one class from the start. No bucket is expanded into pairs: its members are compared with one pivot,
+each member with the pivot nearest to it by signature, and confirmed links merge components. Buckets that hold one component
+are done. Documents in buckets that still hold several are joined exactly on the rarest elements of their full sets, across
+components only. Nothing is dropped or capped on the way.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from plumbline.llm.store import land
 
 SIZE, CHUNKS, WIDTH = 5, 12, 4
 VALUES, NEAR = CHUNKS * WIDTH, 2 * CHUNKS - 1
-ROUNDS, BLOCK = 3, 256
+SLOTS, CLASS = 1 << 20, 8
 KIND = B.byte_table(B.SPACES)
 
 
@@ -169,30 +170,66 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return land(now.join(mixed, "key"), "open")
 
 
-def _rest(left: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of different components within NEAR in the buckets that are left, found block by block."""
-    rows = land(left.join(classes.select("id", "sig"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(1 << 30))), "rest")
-    sizes = land(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "sizes")
-    cut = rows.join(sizes, "key").withColumn("block", F.pmod("block", "blocks"))
-    packed = land(cut.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("id", "label", "sig")).alias("rows")), "blocks")
-    one = packed.select("key", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"), "block", "rows").where("block <= with")
-    two = packed.select("key", F.col("block").alias("with"), F.col("rows").alias("others"))
-    schema = "a bigint, b bigint"
+def _order(sets: DataFrame) -> np.ndarray:
+    """How often elements occur, counted in `SLOTS` slots: a table of fixed size by which every set is sorted, rare first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for x, y in zip(batch.column("rows").to_pylist(), batch.column("others").to_pylist(), strict=True):
-                (p, pl, ps), (q, ql, qs) = (
-                    (np.array([r["id"] for r in z]), np.array([r["label"] for r in z]), np.stack([np.frombuffer(r["sig"], np.uint16) for r in z])) for z in (x, y)
-                )
-                far = np.zeros((len(p), len(q)), np.int16)
-                for k in range(VALUES):
-                    far += ps[:, k][:, None] != qs[:, k][None]
-                i, j = np.nonzero((far <= NEAR) & (pl[:, None] != ql[None]))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[i], q[j])), pa.array(np.maximum(p[i], q[j]))], ["a", "b"])
+            total += np.bincount(B.texts(batch.column(0)).data.view(np.uint64) % np.uint64(SLOTS), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    got = sets.select("members").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return out
 
-    return one.join(two, ["key", "with"]).select("rows", "others").mapInArrow(run, schema).distinct()
+
+def _rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may be links, among documents whose buckets are still open.
+
+    An exact prefix join on the full sets: in one order of all elements, rare ones first, two sets that share at least m
+    elements share one among the first |x| - m + 1 of x and the first |y| - m + 1 of y. A set is filed under its first elements
+    for partners as long as itself or longer, and asks with its first elements for each class of shorter lengths. Of each
+    element's documents, those of its most frequent component are never matched with each other.
+    """
+    rows = land(left.select("id", "label").distinct().join(sets, "id"), "rest")
+    often = _order(rows)
+    t = percent / 100
+
+    def first_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for number, label, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = np.frombuffer(body.as_buffer(), np.uint64)
+                n = len(own)
+                own = own[np.lexsort((own, often[(own % np.uint64(SLOTS)).astype(np.int64)]))].view(np.int64)
+                need = lambda other: math.ceil(t / (1 + t) * (n + other) - 1e-9)  # noqa: B023, E731
+                spans = [(False, n // CLASS, n - need(n) + 1)]
+                least = math.ceil(t * n - 1e-9)
+                spans += [(True, c, n - need(max(c * CLASS, least)) + 1) for c in range(least // CLASS, n // CLASS + 1)]
+                for asks, c, k in spans:
+                    k = max(0, min(k, n))
+                    for column, value in zip(out, (own[:k], np.full(k, c), np.full(k, asks), np.full(k, number), np.full(k, label), n - np.arange(k), np.full(k, n)), strict=True):
+                        column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["element", "class", "asks", "id", "label", "ahead", "size"])
+
+    key = ["element", "class"]
+    schema = "element bigint, class bigint, asks boolean, id bigint, label bigint, ahead bigint, size bigint"  # ahead: elements from this one on
+    filed = land(rows.select("id", "label", "members").mapInArrow(first_elements, schema), "filed")
+    mixed = filed.groupBy(key).agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("asks").alias("asked"), F.min("asks").alias("given")).where("x <> y and asked and not given")
+    open_keys = land(mixed.select(key), "open-keys")
+    filed = land(filed.join(open_keys, key), "open-rows")
+    main = land(filed.groupBy(*key, "label").count().groupBy(key).agg(F.max_by("label", F.struct("count", "label")).alias("main")), "main")
+    filed = land(filed.join(main, key), "told")
+    ask = filed.where("asks").drop("asks")
+    give = filed.where("not asks").select(*key, *(F.col(c).alias(f"{c}2") for c in ("id", "label", "main", "ahead", "size")))
+    enough = (F.col("label") != F.col("label2")) & ((100 + percent) * F.least("ahead", "ahead2") >= percent * (F.col("size") + F.col("size2")))
+    met = ask.where("label <> main").alias("l").join(give.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in key] + [enough]).select("id", "id2").union(
+        ask.where("label = main").alias("l").join(give.where("label2 <> main2").alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in key] + [enough]).select("id", "id2"))
+    return met.where("id <> id2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -210,28 +247,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     filed = keys(classes)
     groups = land(filed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1"), "groups")
     members = land(filed.join(groups, "key").select("key", "id", "pivot"), "filed")
-    left, links, sets = members, None, None
-    for turn in range(ROUNDS):
-        if turn:
-            pivots = land(left.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64(F.col("id"), F.lit(turn))).alias("p")).select("key", "p.id", "p.label").toDF("key", "pivot", "other"), "pivots")
-            meet = left.join(pivots, "key").where("label <> other")
-        else:
-            meet = left
-        pairs = meet.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), F.col("id").alias("member")).distinct()
-        near = land(with_distance(pairs, classes), "near")
-        if turn == 0:
-            sets = land(sets_of(docs, members.select("id").distinct(), id_col, text), "sets")
-        order = Window.partitionBy("member").orderBy("far", "a", "b")
-        nearest = near.withColumn("r", F.row_number().over(order)).where("r = 1").select("a", "b").distinct()
-        found = confirm(nearest, sets, percent)
-        links = land(found if links is None else links.union(found).distinct(), "links")
-        labels = _labels(classes, links)
-        left = _open(left, labels)
-        if left.isEmpty():
-            break
-        left = left.select("key", "id", "label")
-    else:
-        links = land(links.union(confirm(_rest(left, classes), sets, percent)).distinct(), "links")
+    pairs = members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), F.col("id").alias("member")).distinct()
+    near = land(with_distance(pairs, classes), "near")
+    sets = land(sets_of(docs, members.select("id").distinct(), id_col, text), "sets")
+    nearest = near.groupBy("member").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    links = land(confirm(nearest, sets, percent), "links")
+    labels = _labels(classes, links)
+    left = _open(members, labels)
+    if not left.isEmpty():
+        links = land(links.union(confirm(_rest(left, sets, percent), sets, percent)), "links")
         labels = _labels(classes, links)
     of_class = named.select("n", "name", "name2", F.col("id").alias("class")).join(labels.toDF("class", "label"), "class")
     of_doc = described.select("id", "n", "name", "name2").join(land(of_class, "of-class"), ["n", "name", "name2"], "left")

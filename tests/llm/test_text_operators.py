@@ -141,9 +141,8 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in left) == sorted(set(expected.values()))
 
 
-def test_rest_of_open_buckets_is_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
-    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+def test_rest_of_open_buckets_is_joined_exactly(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SLOTS", 64)
     rows = near_rows(seed=3, groups=4, copies=14)
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
     expected = brute_components(rows)
