@@ -14,7 +14,8 @@ A string of `LENGTH` bytes repeats if it also starts earlier: in a document with
 * Removal. Every occurrence but the first of each group is removed; this is the same as judging each string on its own,
   because a repeated string's occurrences are those of the maximal repeat around it.
 
-K-grams that stand at more than `MEMBERS` places are not gathered in a task. Equal surroundings are first merged by an
+Places of a document with equal bytes around the same k-gram are merged where the text is read. K-grams that more than
+`MEMBERS` documents share are not gathered in a task. Equal surroundings are first merged by an
 aggregate (all but the first are repeats as a whole); of the different ones that stay, each window is hashed to 128 bits and
 the earliest place of each is found by an aggregate. That way is exact too, and no group of copies meets in one task.
 """
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import batches as B
-from plumbline.llm.store import land
+from plumbline.llm.store import land, land_by
 
-LENGTH, GRAM, MEMBERS = 100, 24, 128
+LENGTH, GRAM, MEMBERS, TREE = 100, 40, 1_500, 48
 LAST = 2**63 - 1
 _POSITION = np.uint64((1 << 20) - 1)
 PART = B.PIECE - 4 * LENGTH
@@ -106,9 +107,9 @@ def shared(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 continue
             same = h[1:] == h[:-1]
             keep = np.append(same, True) | np.append(first, same)
-            # the first row is judged already unless it opens the partition, the last two wait for the next batch
+            # the first row is judged already unless it opens the partition, the last waits for the next batch
             lo, hi = 0 if first else 1, len(h) - 1
-            keep[lo:hi] &= True
+            keep[1:] &= ~(same & (doc[1:] == doc[:-1]))  # one row per k-gram and document
             out = np.flatnonzero(keep[lo:hi]) + lo
             yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(doc[out])], ["h", "doc"])
             held, first = (h[-2:], doc[-2:]), False
@@ -121,40 +122,66 @@ def shared(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.repartitionByRange(parts, "h", "doc").sortWithinPartitions("h", "doc").mapInArrow(neighbours, "h bigint, doc bigint")
 
 
-PLACES = "h bigint, off bigint, doc bigint, tk bigint, start bigint, context binary"
+FEW, MANY, SPAN = 0, 1, 2
+PLACES = "kind bigint, key bigint, h bigint, off bigint, doc bigint, tk bigint, start bigint, end bigint, context binary"
+COLUMNS = ["kind", "key", "h", "off", "doc", "tk", "start", "end", "context"]
+
+
+def _batch(columns: tuple[list, ...]) -> pa.RecordBatch:
+    done = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], COLUMNS)
+    for column in columns:
+        column.clear()
+    return done
 
 
 def places(touched: DataFrame, length: int, gram: int) -> DataFrame:
-    """Places of shared k-grams with the bytes of their windows. A place whose bytes stand earlier in the same row has no
-    context: all of it repeats, and `off` is its length."""
+    """Places of shared k-grams with the bytes of their windows, of two kinds by how many documents share the k-gram, and as
+    spans what repeats inside a document with the same bytes around it. Only places of few-shared k-grams are keyed by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, ...] = tuple([] for _ in COLUMNS)
         for batch in B.slices(batches):
-            doc, tk, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            doc, tk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            few, many = ([np.unique(x.values.to_numpy()).view(np.uint64) for x in batch.column(i)] for i in (3, 4))
             t = B.texts(batch.column(2))
-            index = [np.unique(x.values.to_numpy()).view(np.uint64) for x in wanted]
             raw = t.data.tobytes()
             seen: set[tuple[int, int, bytes]] = set()
-            at_row = -1
+            at_row, last = -1, None
+
+            def put(*values) -> None:
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+
+            def put_span(row: int, span: list[int]) -> None:
+                put(SPAN, hash((row, span[0])), 0, 0, int(doc[row]), int(tk[row]), *span, None)  # noqa: B023
+
             for start, end, place, row, h in anchors(t, length, gram):
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                cuts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
-                for lo, hi in zip(cuts, [*cuts[1:], len(row)], strict=True):
+                for lo, hi in zip(*(lambda c: (c, [*c[1:], len(row)]))(np.flatnonzero(np.append(True, row[1:] != row[:-1])).tolist() if len(row) else []), strict=True):  # noqa: B023
                     r = int(row[lo])
                     if r != at_row:
-                        seen, at_row = set(), r
-                    here = np.flatnonzero(np.isin(h[lo:hi], index[r])) + lo
+                        if last:
+                            put_span(at_row, last)
+                        seen, at_row, last = set(), r, None
+                    kinds = np.where(np.isin(h[lo:hi], few[r]), FEW, np.where(np.isin(h[lo:hi], many[r]), MANY, -1))
+                    here = np.flatnonzero(kinds >= 0)
                     base = int(t.bounds[r])
-                    for s, e, p, key in zip(start[here].tolist(), end[here].tolist(), place[here].tolist(), h[here].view(np.int64).tolist(), strict=True):
+                    for kind, s, e, p, key in zip(kinds[here].tolist(), start[here + lo].tolist(), end[here + lo].tolist(), place[here + lo].tolist(), h[here + lo].view(np.int64).tolist(), strict=True):
                         context = raw[s : e + length]
                         mark = (key, p - s, context)
-                        again = mark in seen
-                        seen.add(mark)
-                        for column, value in zip(out, (key, len(context) if again else p - s, int(doc[r]), int(tk[r]), s - base, None if again else context), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.binary())], ["h", "off", "doc", "tk", "start", "context"])
-
-    return touched.mapInArrow(run, PLACES)
+                        if mark not in seen:
+                            seen.add(mark)
+                            put(kind, key if kind == FEW else hash((r, s)), key, p - s, int(doc[r]), int(tk[r]), s - base, e + length - base, context)
+                        elif last and s - base <= last[1]:
+                            last[1] = max(last[1], e + length - base)
+                        else:
+                            if last:
+                                put_span(r, last)
+                            last = [s - base, e + length - base]
+            if last:
+                put_span(at_row, last)
+            yield _batch(out)
+
+    return touched.select("doc", "tk", "text", "few", "many").mapInArrow(run, PLACES)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -199,53 +226,79 @@ def repeat_groups(right: list[bytes], left: list[bytes], length: int) -> Iterato
                 yield d, r, group
 
 
-SPANS = "doc bigint, tk bigint, start bigint, end bigint"
+def covered(right: list[bytes], left: list[bytes], length: int) -> list[tuple[int, int] | None]:
+    """For each place, in order of position: how far the repeats reach that stand at an earlier place (bytes before the anchor,
+    bytes from it on), or None.
+
+    All of them hold the anchor, so together they are one span. Few places go through their maximal repeat groups; for many,
+    common prefixes of all pairs are running minima over the two enhanced suffix arrays.
+    """
+    n = len(right)
+    if n <= TREE:
+        reach: list[tuple[int, int] | None] = [None] * n
+        for d, r, group in repeat_groups(right, left, length):
+            for m in group:
+                if m != min(group):
+                    reach[m] = (max(d, reach[m][0]), max(r, reach[m][1])) if reach[m] else (d, r)
+        return reach
+
+    def pairs(side: list[bytes]) -> np.ndarray:
+        order = sorted(range(n), key=side.__getitem__)
+        near = np.array([_common(side[a], side[b]) for a, b in zip(order, order[1:], strict=False)], np.int16)
+        out = np.zeros((n, n), np.int16)
+        for i in range(n - 1):
+            out[order[i], order[i + 1 :]] = np.minimum.accumulate(near[i:])
+        return np.maximum(out, out.T)
+
+    r, d = pairs(right), pairs(left)
+    good = (r + d >= length) & np.tri(n, k=-1, dtype=bool)
+    return [(int(d[m][good[m]].max()), int(r[m][good[m]].max())) if good[m].any() else None for m in range(n)]
 
 
 def _solve(rows: DataFrame, length: int) -> DataFrame:
-    """Spans to remove among places of k-grams with few members."""
+    """Spans to remove among places of k-grams with few members; the other rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        out: tuple[list, ...] = ([], [], [], [])
-
-        def settle(group: list[tuple]) -> None:
-            if len(group) < 2:
-                return
-            group.sort(key=lambda g: (g[2], g[4]))  # by document and start
-            right = [g[5][g[1] :] for g in group]
-            left = [g[5][: g[1]][::-1] for g in group]
-            if len(group) == 2:
-                r, d = _common(*right), _common(*left)
-                found = [(d, r, [0, 1])] if r + d >= length else []
-            else:
-                found = repeat_groups(right, left, length)
-            for d, r, members in found:
-                first = min((group[m][2], group[m][4] + group[m][1]) for m in members)
-                for m in members:
-                    _, off, doc, tk, start, _ = group[m]
-                    if (doc, start + off) != first:
-                        for column, value in zip(out, (doc, tk, start + off - d, start + off + r), strict=True):
-                            column.append(value)
-
-        def batch_of() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc", "tk", "start", "end"])
-            for column in out:
-                column.clear()
-            return done
-
+        out: tuple[list, ...] = tuple([] for _ in COLUMNS)
+
+        def put(row: tuple) -> None:
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+
+        def settle() -> None:
+            kinds: dict[tuple[int, int, bytes], tuple] = {}
+            for row in sorted(held, key=lambda x: (x[4], x[6])):  # by document and start
+                _, _, h, off, doc, tk, start, end, context = row
+                if (first := kinds.setdefault((h, off, context), row)) is not row and (first[4], first[6]) != (doc, start):
+                    put((SPAN, 0, 0, 0, doc, tk, start, end, None))  # the same bytes around the same k-gram stand earlier
+            held.clear()
+            groups: dict[int, list[tuple]] = {}
+            for row in kinds.values():
+                groups.setdefault(row[2], []).append(row)
+            for group in groups.values():
+                if len(group) > 1:
+                    reach = covered([g[8][g[3] :] for g in group], [g[8][: g[3]][::-1] for g in group], length)
+                    for row, found in zip(group, reach, strict=True):
+                        if found:
+                            put((SPAN, 0, 0, 0, row[4], row[5], row[6] + row[3] - found[0], row[6] + row[3] + found[1], None))
+
+        key = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    settle(held)
-                    held = []
+                if row[0] != FEW:
+                    put(row)
+                    continue
+                if row[1] != key:
+                    settle()
+                    key = row[1]
                 held.append(row)
-            yield batch_of()
-        settle(held)
-        yield batch_of()
+            yield _batch(out)
+        settle()
+        yield _batch(out)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, SPANS)
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, PLACES)
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
@@ -272,12 +325,12 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
 
 def _frequent(rows: DataFrame, length: int) -> DataFrame:
     """The same for k-grams with many members: aggregates only, so no group meets in one task."""
-    named = rows.withColumn("name", F.unhex(F.md5("context")))
+    named = rows.withColumn("name", F.unhex(F.md5("context"))).select("h", "off", "name", "doc", "tk", "start", "end", "context")
     place = F.struct("doc", "start", "tk")
     kinds = land(named.groupBy("h", "off", "name").agg(F.min(place).alias("p"), F.first("context").alias("context"))
                  .select("h", "off", "name", "p.doc", "p.start", "p.tk", "context"), "kinds")
     firsts = kinds.select("h", "off", "name", F.col("doc").alias("doc1"), F.col("start").alias("start1"))
-    whole = named.join(firsts, ["h", "off", "name"]).where("doc <> doc1 or start <> start1").select("doc", "tk", "start", (F.col("start") + F.length("context")).alias("end"))
+    whole = named.drop("context").join(firsts, ["h", "off", "name"]).where("doc <> doc1 or start <> start1").select("doc", "tk", "start", "end")
     windows = _windows(kinds, length)
     early = land(windows.groupBy("w", "w2").agg(F.min(F.struct("doc", "start")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "w2", F.col("p.doc").alias("doc1"), F.col("p.start").alias("start1")), "early")
     again = windows.join(early, ["w", "w2"]).where("doc <> doc1 or start <> start1").select("doc", "tk", "start", (F.col("start") + length).alias("end"))
@@ -311,34 +364,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     are one document; texts that share an id are compared by start. Other columns are left out.
     """
     keyed = _keyed(docs, id_col, text)
-    wanted = land(shared(keyed, length, gram).groupBy("doc").agg(F.collect_set("h").alias("wanted")), "wanted")
-    touched = land(keyed.join(wanted, "doc").select("doc", "tk", "text", "wanted"), "touched")
-    found = land(places(touched, length, gram), "places")
-    often = land(found.where("context is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "often")
-    joined = found.where("context is not null").join(often, "h")
-    few = joined.where(F.col("n") <= MEMBERS).drop("n")
-    many = land(joined.where(F.col("n") > MEMBERS).drop("n"), "many")
-    spans = _solve(few, length).union(found.where("context is null").select("doc", "tk", "start", (F.col("start") + F.col("off")).alias("end")))
-    if not many.isEmpty():
-        spans = spans.union(_frequent(many, length))
-    listed = spans.groupBy("doc", "tk").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    again = not keyed.groupBy("doc", "tk").count().where("count > 1").isEmpty()
+    both = land(shared(keyed, length, gram), "shared")
+    often = land(both.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MEMBERS).select("h", F.lit(True).alias("often")), "often")
+    told = both.join(often, "h", "left")
+    wanted = told.groupBy("doc").agg(F.collect_list(F.when(F.col("often").isNull(), F.col("h"))).alias("few"), F.collect_list(F.when(F.col("often"), F.col("h"))).alias("many"))
+    touched = land_by(keyed.join(land(wanted, "wanted"), "doc").select("doc", "tk", "text", "few", "many"), "touched", "doc")
+    solved = land(_solve(places(touched, length, gram), length), "solved")
+    spans = solved.where(F.col("kind") == SPAN).select("doc", "tk", "start", "end")
+    if not often.isEmpty():
+        spans = spans.union(_frequent(solved.where(F.col("kind") == MANY), length))
+    listed = spans.groupBy("doc").agg(F.collect_set(F.struct("tk", "start", "end")).alias("spans"))
     schema = "doc bigint, tk bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.slices(batches):
-            merged, kept = [], []
-            for body, given in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+            chosen, merged, kept = [], [], []
+            for i, (tk, body, given) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True)):
                 raw, runs, parts, at = body.as_buffer().to_pybytes(), [], [], 0
-                for s, e in sorted((x["start"], x["end"]) for x in given):
+                for s, e in sorted((x["start"], x["end"]) for x in given if x["tk"] == tk):
                     if runs and s <= runs[-1]["end"]:
                         runs[-1]["end"] = max(runs[-1]["end"], e)
                     else:
                         runs.append({"start": s, "end": e})
+                if not runs:
+                    continue
                 for x in runs:
                     parts.append(raw[at : x["start"]])
                     at = x["end"]
+                chosen.append(i)
                 merged.append(runs)
                 kept.append(b"".join([*parts, raw[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc", "tk", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(chosen, pa.int64())) for c in (0, 1)), pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc", "tk", "spans", "kept"])
 
-    return touched.drop("wanted").distinct().join(listed, ["doc", "tk"]).select("doc", "tk", "text", "spans").mapInArrow(cut, schema)
+    left = touched.select("doc", "tk", "text").join(listed, "doc").mapInArrow(cut, schema)
+    return left.dropDuplicates(["doc", "tk"]) if again else left
