@@ -73,21 +73,18 @@ def date_from_format(value: Column, fmt: str) -> Column:
 
 
 def month_number(word: Column) -> Column:
-    number = F.lit(None).cast("int")
-    for index, words in MONTHS.items():
-        number = F.when(F.lower(word).isin(*words), F.lit(index)).otherwise(number)
-    return number
+    """1 to 12 for a month's name or abbreviation, else null: one look-up in a literal map."""
+    pairs = [F.lit(x) for number, words in MONTHS.items() for w in words for x in (w, number)]
+    return F.try_element_at(F.create_map(*pairs), F.lower(word))
 
 
 def text_dates(text: Column) -> Column:
     """All `Month d, yyyy` dates of a text, in order; impossible days are dropped."""
 
     def to_date(match: Column) -> Column:
+        parts = F.split(F.trim(F.regexp_replace(match, r"[^a-zA-Z0-9]+", " ")), " ")
         return F.concat_ws(
-            "-",
-            F.regexp_extract(match, TEXT_DATE, 3),
-            F.lpad(month_number(F.regexp_extract(match, TEXT_DATE, 1)).cast("string"), 2, "0"),
-            F.lpad(F.regexp_extract(match, TEXT_DATE, 2), 2, "0"),
+            "-", F.get(parts, 2), F.lpad(month_number(F.get(parts, 0)).cast("string"), 2, "0"), F.lpad(F.get(parts, 1), 2, "0"),
         ).try_cast("date")
 
     return F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(TEXT_DATE), F.lit(0)), to_date))
@@ -178,9 +175,10 @@ def error_summary(**stages: Column) -> Column:
     return F.nullif(F.concat_ws("; ", *parts), F.lit(""))
 
 
-def short_name(name: Column) -> Column:
-    """Name without its legal suffix, at most 24 characters."""
-    return F.substring(F.regexp_replace(name, LEGAL_SUFFIX, ""), 1, 24)
+def short_name(name: Column, length: int | None = None) -> Column:
+    """Name without its legal suffix, cut only where a length is given."""
+    short = F.regexp_replace(name, LEGAL_SUFFIX, "")
+    return short if length is None else F.substring(short, 1, length)
 
 
 def override(user: Column, automatic: Column) -> Column:

@@ -128,6 +128,11 @@ def audit_checkpoints(facts: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return checkpoints.join(found, ["symbol", "end", "expected"], "left_anti")
 
 
+def opening(name: str, doctype: str) -> str:
+    """A markup document whose first element has this name, after a byte order mark, declarations and comments of any length."""
+    return rf"(?is)^(?:\u00ef\u00bb\u00bf)?\s*(?:<\?xml.*?\?>\s*|<!--.*?-->\s*|<!doctype\s+{doctype}[^>]*>\s*)*<{name}[\s>]"
+
+
 def image_signature_ok(name: Column, content: Column) -> Column:
     """Whether the leading bytes fit the file suffix; null for a suffix without a known signature."""
     head = F.hex(F.substring(content, 1, 12))
@@ -138,7 +143,7 @@ def image_signature_ok(name: Column, content: Column) -> Column:
         .when(suffix == ".gif", head.startswith("474946383761") | head.startswith("474946383961"))
         .when(suffix == ".webp", head.startswith("52494646") & F.substring(head, 17, 8).eqNullSafe("57454250"))
         .when(suffix == ".bmp", head.startswith("424D"))
-        .when(suffix == ".svg", F.contains(F.lower(F.decode(F.substring(content, 1, 1024), "ISO-8859-1")), F.lit("<svg")))
+        .when(suffix == ".svg", F.decode(content, "ISO-8859-1").rlike(opening("svg", "svg")))
         .when(suffix == ".avif", F.substring(head, 9, 16).isin("6674797061766966", "6674797061766973"))
     )
 
@@ -149,13 +154,13 @@ def verify_content(manifest: DataFrame, content: DataFrame) -> DataFrame:
     A second hash basis with LF line endings is accepted for text; `hash_by_text_basis` reports that it was needed.
     Hashes, sizes and signatures are computed where the content is read, so the join moves only these, never the bytes.
     """
-    lf = F.encode(F.regexp_replace(F.decode("content", "UTF-8"), "\r\n", "\n"), "UTF-8")
+    text = F.decode("content", "ISO-8859-1")  # one character per byte, so no byte is lost or refused
+    lf = F.encode(F.regexp_replace(text, "\r\n", "\n"), "ISO-8859-1")
     is_page = F.col("item").rlike(r"(?i)\.html?$")
-    prefix = F.lower(F.decode(F.substring("content", 1, 1024), "ISO-8859-1"))
     actual = content.select(
         "item", F.lit(True).alias("_there"), F.octet_length("content").alias("_bytes"), F.sha2("content", 256).alias("_hash"),
         F.when(is_page, F.sha2(lf, 256)).alias("_text_hash"), image_signature_ok(F.col("item"), F.col("content")).alias("_signature"),
-        (F.contains(prefix, F.lit("<html")) | F.contains(prefix, F.lit("<!doctype html"))).alias("_looks_html"),
+        text.rlike(r"(?i)<!doctype\s+html|<html[\s>]").alias("_looks_html"), (is_page & ~F.is_valid_utf8(F.col("content").cast("string"))).alias("_bad_text"),
     )
     rows = manifest.withColumn("_listed", F.lit(True)).join(actual, "item", "full")
     listed = F.col("_listed") & F.col("_there")
@@ -166,6 +171,7 @@ def verify_content(manifest: DataFrame, content: DataFrame) -> DataFrame:
         ("byte_count", listed & (F.col("_bytes") != F.col("bytes"))),
         ("sha256", listed & ~exact & ~by_text), ("hash_by_text_basis", listed & ~exact & by_text),
         ("bad_signature", listed & (F.col("_signature") == F.lit(False))),
+        ("bad_encoding", listed & F.col("_bad_text")),
         ("html_as_image", listed & F.col("_signature").isNotNull() & F.col("_looks_html")),
     ]
     found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in checks]))

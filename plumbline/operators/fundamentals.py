@@ -196,16 +196,15 @@ def native_currency_snapshot(quarters: DataFrame, cash_lines: DataFrame, currenc
     """
     last = quarters.groupBy("symbol").agg(F.max("end").alias("_last"))
     ranked = quarters.join(last, "symbol")
-    recent = ranked.where(F.months_between("_last", "end") < 36)
     # the last four listed quarters, whatever their dates, make the trailing year
     tail = F.slice(F.sort_array(F.collect_list(F.struct("end", "net_income")), asc=False), 1, 4)
-    ttm = recent.groupBy("symbol").agg(tail.alias("_tail"))
+    ttm = quarters.groupBy("symbol").agg(tail.alias("_tail"))
     now = ranked.where(F.col("end") == F.col("_last"))
     year_ago = quarters.select(
         "symbol", F.col("end").alias("_then"), F.col("revenue").alias("_revenue"), F.col("net_income").alias("_income"))
     rows = (
         now.withColumn("_then", F.add_months("end", -12)).join(year_ago, ["symbol", "_then"], "left")
-        .join(ttm, "symbol").join(cash_lines, ["symbol", "end"])
+        .join(ttm, "symbol").join(cash_lines, ["symbol", "end"], "left")
     )
     capex, capex_before = F.abs("capex"), F.abs("capex_previous")
     cash_delta = F.col("operating_cash_flow") - F.col("operating_cash_flow_previous")
@@ -222,6 +221,7 @@ def native_currency_snapshot(quarters: DataFrame, cash_lines: DataFrame, currenc
         cash_delta.alias("cash_delta"), capex_delta.alias("capex_delta"),
         (cash_delta - capex_delta).alias("fcf_delta"),
         F.when(capex_delta > 0, cash_delta / capex_delta).alias("marginal_coverage"), total.alias("net_income_ttm"),
+        F.when(F.col("operating_cash_flow").isNull() | F.col("capex").isNull(), "cash_lines_missing").otherwise("ok").alias("status"),
     )
 
 

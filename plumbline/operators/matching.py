@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from plumbline.session import shared_folder
 
 
 def asof_backward(
@@ -95,3 +98,19 @@ def top_n_per_key(df: DataFrame, keys: list[str], order: list, n: int, salts: in
         salted.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= n)
         .withColumn("_rank", F.row_number().over(final)).where(F.col("_rank") <= n).drop("_salt")
     )
+
+
+def global_rank(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """Every row with its place in one order over all rows, without one window over all of them.
+
+    The rows are cut into ranges, written once so that the cuts stay the same, numbered inside each, and moved on by the
+    sizes of the ranges before, a table of one row per range.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "ranked")
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
+    sizes = placed.groupBy("_range").count()
+    before = sizes.withColumn("_before", F.sum("count").over(W.orderBy("_range")) - F.col("count")).drop("count")
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return placed.withColumn("_row", inside).join(before, "_range").withColumn(name, (F.col("_row") + F.col("_before")).cast("long")).drop("_row", "_before", "_range")

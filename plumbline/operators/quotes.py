@@ -50,11 +50,9 @@ def last_good_quotes(previous: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def quote_history(quotes: DataFrame, n: int = 240) -> DataFrame:
-    """The last `n` quotes per symbol (1 to 2000), to be read in ascending order of time."""
-    if not 1 <= n <= 2000:
-        raise ValueError("n must be between 1 and 2000")
-    return top_n_per_key(quotes, ["symbol"], [F.desc("captured_at"), F.desc("event_id")], n)
+def quote_history(quotes: DataFrame, n: int = 240, salts: int = 32) -> DataFrame:
+    """The last `n` quotes per symbol, in ascending order of symbol and time."""
+    return top_n_per_key(quotes, ["symbol"], [F.desc("captured_at"), F.desc("event_id")], n, salts).orderBy("symbol", "captured_at", "event_id")
 
 
 def merge_keep_last_good(current: DataFrame, incoming: DataFrame, keep: list[str], clearable: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import assess, fundamentals, quotes, scenarios, valuation
+from plumbline.operators import assess, fundamentals, matching, quotes, scenarios, valuation
 from plumbline.plans import fixtures as fx
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
@@ -236,12 +236,11 @@ def compare_history(spark, sf):
 
 
 @query("sorted_comparison", "T5 M7", f"""{_WIDE}
-SELECT symbol, round(roe, 6) AS roe, row_number() OVER (ORDER BY roe DESC NULLS LAST, symbol) AS position FROM w ORDER BY position LIMIT 50""")
+SELECT symbol, round(roe, 6) AS roe, row_number() OVER (ORDER BY roe DESC NULLS LAST, symbol) AS position FROM w""")
 def sorted_comparison(spark, sf):
     metrics = assess.assess_metrics(V.companies(spark, sf), V.today())
-    best = assess.compare(metrics, "all", "roe", False).limit(50)
-    order = W.orderBy(F.desc_nulls_last("roe"), "symbol")
-    return best.select("symbol", F.round("roe", 6).alias("roe"), F.row_number().over(order).cast("long").alias("position"))
+    ranked = matching.global_rank(assess.compare(metrics, "all", "roe", False).select("symbol", "roe"), [F.desc_nulls_last("roe"), F.col("symbol")])
+    return ranked.select("symbol", F.round("roe", 6).alias("roe"), "position")
 
 
 @query("suspend_judgments", "M8", """

@@ -19,18 +19,20 @@ def _pages(spark, sf):
 
 
 def _dressed(spark, sf):
-    """Pages with the head elements and images the raw ones lack."""
+    """Pages with the head elements, links and images the raw ones lack, written in every way a page may quote them."""
     k = F.col("page_id")
     n = k.cast("string")
     head = F.concat(
-        F.when(k % 3 == 0, F.concat(F.lit("<meta property='og:title' content='Story  "), n, F.lit(" &amp; more'>"))).otherwise(""),
-        F.when(k % 4 == 0, F.concat(F.lit('<meta content="Writer '), n, F.lit('" name="author">'))).otherwise(""),
-        F.when(k % 4 == 1, F.concat(F.lit('<a id="js_name" href="#x"> Desk <i>'), n, F.lit("</i> </a>"))).otherwise(""),
+        F.when(k % 3 == 0, F.concat(F.lit("<meta property='og:title' content=\"Story's  "), n, F.lit(' &amp; more">'))).otherwise(""),
+        F.when(k % 4 == 0, F.concat(F.lit("<meta content='Writer &quot;Q&quot; "), n, F.lit("' name=author>"))).otherwise(""),
+        F.when(k % 4 == 1, F.concat(F.lit('<h4 data-x="a>b" id=js_name> Desk <i>'), n, F.lit("</i> <b>East</b> </h4>"))).otherwise(""),
         F.when(k % 5 == 0, F.lit("<script>var ct = \"850000000\";</script>")).otherwise(""),
         F.when(k % 5 == 1, F.lit("<meta name='publication_date' content='2001-02-03'>")).otherwise(""),
-        F.when(k % 2 == 0, F.lit('<meta property="og:description" content="About it">')).otherwise(""),
+        F.when(k % 5 == 2, F.lit("<script>var publish_time = '3 o\\'clock';</script>")).otherwise(""),
+        F.when(k % 2 == 0, F.lit('<meta property="og:description" content="It&#8217;s &#x41; caf&eacute; &bogus;">')).otherwise(""),
+        F.concat(F.lit('<a data-href="/no" title="x" href="/q?it\'s='), n, F.lit('#top">one</a><a href=/plain/'), n, F.lit(">two</a><a href='#only'>three</a>")),
         F.concat(F.lit('<img alt="pic" data-w="640" src="data:image/svg+xml,x" data-src="https://img.example.org/'), n, F.lit('.png?a=1#frag">')),
-        F.when(k % 2 == 1, F.concat(F.lit("<IMG width='20' SRC='/local/"), n, F.lit(".gif'/>"))).otherwise('<img src="data:image/svg+xml,y">'),
+        F.when(k % 2 == 1, F.concat(F.lit("<IMG width=20 alt='a > b' SRC='/local/"), n, F.lit(".gif'/>"))).otherwise('<img src="data:image/svg+xml,y">'),
     )
     return _pages(spark, sf).withColumn("html", F.concat(head, F.col("html")))
 
@@ -39,10 +41,10 @@ _TITLE = "nullif(trim(regexp_replace(replace(regexp_replace(regexp_extract(html,
 
 
 @query("page_metadata", "X1", f"""
-SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 'Story ' || page_id || ' & more' ELSE {_TITLE} END AS title,
-  CASE page_id % 4 WHEN 0 THEN 'Writer ' || page_id WHEN 1 THEN 'Desk ' || page_id END AS author,
-  CASE page_id % 5 WHEN 0 THEN '1996-12-07 23:06:40' WHEN 1 THEN '2001-02-03' END AS published_at,
-  CASE WHEN page_id % 2 = 0 THEN 'About it' END AS description FROM pages""")
+SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 'Story''s ' || page_id || ' & more' ELSE {_TITLE} END AS title,
+  CASE page_id % 4 WHEN 0 THEN 'Writer "Q" ' || page_id WHEN 1 THEN 'Desk ' || page_id || ' East' END AS author,
+  CASE page_id % 5 WHEN 0 THEN '1996-12-07 23:06:40' WHEN 1 THEN '2001-02-03' WHEN 2 THEN '3 o''clock' END AS published_at,
+  CASE WHEN page_id % 2 = 0 THEN 'It’s A café &bogus;' END AS description FROM pages""")
 def page_metadata(spark, sf):
     return corpus.page_metadata(_dressed(spark, sf))
 
@@ -52,16 +54,26 @@ def page_text(spark, sf):
     return corpus.page_text(_pages(spark, sf)).withColumn("characters", F.col("characters").cast("long"))
 
 
+@query("page_references", "X2", """
+SELECT page_id, 'It’s A é &bogus; €' || page_id || chr(10) || 'two' || chr(10) || 'lines x' AS text FROM pages""")
+def page_references(spark, sf):
+    html = F.concat(
+        F.lit("<script>if (a < b) {}</script><p title='a>b'>It&#8217;s &#x41; &eacute; &bogus; &#128;"), F.col("page_id").cast("string"),
+        F.lit("</p><div class=\"it's\">two<br/>lines&nbsp; x</div>"))
+    return corpus.page_text(_pages(spark, sf).withColumn("html", html)).select("page_id", "text")
+
+
 @query("page_links", "X3", """
-SELECT page_id, position, link FROM (SELECT page_id, unnest(range(len(l))) AS position, regexp_replace(trim(unnest(l)), '#.*$', '') AS link
-  FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"''>]*)["'']', 1) AS l FROM pages)) WHERE link <> ''""")
+SELECT page_id, 0 AS position, '/q?it''s=' || page_id AS link FROM pages UNION ALL SELECT page_id, 1, '/plain/' || page_id FROM pages
+UNION ALL SELECT page_id, position + 3, link FROM (SELECT page_id, unnest(range(len(l))) AS position, regexp_replace(trim(unnest(l)), '#.*$', '') AS link
+  FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS l FROM pages)) WHERE link <> ''""")
 def page_links(spark, sf):
-    return corpus.page_links(_pages(spark, sf)).withColumn("position", F.col("position").cast("long"))
+    return corpus.page_links(_dressed(spark, sf)).withColumn("position", F.col("position").cast("long"))
 
 
 @query("page_images", "X3", """
 SELECT page_id, 1 AS position, 'https://img.example.org/' || page_id || '.png?a=1' AS source_url, 'pic' AS alt, '640' AS width, 'listed' AS status FROM pages
-UNION ALL SELECT page_id, 2, CASE WHEN page_id % 2 = 1 THEN '/local/' || page_id || '.gif' END, '', CASE WHEN page_id % 2 = 1 THEN '20' ELSE '' END,
+UNION ALL SELECT page_id, 2, CASE WHEN page_id % 2 = 1 THEN '/local/' || page_id || '.gif' END, CASE WHEN page_id % 2 = 1 THEN 'a > b' ELSE '' END, CASE WHEN page_id % 2 = 1 THEN '20' ELSE '' END,
   CASE WHEN page_id % 2 = 1 THEN 'listed' ELSE 'missing_source' END FROM pages""")
 def page_images(spark, sf):
     return corpus.page_images(_dressed(spark, sf))
@@ -101,14 +113,16 @@ def _archive(spark, sf):
     pages = _pages(spark, sf).withColumn("item", F.concat(F.lit("page-"), k.cast("string"), F.when(k % 7 == 0, ".png").otherwise(".html")))
     manifest = pages.where(k % 10 != 4).select("item", F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("sha256"))
     changed = F.when(k % 10 == 1, F.concat(F.col("html"), F.lit("!"))).when(k % 10 == 2, F.concat(F.lit("?"), F.substr(F.col("html"), F.lit(2)))).otherwise(F.col("html"))
-    content = pages.where(k % 10 != 3).select("item", F.encode(changed, "UTF-8").alias("content"))
+    stored = F.when(k % 10 == 5, F.concat(F.encode(changed, "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode(changed, "UTF-8"))
+    content = pages.where(k % 10 != 3).select("item", stored.alias("content"))
     return manifest, content
 
 
 @query("verify_content", "Q4", """
 WITH p AS (SELECT page_id, page_id % 10 AS k, 'page-' || page_id || CASE WHEN page_id % 7 = 0 THEN '.png' ELSE '.html' END AS item, html FROM pages)
 SELECT item, 'unlisted' AS issue FROM p WHERE k = 4 UNION ALL SELECT item, 'missing' FROM p WHERE k = 3
-UNION ALL SELECT item, 'byte_count' FROM p WHERE k = 1 UNION ALL SELECT item, 'sha256' FROM p WHERE k IN (1, 2)
+UNION ALL SELECT item, 'byte_count' FROM p WHERE k IN (1, 5) UNION ALL SELECT item, 'sha256' FROM p WHERE k IN (1, 2, 5)
+UNION ALL SELECT item, 'bad_encoding' FROM p WHERE k = 5 AND page_id % 7 <> 0
 UNION ALL SELECT item, unnest(['bad_signature', 'html_as_image']) FROM p WHERE page_id % 7 = 0 AND k NOT IN (3, 4)""")
 def verify_content(spark, sf):
     return audit.verify_content(*_archive(spark, sf))
@@ -143,29 +157,28 @@ def _releases(spark, sf):
     a = (F.abs("income") % 9000 + 100) / F.lit(100.0)
     b = (F.col("cents") % 900000 + 1000) / F.lit(100.0)
     k = (F.col("cents") + F.col("n")) % 10
-    word = F.element_at(F.array(*[F.lit(w) for w in ("first", "second", "third", "fourth")]), F.col("q"))
     told = F.when(k == 1, F.date_add("qe", -40)).otherwise(F.date_add("qe", 16))
-    # one in three numbers is broken by layout spaces, which the reader repairs
+    # one in three numbers is broken by layout spaces, which the reader repairs; some texts have long front matter
     revenue = F.format_number(b, 2)
     broken = F.when(k % 3 == 2, F.regexp_replace(revenue, r"\.", ". ")).otherwise(revenue)
+    front = F.when(k % 4 == 3, F.repeat(F.lit("Statements about the future may turn out otherwise; see the notes of May 4, 1990. "), F.lit(40))).otherwise("")
     text = F.concat(
-        F.lit("Hsinchu,  Taiwan "), F.date_format(told, "MMMM d, yyyy"), F.lit(" -- The company announced consolidated revenue of NT$"), broken,
-        F.lit(" billion, net income of NT $"), F.format_number(a * 2, 2), F.lit(" billion, and diluted earnings per share of NT$"), F.format_number(a, 2),
-        F.lit(" (US$"), F.format_number(a / 4, 3), F.when(k == 0, " per ordinary share)").otherwise(" per ADR unit)"), F.lit(" for the "), word,
-        F.lit(" quarter ended "), F.date_format("qe", "MMMM d, yyyy"), F.lit(".\nIn US dollars, "), word, F.lit(" quarter revenue was $"),
-        F.format_number(b / 10, 3), F.lit(" billion."))
+        front, F.lit("KEELUNG,  "), F.date_format(told, "MMMM d, yyyy"), F.lit(" (Newsroom) -- Figures for the three months to "), F.date_format("qe", "MMMM d, yyyy"),
+        F.lit(".\nConsolidated revenue reached NT$"), broken, F.lit(" billion; in dollar terms revenue was US$"), F.format_number(b / 10, 3),
+        F.lit(" billion. Net profit came to NT $"), F.format_number(a * 2, 2), F.lit(" billion. Diluted EPS was NT$"), F.format_number(a, 2), F.lit(" (US$"),
+        F.format_number(a / 5, 3), F.when(k == 0, " per ordinary share).").otherwise(" for each ADR)."))
     return fx.quarters(spark, sf).select("symbol", F.year("qe").alias("year"), F.col("q").alias("quarter"), text.alias("text"))
 
 
 @query("release_facts", "X5 P4", f"""
 SELECT symbol, CAST(qs AS VARCHAR) AS start, CAST(qe AS VARCHAR) AS "end", CASE WHEN reason IS NULL THEN CAST(CAST(qe + 16 AS DATE) AS VARCHAR) END AS filed,
-  CASE WHEN reason IS NULL THEN round(a / 4e2, 3) END AS eps, CASE WHEN reason IS NULL THEN a / 1e2 END AS eps_native,
+  CASE WHEN reason IS NULL THEN round(a / 5e2, 3) END AS eps, CASE WHEN reason IS NULL THEN a / 1e2 END AS eps_native,
   CASE WHEN reason IS NULL THEN round(b / 1e2 * 1e9, 0) END AS revenue_native, CASE WHEN reason IS NULL THEN round(a / 1e2 * 2 * 1e9, 0) END AS income_native,
-  CASE WHEN reason IS NULL THEN round(b / 1e3 * 1e9, 0) END AS revenue_usd, reason FROM {_RELEASE}""".replace("round(a / 4e2, 3)", "round(a / 4e2 * 8, 0) / 8"))
+  CASE WHEN reason IS NULL THEN round(b / 1e3 * 1e9, 0) END AS revenue_usd, reason FROM {_RELEASE}""")
 def release_facts(spark, sf):
     rows = corpus.release_facts(_releases(spark, sf))
     return rows.withColumns({
-        "eps": F.round(F.col("eps") * 8, 0) / 8, **{n: F.round(n, 0) for n in ("revenue_native", "income_native", "revenue_usd")}})
+        "eps": F.round("eps", 3), **{n: F.round(n, 0) for n in ("revenue_native", "income_native", "revenue_usd")}})
 
 
 @query("release_conflicts", "X6 A6", f"""
@@ -202,8 +215,10 @@ def _reports(spark, sf):
         F.lit("Summary\nII - 2. Operating Income Analysis\n"), unit, heads, F.lit("\nOperating   Income "), three(F.col("operating"), 1),
         F.lit("\nIV - 1. Quarterly Cash Flow Analysis\n"), unit, heads, F.lit("\nNet Operating Sources/(Uses) "), three(F.col("cash_flow"), 1), again,
         F.lit("\nCapital Expenditures "), F.when(k == 3, three(F.col("capex"), 1)).otherwise(three(F.col("capex"), -1)),
-        F.lit("\nV. Capital Expenditures\nCapital Expenditures 15.70 11.10 26.80"))
-    return fx.quarters(spark, sf).select("symbol", F.year("qe").alias("year"), F.col("q").alias("quarter"), text.alias("text"))
+        F.lit("\nV. Outlook\nCapital Expenditures 31.40 22.20 53.60"))
+    cover = F.concat(F.lit("Contents\nII - 2. Operating Income Analysis\nIV - 1. Quarterly Cash Flow Analysis\nNet Operating Sources/(Uses) "), three(F.col("cash_flow"), 1))
+    documents = F.array(F.struct(F.lit("report").alias("document"), text.alias("text")), F.struct(F.lit("cover").alias("document"), cover.alias("text")))
+    return fx.quarters(spark, sf).select("symbol", F.year("qe").alias("year"), F.col("q").alias("quarter"), F.inline(documents))
 
 
 _REPORT = " UNION ALL ".join(
@@ -213,17 +228,20 @@ _REPORT = " UNION ALL ".join(
 
 
 @query("report_line_items", "X4 W10", f"""
-SELECT symbol, year, quarter, metric, CASE WHEN NOT bad THEN round(v / 1e2 * 1e9, 0) END AS current, CASE WHEN NOT bad THEN round((v + s * 7) / 1e2 * 1e9, 0) END AS previous,
+SELECT symbol, year, quarter, 'cover' AS document, metric, NULL AS current, NULL AS previous, NULL AS year_ago, 'no_unambiguous_line' AS reason FROM ({_REPORT})
+UNION ALL SELECT symbol, year, quarter, 'report', metric, CASE WHEN NOT bad THEN round(v / 1e2 * 1e9, 0) END AS current, CASE WHEN NOT bad THEN round((v + s * 7) / 1e2 * 1e9, 0) END AS previous,
   CASE WHEN NOT bad THEN round((v + s * 14) / 1e2 * 1e9, 0) END AS year_ago, CASE WHEN bad THEN 'no_unambiguous_line' END AS reason FROM ({_REPORT})""")
 def report_line_items(spark, sf):
     return corpus.report_line_items(_reports(spark, sf)).withColumns({n: F.round(n, 0) for n in ("current", "previous", "year_ago")})
 
 
 @query("report_sections", "W10", """
-SELECT symbol, CAST(year(qe) AS INTEGER) AS year, CAST(q AS INTEGER) AS quarter, CASE WHEN cents % 10 < 2 THEN 0 ELSE 5 + CASE WHEN cents % 10 = 2 THEN 1 ELSE 0 END END AS usable_lines FROM fx_quarters""")
+SELECT symbol, CAST(year(qe) AS INTEGER) AS year, CAST(q AS INTEGER) AS quarter, CASE WHEN cents % 10 < 2 THEN 0 ELSE 3 + CASE WHEN cents % 10 = 2 THEN 1 ELSE 0 END END AS usable_lines,
+  4 AS sections FROM fx_quarters""")
 def report_sections(spark, sf):
-    rows = corpus.report_lines(_reports(spark, sf))
-    return rows.groupBy("symbol", "year", "quarter").agg(F.count_if("header_ok").alias("usable_lines"))
+    rows = _reports(spark, sf).where("document = 'report'").withColumns({"s": corpus.sections(F.col("text")), "l": corpus.quarter_labels(F.col("year"), F.col("quarter"))})
+    lines = F.flatten(F.transform("s", lambda block: corpus.usable_lines(block, F.col("l"))))
+    return rows.select("symbol", "year", "quarter", F.size(lines).alias("usable_lines"), F.size("s").alias("sections"))
 
 
 # audits ------------------------------------------------------------------------------------------------------------

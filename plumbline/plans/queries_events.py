@@ -91,7 +91,7 @@ def catalog_feed(spark, sf):
         key.cast("string").alias("cik_str"))
     text = F.when(key % 2 == 0, F.to_json(F.array(entry))).otherwise(F.to_json(F.create_map(F.lit("0"), entry)))
     rows = readers.parse_catalog(fx.table(spark, sf, "part").select(text.alias("payload")))
-    return rows.withColumn("short", S.short_name(F.concat("name", F.lit(", Inc."))))
+    return rows.withColumn("short", S.short_name(F.concat("name", F.lit(", Inc.")), 24))
 
 
 @query("supplements_feed", "S7", """
@@ -195,7 +195,7 @@ SELECT symbol, left(name || CASE WHEN CAST(cik AS BIGINT) % 3 = 2 THEN ' Holding
 def short_names(spark, sf):
     k = F.col("cik").cast("long") % 3
     full = F.concat("name", F.when(k == 0, ", INC.").when(k == 1, " Corporation of Delaware").otherwise(" Holding Partnership Trust"))
-    return fx.catalog(spark, sf).select("symbol", S.short_name(full).alias("short"))
+    return fx.catalog(spark, sf).select("symbol", S.short_name(full, 24).alias("short"))
 
 
 @query("nested_state", "P20", """

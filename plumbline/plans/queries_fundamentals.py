@@ -262,39 +262,40 @@ def supplemented_eps(spark, sf):
 
 def _native(spark, sf):
     income = F.when(F.col("cents") % 13 != 0, F.col("income") / F.lit(10000.0))
-    return fx.quarters(spark, sf).where("n < 27").select(
+    return fx.quarters(spark, sf).select(
         "symbol", F.col("qs").alias("start"), F.col("qe").alias("end"), (F.col("cents") / F.lit(100.0)).alias("revenue"), income.alias("net_income"))
 
 
 @query("native_currency_annuals", "C9 A9", """
 SELECT symbol, CAST(min(ys) AS VARCHAR) AS period_start, CAST(max(qe) AS VARCHAR) AS period_end, round(sum(cents / 1e2), 4) AS revenue,
   CASE WHEN bool_and(cents % 13 <> 0) THEN round(sum(income / 1e4), 4) END AS net_income, CAST(NULL AS DOUBLE) AS free_cash_flow
-FROM fx_quarters WHERE n < 27 GROUP BY symbol, ys HAVING count(*) = 4""")
+FROM fx_quarters GROUP BY symbol, ys HAVING count(*) = 4""")
 def native_currency_annuals(spark, sf):
     return fundamentals.native_currency_annuals(_native(spark, sf)).withColumns(
         {"revenue": F.round("revenue", 4), "net_income": F.round("net_income", 4)})
 
 
 @query("native_currency_snapshot", "C10", f"""
-WITH q AS (SELECT *, CASE WHEN cents % 13 <> 0 THEN income / 1e4 END AS inc, cents / 1e2 AS rev FROM fx_quarters WHERE n < 27),
+WITH q AS (SELECT *, CASE WHEN cents % 13 <> 0 THEN income / 1e4 END AS inc, cents / 1e2 AS rev FROM fx_quarters),
 l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY qe DESC) AS rn, lag(cash_flow) OVER o AS cf0, lag(capex) OVER o AS cx0 FROM q WINDOW o AS (PARTITION BY symbol ORDER BY qe)),
 t AS (SELECT symbol, CASE WHEN count(*) = count(inc) THEN round(sum(inc), 4) END AS ttm FROM l WHERE rn <= 4 GROUP BY symbol)
 SELECT l.symbol, 'TWD' AS currency, CAST(l.qe AS VARCHAR) AS period_end, l.rev AS revenue, l.inc AS net_income,
-  l.cash_flow / 1e4 AS operating_cash_flow, l.capex / 1e4 AS capex,
+  CASE WHEN NOT starts_with(l.symbol, 'A') THEN l.cash_flow / 1e4 END AS operating_cash_flow, CASE WHEN NOT starts_with(l.symbol, 'A') THEN l.capex / 1e4 END AS capex,
   CASE WHEN y.rev > 0 THEN {r2('1e2 * (l.rev / y.rev - 1e0)')} END AS revenue_yoy,
   CASE WHEN y.inc > 0 THEN {r2('1e2 * (l.inc / y.inc - 1e0)')} END AS net_income_yoy,
-  l.cash_flow / 1e4 - l.cf0 / 1e4 AS cash_delta, l.capex / 1e4 - l.cx0 / 1e4 AS capex_delta, ttm AS net_income_ttm
+  CASE WHEN NOT starts_with(l.symbol, 'A') THEN l.cash_flow / 1e4 - l.cf0 / 1e4 END AS cash_delta, CASE WHEN NOT starts_with(l.symbol, 'A') THEN l.capex / 1e4 - l.cx0 / 1e4 END AS capex_delta,
+  ttm AS net_income_ttm, CASE WHEN starts_with(l.symbol, 'A') THEN 'cash_lines_missing' ELSE 'ok' END AS status
 FROM l JOIN t USING (symbol) LEFT JOIN q y ON y.symbol = l.symbol AND y.n = l.n - 4 WHERE l.rn = 1""")
 def native_currency_snapshot(spark, sf):
     order = W.partitionBy("symbol").orderBy("qe")
     cash, capex = F.col("cash_flow") / F.lit(10000.0), -F.col("capex") / F.lit(10000.0)
-    lines = fx.quarters(spark, sf).where("n < 27").select(
+    lines = fx.quarters(spark, sf).select(
         "symbol", F.col("qe").alias("end"), (F.col("operating") / F.lit(10000.0)).alias("operating_income"),
         cash.alias("operating_cash_flow"), F.lag(cash).over(order).alias("operating_cash_flow_previous"),
-        capex.alias("capex"), F.lag(capex).over(order).alias("capex_previous"))
+        capex.alias("capex"), F.lag(capex).over(order).alias("capex_previous")).where(~F.col("symbol").startswith("A"))
     return fundamentals.native_currency_snapshot(_native(spark, sf), lines).select(
         "symbol", "currency", "period_end", "revenue", "net_income", "operating_cash_flow", "capex", "revenue_yoy",
-        "net_income_yoy", "cash_delta", "capex_delta", F.round("net_income_ttm", 4).alias("net_income_ttm"))
+        "net_income_yoy", "cash_delta", "capex_delta", F.round("net_income_ttm", 4).alias("net_income_ttm"), "status")
 
 
 @query("instant_facts", "K1 F3", f"""

@@ -47,7 +47,7 @@ FACT_ITEM = T.StructType([
 ])
 UNIT_MAP = T.StructType([T.StructField("units", T.MapType(T.StringType(), T.ArrayType(FACT_ITEM)))])
 FACT_MAP = T.MapType(T.StringType(), T.MapType(T.StringType(), UNIT_MAP))
-FACTS_DOCUMENT = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("facts", FACT_MAP)])
+FACTS_DOCUMENT = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("cik", T.StringType()), T.StructField("facts", FACT_MAP)])
 
 PRICE_ROW = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("date", T.StringType()),

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "plumbline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -30,16 +31,34 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{(root or spark.conf.get('spark.sql.warehouse.dir') + '/shared').rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-_landed: dict[tuple[str, str, str], str] = {}
+_landed: dict[tuple[str, str, str, str], str] = {}
+
+
+def input_identity(spark: SparkSession, scope: str) -> str:
+    """Changes when a file under the folder is added, replaced or removed; only the listing is read, no content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(scope)
+    mark = F.sum(F.xxhash64("path", "length", F.unix_micros("modificationTime")).cast("decimal(38,0)"))
+    return str(tuple(files.agg(F.count(F.lit(1)), mark).first()))
 
 
 def landed(
     spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """A table written once per application to the shared folder and read back: short lineage for all that use it."""
-    key = (spark.sparkContext.applicationId, scope, name)
+    """A table written once per application and state of its input folder, and read back: short lineage for all that use it.
+
+    The copies lie under `shared_folder`; `drop_landed` deletes them.
+    """
+    key = (spark.sparkContext.applicationId, scope, name, input_identity(spark, scope))
     if key not in _landed:
         path = shared_folder(spark, name)
         build().write.partitionBy(*partition_by).parquet(path)
         _landed[key] = path
     return spark.read.parquet(_landed[key])
+
+
+def drop_landed(spark: SparkSession) -> None:
+    """Delete what this application has landed."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for key in [k for k in _landed if k[0] == spark.sparkContext.applicationId]:
+        path = hadoop(_landed.pop(key))
+        path.getFileSystem(conf).delete(path, True)

@@ -11,12 +11,21 @@ from plumbline.functions import scalars as S
 from plumbline.operators.matching import keep_latest
 
 
+def json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): the JSON documents of text files, whether a file holds one, printed over many lines, or one per line."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: x != "")
+    per_line = F.forall(lines, lambda x: F.startswith(x, F.lit("{")) & F.endswith(x, F.lit("}")))
+    return files.select("path", F.explode(F.when(per_line, lines).otherwise(F.array("value"))).alias("value"))
+
+
 def parse_company_facts(documents: DataFrame) -> DataFrame:
     """(symbol, facts map) rows to flat fact rows; values that do not parse become null, never an error."""
-    concepts = documents.select("symbol", F.explode("facts").alias("taxonomy", "concepts"))
-    units = concepts.select("symbol", "taxonomy", F.explode("concepts").alias("concept", "body"))
-    lists = units.select("symbol", "taxonomy", "concept", F.explode("body.units").alias("unit", "items"))
-    items = lists.select("symbol", "taxonomy", "concept", "unit", F.posexplode("items").alias("pos", "item"))
+    # the maps are flattened inside the row and leave it by one generator, so no parent is copied on the way
+    flat = F.flatten(F.transform(F.map_entries("facts"), lambda taxonomy: F.flatten(F.transform(F.map_entries(taxonomy["value"]), lambda concept: F.flatten(
+        F.transform(F.map_entries(concept["value"]["units"]), lambda unit: F.transform(unit["value"], lambda item, pos: F.struct(
+            taxonomy["key"].alias("taxonomy"), concept["key"].alias("concept"), unit["key"].alias("unit"), pos.alias("pos"), item.alias("item")))))))))
+    items = documents.select("symbol", F.inline(flat))
     return items.select(
         "symbol", "taxonomy", "concept", "unit", S.safe_date(F.col("item.start")).alias("start"),
         S.safe_date(F.col("item.end")).alias("end"), S.safe_date(F.col("item.filed")).alias("filed"), F.col("item.form").alias("form"),
@@ -25,8 +34,14 @@ def parse_company_facts(documents: DataFrame) -> DataFrame:
     ).where("has_start = false OR start IS NOT NULL").drop("has_start")
 
 
-def read_company_facts(spark: SparkSession, path: str) -> DataFrame:
-    return parse_company_facts(spark.read.schema(schemas.FACTS_DOCUMENT).json(path))
+def read_company_facts(spark: SparkSession, path: str, symbols: DataFrame | None = None) -> DataFrame:
+    """Company-facts files. The provider's documents name a company by `cik`; `symbols` (cik, symbol) gives its symbols, and
+    documents of unknown companies keep a null symbol."""
+    documents = json_documents(spark, path).select(F.from_json("value", schemas.FACTS_DOCUMENT).alias("d")).select("d.*")
+    if symbols is not None:
+        known = symbols.select(F.lpad("cik", 10, "0").alias("_cik"), F.col("symbol").alias("_symbol")).distinct()
+        documents = documents.join(known, F.lpad("cik", 10, "0") == F.col("_cik"), "left").withColumn("symbol", F.coalesce("symbol", "_symbol"))
+    return parse_company_facts(documents.select("symbol", "facts"))
 
 
 def facts_from_json(texts: DataFrame, column: str = "document") -> DataFrame:
@@ -42,12 +57,20 @@ def parse_prices(rows: DataFrame) -> DataFrame:
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    return parse_prices(spark.read.schema(schemas.PRICE_ROW).json(path))
+    """Price files: flat rows, or the provider's response, whose rows lie under `data.tradesTable.rows` and whose symbol is
+    `data.symbol` or, without one, the file name's last part (`prices-KOLB.json`)."""
+    row = "struct<symbol:string,date:string,close:string,pos:bigint,data:struct<symbol:string,tradesTable:struct<rows:array<struct<date:string,close:string>>>>>"
+    documents = json_documents(spark, path).select("path", F.from_json("value", row).alias("d")).select("path", "d.*")
+    flat = documents.where("data IS NULL").select("symbol", "date", "close", "pos")
+    named = F.coalesce("data.symbol", F.regexp_extract("path", r"([A-Za-z0-9.]+)\.json$", 1))
+    nested = documents.where("data IS NOT NULL").select(F.upper(named).alias("symbol"), F.posexplode("data.tradesTable.rows").alias("pos", "r"))
+    return parse_prices(flat.unionByName(nested.select("symbol", "r.date", "r.close", F.col("pos").cast("long").alias("pos"))))
 
 
 def quote_items(payload: Column) -> Column:
-    """An array of quotes from text that holds an array or one object."""
-    text = F.trim(payload)
+    """An array of quotes from text that holds an array, one object, or the provider's outer result object with either."""
+    outer = F.get_json_object(payload, "$.FormattedQuoteResult.FormattedQuote")
+    text = F.trim(F.coalesce(outer, payload))
     array = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
     return F.from_json(array, T.ArrayType(schemas.QUOTE_ITEM))
 
@@ -87,8 +110,22 @@ def parse_filings(payloads: DataFrame) -> DataFrame:
 FILING_PAYLOAD = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("cik", T.StringType()), *schemas.FILING_ARRAYS.fields])
 
 
+SUBMISSION = T.StructType([
+    *FILING_PAYLOAD.fields, T.StructField("tickers", T.ArrayType(T.StringType())),
+    T.StructField("filings", T.StructType([T.StructField("recent", schemas.FILING_ARRAYS)])),
+])
+
+
+def filing_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, cik, parallel arrays) of flat documents or of the provider's, which nest the arrays under `filings.recent` and
+    list the company's tickers."""
+    d = json_documents(spark, path).select(F.from_json("value", SUBMISSION).alias("d")).select("d.*")
+    arrays = [F.coalesce(name, F.col(f"filings.recent.{name}")).alias(name) for name in schemas.FILING_FIELDS]
+    return d.select(F.coalesce("symbol", F.get("tickers", 0)).alias("symbol"), "cik", *arrays)
+
+
 def read_filings(spark: SparkSession, path: str) -> DataFrame:
-    return parse_filings(spark.read.schema(FILING_PAYLOAD).json(path))
+    return parse_filings(filing_payloads(spark, path))
 
 
 def filing_archive(recent: DataFrame, shards: DataFrame, start) -> DataFrame:
@@ -100,7 +137,7 @@ def filing_archive(recent: DataFrame, shards: DataFrame, start) -> DataFrame:
 
 def read_filing_archive(spark: SparkSession, recent_path: str, archive_path: str, start) -> DataFrame:
     shards = spark.read.schema(T.StructType([*FILING_PAYLOAD.fields, T.StructField("filing_to", T.StringType())])).json(archive_path)
-    return filing_archive(spark.read.schema(FILING_PAYLOAD).json(recent_path), shards, start)
+    return filing_archive(filing_payloads(spark, recent_path), shards, start)
 
 
 def parse_catalog(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -137,8 +174,9 @@ def read_supplements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report pages: a parquet corpus (page_id, url, html), or a folder of page files, one page per file."""
+    """Report pages: a parquet corpus (page_id, url, html), or a folder of page files, one page per file.
+    Bytes that are not UTF-8 become U+FFFD."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
-    return files.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"))
+    return files.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
