@@ -29,11 +29,11 @@ from pyspark.sql import types as T
 
 from plumbline.llm import batches as B
 from plumbline.llm.components import components
-from plumbline.llm.store import land
+from plumbline.llm.store import land, land_by
 
 SIZE, CHUNKS, WIDTH = 5, 12, 4
 VALUES, NEAR = CHUNKS * WIDTH, 2 * CHUNKS - 1
-SLOTS, CLASS = 1 << 20, 8
+SLOTS, CLASSES = 1 << 20, 3
 KIND = B.byte_table(B.SPACES)
 
 
@@ -186,6 +186,9 @@ def _order(sets: DataFrame) -> np.ndarray:
     return out
 
 
+FILED = ["element", "class", "asks", "id", "label", "ahead", "size"]
+
+
 def _rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that may be links, among documents whose buckets are still open.
 
@@ -197,31 +200,50 @@ def _rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = land(left.select("id", "label").distinct().join(sets, "id"), "rest")
     often = _order(rows)
     t = percent / 100
+    width = (1 / t) ** (1 / CLASSES)
+
+    def size_class(n: int) -> int:
+        return math.floor(math.log(n) / math.log(width) + 1e-9)
 
     def first_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, ...] = ([], [], [], [], [], [], [])
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], FILED)
+            for column in out:
+                column.clear()
+            return done
+
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for number, label, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 own = np.frombuffer(body.as_buffer(), np.uint64)
                 n = len(own)
                 own = own[np.lexsort((own, often[(own % np.uint64(SLOTS)).astype(np.int64)]))].view(np.int64)
                 need = lambda other: math.ceil(t / (1 + t) * (n + other) - 1e-9)  # noqa: B023, E731
-                spans = [(False, n // CLASS, n - need(n) + 1)]
                 least = math.ceil(t * n - 1e-9)
-                spans += [(True, c, n - need(max(c * CLASS, least)) + 1) for c in range(least // CLASS, n // CLASS + 1)]
+                spans = [(False, size_class(n), n - need(n) + 1)]
+                spans += [(True, c, n - need(max(math.ceil(width**c - 1e-6), least)) + 1) for c in range(size_class(least), size_class(n) + 1)]
                 for asks, c, k in spans:
                     k = max(0, min(k, n))
                     for column, value in zip(out, (own[:k], np.full(k, c), np.full(k, asks), np.full(k, number), np.full(k, label), n - np.arange(k), np.full(k, n)), strict=True):
                         column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["element", "class", "asks", "id", "label", "ahead", "size"])
+                    held += k
+                if held > 100_000:
+                    yield flush()
+                    held = 0
+        if held:
+            yield flush()
 
-    key = ["element", "class"]
     schema = "element bigint, class bigint, asks boolean, id bigint, label bigint, ahead bigint, size bigint"  # ahead: elements from this one on
-    filed = land(rows.select("id", "label", "members").mapInArrow(first_elements, schema), "filed")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # moved by element once; the steps below find it in place
+    filed = rows.select("id", "label", "members").mapInArrow(first_elements, schema).repartition(parts, "element")
+    filed = land_by(filed, "filed", "element")
+    key = ["element", "class"]
     mixed = filed.groupBy(key).agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("asks").alias("asked"), F.min("asks").alias("given")).where("x <> y and asked and not given")
-    open_keys = land(mixed.select(key), "open-keys")
-    filed = land(filed.join(open_keys, key), "open-rows")
+    open_keys = land(mixed.select(key), "open-keys").toDF("e", "c")
+    filed = land(filed.join(open_keys, (F.col("element") == F.col("e")) & (F.col("class") - F.col("c") == 0), "left_semi"), "open-rows")
     main = land(filed.groupBy(*key, "label").count().groupBy(key).agg(F.max_by("label", F.struct("count", "label")).alias("main")), "main")
     filed = land(filed.join(main, key), "told")
     ask = filed.where("asks").drop("asks")
