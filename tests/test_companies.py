@@ -205,4 +205,4 @@ def test_scalar_edges(spark):
     dates = spark.createDataFrame([("Sept. 30, 2020 and Feb 30 2020, june 1 1999; Dec 24, 2101",)], "t string").select(S.text_dates(F.col("t")))
     assert only(dates)[0] == [d("2020-09-30"), d("1999-06-01")]
     names = spark.createDataFrame([("NVIDIA Corporation",), ("Apple Inc.",), ("A very long name without any suffix at all",)], "t string")
-    assert [r[0] for r in names.select(S.short_name(F.col("t"))).collect()] == ["NVIDIA", "Apple", "A very long name without"]
+    assert [r[0] for r in names.select(S.short_name(F.col("t"), 24)).collect()] == ["NVIDIA", "Apple", "A very long name without"]

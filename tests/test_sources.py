@@ -62,6 +62,50 @@ def test_report_folder_reads_whole_pages(spark, tmp_path):
     assert row["html"] == "<p>a</p>\n<p>b</p>"
 
 
+def test_provider_shaped_documents(spark, tmp_path):
+    """As the providers send them: nested, one document per file, printed over many lines."""
+    def pretty(name, document):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(json.dumps(document, indent=2), encoding="utf-8")
+        return str(path)
+
+    item = {"start": "2029-01-01", "end": "2029-03-31", "filed": "2029-05-02", "form": "10-Q", "accn": "k-1"}
+    units = {"USD": [{**item, "val": 7}, {**item, "val": 9.5, "accn": "k-2"}], "EUR": [{**item, "val": 1}]}
+    path = pretty("facts/KOLB.json", {"cik": 4711, "entityName": "Kolb", "facts": {"us-gaap": {"Revenues": {"label": "R", "units": units}}}})
+    known = spark.createDataFrame([("0000004711", "KOLB")], "cik string, symbol string")
+    rows = readers.read_company_facts(spark, path, known).collect()
+    assert sorted((r["symbol"], r["unit"], r["pos"], r["val"], r["accn"]) for r in rows) == [
+        ("KOLB", "EUR", 0, 1.0, "k-1"), ("KOLB", "USD", 0, 7.0, "k-1"), ("KOLB", "USD", 1, 9.5, "k-2")]
+    assert {r["symbol"] for r in readers.read_company_facts(spark, path).collect()} == {None}
+
+    table = {"rows": [{"date": "03/18/2029", "close": "$1,204.50"}, {"date": "03/19/2029", "close": "$7"}, {"date": "03/19/2029", "close": "$8"}]}
+    path = pretty("prices/prices-RIND.json", {"data": {"tradesTable": table}, "status": {"rCode": 200}})
+    assert sorted((r["symbol"], str(r["date"]), r["close"]) for r in readers.read_prices(spark, path).collect()) == [("RIND", "2029-03-18", 1204.5), ("RIND", "2029-03-19", 8.0)]
+
+    for inner in ([{"symbol": "kolb", "last": "3"}], {"symbol": "kolb", "last": "3"}):
+        path = write(tmp_path / "q.json", {"captured_at": "2029-03-19T10:00:00", "quotes": json.dumps({"FormattedQuoteResult": {"FormattedQuote": inner}})})
+        assert [(r["symbol"], r["price"]) for r in readers.read_quotes(spark, path).collect()] == [("KOLB", 3.0)]
+
+    recent = {"accessionNumber": ["a", "b"], "form": ["10-Q", "8-K"], "filingDate": ["2029-05-02"], "reportDate": [], "primaryDocument": ["d.htm"], "items": []}
+    path = pretty("filings/f.json", {"cik": "4711", "tickers": ["KOLB", "KLB"], "filings": {"recent": recent, "files": []}})
+    rows = sorted((r["symbol"], r["accession"], r["form"], r["items"]) for r in readers.read_filings(spark, path).collect())
+    assert rows == [("KOLB", "a", "10-Q", ""), ("KOLB", "b", "8-K", "")]
+
+    shard = {"symbol": "KOLB", "cik": "4711", "accessionNumber": ["old"], "form": ["10-K"], "filingDate": ["2020-01-02"], "reportDate": [""], "primaryDocument": [""], "items": [""]}
+    for to in ("2020-12-31", "2015-12-31"):
+        (tmp_path / "shards" / f"filing_to={to}").mkdir(parents=True)
+        write(tmp_path / "shards" / f"filing_to={to}" / "s.json", {**shard, "accessionNumber": [to]})
+    archive = readers.read_filing_archive(spark, path, str(tmp_path / "shards"), "2018-01-01")
+    assert sorted(r["accession"] for r in archive.collect()) == ["2020-12-31", "a", "b"]
+    assert "PartitionFilters: [isnotnull(filing_to" in archive._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_with_bad_bytes_are_read(spark, tmp_path):
+    (tmp_path / "p.html").write_bytes(b"<p>ok \xff end</p>")
+    assert only(readers.read_reports(spark, str(tmp_path)))["html"] == "<p>ok \ufffd end</p>"
+
+
 def quote_file(tmp_path, name, at, *items):
     return write(tmp_path / name, {"captured_at": at, "quotes": json.dumps(items[0] if len(items) == 1 else list(items))})
 
