@@ -24,7 +24,7 @@ from sentencepiece import sentencepiece_model_pb2
 from plumbline.llm import batches as B
 
 MARKER = "▁"
-CACHED = 400_000
+CACHED = 150_000
 _loaded: dict[str, Encoder] = {}
 
 
