@@ -153,8 +153,13 @@ def cash_proof_status(companies: DataFrame) -> DataFrame:
     return companies.select("symbol", status.alias("status"), tone.alias("tone"), S.finite_or_null(F.col("marginal_coverage")).alias("marginal_coverage"))
 
 
-def compare(metrics: DataFrame, view: str = "all", sort: str = "symbol", ascending: bool = True) -> DataFrame:
-    """Screen and sort: `all`, `cash` (positive free cash margin) or `history` (five positive years); nulls always last."""
+def compare(metrics: DataFrame, view: str = "all", sort: str = "symbol", ascending: bool = True, drafts: DataFrame | None = None) -> DataFrame:
+    """Screen and sort: `all`, `cash` (positive free cash margin) or `history` (five positive years); nulls always last.
+
+    With `drafts` (symbol, candidate) only symbols marked as candidates come, in any of the views.
+    """
+    if drafts is not None:
+        metrics = metrics.join(drafts.where("candidate").select("symbol").distinct(), "symbol", "left_semi")
     keys = ["cagr", "margin", "cash", "roe", "consistency"]
     wide = metrics.groupBy("symbol").pivot("metric", keys).agg(F.first("value"))
     fresh = metrics.groupBy("symbol").agg(F.bool_and("fresh").alias("fresh"))

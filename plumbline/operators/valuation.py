@@ -353,21 +353,30 @@ def valuation_summary(clean: DataFrame, states: DataFrame, policy: DataFrame, ca
 
 
 def publish_gate(valuation: DataFrame, calendar: DataFrame, now: Column) -> DataFrame:
-    """Withdraw other algorithm versions; mark late prices or old earnings stale and null every rank."""
+    """Withdraw other algorithm versions, of which only date, status and reason stay; mark late prices or old earnings stale,
+    which keep the multiple but no rank. Reference prices go through `published_references`."""
     rows = session_lag(valuation.drop("lag_sessions").withColumn("priced_on", F.col("as_of")), calendar, now)
     other = F.coalesce(F.col("algorithm_version") != ALGORITHM_VERSION, F.lit(True))
     age = F.datediff(now.cast("date"), "eps_period_end")
     late = F.coalesce(F.col("current_pe_qualified") & ((F.col("lag_sessions") > 1) | (age > STALE_DAYS)), F.lit(False))
     hidden = other | late
-    return rows.drop("priced_on").withColumns({
+    gated = {
         "status": F.when(other, "withdrawn").when(late, "stale").otherwise(F.col("status")),
-        "pe": F.when(~other, F.col("pe")),
+        "reason": F.when(other, "other_version").when(late, "stale_inputs").otherwise(F.col("reason")),
         "current_pe_qualified": ~hidden & F.col("current_pe_qualified"),
         "percentile": F.when(~hidden, F.col("percentile")),
         "percentile10y": F.when(~hidden, F.col("percentile10y")),
         "sample_count": F.when(other, F.lit(0)).otherwise(F.col("sample_count")),
         "algorithm_version": F.lit(ALGORITHM_VERSION),
-    })
+    }
+    kept = {"symbol", "as_of", *gated}
+    return rows.drop("priced_on").withColumns({**{c: F.when(~other, F.col(c)) for c in valuation.columns if c not in kept and c != "lag_sessions"}, **gated})
+
+
+def published_references(references: DataFrame, gated: DataFrame) -> DataFrame:
+    """Reference prices of symbols whose gated valuation is neither withdrawn nor stale."""
+    open_ = gated.where(~F.col("status").isin("withdrawn", "stale")).select("symbol")
+    return references.join(open_, "symbol", "left_semi")
 
 
 def eligible_percentile() -> Column:

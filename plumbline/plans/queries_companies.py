@@ -229,6 +229,13 @@ def compare_cash(spark, sf):
     return rounded(assess.compare(metrics, "cash", "roe", False), 6, "cagr", "margin", "cash", "roe")
 
 
+@query("compare_candidates", "M7 F10", f"{_WIDE} SELECT {_WIDE_COLUMNS} FROM w WHERE fresh AND cash > 0 AND (ends_with(symbol, '2') OR ends_with(symbol, 'A'))")
+def compare_candidates(spark, sf):
+    metrics = assess.assess_metrics(V.companies(spark, sf), V.today())
+    drafts = V.companies(spark, sf).select("symbol", (F.col("symbol").endswith("2") | F.col("symbol").endswith("A")).alias("candidate"))
+    return rounded(assess.compare(metrics, "cash", "roe", False, drafts), 6, "cagr", "margin", "cash", "roe")
+
+
 @query("compare_history", "M7 F10", f"{_WIDE} SELECT {_WIDE_COLUMNS} FROM w WHERE fresh AND consistency = 5")
 def compare_history(spark, sf):
     metrics = assess.assess_metrics(V.companies(spark, sf), V.today())

@@ -203,18 +203,36 @@ def valuation_summary(spark, sf):
     return V.build_summary(spark, sf)
 
 
-@query("publish_gate", "V8", """
-WITH g AS (SELECT *, CASE WHEN ends_with(symbol, '1') THEN 3 ELSE 4 END AS version,
+_GATE = """
+g AS (SELECT *, CASE WHEN ends_with(symbol, '1') THEN 3 ELSE 4 END AS version,
   (SELECT count(*) FROM fx_calendar WHERE session_date > s.as_of AND close_ts <= TIMESTAMP '2001-11-04 00:00:00') AS lag2,
   DATE '2001-11-04' - eps_period_end AS age FROM v_summary s),
-f AS (SELECT *, version <> 4 AS other, coalesce(current_pe_qualified AND (lag2 > 1 OR age > 160), false) AS late FROM g)
+f AS (SELECT *, version <> 4 AS other, coalesce(current_pe_qualified AND (lag2 > 1 OR age > 160), false) AS late FROM g)"""
+
+
+def _gated(spark, sf):
+    rows = V.summary(spark, sf).withColumn("algorithm_version", F.when(F.col("symbol").endswith("1"), 3).otherwise(4))
+    return valuation.publish_gate(rows, fx.calendar(spark, sf), F.lit("2001-11-04 00:00:00").cast("timestamp"))
+
+
+@query("publish_gate", "V8", f"""
+WITH {_GATE}
 SELECT symbol, CASE WHEN other THEN 'withdrawn' WHEN late THEN 'stale' ELSE status END AS status,
-  CASE WHEN NOT other THEN pe END AS pe, current_pe_qualified AND NOT other AND NOT late AS current_pe_qualified,
+  CASE WHEN other THEN 'other_version' WHEN late THEN 'stale_inputs' ELSE reason END AS reason,
+  CASE WHEN NOT other THEN pe END AS pe, CASE WHEN NOT other THEN CAST(eps_period_end AS VARCHAR) END AS eps_period_end,
+  CASE WHEN NOT other THEN CAST(history_start AS VARCHAR) END AS history_start, current_pe_qualified AND NOT other AND NOT late AS current_pe_qualified,
   CASE WHEN NOT other AND NOT late THEN percentile END AS percentile FROM f""")
 def publish_gate(spark, sf):
-    rows = V.summary(spark, sf).withColumn("algorithm_version", F.when(F.col("symbol").endswith("1"), 3).otherwise(4))
-    gated = valuation.publish_gate(rows, fx.calendar(spark, sf), F.lit("2001-11-04 00:00:00").cast("timestamp"))
-    return gated.select("symbol", "status", "pe", "current_pe_qualified", "percentile")
+    return _gated(spark, sf).select("symbol", "status", "reason", "pe", "eps_period_end", "history_start", "current_pe_qualified", "percentile")
+
+
+@query("published_references", "V8 V4", f"""
+WITH {_GATE},
+q AS (SELECT h.symbol, quantile_cont(pe, [0.2, 0.5, 0.8]) AS v FROM v_history h JOIN v_selected s USING (symbol) WHERE s.years IS NOT NULL GROUP BY h.symbol)
+SELECT q.symbol, p AS percentile, round(v[i] * current_eps, 6) AS price
+FROM q JOIN v_ends USING (symbol) JOIN f ON f.symbol = q.symbol AND NOT other AND NOT late, (SELECT unnest([20, 50, 80]) AS p, unnest([1, 2, 3]) AS i)""")
+def published_references(spark, sf):
+    return valuation.published_references(reference_prices(spark, sf), _gated(spark, sf)).select("symbol", "percentile", "price")
 
 
 @query("eligible_percentile", "F9", """
