@@ -186,7 +186,7 @@ def _order(sets: DataFrame) -> np.ndarray:
     return out
 
 
-FILED = ["element", "class", "asks", "id", "label", "ahead", "size"]
+FILED = ["element", "class", "asks", "id", "label", "ahead", "size", "before"]
 
 
 def _rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return math.floor(math.log(n) / math.log(width) + 1e-9)
 
     def first_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, ...] = ([], [], [], [], [], [], [])
+        out: tuple[list, ...] = tuple([] for _ in FILED)
         held = 0
 
         def flush() -> pa.RecordBatch:
@@ -226,7 +226,7 @@ def _rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 spans += [(True, c, n - need(max(math.ceil(width**c - 1e-6), least)) + 1) for c in range(size_class(least), size_class(n) + 1)]
                 for asks, c, k in spans:
                     k = max(0, min(k, n))
-                    for column, value in zip(out, (own[:k], np.full(k, c), np.full(k, asks), np.full(k, number), np.full(k, label), n - np.arange(k), np.full(k, n)), strict=True):
+                    for column, value in zip(out, (own[:k], np.full(k, c), np.full(k, asks), np.full(k, number), np.full(k, label), n - np.arange(k), np.full(k, n), np.append(-1 - asks, own[: k - 1])[:k]), strict=True):
                         column.append(value)
                     held += k
                 if held > 100_000:
@@ -235,7 +235,7 @@ def _rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if held:
             yield flush()
 
-    schema = "element bigint, class bigint, asks boolean, id bigint, label bigint, ahead bigint, size bigint"  # ahead: elements from this one on
+    schema = "element bigint, class bigint, asks boolean, id bigint, label bigint, ahead bigint, size bigint, before bigint"  # ahead: elements from this one on; before: the one ahead of it
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # moved by element once; the steps below find it in place
     filed = rows.select("id", "label", "members").mapInArrow(first_elements, schema).repartition(parts, "element")
@@ -247,8 +247,9 @@ def _rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     main = land(filed.groupBy(*key, "label").count().groupBy(key).agg(F.max_by("label", F.struct("count", "label")).alias("main")), "main")
     filed = land(filed.join(main, key), "told")
     ask = filed.where("asks").drop("asks")
-    give = filed.where("not asks").select(*key, *(F.col(c).alias(f"{c}2") for c in ("id", "label", "main", "ahead", "size")))
-    enough = (F.col("label") != F.col("label2")) & ((100 + percent) * F.least("ahead", "ahead2") >= percent * (F.col("size") + F.col("size2")))
+    give = filed.where("not asks").select(*key, *(F.col(c).alias(f"{c}2") for c in ("id", "label", "main", "ahead", "size", "before")))
+    # of shared elements that follow each other in both orders the first one is enough
+    enough = (F.col("label") != F.col("label2")) & (F.col("before") != F.col("before2")) & ((100 + percent) * F.least("ahead", "ahead2") >= percent * (F.col("size") + F.col("size2")))
     met = ask.where("label <> main").alias("l").join(give.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in key] + [enough]).select("id", "id2").union(
         ask.where("label = main").alias("l").join(give.where("label2 <> main2").alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in key] + [enough]).select("id", "id2"))
     return met.where("id <> id2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
