@@ -128,8 +128,8 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", text: str = "decode
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Encoder.of(model_file).model
         for batch in rows:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 values = part.column(part.schema.get_field_index(ids))
                 listed = [np.frombuffer(v.as_buffer(), "<u4").tolist() if v.is_valid else [] for v in values] if packed else [v or [] for v in values.to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([model.decode(v) if v else "" for v in listed], pa.string())], [*part.schema.names, text])

@@ -87,7 +87,7 @@ def lexicon(rows: DataFrame, entries: int) -> np.ndarray:
     """Hashes of the entries that tell toxic from other texts best, by the log-likelihood ratio."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.slices(batches, "_text", 8_000_000):
+        for batch in B.slices(batches, "_text", 2 * B.SLICE):
             w, f = features(lowered(batch.column(0)))
             y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             rows_of, flat = np.repeat(w.row, f.shape[1]), f.ravel()
