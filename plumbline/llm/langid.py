@@ -88,6 +88,8 @@ def grams(s: Spelled, at: np.ndarray, first: np.ndarray, n: int) -> tuple[np.nda
     """For positions `at` in words that begin at `first`: whether an n-gram ends there (border included), and its hash."""
     lo = at - n + 1
     fits = lo >= first - 1
+    if n == 1:
+        fits &= s.chars[at] != 0  # a border alone says nothing
     lo = np.where(fits, lo, at)
     down = _powers(1 << max(20, int(len(s.chars)).bit_length()))[1]
     return fits, _salted((s.sums[at + 1] - s.sums[lo]) * down[lo], n)
