@@ -110,7 +110,7 @@ def lexicon(rows: DataFrame, entries: int) -> np.ndarray:
     part = lambda x, mean: F.when(x > 0, x * F.log(x / mean)).otherwise(0.0)
     counts = rows.mapInArrow(count, "entry bigint, pos bigint, neg bigint").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = counts.where((F.col("entry") != 0) & (a >= 3) & ((a + 0.5) / (n[1] + 1) >= 8 * (b + 0.5) / (n[0] + 1)))
-    top = counts.withColumn("gain", 2 * (part(a, mean_a) + part(b, mean_b))).where("gain >= 6").orderBy(F.desc("gain"), "entry").limit(entries)
+    top = counts.withColumn("gain", 2 * (part(a, mean_a) + part(b, mean_b))).where("gain >= 12").orderBy(F.desc("gain"), "entry").limit(entries)
     return np.array([r["entry"] for r in top.collect()], np.int64).view(np.uint64)  # `entries` numbers
 
 
