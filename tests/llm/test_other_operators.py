@@ -154,6 +154,22 @@ def test_templates_take_constant_text_and_menus_out(spark):
     assert any(c["under"] for c in template["classes"])
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    story = "".join(f"<p>paragraph {k} of the mirrored article</p>" for k in range(5))
+    copies = [(f"http://m.org/a?utm={i}", f"<body><nav>visit {i}</nav><article>{story}</article><p>Imprint of the host</p></body>") for i in range(6)]
+    others = [(f"http://m.org/{i}", f"<body><article><p>other {i}</p></article><p>Imprint of the host</p></body>") for i in range(4)]
+    for pages in ([*copies, *others], [(u.replace("http://m.org/", "m.org "), h) for u, h in [*copies, *others]]):
+        got = text_of(spark, *pages)
+        assert got[:6] == ["\n\n".join(f"paragraph {k} of the mirrored article" for k in range(5))] * 6
+        assert got[6:] == [f"other {i}" for i in range(4)]
+
+
+def test_lists_of_an_article_beside_a_menu(spark):
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>a rather long menu entry {k}</a></li>" for k in range(6)) + "<li>You are here: {}</li></ul>"
+    pages = [(f"http://l.org/{i}", f"<div>{menu.format(i)}<p>story {i}</p><ul><li>point {i}</li><li>see <a href=/x>x{i}</a> in note {i}</li></ul></div>") for i in range(8)]
+    assert text_of(spark, *pages) == [f"story {i}\n\npoint {i}\n\nsee x{i} in note {i}" for i in range(8)]
+
+
 # queries and the pipeline
 
 
