@@ -14,8 +14,8 @@ A string of `LENGTH` bytes repeats if it also starts earlier: in a document with
 * Removal. Every occurrence but the first of each group is removed; this is the same as judging each string on its own,
   because a repeated string's occurrences are those of the maximal repeat around it.
 
-Places of a document with equal bytes around the same k-gram are merged where the text is read. K-grams that more than
-`MEMBERS` documents share are not gathered in a task. Equal surroundings are first merged by an
+Places of a document with equal bytes around the same k-gram are merged where the text is read. K-grams with more than
+`MEMBERS` different places, in one document or in many, are not gathered in a task. Equal surroundings are first merged by an
 aggregate (all but the first are repeats as a whole); of the different ones that stay, each window is hashed to 128 bits and
 the earliest place of each is found by an aggregate. That way is exact too, and no group of copies meets in one task.
 """
@@ -83,16 +83,32 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def shared(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, doc) of k-grams that stand at two places or more, by one sort over all partitions."""
+    """(h, doc, lead) of k-grams that stand at two places or more, by one sort over all partitions.
+
+    A k-gram has a row per different place of a document (at least two if it repeats there; above `MEMBERS` they are not
+    counted on, which decides the same); `lead` marks one row per k-gram and document.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.slices(batches):
             doc = batch.column(0).to_numpy()
-            for _, _, _, row, h in anchors(B.texts(batch.column(1)), length, gram):
+            t = B.texts(batch.column(1))
+            for start, end, place, row, h in anchors(t, length, gram):
                 order = np.lexsort((h, row))
-                h, row = h[order], row[order]
+                start, end, place, row, h = (x[order] for x in (start, end, place, row, h))
                 third = np.zeros(len(h), bool)  # a k-gram's first two places in a row tell that it repeats there
                 third[2:] = (h[2:] == h[:-2]) & (row[2:] == row[:-2])
+                opens = np.flatnonzero(third & ~np.append(False, third[:-1])) - 2
+                closes = np.flatnonzero(third & ~np.append(third[1:], False)) + 1
+                for lo, hi in zip(opens.tolist(), closes.tolist(), strict=True):  # of the others, those with new bytes around count
+                    seen: set[tuple[int, bytes]] = set()
+                    for i in range(lo, hi):
+                        if len(seen) > MEMBERS:
+                            break
+                        mark = int(place[i] - start[i]), t.data[start[i] : end[i] + length].tobytes()
+                        if mark not in seen:
+                            seen.add(mark)
+                            third[i] = False
                 yield pa.RecordBatch.from_arrays([pa.array(h[~third].view(np.int64)), pa.array(doc[row[~third]])], ["h", "doc"])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,17 +125,18 @@ def shared(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             keep = np.append(same, True) | np.append(first, same)
             # the first row is judged already unless it opens the partition, the last waits for the next batch
             lo, hi = 0 if first else 1, len(h) - 1
-            keep[1:] &= ~(same & (doc[1:] == doc[:-1]))  # one row per k-gram and document
+            lead = np.append(True, ~(same & (doc[1:] == doc[:-1])))
             out = np.flatnonzero(keep[lo:hi]) + lo
-            yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(doc[out])], ["h", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(doc[out]), pa.array(lead[out])], ["h", "doc", "lead"])
             held, first = (h[-2:], doc[-2:]), False
         if held is not None:
             at = slice(None) if first else slice(1, None)
-            yield pa.RecordBatch.from_arrays([pa.array(held[0][at]), pa.array(held[1][at])], ["h", "doc"])
+            same = (held[0][1:] == held[0][:-1]) & (held[1][1:] == held[1][:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][at]), pa.array(held[1][at]), pa.array(np.append(True, ~same)[at])], ["h", "doc", "lead"])
 
     rows = keyed.select("doc", "text").mapInArrow(emit, "h bigint, doc bigint")
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "h", "doc").sortWithinPartitions("h", "doc").mapInArrow(neighbours, "h bigint, doc bigint")
+    return rows.repartitionByRange(parts, "h", "doc").sortWithinPartitions("h", "doc").mapInArrow(neighbours, "h bigint, doc bigint, lead boolean")
 
 
 FEW, MANY, SPAN = 0, 1, 2
@@ -231,7 +248,7 @@ def covered(right: list[bytes], left: list[bytes], length: int) -> list[tuple[in
     bytes from it on), or None.
 
     All of them hold the anchor, so together they are one span. Few places go through their maximal repeat groups; for many,
-    common prefixes of all pairs are running minima over the two enhanced suffix arrays.
+    common prefixes of each with all others are running minima over the two enhanced suffix arrays, one place at a time.
     """
     n = len(right)
     if n <= TREE:
@@ -242,17 +259,28 @@ def covered(right: list[bytes], left: list[bytes], length: int) -> list[tuple[in
                     reach[m] = (max(d, reach[m][0]), max(r, reach[m][1])) if reach[m] else (d, r)
         return reach
 
-    def pairs(side: list[bytes]) -> np.ndarray:
+    def sorted_side(side: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = sorted(range(n), key=side.__getitem__)
-        near = np.array([_common(side[a], side[b]) for a, b in zip(order, order[1:], strict=False)], np.int16)
-        out = np.zeros((n, n), np.int16)
-        for i in range(n - 1):
-            out[order[i], order[i + 1 :]] = np.minimum.accumulate(near[i:])
-        return np.maximum(out, out.T)
-
-    r, d = pairs(right), pairs(left)
-    good = (r + d >= length) & np.tri(n, k=-1, dtype=bool)
-    return [(int(d[m][good[m]].max()), int(r[m][good[m]].max())) if good[m].any() else None for m in range(n)]
+        near = np.array([_common(side[a], side[b]) for a, b in zip(order, order[1:], strict=False)], np.int32)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        return np.array(order), rank, near
+
+    def shared_with(m: int, side: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        order, rank, near = side
+        at, out = int(rank[m]), np.zeros(n, np.int32)
+        out[order[at + 1 :]] = np.minimum.accumulate(near[at:])
+        out[order[:at][::-1]] = np.minimum.accumulate(near[:at][::-1])
+        return out
+
+    ahead, behind = sorted_side(right), sorted_side(left)
+    reach = [None] * n
+    for m in range(1, n):
+        r, d = shared_with(m, ahead)[:m], shared_with(m, behind)[:m]
+        good = r + d >= length
+        if good.any():
+            reach[m] = int(d[good].max()), int(r[good].max())
+    return reach
 
 
 def _solve(rows: DataFrame, length: int) -> DataFrame:
@@ -367,7 +395,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     again = not keyed.groupBy("doc", "tk").count().where("count > 1").isEmpty()
     both = land(shared(keyed, length, gram), "shared")
     often = land(both.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MEMBERS).select("h", F.lit(True).alias("often")), "often")
-    told = both.join(often, "h", "left")
+    told = both.where("lead").join(often, "h", "left")
     wanted = told.groupBy("doc").agg(F.collect_list(F.when(F.col("often").isNull(), F.col("h"))).alias("few"), F.collect_list(F.when(F.col("often"), F.col("h"))).alias("many"))
     touched = land_by(keyed.join(land(wanted, "wanted"), "doc").select("doc", "tk", "text", "few", "many"), "touched", "doc")
     solved = land(_solve(places(touched, length, gram), length), "solved")

@@ -224,6 +224,31 @@ def test_repeats_of_frequent_anchors(spark, monkeypatch):
     check_repeats(spark, passages(seed=4))
 
 
+def test_repeats_of_a_key_at_many_places_of_few_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MEMBERS", 30)
+    rng = np.random.default_rng(6)
+    key = "".join(rng.choice(list("abcdefgh"), 60))
+    value = lambda: "".join(rng.choice(list("uvwxyz"), 70))
+    kept = [value() for _ in range(80)]
+    rows = [(1, key + key.join(kept)), (2, key.join(value() for _ in range(40)) + key + kept[5] + key), (3, kept[9] + key + kept[10])]
+    check_repeats(spark, rows)
+    docs = suffix_dedup._keyed(spark.createDataFrame(rows, DOCS), "doc_id", "text")
+    most = suffix_dedup.shared(docs, suffix_dedup.LENGTH, suffix_dedup.GRAM).groupBy("h").count().agg(F.max("count")).first()[0]
+    assert most > 30  # a single document shows that its key has many places
+
+
+def test_many_places_take_memory_by_place_not_by_pair():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    right = ["".join(rng.choice(list("abcd"), 60)).encode() for _ in range(3000)]
+    tracemalloc.start()
+    suffix_dedup.covered(right, right, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000
+
+
 def test_repeats_in_parts_of_long_texts(monkeypatch):
     rng = np.random.default_rng(2)
     body = "".join(rng.choice(list("abcd "), 5000))
