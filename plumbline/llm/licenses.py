@@ -1,6 +1,9 @@
 """License scans: phrases at exact places, and templates found in text blocks by an exact set-similarity join.
 
-A block is a line. A template is met by a block that holds at least `threshold` of the template's distinct words. The join
+A block is a line, or a stretch of hard-wrapped lines: a line goes on in the next one if, from its first word on, it would be
+`WRAPPED` bytes or more with what stands before that one's first space; a line without words ends the stretch. Around each such line break the template's words, with a quarter
+and four more for words in between, are a block on either side, as far as the lines go on; so a notice of any length is whole
+in some block wherever its lines break. A template is met by a block that holds at least `threshold` of the template's distinct words. The join
 is filter and verify: words are ordered by how many blocks of the whole corpus hold them, rarest first (first pass); a block
 that meets a template of n words, of which m = ceil(threshold * n) are needed, must hold one of the n - m + 1 rarest, so only
 blocks with such a prefix word are looked at (second pass); of those, blocks with fewer than m words go (length filter), then
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 from plumbline.llm import batches as B
 
 MOST_WORDS = 100_000
+WRAPPED = 40
 KIND = B.byte_table(B.MARKS)
+SPACE = ~B.byte_table(B.SPACES)[0]
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -58,6 +63,19 @@ def _blocks(t: B.Texts, w: B.Words) -> np.ndarray:
     return lines[w.start].astype(np.int64) + w.row
 
 
+def _breaks(t: B.Texts, w: B.Words, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that open a line in which a wrapped line goes on, and for each the first word of its stretch of lines and the word after the last."""
+    opens = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    closes = np.append(opens[1:], len(block)) - 1
+    spaces = np.append(np.flatnonzero(SPACE[t.data]), len(t.data))
+    full = w.end[closes[:-1]] - w.start[opens[:-1]] + 1 + spaces[np.searchsorted(spaces, w.start[opens[1:]])] - w.start[opens[1:]] >= WRAPPED
+    on = np.append(False, full & (block[opens[1:]] - block[closes[:-1]] == 1) & (w.row[opens[1:]] == w.row[closes[:-1]]))
+    first = np.flatnonzero(~on)
+    stretch = np.cumsum(~on) - 1
+    ends = np.append(opens[first[1:]], len(block))
+    return opens[on], opens[first][stretch[on]], ends[stretch[on]]
+
+
 def frequencies(docs: DataFrame, text: str, vocabulary: np.ndarray) -> np.ndarray:
     """In how many blocks of all rows each word of the vocabulary stands."""
 
@@ -90,6 +108,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases: d
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     spelled = [(_hashes(p), label) for p, label in phrases.items()]
     sets = [(label, np.unique(_hashes(text_))) for label, text_ in templates]
+    wide = [5 * len(_hashes(text_)) // 4 + 4 for (_, text_), (_, s) in zip(templates, sets, strict=True) if len(s)]
     sets = [(label, s) for label, s in sets if len(s)]
     vocabulary = np.unique(np.concatenate([s for _, s in sets])) if sets else np.zeros(0, np.uint64)
     if len(vocabulary) > MOST_WORDS:
@@ -98,16 +117,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases: d
     vocabulary = vocabulary[np.lexsort((vocabulary, often))]  # position is now the global order
     place_of = {h: k for k, h in enumerate(vocabulary.tolist())}
     rules = []
-    for label, s in sets:
+    for (label, s), reach in zip(sets, wide, strict=True):
         order = np.sort([place_of[h] for h in s.tolist()])
         need = math.ceil(threshold * len(order) - 1e-9)
-        rules.append((label, order, need, order[: len(order) - need + 1]))
+        rules.append((label, order, need, order[: len(order) - need + 1], reach))
     schema = f"id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, blocks array<{BLOCK}>"
 
+    def meets(rule: tuple, words: np.ndarray, place: np.ndarray) -> float | None:
+        """The share of a template's words in a block, if it is enough."""
+        _, order, need, prefix, _ = rule
+        own = np.unique(place)
+        own = own[own >= 0]
+        shared = np.isin(prefix, own)
+        if not shared.any() or len(np.unique(words)) < need:
+            return None
+        i = int(np.argmax(shared))
+        j = int(np.searchsorted(own, prefix[i]))
+        if 1 + min(len(order) - i - 1, len(own) - j - 1) < need:
+            return None
+        overlap = len(np.intersect1d(order, own, assume_unique=True))
+        return overlap / len(order) if overlap >= need else None
+
     def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = B.HashIndex(vocabulary) if sets else None
         prefix_words = np.zeros(len(vocabulary) + 1, bool)
-        for *_, prefix in rules:
+        for *_, prefix, _ in rules:
             prefix_words[prefix] = True
         for batch in B.slices(rows, text):
             t = B.texts(batch.column(1))
@@ -133,24 +167,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases: d
                 marked = np.unique(block[prefix_words[place] & (place >= 0)])
                 for b in marked.tolist():
                     lo, hi = np.searchsorted(block, [b, b + 1])
-                    size = len(np.unique(w.hash[lo:hi]))
-                    own = np.unique(place[lo:hi])
-                    own = own[own >= 0]
-                    for label, order, need, prefix in rules:
-                        if size < need:
-                            continue
-                        shared = np.isin(prefix, own)
-                        if not shared.any():
-                            continue
-                        i = int(np.argmax(shared))
-                        j = int(np.searchsorted(own, prefix[i]))
-                        if 1 + min(len(order) - i - 1, len(own) - j - 1) < need:
-                            continue
-                        overlap = len(np.intersect1d(order, own, assume_unique=True))
-                        if overlap >= need:
-                            r, share = int(w.row[lo]), overlap / len(order)
-                            key = (label, int(number[lo]), int(number[hi - 1]))
+                    for rule in rules:
+                        if share := meets(rule, w.hash[lo:hi], place[lo:hi]):
+                            r, key = int(w.row[lo]), (rule[0], int(number[lo]), int(number[hi - 1]))
                             met[r][key] = max(share, met[r].get(key, 0.0))
+                marks = np.append(0, np.cumsum(prefix_words[place] & (place >= 0)))
+                at, first_word, after = _breaks(t, w, block)
+                for rule in rules:
+                    begin, stop = np.maximum(first_word, at - rule[4]), np.minimum(after, at + rule[4])
+                    for k in np.flatnonzero(marks[stop] > marks[begin]).tolist():
+                        lo, hi = int(begin[k]), int(stop[k])
+                        if share := meets(rule, w.hash[lo:hi], place[lo:hi]):
+                            own = lo + np.flatnonzero(np.isin(place[lo:hi], rule[1]))
+                            r, a, z = int(w.row[lo]), int(number[own[0]]), int(number[own[-1]])
+                            near = [x for x in met[r] if x[0] == rule[0] and x[1] <= z and a <= x[2]]
+                            if all(met[r][x] < share for x in near):  # of blocks that overlap the best stays
+                                for x in near:
+                                    del met[r][x]
+                                met[r][rule[0], a, z] = share
             has = n_base > 0
             yield pa.RecordBatch.from_arrays(
                 [

@@ -396,6 +396,25 @@ def test_licences_against_brute_force(spark):
     assert licenses.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_hard_wrapped_notices(spark):
+    import textwrap
+
+    rows, expected = [], {}
+    for label, notice in licenses.TEMPLATES:
+        for width in (60, 70, 72, 80):
+            for mark in ("", "# ", " * ", "// "):
+                for before in ("", "Copyright of the holders. " * 3):
+                    i = len(rows)
+                    rows.append((i, "import x\n" + "\n".join(mark + line for line in textwrap.wrap(before + notice + " THE SOFTWARE IS PROVIDED AS IS. " * 4, width)) + "\nend"))
+                    expected[i] = label
+    words = licenses.TEMPLATES[7][1].split()
+    apart = "\n\n".join([" ".join(words[:10]), " ".join(words[10:])])
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([*rows, (-1, apart), (-2, apart.replace("\n\n", "\n"))], DOCS), phrases={}).collect()}
+    assert all(expected[i] in got[i]["labels"] for i in expected)
+    assert got[-1]["labels"] == [] and got[-2]["labels"] == ["bsd"]
+    assert len(got[-2]["blocks"]) == 1 and got[-2]["blocks"][0]["first_word"] == 0
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 2**32 - 1))
 def test_set_join_filters_lose_no_block(seed):
