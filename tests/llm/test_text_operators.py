@@ -330,6 +330,19 @@ def test_leaks_and_their_places(spark, monkeypatch):
     assert decontaminate.leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_quotes_of_a_segment_are_found_at_any_offset(spark):
+    rng = np.random.default_rng(12)
+    prose = lambda k: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(k))
+    item, clean = prose(40), prose(30)
+    quotes = [(at, item[at : at + 80].strip()) for at in range(len(item) - 79)]
+    changed = [(1000 + at, q[:20] + "z" + q[21:50] + q[51:]) for at, q in quotes]
+    short = [(2000 + at, item[at : at + 60].strip()) for at in range(len(item) - 79)]
+    docs = spark.createDataFrame([(i, f"{clean}. {q}. {clean}") for i, q in [*quotes, *changed, *short]], DOCS)
+    got = {r["doc_id"]: r for r in decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    assert set(got) == {i for i, _ in [*quotes, *changed]}
+    assert {got[i]["edits"] for i, q in quotes if len(q) == 80} == {0} and {got[i]["edits"] for i, q in changed if len(q) == 79} == {2}
+
+
 # 6, language
 
 
