@@ -354,7 +354,10 @@ def valuation_summary(clean: DataFrame, states: DataFrame, policy: DataFrame, ca
 
 def publish_gate(valuation: DataFrame, calendar: DataFrame, now: Column) -> DataFrame:
     """Withdraw other algorithm versions, of which only date, status and reason stay; mark late prices or old earnings stale,
-    which keep the multiple but no rank. Reference prices go through `published_references`."""
+    which keep the multiple but no rank. Reference prices go through `published_references`. A valuation without the
+    column `reason` gets one, null where nothing is withdrawn."""
+    if "reason" not in valuation.columns:
+        valuation = valuation.withColumn("reason", F.lit(None).cast("string"))
     rows = session_lag(valuation.drop("lag_sessions").withColumn("priced_on", F.col("as_of")), calendar, now)
     other = F.coalesce(F.col("algorithm_version") != ALGORITHM_VERSION, F.lit(True))
     age = F.datediff(now.cast("date"), "eps_period_end")
