@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, html_template, langid, licenses, near_dedup, pieces, suffix_dedup, topk, toxicity, url_filters
+from plumbline.llm import decontaminate, html_template, langid, licenses, line_dedup, near_dedup, pieces, suffix_dedup, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -148,3 +148,20 @@ def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_template.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("op11_line_dedup", f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents),
+k AS (
+  SELECT *, trim(translate(line, '{url_filters.UPPER}', '{url_filters.LOWER}'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+often AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, coalesce(k.doc_id <> o.last, FALSE) AS gone FROM k LEFT JOIN often o ON k.key = o.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""")
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without lines that a later document repeats."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return line_dedup.without_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
