@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, html_template, langid, licenses, line_dedup, near_dedup, pieces, suffix_dedup, topk, toxicity, url_filters
+from plumbline.llm import conversation_repair, decontaminate, html_template, langid, licenses, line_dedup, near_dedup, pieces, suffix_dedup, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -165,3 +165,67 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without lines that a later document repeats."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return line_dedup.without_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII string: one step of eight shifts per character."""
+    shifts = "lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    step = f"list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), {shifts})"
+    symbols = f"list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {symbols}), lambda c, b: {step}), 4294967295)"
+
+
+@query("op12_repair", f"""
+WITH RECURSIVE f AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM f WHERE f <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ending
+  FROM d),
+c AS (
+  SELECT conv_id, turn, role, text, k, left(role, 1) AS i, ending = '' AS blank, ending <> '' AND nth > 1 AS dup,
+    ending <> '' AND nth = 1 AND right(ending, 1) NOT IN ('.', '!', '?') AS trunc,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair
+  FROM o),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+    count(*) FILTER (trunc) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n
+  FROM c GROUP BY conv_id),
+best AS (  -- the cheapest edits of the rows from k on, by state: s0 start, s1 after s, s2 after u, s3 after a
+  SELECT conv_id, n + 1 AS k, (0, '') AS s0, (10, 'II') AS s1, (5, 'I') AS s2, (0, '') AS s3 FROM counted
+  UNION ALL
+  SELECT conv_id, k, list_min([v0, (v2[1] + 5, 'I' || v2[2]), (v3[1] + 10, 'II' || v3[2])]), list_min([v1, (v2[1] + 5, 'I' || v2[2]), (v3[1] + 10, 'II' || v3[2])]),
+    list_min([v2, (v3[1] + 5, 'I' || v3[2])]), list_min([v3, (v2[1] + 5, 'I' || v2[2])])
+  FROM (
+    SELECT b.conv_id, c.k,
+      list_min([(s0[1] + 2, 'D' || s0[2]), (s2[1] + 1 + t, 'R' || s2[2]), (CASE i WHEN 's' THEN s1[1] WHEN 'u' THEN s2[1] ELSE 1000000000 END + t, 'K' || CASE i WHEN 's' THEN s1[2] ELSE s2[2] END)]) AS v0,
+      list_min([(s1[1] + 2, 'D' || s1[2]), (s2[1] + 1 + t, 'R' || s2[2]), (CASE i WHEN 'u' THEN s2[1] ELSE 1000000000 END + t, 'K' || s2[2])]) AS v1,
+      list_min([(s2[1] + 2, 'D' || s2[2]), (s3[1] + 1 + t, 'R' || s3[2]), (CASE i WHEN 'a' THEN s3[1] ELSE 1000000000 END + t, 'K' || s3[2])]) AS v2,
+      list_min([(s3[1] + 2, 'D' || s3[2]), (s2[1] + 1 + t, 'R' || s2[2]), (CASE i WHEN 'u' THEN s2[1] ELSE 1000000000 END + t, 'K' || s2[2])]) AS v3
+    FROM best b JOIN (SELECT *, CASE WHEN blank OR dup THEN 1000000000 WHEN trunc THEN 5 ELSE 0 END AS t FROM c) c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.k = b.k - 1)),
+solved AS (SELECT conv_id, s0[1] AS cost, s0[2] AS audit FROM best WHERE k = 1),
+edits AS (
+  SELECT conv_id, e, step, count(*) FILTER (e <> 'I') OVER w AS k, count(*) FILTER (e <> 'D') OVER w AS out, count(*) FILTER (e <> 'D') OVER (PARTITION BY conv_id) % 2 AS headed
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS e, unnest(range(length(audit))) AS step FROM solved WHERE audit <> '')
+  WINDOW w AS (PARTITION BY conv_id ORDER BY step)),
+turns AS (
+  SELECT e.conv_id, e.out, CASE WHEN e = 'K' THEN c.role WHEN (e.out + e.headed) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE c.text END AS line
+  FROM edits e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id AND c.k = e.k AND e <> 'I' WHERE e <> 'D'),
+hashed AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY out)) AS sha FROM turns GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM a.conv_id
+  LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN hashed h ON h.conv_id IS NOT DISTINCT FROM a.conv_id""")
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of every damaged conversation."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    done = conversation_repair.repaired(conversation_repair.damage(rows))
+    shas = conversation_repair.digests(done.turns).withColumnRenamed("conv_id", "_conv")
+    joined = done.report.join(shas, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    return joined.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))

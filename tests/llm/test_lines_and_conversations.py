@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from plumbline.llm import line_dedup, queries
+from plumbline.llm import conversation_repair, line_dedup, queries
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -61,3 +66,125 @@ def test_lines_plan_is_native_and_texts_move_once(spark):
     assert found.where("kept = 'own'").count() == 4
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+# 12, repair
+
+
+def edits_of(rows, k):
+    """Row k: every (edit, role initial it leaves or none, cost)."""
+    initial, fault = divmod(conversation_repair.LETTERS.index(rows[k]), 4)
+    yield "D", "", 2
+    if fault < 2:
+        yield "K", "sua-"[initial], 5 * fault
+        yield "R", "u", 1 + 5 * fault
+        yield "R", "a", 1 + 5 * fault
+
+
+def cheapest(rows):
+    """Every edit list with up to two inserts before each row and at the end."""
+    inserts = [("", ""), ("I", "u"), ("I", "a"), ("II", "ua"), ("II", "au")]
+    best = None
+    for gaps in itertools.product(inserts, repeat=len(rows) + 1):
+        for edits in itertools.product(*(edits_of(rows, k) for k in range(len(rows)))):
+            roles = "".join(g[1] + e[1] for g, e in zip(gaps, [*edits, ("", "", 0)]))
+            if re.fullmatch("(s?(ua)+)?", roles):
+                audit = "".join(g[0] + e[0] for g, e in zip(gaps, [*edits, ("", "", 0)]))
+                found = (5 * audit.count("I") + sum(e[2] for e in edits), audit)
+                best = min(best or found, found)
+    return best
+
+
+def suffixes(rows):
+    """The same by the cheapest edits of every suffix, from each state."""
+    follows = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    best = {"": (0, ""), "s": (10, "II"), "u": (5, "I"), "a": (0, "")}
+    for k in range(len(rows) - 1, -1, -1):
+        plain = {}
+        for state in follows:
+            plain[state] = min(
+                (cost + best[to][0], e + best[to][1]) for e, left, cost in edits_of(rows, k)
+                if (to := follows[state].get(left) if left else state) is not None
+            )
+        one = {q: min(plain[q], (5 + plain[w][0], "I" + plain[w][1])) for q, w in (("", "u"), ("s", "u"), ("u", "a"), ("a", "u"))}
+        best = {q: min(one[q], (5 + one[w][0], "I" + one[w][1])) for q, w in (("", "u"), ("s", "u"), ("u", "a"), ("a", "u"))}
+    return best[""]
+
+
+def test_auction_against_all_edit_lists():
+    for n in range(3):
+        for rows in itertools.product(conversation_repair.LETTERS, repeat=n):
+            assert conversation_repair.repair("".join(rows)) == cheapest(rows) == suffixes(rows)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=conversation_repair.LETTERS, max_size=90))
+def test_auction_against_suffixes(rows):
+    assert conversation_repair.repair(rows) == suffixes(rows)
+
+
+def test_auction_grows_with_the_rows():
+    rng = random.Random(1)
+    for alphabet in ("ABC", conversation_repair.LETTERS, "EEEI", "B", "M"):
+        rows = "".join(rng.choice(alphabet) for _ in range(6_000))
+        assert conversation_repair.repair(rows) == suffixes(rows)
+
+
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def repaired_by_hand(rows):
+    """conv_id: (gaps, blank, duplicate, truncated, illegal, cost, audit, digest), rows as the contract damages them."""
+    kept = defaultdict(list)
+    for conv, turn, role, text in rows:
+        fault = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        kept[conv] += [(turn, "user" if fault == 4 else role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1)
+    out = {}
+    for conv, turns in kept.items():
+        turns.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        seen, letters = set(), ""
+        for _, role, text in turns:
+            ending = text.rstrip(SPACE)
+            fault = 2 if not ending else 3 if (role, text) in seen else 0 if ending[-1] in ".!?" else 1
+            seen.add((role, text))
+            letters += conversation_repair.LETTERS[4 * ("sua".find(role[:1]) if role else -1) % 16 + fault]
+        cost, audit = suffixes(letters)
+        numbers = [t for t, _, _ in turns if t is not None]
+        firsts = [role[:1] for _, role, _ in turns]
+        lines, k, headed = [], 0, sum(e != "D" for e in audit) % 2
+        for e in audit:
+            if e != "D":
+                role = turns[k][1] if e == "K" else ("user", "assistant")[(len(lines) + headed) % 2]
+                lines.append(f"{role}:{'' if e == 'I' else turns[k][2]}")
+            k += e != "I"
+        faults = [conversation_repair.LETTERS.index(c) % 4 for c in letters]
+        out[conv] = (
+            max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0, faults.count(2), faults.count(3), faults.count(1),
+            sum(a + b not in ("su", "ua", "au") for a, b in zip(firsts, firsts[1:])), cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest(),
+        )
+    return out
+
+
+def repair_query(spark, tmp_path, rows):
+    path = str(tmp_path / f"c{random.random()}")
+    spark.createDataFrame([(*r, "clash", 7) for r in rows], "conv_id bigint, turn bigint, role string, text string, letter string, copies int").write.parquet(f"{path}/conversations.parquet")
+    columns = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    return {r["conv_id"]: tuple(r[c] for c in columns) for r in queries.QUERIES["op12_repair"](spark, path).collect()}
+
+
+def test_repair_against_brute_force(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    roles, texts = ["system", "user", "assistant", "user", "assistant", "tool", "", None, "sys"], ["Hi.", "Hi", "No!", "Why?\n", " ", "", "\t\x0b", None, "é.", "...", "Hi. "]
+    rows = []
+    for c in [*range(120), -3, None]:
+        for t in range(rng.randrange(1, 9)):
+            text = rng.choice(texts)
+            rows.append((c, None if t == 0 and rng.random() < 0.1 else 2 * t, rng.choice(roles), text if text is None or rng.random() < 0.4 else f"{t} {text}"))
+    rows += [(500, t, ("user", "assistant")[t % 2], f"{t}.") for t in range(700)] + [(501, 3, "user", "x" * 300_000 + "."), (502, 1, "user", "Hi."), (502, 1, "user", "Hi."), (502, 1, "user", "Hi.")]
+    monkeypatch.setattr(conversation_repair, "PIECE", 64)
+    assert repair_query(spark, tmp_path, rows) == repaired_by_hand(rows)
+    assert repair_query(spark, tmp_path, []) == {}
+    gone = next(i for i in range(100) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
+    assert repair_query(spark, tmp_path, [(gone, 0, "user", "Hi.")]) == {gone: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
