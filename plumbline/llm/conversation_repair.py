@@ -23,7 +23,6 @@ role and text are one row and its duplicates.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.hashing import joined_sha256
 from plumbline.llm.line_dedup import SPACES, digest
 from plumbline.llm.store import land
 from plumbline.operators.matching import global_rank
@@ -256,22 +256,6 @@ def repaired(rows: DataFrame) -> Repaired:
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """SHA-256 of each conversation's `role:text`, newline-joined, read row by row in order: no conversation is held in memory."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
-        for batch in batches:
-            for i, (role, text) in enumerate(zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-                conv = batch.column("conv_id").slice(i, 1)
-                if state is None or not conv.equals(last):
-                    if state is not None:
-                        yield pa.RecordBatch.from_arrays([last, pa.array([state.hexdigest()])], ["conv_id", "repaired_sha256"])
-                    last, state = conv, hashlib.sha256()
-                else:
-                    state.update(b"\n")
-                state.update(f"{role}:{text}".encode())
-        if state is not None:
-            yield pa.RecordBatch.from_arrays([last, pa.array([state.hexdigest()])], ["conv_id", "repaired_sha256"])
-
-    schema = f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, repaired_sha256 string"
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "out").mapInArrow(run, schema)
+    """SHA-256 of each conversation's `role:text`, newline-joined."""
+    lines = turns.withColumn("line", F.concat("role", F.lit(":"), "text"))
+    return joined_sha256(lines, "conv_id", "out", "line", "\n", "repaired_sha256")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import conversation_repair, decontaminate, html_template, langid, licenses, line_dedup, near_dedup, pieces, suffix_dedup, topk, toxicity, url_filters
+from plumbline.llm import conversation_repair, decontaminate, html_template, langid, licenses, line_dedup, near_dedup, pieces, prefix_trie, suffix_dedup, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -229,3 +229,32 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     shas = conversation_repair.digests(done.turns).withColumnRenamed("conv_id", "_conv")
     joined = done.report.join(shas, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
     return joined.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+
+
+@query("op13_trie", f"""
+WITH o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+g AS (
+  SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h, list(struct_pack(role, text) ORDER BY k) AS turns FROM o GROUP BY conv_id),
+r AS (
+  SELECT g.conv_id, list_concat(coalesce(b.turns, [])[1:g.h], g.turns[g.h + 1:]) AS turns FROM g LEFT JOIN g b ON b.conv_id = g.conv_id - g.conv_id % 20),
+p AS (SELECT conv_id, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
+n AS (
+  SELECT depth, turns[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM p GROUP BY 1, 2),
+w AS (
+  SELECT c.*, u.conv_id AS parent_conv_id, coalesce(k.n_children, 0) AS n_children,
+    CASE WHEN c.depth = 0 THEN 0 ELSE (c.n_convs - 1) * len(regexp_extract_all(c.path[c.depth].text, '[^\\x20\\x09-\\x0D]+')) END AS saved
+  FROM n c LEFT JOIN n u ON u.depth = c.depth - 1 AND u.path = c.path[1:c.depth - 1]
+    LEFT JOIN (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2) k ON k.depth = c.depth AND k.path = c.path),
+s AS (
+  SELECT depth, path, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves
+  FROM (SELECT unnest(range(depth + 1)) AS depth, path AS whole, saved, n_children = 0 AS leaf, path[1:unnest(range(depth + 1))] AS path FROM w)
+  GROUP BY 1, 2)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM w JOIN s ON s.depth = w.depth AND s.path = w.path""")
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))

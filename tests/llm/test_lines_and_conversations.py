@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import conversation_repair, line_dedup, queries
+from plumbline.llm import conversation_repair, line_dedup, prefix_trie, queries
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -188,3 +188,78 @@ def test_repair_against_brute_force(spark, tmp_path, monkeypatch):
     assert repair_query(spark, tmp_path, []) == {}
     gone = next(i for i in range(100) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
     assert repair_query(spark, tmp_path, [(gone, 0, "user", "Hi.")]) == {gone: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
+
+
+# 13, trie
+
+
+def trie_by_hand(rows):
+    turns = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            turns[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(v)] for c, v in turns.items()}
+    nodes = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        path = tuple(own.get(int(c / 20) * 20, [])[:h] + v[h:])
+        for d in range(len(path) + 1):
+            nodes.setdefault(path[:d], ([], []))[0].append(c)
+        nodes[path][1].append(c)
+    out = {}
+    for path, (members, ends) in sorted(nodes.items(), key=lambda x: -len(x[0])):
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", path[-1][1])) if path else 0
+        below = [v for k, v in out.items() if len(k) == len(path) + 1 and k[:-1] == path]
+        out[path] = (
+            min(members), len(path), min(nodes[path[:-1]][0]) if path else None, len(members), len(below), sum(v[5] for v in below) or 1,
+            (len(members) - 1) * words + sum(v[6] for v in below), hashlib.sha256(",".join(map(str, sorted(ends))).encode()).hexdigest(),
+        )
+    return sorted(out.values(), key=repr)
+
+
+def trie_query(spark, tmp_path, rows):
+    path = str(tmp_path / f"t{random.random()}")
+    spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, depth int, turns string").write.parquet(f"{path}/conversations.parquet")
+    return sorted((tuple(r) for r in queries.QUERIES["op13_trie"](spark, path).collect()), key=repr)
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges stay as many as there are shuffle partitions, however small."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_trie_against_brute_force(spark, tmp_path, monkeypatch, many_ranges):
+    rng = random.Random(9)
+    rows = []
+    for c in [*range(130), *range(1000, 1040), -7, 2**40]:
+        if c % 20 or c < 60:
+            same = c % 3 == 0  # a third are copies
+            for t in range(5 if same else rng.randrange(1, 7)):
+                who = ("user", "assistant")[t % 2]
+                rows.append((c, None if t == 0 and c % 4 == 0 else t, who, f"a turn {t}" if same else rng.choice(["a b", "a  b", "", None, "é\x0bz", f"turn {t}"])))
+    rows += [(600, t, "user", f"step {t % 3}") for t in range(90)] + [(601, t, "user", f"step {t % 3}") for t in range(80)] + [(602, 1, None, "long " * 40_000)]
+    rows += [(603, 1, "user", "twice"), (603, 1, "user", "twice"), (None, 1, "user", "no id"), (None, 2, None, None)]
+    rng.shuffle(rows)
+    expected = trie_by_hand(rows)
+    for width in (2, 32):
+        monkeypatch.setattr(prefix_trie, "WIDTH", width)
+        assert trie_query(spark, tmp_path, rows) == expected
+    assert trie_query(spark, tmp_path, []) == []
+    assert trie_query(spark, tmp_path, [(None, 1, "user", "a")]) == []
+    lone = next(c for c in range(21, 40) if zlib.crc32(str(c).encode()) % 4)  # its head is absent: no turns are left
+    assert trie_query(spark, tmp_path, [(lone, 0, "user", "gone")]) == trie_by_hand([(lone, 0, "user", "gone")])
+
+
+def test_range_holds_few_edges():
+    sizes = np.array([3, 3, 2, 1, 3])
+    high = np.array([1, 1, 1, 1, 1, 2, 1, 2, 2, 3, 3, 3])
+    levels = prefix_trie._Levels(np.arange(5), sizes, high, high * 0, high * 0 + 1)
+    paths = {i: [int(levels.high[i])] for i in range(levels.total)}
+    assert len(levels.edges()) == 7 and levels.total == 10 and paths[0] == [0]
+    assert levels.count.tolist()[:4] == [5, 3, 1, 1]
