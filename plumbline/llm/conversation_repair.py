@@ -163,20 +163,24 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per edit that leaves a turn: place of the row (null for an insert), place in the result, role (null: its own)."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            piece = batch.column("piece")[i].as_py()
-            edits = np.frombuffer(piece["audit"].encode(), np.uint8)
-            inserted = edits == ord("I")
-            places = piece["place"] + np.cumsum(~inserted) - 1
-            out = piece["out"] + np.cumsum(edits != ord("D")) - 1
-            left = edits != ord("D")
-            odd = (out + piece["headed"]) % 2 == 1
-            roles = pa.array(np.where(odd, "assistant", "user")[left], mask=(edits == ord("K"))[left])
-            convs = pa.concat_arrays([batch.column("conv").slice(i, 1)]).take(pa.array(np.zeros(int(left.sum()), np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [convs, pa.array(places[left], mask=inserted[left]), pa.array(out[left]), roles.cast(pa.string())], ["conv", "place", "out", "new_role"],
-            )
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            pieces = batch.column("piece").to_pylist()
+            edits = np.frombuffer("".join(p["audit"] for p in pieces).encode(), np.uint8)
+            row = np.repeat(np.arange(len(pieces)), [len(p["audit"]) for p in pieces])
+            first = np.searchsorted(row, np.arange(len(pieces)))
+            inserted, left = edits == ord("I"), edits != ord("D")
+            rows, outs = (np.concatenate([[0], np.cumsum(x)]) for x in (~inserted, left))
+
+            def counted(sums: np.ndarray, start: str) -> np.ndarray:
+                return (np.array([p[start] for p in pieces], np.int64) - sums[first])[row] + sums[1:] - 1
+
+            places, out = counted(rows, "place"), counted(outs, "out")
+            odd = (out + np.array([p["headed"] for p in pieces], np.int64)[row]) % 2 == 1
+            roles = pa.array(np.where(odd, "assistant", "user")[left], mask=(edits == ord("K"))[left]).cast(pa.string())
+            columns = [batch.column("conv").take(pa.array(row[left])), pa.array(places[left], mask=inserted[left]), pa.array(out[left]), roles]
+            yield pa.RecordBatch.from_arrays(columns, ["conv", "place", "out", "new_role"])
 
 
 def damage(conversations: DataFrame) -> DataFrame:
