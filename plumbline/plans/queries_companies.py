@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,8 +14,9 @@ from plumbline.plans import fixtures as fx
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.plans.sql_views import AS_OF, day, r2
+from plumbline.session import shared_folder
 from plumbline.sources.sinks import insert_absent
-
+from plumbline.sources.versions import Table, publish_guarded
 
 
 def rounded(df, digits, *names):
@@ -314,11 +318,40 @@ def suspend_on_new_filing(spark, sf):
 @query("publish_if_current", "J15", """
 SELECT symbol, revenue, NOT ends_with(symbol, '6') AS accepted FROM v_snapshot""")
 def publish_if_current(spark, sf):
+    computed = hashed_snapshot(spark, sf)
+    return quotes.publish_if_current(computed, rehashed(computed, "6")).select("symbol", "revenue", "accepted")
+
+
+def hashed_snapshot(spark, sf):
     shots = V.snapshot(spark, sf).select("symbol", "revenue", "period_end")
-    computed = shots.withColumn("input_hash", S.content_hash("symbol", "revenue", "period_end"))
-    stored = shots.withColumn("revenue", F.when(F.col("symbol").endswith("6"), F.col("revenue") + 1).otherwise(F.col("revenue")))
-    stored = stored.withColumn("input_hash", S.content_hash("symbol", "revenue", "period_end"))
-    return quotes.publish_if_current(computed, stored).select("symbol", "revenue", "accepted")
+    return shots.withColumn("input_hash", S.content_hash("symbol", "revenue", "period_end"))
+
+
+def rehashed(rows, *endings):
+    """The rows with the revenue of symbols that end so changed, and the hash that goes with it."""
+    changed = reduce(or_, [F.col("symbol").endswith(e) for e in endings])
+    rows = rows.withColumn("revenue", F.when(changed, F.col("revenue") + 1).otherwise(F.col("revenue")))
+    return rows.withColumn("input_hash", S.content_hash("symbol", "revenue", "period_end"))
+
+
+@query("published_versions", "J15 S9", """
+SELECT symbol, revenue, 2 AS version FROM v_snapshot WHERE NOT ends_with(symbol, '6') UNION ALL
+SELECT symbol, revenue + CASE WHEN ends_with(symbol, '6') OR ends_with(symbol, '3') THEN 1 ELSE 0 END, 3 FROM v_snapshot""")
+def published_versions(spark, sf):
+    """Results are published under the version of their inputs: those computed from old inputs wait until they are computed anew."""
+    inputs, outputs = (Table(spark, shared_folder(spark, name)) for name in ("inputs", "results"))
+    computed = hashed_snapshot(spark, sf)
+    inputs.upsert(computed, ["symbol"], ["period_end"], 8)
+    outputs.upsert(computed.limit(0), ["symbol"], ["input_hash"], 8)
+    inputs.upsert(rehashed(computed, "6").where(F.col("symbol").endswith("6")), ["symbol"], ["period_end"], 8)
+    publish_guarded(computed, inputs, outputs, ["symbol"], buckets=8)
+    second = outputs.version()
+    inputs.upsert(rehashed(computed, "3").where(F.col("symbol").endswith("3")), ["symbol"], ["period_end"], 8)
+    waiting = publish_guarded(rehashed(computed, "6", "3"), inputs, outputs, ["symbol"], buckets=8)
+    if not waiting.isEmpty():
+        raise AssertionError("every result was current")
+    return outputs.read(second).select("symbol", "revenue", F.lit(second).alias("version")).unionByName(
+        outputs.read().select("symbol", "revenue", F.lit(outputs.version()).alias("version")))
 
 
 @query("content_versions", "Y4 P15 S10", """

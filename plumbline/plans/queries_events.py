@@ -12,6 +12,7 @@ from plumbline.plans.registry import query
 from plumbline.plans.sql_views import day
 from plumbline.session import shared_folder
 from plumbline.sources import readers, sinks
+from plumbline.sources.versions import Table
 from plumbline.streaming import streams
 
 _SPAN = f"{day('start')}, {day('end')}, {day('filed')}"
@@ -461,7 +462,7 @@ def quote_stream(spark, sf):
     path = shared_folder(spark, "quote_history")
     rows = quotes.clean_quotes(fx.quote_rows(fx.table(spark, sf, "events")))
     _run(spark, rows, "event_id", "quotes", lambda stream, checkpoint: streams.append_quotes(stream, path, checkpoint, buckets=4))
-    return spark.read.parquet(path).select("symbol", "captured_at", "price")
+    return Table(spark, path).read().select("symbol", "captured_at", "price")
 
 
 @query("latest_quote_stream", "Y2 S9", """
@@ -472,7 +473,7 @@ def latest_quote_stream(spark, sf):
     path = shared_folder(spark, "latest_quote")
     rows = quotes.clean_quotes(fx.quote_rows(fx.table(spark, sf, "events")))
     _run(spark, rows, "event_id", "latest", lambda stream, checkpoint: streams.upsert_quotes(stream, path, checkpoint))
-    return spark.read.parquet(path).select("symbol", "price", "quote_at", "error")
+    return Table(spark, path).read().select("symbol", "price", "quote_at", "error")
 
 
 @query("filing_stream", "Y3 S10", """
@@ -482,7 +483,7 @@ def filing_stream(spark, sf):
     rows = filings.relevant_filings(fx.filing_rows(fx.table(spark, sf, "orders"))).select("symbol", "accession", "filed")
     rows = rows.withColumn("number", F.substring("accession", 1, 10).cast("long"))
     _run(spark, rows, "number", "filings", lambda stream, checkpoint: streams.append_filings(stream, path, checkpoint, lambda n: F.lit(n).cast("long"), 4))
-    return spark.read.parquet(path).select("symbol", "accession", F.col("discovered_at").alias("first_batch"))
+    return Table(spark, path).read().select("symbol", "accession", F.col("discovered_at").alias("first_batch"))
 
 
 @query("batch_log", "Y9 S11", """

@@ -1,21 +1,12 @@
-"""Sinks. The merges are DataFrame functions; the keyed writers put their result in Parquet tables partitioned by key hash.
-
-A keyed table has a folder beside it (`<path>__layout`) that holds its bucket count; a writer that names another one is
-refused, because a key would land in two buckets. A write reads and replaces only the buckets its rows fall into, and gives a
-bucket as many tasks as its rows need.
-"""
+"""Sinks. The merges are DataFrame functions; `versions.Table` keeps keyed tables with them."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.matching import keep_latest
 
-ROWS_PER_FILE = 2_000_000
-
-
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Insert or replace by key: the greatest `order` wins, incoming over existing on a tie."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
@@ -34,69 +25,6 @@ def run_log(outcomes: DataFrame, detail_length: int | None = None) -> DataFrame:
     return outcomes.select("source", "status", detail.alias("detail"), "created_at")
 
 
-def with_bucket(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-
-
-def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
-
-
-def bucket_count(spark: SparkSession, path: str, asked: int) -> int:
-    """The stored bucket count of a keyed table, written on first use; another one is an error."""
-    layout = f"{path.rstrip('/')}__layout"
-    if not table_exists(spark, layout):
-        spark.createDataFrame([(asked,)], "buckets int").coalesce(1).write.parquet(layout)
-        return asked
-    stored = spark.read.parquet(layout).first()["buckets"]
-    if stored != asked:
-        raise ValueError(f"{path} has {stored} buckets, not {asked}")
-    return stored
-
-
-def touched_rows(spark: SparkSession, path: str, incoming: DataFrame) -> DataFrame:
-    """Stored rows of the buckets that `incoming` falls into, as a literal partition filter."""
-    numbers = sorted(r["bucket"] for r in incoming.select("bucket").distinct().collect())  # at most the bucket count
-    return spark.read.parquet(path).where(F.col("bucket").isin(numbers))
-
-
-def spread(df: DataFrame, keys: list[str], tasks_per_bucket: int) -> DataFrame:
-    """One shuffle by bucket and key hash, so a large bucket is written by several tasks."""
-    return df.repartition("bucket", F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(tasks_per_bucket)))
-
-
-def _tasks(df: DataFrame) -> int:
-    largest = df.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-    return max(1, -(-largest // ROWS_PER_FILE))
-
-
-def write_upsert(df: DataFrame, path: str, keys: list[str], order: list[str], buckets: int = 64) -> None:
-    """Upsert into a table split by key hash: only the buckets that receive rows are read, merged and replaced."""
-    spark = df.sparkSession
-    buckets = bucket_count(spark, path, buckets)
-    incoming = with_bucket(df, keys, buckets)
-    stored = touched_rows(spark, path, incoming).drop("bucket") if table_exists(spark, path) else df.limit(0)
-    merged = with_bucket(upsert(stored, df, keys, order), keys, buckets)
-    # the table is read and replaced in one job, so the merged rows are written aside first
-    staging = f"{path.rstrip('/')}__staging"
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(staging)
-    ready = spark.read.parquet(staging) if table_exists(spark, staging) else merged.limit(0)
-    spread(ready, keys, _tasks(ready)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def write_insert_absent(df: DataFrame, path: str, keys: list[str], order: list[str], buckets: int = 64) -> None:
-    """Append the rows whose key is not stored yet; only the buckets that receive rows are read."""
-    spark = df.sparkSession
-    buckets = bucket_count(spark, path, buckets)
-    incoming = with_bucket(df, keys, buckets)
-    stored = touched_rows(spark, path, incoming) if table_exists(spark, path) else incoming.limit(0)
-    spread(insert_absent(stored, incoming, keys, order), keys, 1).write.mode("append").partitionBy("bucket").parquet(path)
-
-
 def write_run_log(df: DataFrame, path: str, detail_length: int | None = None) -> None:
     run_log(df, detail_length).write.mode("append").parquet(path)
 

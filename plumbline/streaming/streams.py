@@ -1,7 +1,7 @@
 """Streaming jobs over keyed tables. Nothing is dropped for being late: a row counts as known only if its key is stored.
 
-Each job runs as `foreachBatch` over what has arrived. Replaying a batch after a failure gives the same tables: inserts skip
-stored keys, states keep the newest row.
+Each job runs as `foreachBatch` over what has arrived. A batch becomes one version of the table or none; the version notes the
+batch's number, so a batch that is replayed after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -13,20 +13,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from plumbline.operators.quotes import INVALID_PRICE
-from plumbline.sources.sinks import bucket_count, table_exists, touched_rows, with_bucket, write_insert_absent, write_run_log, write_upsert
+from plumbline.sources.sinks import upsert, write_run_log
+from plumbline.sources.versions import Table
 
 Step = Callable[[DataFrame, int], None]
 
 
 def each_batch(stream: DataFrame, checkpoint: str, step: Step) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def run(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # a write counts its rows by bucket before it merges them
+        try:
+            step(batch, number)
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_quotes(stream: DataFrame, path: str, checkpoint: str, order: str = "event_id", buckets: int = 64) -> StreamingQuery:
     """History of valid quotes, one per symbol and capture time: the first that arrived, however late."""
 
-    def step(batch: DataFrame, _: int) -> None:
-        write_insert_absent(batch.where("valid"), path, ["symbol", "captured_at"], [order], buckets)
+    def step(batch: DataFrame, number: int) -> None:
+        table = Table(batch.sparkSession, path)
+        table.insert_absent(batch.where("valid"), ["symbol", "captured_at"], [order], buckets, note=(checkpoint, str(number)))
 
     return each_batch(stream, checkpoint, step)
 
@@ -35,7 +44,9 @@ def append_filings(stream: DataFrame, path: str, checkpoint: str, discovered: Ca
     """Filings not stored yet, by symbol and accession, each with the time `discovered(batch)` of its first batch."""
 
     def step(batch: DataFrame, number: int) -> None:
-        write_insert_absent(batch.withColumn("discovered_at", discovered(number)), path, ["symbol", "accession"], ["filed"], buckets)
+        table = Table(batch.sparkSession, path)
+        rows = batch.withColumn("discovered_at", discovered(number))
+        table.insert_absent(rows, ["symbol", "accession"], ["filed"], buckets, note=(checkpoint, str(number)))
 
     return each_batch(stream, checkpoint, step)
 
@@ -68,11 +79,11 @@ STATE = "symbol string, price double, quote_at timestamp, error string, seen_at
 def upsert_quotes(stream: DataFrame, path: str, checkpoint: str, order: str = "event_id", buckets: int = 8) -> StreamingQuery:
     """Keep the last-good state of each symbol in a keyed table; bad quotes set the error and leave the price."""
 
-    def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        incoming = with_bucket(batch, ["symbol"], bucket_count(spark, path, buckets))
-        stored = touched_rows(spark, path, incoming) if table_exists(spark, path) else spark.createDataFrame([], STATE)
-        write_upsert(merged_state(stored, batch, order), path, ["symbol"], ["seen_at", "seen_id"], buckets)
+    def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
+        return upsert(stored, merged_state(stored, batch, order), ["symbol"], ["seen_at", "seen_id"])
+
+    def step(batch: DataFrame, number: int) -> None:
+        Table(batch.sparkSession, path).commit(batch, ["symbol"], merge, buckets, True, note=(checkpoint, str(number)), columns=STATE)
 
     return each_batch(stream, checkpoint, step)
 

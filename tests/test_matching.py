@@ -3,11 +3,9 @@ from __future__ import annotations
 import random
 from datetime import date, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import matching
-from plumbline.sources import sinks
 
 BASE = date(2020, 1, 1)
 
@@ -54,28 +52,3 @@ def test_top_n_is_exact_for_a_key_with_most_rows(spark):
     hot = sorted((r["v"] for r in rows if r["k"] == "hot"), reverse=True)
     assert hot == [v for v in range(4999, 0, -1) if v % 10 < 9][:30]
     assert {r["_rank"] for r in rows if r["k"] == "hot"} == set(range(1, 31))
-
-
-def test_upsert_and_insert_absent_tables(spark, tmp_path):
-    path = str(tmp_path / "table")
-    schema = "k string, v int, at int"
-    sinks.write_upsert(spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("a", 0, 0)], schema), path, ["k"], ["at"], buckets=4)
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 1)]
-    sinks.write_upsert(spark.createDataFrame([("a", 2, 2), ("c", 3, 2), ("b", 0, 0)], schema), path, ["k"], ["at"], buckets=4)
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [("a", 2), ("b", 1), ("c", 3)]
-    with pytest.raises(ValueError, match="buckets"):
-        sinks.write_upsert(spark.createDataFrame([("z", 1, 1)], schema), path, ["k"], ["at"], buckets=8)
-    log = str(tmp_path / "log")
-    sinks.write_insert_absent(spark.createDataFrame([("a", 1, 1), ("a", 2, 2)], schema), log, ["k"], ["at"])
-    sinks.write_insert_absent(spark.createDataFrame([("a", 9, 9), ("d", 4, 1)], schema), log, ["k"], ["at"])
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(log).collect()) == [("a", 1), ("d", 4)]
-
-
-def test_a_write_reads_only_the_touched_buckets(spark, tmp_path):
-    path = str(tmp_path / "table")
-    rows = spark.range(200).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("at"))
-    sinks.write_upsert(rows, path, ["k"], ["at"], buckets=16)
-    one = sinks.with_bucket(rows.where("k = '7'"), ["k"], 16)
-    stored = sinks.touched_rows(spark, path, one)
-    assert "PartitionFilters: [isnotnull(bucket" in stored._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [bucket" in stored._jdf.queryExecution().executedPlan().toString()
-    assert 0 < stored.count() < 40
