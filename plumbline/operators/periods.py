@@ -86,6 +86,58 @@ def periods_as_of(obs: DataFrame, as_of, policy: DataFrame | None = None) -> Dat
     return with_split_factor(winners, policy, as_of)
 
 
+def validity(obs: DataFrame) -> DataFrame:
+    """Every winning row of a (symbol, metric, start, end) with the days it wins: `[known_from, known_to)`, open at the end.
+
+    A row is known once it is filed and its period has ended. Filing dates decide first, so the winner changes only where a
+    later known row appears; rows known on one day are one step.
+    """
+    keys = ["symbol", "metric", "start", "end"]
+    steps = obs.groupBy(*keys, F.greatest("filed", "end").alias("known_from")).agg(F.max_by(F.struct(*DETAIL), winner_order()).alias("w"))
+    later = F.lead("known_from").over(W.partitionBy(*keys).orderBy("known_from"))
+    return steps.withColumn("known_to", later).select(*keys, "known_from", "known_to", "w.*")
+
+
+def dates_by_year(dates: DataFrame) -> DataFrame:
+    """(symbol, as_of) rows to one row per symbol: a map from year to that year's dates, in order."""
+    yearly = dates.where("as_of IS NOT NULL").groupBy("symbol", F.year("as_of").alias("year")).agg(F.array_sort(F.collect_set("as_of")).alias("days"))
+    return yearly.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("year", "days"))).alias("asked"))
+
+
+def stabbed(since: Column, until: Column, asked: Column) -> Column:
+    """The asked days inside `[since, until)`: whole years between the borders are taken as they are, only years at a border
+    are filtered."""
+    first = F.year(since)
+    last = F.coalesce(F.year(until), F.array_max(F.map_keys(asked)))
+
+    def of_year(year: Column) -> Column:
+        days = F.coalesce(F.try_element_at(asked, year), F.array().cast("array<date>"))
+        border = (year == first) | (year == F.year(until))
+        return F.when(F.coalesce(border, F.lit(False)), F.filter(days, lambda d: (d >= since) & F.coalesce(d < until, F.lit(True)))).otherwise(days)
+
+    return F.when(last >= first, F.flatten(F.transform(F.sequence(first, F.greatest(first, last)), of_year)))
+
+
+def periods_as_of_dates(obs: DataFrame, dates, policy: DataFrame | None = None) -> DataFrame:
+    """`periods_as_of` for many dates in one run, with a column `as_of`.
+
+    `dates` is a list of days for all symbols, or a DataFrame (symbol, as_of); repeated pairs count once, null days and symbols
+    without dates give no rows. Each winner is stabbed by the days of its symbol that lie in its interval of validity, looked
+    up by calendar year inside the row: what moves is one row per winner and what comes out, not facts times dates.
+    """
+    if isinstance(dates, DataFrame):
+        rows = validity(obs).join(dates_by_year(dates), "symbol")
+    else:
+        years: dict[int, list] = {}
+        for day in sorted({str(d) for d in dates if d is not None}):
+            years.setdefault(int(day[:4]), []).append(F.lit(day).cast("date"))
+        if not years:
+            return periods_as_of(obs.limit(0), "1970-01-01", policy).withColumn("as_of", F.lit(None).cast("date"))
+        rows = validity(obs).withColumn("asked", F.create_map(*[x for year, days in years.items() for x in (F.lit(year), F.array(*days))]))
+    found = rows.withColumn("as_of", F.explode(stabbed(F.col("known_from"), F.col("known_to"), F.col("asked")))).drop("known_from", "known_to", "asked")
+    return with_split_factor(found, policy, F.col("as_of"))
+
+
 def knowledge_summary(obs: DataFrame) -> DataFrame:
     """For every filing date of a (symbol, metric): periods known by then, restated ones, and the latest end.
 

@@ -27,6 +27,44 @@ def periods_as_of(spark, sf):
     return periods.periods_as_of(V.raw_obs(spark, sf), V.AS_OF).select("symbol", "metric", "start", "end", "filed", "val", "form", "accn", "concept")
 
 
+MONTHS = 60
+_DATES = f"""SELECT symbol, CAST(DATE '1996-11-03' + to_months(CAST(i AS INTEGER)) + ascii(symbol[-1]) % 20 * INTERVAL 1 DAY AS DATE) AS as_of
+  FROM (SELECT DISTINCT symbol FROM fx_entities), range({MONTHS}) r(i)"""
+_KNOWN = """SELECT o.symbol, as_of, metric, start, "end", filed, val, form, accn, concept FROM v_obs o JOIN d ON d.symbol = o.symbol
+  AND filed <= as_of AND "end" <= as_of
+QUALIFY row_number() OVER (PARTITION BY o.symbol, as_of, metric, start, "end" ORDER BY filed DESC, priority, tax DESC, pos DESC) = 1"""
+
+
+def monthly_dates(spark, sf):
+    """Sixty days per symbol, a month apart; the day of the month follows from the symbol."""
+    step = F.explode(F.sequence(F.lit(0), F.lit(MONTHS - 1)))
+    day = F.date_add(F.add_months(F.lit("1996-11-03").cast("date"), F.col("i")), F.ascii(F.substring("symbol", -1, 1)) % 20)
+    return fx.entities(spark, sf).select("symbol").distinct().withColumn("i", step).select("symbol", day.alias("as_of"))
+
+
+@query("periods_as_of_dates", "C2 W1 F2 J3", f"""
+WITH d AS ({_DATES}), k AS ({_KNOWN}),
+f AS (SELECT k.*, coalesce((SELECT product(ratio) FROM fx_splits s WHERE s.symbol = k.symbol AND effective_date > filed AND effective_date <= as_of), 1e0) AS factor
+  FROM k JOIN fx_known USING (symbol) WHERE metric = 'eps')
+SELECT symbol, {day('as_of')}, {_SPAN}, val / factor AS val, val AS reported_value, factor AS split_adjustment, form, accn FROM f""")
+def periods_as_of_dates(spark, sf):
+    """What was known of every symbol's earnings per share on each of sixty days, on the share basis of the day."""
+    rows = periods.periods_as_of_dates(V.obs(spark, sf).where("metric = 'eps'"), monthly_dates(spark, sf), fx.splits(spark, sf))
+    return rows.select("symbol", "as_of", "start", "end", "filed", "val", "reported_value", "split_adjustment", "form", "accn")
+
+
+@query("known_by_dates", "C2 A16", f"""
+WITH d AS ({_DATES}), k AS ({_KNOWN})
+SELECT symbol, metric, {day('as_of')}, count(*) AS n_periods, CAST(max("end") AS VARCHAR) AS latest_end, CAST(max(filed) AS VARCHAR) AS last_filed,
+  arg_max(val, struct_pack("end", start)) AS latest_val, arg_max(accn, struct_pack(filed, "end", start)) AS last_accn FROM k GROUP BY ALL""")
+def known_by_dates(spark, sf):
+    """All metrics on sixty days per symbol: how many periods were known, the latest one and the last filing."""
+    rows = periods.periods_as_of_dates(V.obs(spark, sf), monthly_dates(spark, sf))
+    return rows.groupBy("symbol", "metric", "as_of").agg(
+        F.count(F.lit(1)).alias("n_periods"), F.max("end").alias("latest_end"), F.max("filed").alias("last_filed"),
+        F.max_by("val", F.struct("end", "start")).alias("latest_val"), F.max_by("accn", F.struct("filed", "end", "start")).alias("last_accn"))
+
+
 @query("split_adjusted_periods", "C2 J3", f"""
 SELECT symbol, {_SPAN}, adjusted AS val, val AS reported_value, factor AS split_adjustment FROM v_factor WHERE metric = 'eps'
   AND filed <= DATE '1999-06-30' AND "end" <= DATE '1999-06-30'
