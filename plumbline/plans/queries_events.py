@@ -9,7 +9,7 @@ from plumbline.operators import directory, filings, matching, quotes
 from plumbline.plans import fixtures as fx
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
-from plumbline.plans.sql_views import day
+from plumbline.plans.sql_views import crc32_sql, day
 from plumbline.session import shared_folder
 from plumbline.sources import readers, sinks
 from plumbline.sources.versions import Table
@@ -111,6 +111,85 @@ def report_pages(spark, sf):
     return readers.read_reports(spark, f"{sf}/pages.parquet").select("page_id", "url", F.length("html").cast("long").alias("characters"))
 
 
+def _files(documents, name, pretty):
+    """Write (symbol, document) rows as files: one document per line, and where `pretty` one per file, printed over many lines.
+
+    Every seventh line document is followed by a line that is cut off."""
+    folder = shared_folder(documents.sparkSession, name)
+    cut = F.when(F.crc32("symbol") % 7 == 0, F.array("document", F.substring("document", 1, 25))).otherwise(F.array("document"))
+    documents.where(~F.expr(pretty)).select(F.explode(cut).alias("value")).write.text(f"{folder}/lines")
+    spaced = F.replace(F.replace("document", F.lit("{"), F.lit("{\n")), F.lit(","), F.lit(",\n "))
+    documents.where(pretty).select("symbol", spaced.alias("value")).repartition("symbol").write.partitionBy("symbol").text(f"{folder}/documents")
+    return folder
+
+
+def _fact_documents(spark, sf):
+    """One document per company, as the provider sends it: taxonomies, concepts, units and their facts, all in maps."""
+    facts = fx.facts(spark, sf)
+    item = F.struct("pos", F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in ("start", "end", "filed", "form", "accn", "val")))).alias("text"))
+
+    def level(rows, keys, key):
+        entries = F.array_sort(F.collect_list(F.concat(F.lit('"'), key, F.lit('":'), "text")))
+        return rows.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("text"))
+
+    items = facts.groupBy("symbol", "taxonomy", "concept", "unit").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rows = items.withColumn("text", F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["text"]), ","), F.lit("]"))).drop("items")
+    rows = level(rows, ["symbol", "taxonomy", "concept"], "unit").withColumn("text", F.concat(F.lit('{"units":'), "text", F.lit("}")))
+    rows = level(level(rows, ["symbol", "taxonomy"], "concept"), ["symbol"], "taxonomy")
+    return rows.select("symbol", F.concat(F.lit('{"cik":"'), F.crc32("symbol").cast("string"), F.lit('","facts":'), "text", F.lit("}")).alias("document"))
+
+
+_PRETTY = "length(symbol) < 12"
+_CIKS = "SELECT DISTINCT symbol FROM fx_entities"
+
+
+@query("facts_files", "S1", f"""
+SELECT symbol, taxonomy, concept, unit, {_SPAN}, form, accn, val,
+  row_number() OVER (PARTITION BY symbol, taxonomy, concept, unit ORDER BY pos) - 1 AS pos FROM fx_facts""")
+def facts_files(spark, sf):
+    """Company facts written as files of both kinds and read back: the company by its cik, the position inside its list."""
+    documents = _fact_documents(spark, sf)
+    path = _files(documents, "facts", _PRETTY)
+    return readers.read_company_facts(spark, path, documents.select(F.crc32("symbol").cast("string").alias("cik"), "symbol"))
+
+
+def _price_documents(spark, sf):
+    """One response per symbol, with all its closing prices as text."""
+    row = F.struct(F.date_format("date", "MM/dd/yyyy").alias("date"), F.format_string("$%.4f", "close").alias("close"))
+    rows = fx.prices(spark, sf).groupBy("symbol").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    data = F.struct("symbol", F.struct("rows").alias("tradesTable"))
+    return rows.select("symbol", F.to_json(F.struct(data.alias("data"))).alias("document"))
+
+
+@query("price_files", "S2", f"SELECT upper(symbol) AS symbol, {day('date')}, close FROM fx_prices")
+def price_files(spark, sf):
+    """Price responses written as files of both kinds and read back."""
+    return readers.read_prices(spark, _files(_price_documents(spark, sf), "prices", _PRETTY))
+
+
+@query("bad_price_records", "S2", f"""
+SELECT count(*) AS records, 25 * count(*) AS characters FROM ({_CIKS}) WHERE length(symbol) >= 12 AND {crc32_sql("symbol")} % 7 = 0
+  AND symbol IN (SELECT symbol FROM fx_prices)""")
+def bad_price_records(spark, sf):
+    """Records that do not parse, as the side table holds them."""
+    path = _files(_price_documents(spark, sf), "prices", _PRETTY)
+    bad = readers.bad_records(readers.json_documents(spark, path, readers.PRICE_DOCUMENT))
+    return bad.agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("bad")).alias("characters"))
+
+
+@query("filing_files", "S4", f"SELECT {_FILING} FROM fx_filings")
+def filing_files(spark, sf):
+    """Submissions of every company, all its filings in parallel arrays, written as files of both kinds and read back."""
+    names = {"accessionNumber": "accession", "form": "form", "filingDate": "filed", "reportDate": "report_date", "primaryDocument": "document", "items": "items"}
+    row = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in names.items()))
+    rows = fx.filings(spark, sf).groupBy("symbol", "cik").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    arrays = F.struct(*(F.col(f"rows.{n}").alias(n) for n in names))
+    document = F.struct("cik", F.array("symbol").alias("tickers"), F.struct(arrays.alias("recent")).alias("filings"))
+    rows = rows.select("symbol", F.to_json(document).alias("document")).withColumn("document", F.replace("document", F.lit("2.02,9.01"), F.lit("2.02;9.01")))
+    read = readers.read_filings(spark, _files(rows, "filings", "crc32(symbol) % 10 = 0"))
+    return read.withColumn("items", F.replace("items", F.lit(";"), F.lit(",")))
+
+
 # scalars -----------------------------------------------------------------------------------------------------------
 
 @query("clean_numbers", "P1", "SELECT event_id, price, change_percent AS pct, CASE WHEN kind = 'view' THEN NULL ELSE CAST(volume AS DOUBLE) END AS volume FROM fx_quotes")

@@ -557,3 +557,11 @@ def complete(body: str) -> str:
     if body.startswith("WITH "):
         return f"WITH {views},\n{body[5:]}"
     return f"WITH {views}\n{body}"
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text of ASCII characters."""
+    shifts = "lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    step = f"list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), {shifts})"
+    symbols = f"list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {symbols}), lambda c, b: {step}), 4294967295)"

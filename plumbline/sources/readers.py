@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,13 +13,57 @@ from plumbline import schemas
 from plumbline.functions import scalars as S
 from plumbline.operators.matching import keep_latest
 
+BAD = "_bad"
+TREE = {"recursiveFileLookup": "true"}  # all files below a path, whatever its folders are called
+
+
+def file_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, per_line): whether most lines of a file that are not blank hold a JSON object each. One scan that splits files."""
+    lines = spark.read.options(**TREE).text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line")).where("line <> ''")
+    whole = F.startswith("line", F.lit("{")) & F.endswith("line", F.lit("}"))
+    return lines.groupBy("path").agg((F.count_if(whole) * 2 >= F.count(F.lit(1))).alias("per_line"))
+
+
+def json_documents(spark: SparkSession, path: str, schema: T.StructType, layout: str | None = None) -> DataFrame:
+    """(path, d, bad): the JSON documents of text files as structs, or the text of a record that does not parse, with null `d`.
+
+    `lines`: one document per line; files are split, a bad line is one bad record. `documents`: a file holds one document, or a
+    list of them, printed over many lines; it is parsed as a stream, a bad file is one bad record. Without a layout each file is
+    told by `file_layouts`. Blank lines are skipped. Which files are of which kind is known to the driver, as their listing is.
+    """
+    fields = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    name = F.col("_metadata.file_path").alias("path")
+
+    def split(paths) -> DataFrame:
+        lines = spark.read.options(**TREE).text(paths).select(name, "value").where(F.trim("value") != "")
+        return lines.select("path", F.from_json("value", fields, options).alias("d")).select("path", "d", F.col(f"d.{BAD}").alias("bad"))
+
+    def streamed(paths) -> DataFrame:
+        # Spark refuses to read the bad record alone; the empty piece of another column keeps that one in the scan
+        other = F.substring(F.coalesce(F.col(schema.fieldNames()[0]).cast("string"), F.lit("")), 1, 0)
+        files = spark.read.schema(fields).options(multiLine=True, **options, **TREE).json(paths)
+        return files.select(name, F.struct(*fields.fieldNames()).alias("d"), F.concat(F.col(BAD), other).alias("bad"))
+
+    if layout is not None:
+        found = {"lines": split, "documents": streamed}[layout](path)
+    else:
+        kinds = {True: [], False: []}
+        for row in file_layouts(spark, path).collect():
+            # the listing gives names as URLs, and Spark takes marks in a name for a pattern
+            kinds[row["per_line"]].append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(row["path"])))
+        parts = [read(kinds[kind]) for kind, read in ((True, split), (False, streamed)) if kinds[kind]] or [split(path)]
+        found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return found.select("path", F.when(F.col("bad").isNull(), F.col("d").dropFields(BAD)).alias("d"), "bad")
+
 
-def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value): the JSON documents of text files, whether a file holds one, printed over many lines, or one per line."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: x != "")
-    per_line = F.forall(lines, lambda x: F.startswith(x, F.lit("{")) & F.endswith(x, F.lit("}")))
-    return files.select("path", F.explode(F.when(per_line, lines).otherwise(F.array("value"))).alias("value"))
+def bad_records(documents: DataFrame) -> DataFrame:
+    """(path, bad): what did not parse; to be written beside the good rows."""
+    return documents.where("bad IS NOT NULL").select("path", "bad")
+
+
+def good(documents: DataFrame) -> DataFrame:
+    return documents.where("bad IS NULL").select("path", "d.*")
 
 
 def parse_company_facts(documents: DataFrame) -> DataFrame:
@@ -34,14 +81,18 @@ def parse_company_facts(documents: DataFrame) -> DataFrame:
     ).where("has_start = false OR start IS NOT NULL").drop("has_start")
 
 
-def read_company_facts(spark: SparkSession, path: str, symbols: DataFrame | None = None) -> DataFrame:
-    """Company-facts files. The provider's documents name a company by `cik`; `symbols` (cik, symbol) gives its symbols, and
-    documents of unknown companies keep a null symbol."""
-    documents = json_documents(spark, path).select(F.from_json("value", schemas.FACTS_DOCUMENT).alias("d")).select("d.*")
+def company_facts(documents: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """Facts of `json_documents` of the schema FACTS_DOCUMENT. The provider's documents name a company by `cik`; `symbols` (cik,
+    symbol) gives its symbols, and documents of unknown companies keep a null symbol."""
+    rows = good(documents)
     if symbols is not None:
         known = symbols.select(F.lpad("cik", 10, "0").alias("_cik"), F.col("symbol").alias("_symbol")).distinct()
-        documents = documents.join(known, F.lpad("cik", 10, "0") == F.col("_cik"), "left").withColumn("symbol", F.coalesce("symbol", "_symbol"))
-    return parse_company_facts(documents.select("symbol", "facts"))
+        rows = rows.join(known, F.lpad("cik", 10, "0") == F.col("_cik"), "left").withColumn("symbol", F.coalesce("symbol", "_symbol"))
+    return parse_company_facts(rows.select("symbol", "facts"))
+
+
+def read_company_facts(spark: SparkSession, path: str, symbols: DataFrame | None = None, layout: str | None = None) -> DataFrame:
+    return company_facts(json_documents(spark, path, schemas.FACTS_DOCUMENT, layout), symbols)
 
 
 def facts_from_json(texts: DataFrame, column: str = "document") -> DataFrame:
@@ -56,11 +107,17 @@ def parse_prices(rows: DataFrame) -> DataFrame:
     return typed.groupBy("symbol", "date").agg(F.max_by("close", "pos").alias("close"))
 
 
-def read_prices(spark: SparkSession, path: str) -> DataFrame:
+PRICE_DOCUMENT = T.StructType([
+    *schemas.PRICE_ROW.fields,
+    T.StructField("data", T.StructType([T.StructField("symbol", T.StringType()), T.StructField("tradesTable", T.StructType([
+        T.StructField("rows", T.ArrayType(T.StructType([T.StructField("date", T.StringType()), T.StructField("close", T.StringType())])))]))])),
+])
+
+
+def read_prices(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
     """Price files: flat rows, or the provider's response, whose rows lie under `data.tradesTable.rows` and whose symbol is
     `data.symbol` or, without one, the file name's last part (`prices-KOLB.json`)."""
-    row = "struct<symbol:string,date:string,close:string,pos:bigint,data:struct<symbol:string,tradesTable:struct<rows:array<struct<date:string,close:string>>>>>"
-    documents = json_documents(spark, path).select("path", F.from_json("value", row).alias("d")).select("path", "d.*")
+    documents = good(json_documents(spark, path, PRICE_DOCUMENT, layout))
     flat = documents.where("data IS NULL").select("symbol", "date", "close", "pos")
     named = F.coalesce("data.symbol", F.regexp_extract("path", r"([A-Za-z0-9.]+)\.json$", 1))
     nested = documents.where("data IS NOT NULL").select(F.upper(named).alias("symbol"), F.posexplode("data.tradesTable.rows").alias("pos", "r"))
@@ -86,8 +143,8 @@ def parse_quotes(payloads: DataFrame) -> DataFrame:
     }).select("symbol", "captured_at", "price", "change_percent", "open", "high", "low", "volume", "as_of")
 
 
-def read_quotes(spark: SparkSession, path: str) -> DataFrame:
-    return parse_quotes(spark.read.schema(schemas.QUOTE_PAYLOAD).json(path))
+def read_quotes(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
+    return parse_quotes(good(json_documents(spark, path, schemas.QUOTE_PAYLOAD, layout)))
 
 
 def stream_quotes(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -116,16 +173,16 @@ SUBMISSION = T.StructType([
 ])
 
 
-def filing_payloads(spark: SparkSession, path: str) -> DataFrame:
+def filing_payloads(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
     """(symbol, cik, parallel arrays) of flat documents or of the provider's, which nest the arrays under `filings.recent` and
     list the company's tickers."""
-    d = json_documents(spark, path).select(F.from_json("value", SUBMISSION).alias("d")).select("d.*")
+    d = good(json_documents(spark, path, SUBMISSION, layout))
     arrays = [F.coalesce(name, F.col(f"filings.recent.{name}")).alias(name) for name in schemas.FILING_FIELDS]
     return d.select(F.coalesce("symbol", F.get("tickers", 0)).alias("symbol"), "cik", *arrays)
 
 
-def read_filings(spark: SparkSession, path: str) -> DataFrame:
-    return parse_filings(filing_payloads(spark, path))
+def read_filings(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
+    return parse_filings(filing_payloads(spark, path, layout))
 
 
 def filing_archive(recent: DataFrame, shards: DataFrame, start) -> DataFrame:
@@ -135,9 +192,23 @@ def filing_archive(recent: DataFrame, shards: DataFrame, start) -> DataFrame:
     return parse_filings(recent).unionByName(parse_filings(kept))
 
 
+def with_company(shards: DataFrame, recent: DataFrame) -> DataFrame:
+    """Archive shards with the keys they lack: the cik from the file's name (`CIK0000004711-…`), the symbol from the recent
+    document of that cik. Shards of a company without a recent document keep a null symbol."""
+    number = F.nullif(F.ltrim(F.coalesce("cik", F.nullif(F.regexp_extract("path", r"CIK(\d+)[^/]*$", 1), F.lit(""))), F.lit("0")), F.lit(""))
+    known = recent.select(F.ltrim("cik", F.lit("0")).alias("_number"), F.col("symbol").alias("_symbol"), F.col("cik").alias("_cik"))
+    known = known.where("_number IS NOT NULL").groupBy("_number").agg(F.min(F.struct("_symbol", "_cik")).alias("known"))
+    rows = shards.withColumn("_number", number).join(known, "_number", "left")
+    return rows.withColumns({
+        "symbol": F.coalesce("symbol", "known._symbol"), "cik": F.coalesce("cik", "known._cik", "_number"),
+    }).drop("_number", "known", "path")
+
+
 def read_filing_archive(spark: SparkSession, recent_path: str, archive_path: str, start) -> DataFrame:
+    """The archive lies in folders `filing_to=…`, one document per line."""
     shards = spark.read.schema(T.StructType([*FILING_PAYLOAD.fields, T.StructField("filing_to", T.StringType())])).json(archive_path)
-    return filing_archive(filing_payloads(spark, recent_path), shards, start)
+    recent = filing_payloads(spark, recent_path)
+    return filing_archive(recent, with_company(shards.select("*", F.col("_metadata.file_path").alias("path")), recent), start)
 
 
 def parse_catalog(payloads: DataFrame, column: str = "payload") -> DataFrame:

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
 import pytest
 from conftest import d, only
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators import directory, quotes
 from plumbline.sources import readers
+from plumbline.sources.versions import Table
 from plumbline.streaming import streams
 
 
@@ -101,6 +104,56 @@ def test_provider_shaped_documents(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(filing_to" in archive._jdf.queryExecution().executedPlan().toString()
 
 
+def test_archive_shards_without_keys_get_those_of_the_recent_document(spark, tmp_path):
+    arrays = {"accessionNumber": ["x-1"], "form": ["10-K"], "filingDate": ["2020-01-02"], "reportDate": [""], "primaryDocument": [""], "items": [""]}
+    recent = write(tmp_path / "recent.json", {"cik": "0000004711", "tickers": ["KOLB"], "filings": {"recent": {**arrays, "accessionNumber": ["new"]}}})
+    folder = tmp_path / "shards" / "filing_to=2020-12-31"
+    folder.mkdir(parents=True)
+    write(folder / "CIK0000004711-submissions-001.json", {**arrays, "accessionNumber": ["old"]})
+    write(folder / "CIK0000000099-submissions-001.json", {**arrays, "accessionNumber": ["lone"]})
+    rows = readers.read_filing_archive(spark, recent, str(tmp_path / "shards"), "2018-01-01").collect()
+    assert sorted((r["accession"], r["symbol"], r["cik"]) for r in rows) == [("lone", None, "99"), ("new", "KOLB", "0000004711"), ("old", "KOLB", "0000004711")]
+
+
+def test_lines_and_documents_are_told_apart_and_bad_records_reported(spark, tmp_path):
+    folder = tmp_path / "in put %41"
+    folder.mkdir()
+    schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("n", T.LongType())])
+    (folder / "lines.json").write_text('not json at all\n{"symbol": "A", "n": 1}\n\n  \n{"symbol": "B", "n": 2, "more": [1]}\n{"symbol": "C", "n": \n{"symbol": "D", "n": 4}\n{"symbol": "E"}\n')
+    (folder / "one.json").write_text(json.dumps({"symbol": "F", "n": 6}, indent=1))
+    (folder / "list[1].json").write_text('[\n{"symbol": "G", "n": 7},\n{"symbol": "H", "n": 8}\n]')
+    (folder / "cut.json").write_text('{\n "symbol": "I",\n "n": ')
+    (folder / "single.json").write_text('{"symbol": "J", "n": 10}')
+    (folder / "empty.json").write_text("")
+    found = readers.json_documents(spark, str(folder), schema)
+    rows = readers.good(found).select("symbol", "n").collect()
+    assert sorted(tuple(r) for r in rows if r["n"] is not None) == [("A", 1), ("B", 2), ("D", 4), ("F", 6), ("G", 7), ("H", 8), ("J", 10)]
+    assert [r["symbol"] for r in rows if r["n"] is None] == ["E"]
+    bad = {(r["path"].rsplit("/", 1)[1], r["bad"]) for r in readers.bad_records(found).collect()}
+    assert bad == {("lines.json", "not json at all"), ("lines.json", '{"symbol": "C", "n": '), ("cut.json", '{\n "symbol": "I",\n "n": ')}
+    kinds = {unquote(r["path"]).rsplit("/", 1)[1]: r["per_line"] for r in readers.file_layouts(spark, str(folder)).collect()}
+    assert kinds == {"lines.json": True, "single.json": True, "one.json": False, "list[1].json": False, "cut.json": False}
+    assert readers.json_documents(spark, str(folder / "lines.json"), schema, "lines").count() == 6
+    assert readers.good(readers.json_documents(spark, str(folder / "list*.json"), schema, "documents")).count() == 2
+
+
+def test_a_line_file_is_split(spark, tmp_path):
+    schema = T.StructType([T.StructField("n", T.LongType())])
+    (tmp_path / "big.json").write_text("".join(f'{{"n": {i}, "pad": "{"x" * 200}"}}\n' for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        found = readers.good(readers.json_documents(spark, str(tmp_path / "big.json"), schema))
+        assert found.rdd.getNumPartitions() > 4 and found.agg(F.sum("n")).first()[0] == 199_990_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_pretty_printed_quote_payload_is_read(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps({"captured_at": "2029-03-19T10:00:00", "quotes": [{"symbol": "kolb", "last": "3"}]}, indent=2))
+    assert only(readers.read_quotes(spark, str(tmp_path / "q.json")))["price"] == 3
+
+
 def test_pages_with_bad_bytes_are_read(spark, tmp_path):
     (tmp_path / "p.html").write_bytes(b"<p>ok \xff end</p>")
     assert only(readers.read_reports(spark, str(tmp_path)))["html"] == "<p>ok \ufffd end</p>"
@@ -122,7 +175,7 @@ def test_quote_history_takes_late_quotes_once(spark, tmp_path):
 
     def run():
         streams.append_quotes(arrived(spark, folder), out, checkpoint, buckets=2).awaitTermination()
-        return sorted((r["symbol"], str(r["captured_at"])[:10], r["price"]) for r in spark.read.parquet(out).collect())
+        return sorted((r["symbol"], str(r["captured_at"])[:10], r["price"]) for r in Table(spark, out).read().collect())
 
     quote_file(folder, "1.json", "2026-03-19T10:00:00", {"symbol": "kolb", "last": "12.5"}, {"symbol": "RIND", "last": "--"})
     assert run() == [("KOLB", "2026-03-19", 12.5)]
@@ -139,7 +192,7 @@ def test_stream_state_records_errors_and_keeps_the_price(spark, tmp_path):
     for name, at, text in (("1", "2026-03-19T10:00:00", "7"), ("2", "2026-03-19T11:00:00", "n/a"), ("3", "2026-03-18T09:00:00", "5"), ("4", "2026-03-19T12:00:00", "8")):
         quote_file(folder, f"{name}.json", at, {"symbol": "KOLB", "last": text})
         streams.upsert_quotes(arrived(spark, folder), path, checkpoint).awaitTermination()
-        row = spark.read.parquet(path).collect()
+        row = Table(spark, path).read().collect()
         assert len(row) == 1
         seen.append((row[0]["price"], row[0]["error"]))
     assert seen == [(7.0, None), (7.0, quotes.INVALID_PRICE), (7.0, quotes.INVALID_PRICE), (8.0, None)]
@@ -162,7 +215,7 @@ def test_filing_stream_keeps_late_filings_and_when_they_were_found(spark, tmp_pa
     def run():
         stream = spark.readStream.schema("symbol string, accession string, filed date").json(str(folder))
         streams.append_filings(stream, path, checkpoint, lambda n: F.lit(n), buckets=2).awaitTermination()
-        return sorted((r["symbol"], r["accession"], r["discovered_at"]) for r in spark.read.parquet(path).collect())
+        return sorted((r["symbol"], r["accession"], r["discovered_at"]) for r in Table(spark, path).read().collect())
 
     write(folder / "1.json", {"symbol": "KOLB", "accession": "n-1", "filed": "2026-02-11"}, {"symbol": "KOLB", "accession": "n-1", "filed": "2026-02-11"})
     assert run() == [("KOLB", "n-1", 0)]
@@ -187,4 +240,4 @@ def test_latest_quote_table_is_keyed_and_replayable(spark, tmp_path):
     quote_file(folder, "2.json", "2026-09-04T11:00:00", {"symbol": "AAPL", "last": "2"}, {"symbol": "MSFT", "last": "7"})
     for attempt in ("a", "b"):
         streams.upsert_quotes(arrived(spark, folder), path, str(tmp_path / attempt)).awaitTermination()
-        assert sorted((r["symbol"], r["price"]) for r in spark.read.parquet(path).collect()) == [("AAPL", 2.0), ("MSFT", 7.0)]
+        assert sorted((r["symbol"], r["price"]) for r in Table(spark, path).read().collect()) == [("AAPL", 2.0), ("MSFT", 7.0)]
