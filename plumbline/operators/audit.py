@@ -44,13 +44,13 @@ def audit_components(components: DataFrame, facts: DataFrame) -> DataFrame:
         F.col("accn").alias("accession"), F.col("val").alias("reported_eps")).distinct().withColumn("_found", F.lit(True))
     rows = components.join(source, ["symbol", "start", "end", "filed_at", "accession", "reported_eps"], "left")
     rows = rows.withColumn("_previous", F.lag("end").over(order))
+    adjusted = F.try_divide("reported_eps", "split_adjustment")
     checks = {
         "span": ~S.quarter_span(F.datediff("end", "start")),
         "availability": F.col("filed_at") >= F.col("observed"),
         "future_period": F.col("end") >= F.col("observed"),
-        "bad_factor": ~(F.col("split_adjustment") > 0),
-        "adjusted_mismatch": relative_gap(F.col("eps"), F.col("reported_eps") / F.col("split_adjustment"))
-        & (F.abs(F.col("eps") - F.col("reported_eps") / F.col("split_adjustment")) > TOLERANCE),
+        "bad_factor": ~(S.finite(F.col("split_adjustment")) & (F.col("split_adjustment") > 0)),
+        "adjusted_mismatch": relative_gap(F.col("eps"), adjusted) & (F.abs(F.col("eps") - adjusted) > TOLERANCE),
         "boundary_gap": F.col("_previous").isNotNull() & (F.datediff("start", "_previous") != 1),
         "unmatched_source": F.col("_found").isNull(),
     }

@@ -90,47 +90,66 @@ def test_quotes_entities_and_nesting_as_a_browser_reads_them(spark):
 
 
 COMPONENTS = "symbol string, event_id string, observed date, start date, end date, filed_at date, reported_eps double, split_adjustment double, eps double, accession string"
-QUARTERS = [("2025-01-01", "2025-03-31", "2025-05-01", 2.0, 2.0, 1.0, "q1"), ("2025-04-01", "2025-06-30", "2025-08-01", 4.0, 2.0, 2.0, "q2"),
-            ("2025-07-01", "2025-09-30", "2025-11-01", 3.0, 1.0, 3.0, "q3"), ("2025-10-01", "2025-12-31", "2026-02-01", 4.0, 1.0, 4.0, "q4")]
+# Quarters of thirteen weeks of a company that split 5 for 2 in between: (start, end, filed, reported, factor, adjusted, accession).
+WEEKS = [
+    ("2032-01-04", "2032-04-03", "2032-05-11", 1.75, 2.5, 0.7, "w-1"), ("2032-04-04", "2032-07-03", "2032-08-10", -0.5, 2.5, -0.2, "w-2"),
+    ("2032-07-04", "2032-10-02", "2032-11-09", 0.85, 1.0, 0.85, "w-3"), ("2032-10-03", "2033-01-01", "2033-03-01", 1.1, 1.0, 1.1, "w-4"),
+]
 
 
-def violations(spark, observed="2026-02-02", rows=QUARTERS, sources=QUARTERS):
-    items = [("X", "e", d(observed), d(s), d(e), d(f), r, k, v, a) for s, e, f, r, k, v, a in rows]
-    source = facts(spark, *[fact(s, e, r, f, accn=a, concept="EarningsPerShareDiluted", unit="USD/shares") for s, e, f, r, _, _, a in sources]) if sources else facts(
-        spark, fact("2000-01-01", "2000-03-31", 1))
-    return {r["check"] for r in audit.audit_components(spark.createDataFrame(items, COMPONENTS), source).collect()}
+def violations(spark, used=WEEKS, filed=WEEKS, observed="2033-03-02"):
+    used = [("X", "e", d(observed), *(d(x) for x in r[:3]), *r[3:]) for r in used]
+    source = [fact(*r[:2], r[3], r[2], accn=r[6], concept="EarningsPerShareDiluted", unit="USD/shares") for r in filed]
+    source = facts(spark, *source, fact("1999-01-03", "1999-04-03", 9))
+    return {r["check"] for r in audit.audit_components(spark.createDataFrame(used, COMPONENTS), source).collect()}
 
 
-def test_component_checks(spark):
+def with_quarter(index, **changes):
+    names = ("start", "end", "filed", "reported", "factor", "adjusted", "accession")
+    return [tuple(changes.get(n, v) for n, v in zip(names, r)) if i == index else r for i, r in enumerate(WEEKS)]
+
+
+def test_each_component_check_finds_its_fault(spark):
     assert violations(spark) == set()
-    wrong = [(*QUARTERS[0][:5], 2.0, "q1"), *QUARTERS[1:]]
-    assert violations(spark, rows=wrong) == {"adjusted_mismatch"}
-    assert violations(spark, sources=[]) == {"unmatched_source"}
-    assert violations(spark, observed="2026-02-01") == {"availability"}
-    shifted = [*QUARTERS[:3], ("2025-10-02", *QUARTERS[3][1:])]
-    assert violations(spark, rows=shifted) == {"boundary_gap", "unmatched_source"}
-    assert violations(spark, rows=QUARTERS[1:]) == {"count", "year_span"}
-
-
-def content_issues(spark, item, stored, original):
-    manifest = spark.createDataFrame([(item, len(original), hashlib.sha256(original).hexdigest())], "item string, bytes long, sha256 string")
-    content = spark.createDataFrame([(item, bytearray(stored))], "item string, content binary")
-    return {r["issue"] for r in audit.verify_content(manifest, content).collect()}
-
-
-def test_content_checks(spark):
-    page = b"<html>EPS 0.60\nQuarter ended 2016-09-30</html>"
-    assert content_issues(spark, "a.html", page, page) == set()
-    assert content_issues(spark, "a.html", page.replace(b"\n", b"\r\n"), page) == {"byte_count", "hash_by_text_basis"}
-    assert content_issues(spark, "a.html", page.replace(b"0.60", b"0.90"), page) == {"sha256"}
-    png = b"\x89PNG\r\n\x1a\n1234"
-    assert content_issues(spark, "a.png", png, png) == set()
-    assert content_issues(spark, "a.png", page, page) == {"bad_signature", "html_as_image"}
-    assert content_issues(spark, "b.html", page + b"\xff", page) == {"byte_count", "sha256", "bad_encoding"}
-    late = b"<?xml version='1.0'?><!--" + b"x" * 3000 + b"--><svg xmlns='s'></svg>"
-    assert content_issues(spark, "a.svg", late, late) == set()
-    assert content_issues(spark, "b.svg", b"<p>" + late, b"<p>" + late) == {"bad_signature"}
-    assert content_issues(spark, "a.webp", b"RIFF0000WEBPxx", b"RIFF0000WEBPxx") == set()
+    assert violations(spark, with_quarter(1, adjusted=-0.5)) == {"adjusted_mismatch"}
+    assert violations(spark, with_quarter(2, reported=0.9, adjusted=0.9)) == {"unmatched_source"}
+    assert violations(spark, with_quarter(2, accession="w-9")) == {"unmatched_source"}
+    assert violations(spark, filed=WEEKS[:3]) == {"unmatched_source"}
+    assert violations(spark, observed="2033-02-28") == {"availability"}
+    assert violations(spark, with_quarter(1, start="2032-04-06")) == {"boundary_gap", "unmatched_source"}
+    assert violations(spark, WEEKS[:3]) == {"count", "year_span"}
+
+
+def test_a_split_factor_must_be_a_positive_number(spark):
+    for factor in (0.0, -2.5, None, float("nan")):
+        assert "bad_factor" in violations(spark, with_quarter(0, factor=factor)), factor
+
+
+def content_issues(spark, **items):
+    """items: name to (stored, listed); names have `_` for the dot."""
+    rows = [(name.replace("_", "."), stored, listed) for name, (stored, listed) in items.items()]
+    manifest = spark.createDataFrame([(n, len(x), hashlib.sha256(x).hexdigest()) for n, _, x in rows], "item string, bytes long, sha256 string")
+    content = spark.createDataFrame([(n, bytearray(x)) for n, x, _ in rows], "item string, content binary")
+    found = {n: set() for n, _, _ in rows}
+    for r in audit.verify_content(manifest, content).collect():
+        found[r["item"]].add(r["issue"])
+    return {n.replace(".", "_"): v for n, v in found.items()}
+
+
+def test_archived_content_is_checked_by_digest_and_kind(spark):
+    note = "<main>Umsatz 84 Mio.\nLager: gering</main>".encode()
+    picture, frame = b"\x89PNG\r\n\x1a\n" + bytes(9), b"RIFF" + bytes(4) + b"WEBPVP8 "
+    drawing = b"<!--" + b"-" * 5000 + b"--><svg width='3'/>"
+    expected = {
+        "same_html": (note, note, set()), "ends_html": (note.replace(b"\n", b"\r\n"), note, {"byte_count", "hash_by_text_basis"}),
+        "figure_html": (note.replace(b"84", b"48"), note, {"sha256"}), "bytes_html": (note + b"\xc3", note, {"byte_count", "sha256", "bad_encoding"}),
+        "good_png": (picture, picture, set()), "page_png": (note, note, {"bad_signature"}), "good_webp": (frame, frame, set()),
+        "good_svg": (drawing, drawing, set()), "text_svg": (b"<b>" + drawing, b"<b>" + drawing, {"bad_signature"}),
+    }
+    found = content_issues(spark, **{n: v[:2] for n, v in expected.items()})
+    assert found == {n: v[2] for n, v in expected.items()}
+    whole = b"<!doctype html><html>moved</html>"
+    assert content_issues(spark, moved_png=(whole, whole)) == {"moved_png": {"bad_signature", "html_as_image"}}
 
 
 def test_sensitive_scan_reports_where(spark):
