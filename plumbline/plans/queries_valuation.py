@@ -6,11 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import matching, periods, valuation
+from plumbline.operators import matching, periods, refresh, valuation
 from plumbline.plans import fixtures as fx
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
-from plumbline.plans.sql_views import day, r2
+from plumbline.plans.sql_views import AS_OF, day, r2
+from plumbline.session import shared_folder
 
 
 @query("daily_multiple_rank", "V1 V2 A1 J1 C7", f"""
@@ -285,3 +286,37 @@ def future_split_factor(spark, sf):
     rows = periods.with_split_factor(V.raw_obs(spark, sf).where("metric = 'eps'"), fx.splits(spark, sf), periods.as_date(V.AS_OF))
     return rows.select("symbol", "concept", "start", "end", "filed", "pos",
                        F.col("split_adjustment").alias("factor"), F.col("val").alias("adjusted"))
+
+
+# refresh -----------------------------------------------------------------------------------------------------------
+
+def _refreshed(spark, sf):
+    """A first run without the late filings and prices of some symbols, and with wrong prices of others; then a refresh."""
+    stores = refresh.Stores(spark, shared_folder(spark, "refresh"), 16)
+    obs, prices, splits = V.obs(spark, sf).where("metric = 'eps'"), fx.prices(spark, sf).select("symbol", "date", "close"), fx.splits(spark, sf)
+    late = F.col("symbol").endswith("3") & (F.col("filed") >= F.lit("2000-01-01").cast("date"))
+    missing = F.col("symbol").endswith("5") & (F.col("date") >= F.lit("2000-06-01").cast("date"))
+    wrong = F.col("symbol").endswith("8") & (F.dayofmonth("date") == 11)
+    first = prices.where(~missing).withColumn("close", F.when(wrong, F.col("close") * 2).otherwise(F.col("close")))
+    refresh.refresh(stores, obs.where(~late), first, splits, V.AS_OF)
+    refresh.refresh(stores, obs.where(late), prices.where(missing | wrong), splits, V.AS_OF)
+    return stores
+
+
+@query("refreshed_states", "Y5 C7 V1 S9", f"""
+SELECT symbol, {day('date')}, price, state, pe, eps, {day('eps_filed_at')}, {day('eps_period_end')} FROM v_states""")
+def refreshed_states(spark, sf):
+    """Daily states after a refresh of the changed symbols from their first affected day."""
+    return _refreshed(spark, sf).table("states").read()
+
+
+@query("refreshed_ranks", "Y5 V2 A1", f"""
+WITH cur AS (SELECT symbol, arg_max(pe, date) AS cur FROM v_states WHERE state = 'valid' GROUP BY symbol)
+SELECT symbol, cur AS pe, count(*) AS sample_count, CAST(min(date) AS VARCHAR) AS history_start, CAST(max(date) AS VARCHAR) AS history_end,
+  min(pe) AS minimum_pe, max(pe) AS maximum_pe, {r2('1e2 * count(*) FILTER (pe <= cur) / count(*)')} AS percentile
+FROM v_states JOIN cur USING (symbol) WHERE state = 'valid' AND date BETWEEN {AS_OF} - INTERVAL 3 YEAR AND {AS_OF} GROUP BY symbol, cur""")
+def refreshed_ranks(spark, sf):
+    """Ranks over three years, read from the months that the refresh keeps."""
+    stores = _refreshed(spark, sf)
+    current = stores.table("states").read().where("state = 'valid'").groupBy("symbol").agg(F.max_by("pe", "date").alias("pe"))
+    return refresh.rank_from_months(stores.table("months").read(), current, V.AS_OF, 3)
