@@ -90,6 +90,14 @@ def text_dates(text: Column) -> Column:
     return F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(TEXT_DATE), F.lit(0)), to_date))
 
 
+def names_date(text: Column, day: Column) -> Column:
+    """Whether a text names one day in the grammar of `text_dates`: a search for that day's spellings, not a list of all dates."""
+    words = F.element_at(F.array(*[F.lit("|".join(MONTHS[m])) for m in range(1, 13)]), F.month(day))
+    spelled = F.concat(
+        F.lit(r"(?i)\b(?:"), words, F.lit(r")\.?\s+0?"), F.dayofmonth(day).cast("string"), F.lit(r"\s*,?\s+"), F.year(day).cast("string"), F.lit(r"\b"))
+    return F.regexp_like(text, spelled) & F.year(day).between(1900, 2099)
+
+
 def years_before(day: Column, years: int | Column) -> Column:
     """Same day some years earlier; 29 February falls back to the 28th."""
     months = F.lit(-12 * years) if isinstance(years, int) else (years * F.lit(-12)).cast("int")

@@ -206,3 +206,11 @@ def test_scalar_edges(spark):
     assert only(dates)[0] == [d("2020-09-30"), d("1999-06-01")]
     names = spark.createDataFrame([("NVIDIA Corporation",), ("Apple Inc.",), ("A very long name without any suffix at all",)], "t string")
     assert [r[0] for r in names.select(S.short_name(F.col("t"), 24)).collect()] == ["NVIDIA", "Apple", "A very long name without"]
+
+
+def test_a_named_day_is_found_as_among_all_dates(spark):
+    texts = ["Sept. 30, 2020 and Feb 30 2020, june 1 1999", "until June 01 , 1999.", "SEP 30  2020", "Sept 130, 2020", "xJune 1 1999", "June 1 19991", "may 5,2021; May 5, 2021", None, ""]
+    days = [d(x) for x in ("2020-09-30", "1999-06-01", "2021-05-05", "2020-09-13")] + [None]
+    df = spark.createDataFrame([(t, x) for t in texts for x in days], "t string, day date")
+    both = df.select(S.names_date(F.col("t"), F.col("day")).alias("found"), F.array_contains(S.text_dates(F.col("t")), F.col("day")).alias("listed")).collect()
+    assert [bool(r["found"]) for r in both] == [bool(r["listed"]) for r in both] and sum(bool(r["found"]) for r in both) == 5
