@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
+from plumbline.operators.matching import order_statistics
 
 TOLERANCE = 1e-10
 
@@ -105,8 +106,12 @@ def reconcile_samples(published: DataFrame, rebuilt: DataFrame, tolerance: float
     return rows.select(*keys, issue.alias("issue")).where("issue IS NOT NULL")
 
 
-def audit_valuation(summary: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """Recount of rank, sample count and quantiles over the rebuilt samples of each eligible symbol's window."""
+def audit_valuation(summary: DataFrame, rebuilt: DataFrame, published: DataFrame | None = None) -> DataFrame:
+    """Recount of rank, sample count and P20, P50 and P80 over the rebuilt samples of each eligible symbol's window.
+
+    The quantiles are recounted by ranks over ranges, a plan of its own. With `published` (symbol, percentile, pe) the column
+    `quantiles_match` tells whether all three agree; it is null where none are published.
+    """
     eligible = summary.where(F.col("status").isin("qualified", "limited") & F.col("current_pe_qualified"))
     window = eligible.select("symbol", F.col("as_of"), "horizon_years", F.col("pe").alias("now_pe"), "percentile", "sample_count")
     inside = rebuilt.where("pe IS NOT NULL").join(window, "symbol").where(
@@ -114,12 +119,19 @@ def audit_valuation(summary: DataFrame, rebuilt: DataFrame) -> DataFrame:
     counted = inside.groupBy("symbol", "horizon_years", "percentile", "sample_count", "now_pe").agg(
         F.count("*").alias("recounted_samples"),
         S.half_up(F.lit(100.0) * F.count_if(F.col("pe") <= F.col("now_pe")) / F.count("*"), 2).alias("recounted_percentile"),
-        F.percentile("pe", F.lit(0.5)).alias("median_pe"),
     )
-    return counted.select(
-        "symbol", "horizon_years", "recounted_samples", "recounted_percentile", "median_pe",
+    points = order_statistics(inside.select("symbol", "pe"), ["symbol"], "pe", (20, 50, 80))
+    match = F.lit(None).cast("boolean")
+    if published is not None:
+        points = points.join(published.select("symbol", "percentile", F.col("pe").alias("_published")), ["symbol", "percentile"], "left")
+        match = F.when(F.count("_published") > 0, F.count_if(~F.coalesce(relative_gap(F.col("pe"), F.col("_published")), F.lit(True))) == 3)
+    named = points.groupBy("symbol").agg(
+        *(F.max(F.when(F.col("percentile") == p, F.col("pe"))).alias(name) for p, name in ((20, "p20_pe"), (50, "median_pe"), (80, "p80_pe"))),
+        match.alias("quantiles_match"))
+    return counted.join(named, "symbol").select(
+        "symbol", "horizon_years", "recounted_samples", "recounted_percentile", "p20_pe", "median_pe", "p80_pe",
         (F.col("recounted_percentile") == F.col("percentile")).alias("percentile_matches"),
-        (F.col("recounted_samples") == F.col("sample_count")).alias("count_matches"))
+        (F.col("recounted_samples") == F.col("sample_count")).alias("count_matches"), "quantiles_match")
 
 
 def audit_checkpoints(facts: DataFrame, checkpoints: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,3 +117,42 @@ def global_rank(df: DataFrame, order: list, name: str = "position") -> DataFrame
     before = sizes.withColumn("_before", F.sum("count").over(W.orderBy("_range")) - F.col("count")).drop("count")
     inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
     return placed.withColumn("_row", inside).join(before, "_range").withColumn(name, (F.col("_row") + F.col("_before")).cast("long")).drop("_row", "_before", "_range")
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, percentiles: tuple[int, ...]) -> DataFrame:
+    """Exact quantiles, linear between ranks, of groups of any size: keys, percentile, `value`. Nulls and NaN take no part.
+
+    Equal values of a group become one row with their number before anything is ordered. These rows are cut into ranges of one
+    order (keys, value), written once so that the cuts stay the same; running counts inside a range and the counts of the ranges
+    before give each row the ranks it holds in its group. Only rows that hold a wanted rank go on: no group is gathered, and a
+    group or a value that holds a third of all rows is spread like any other.
+    """
+    spark = df.sparkSession
+    number = F.col(value).cast("double")
+    counted = df.where(number.isNotNull() & ~F.isnan(number)).groupBy(*keys, number.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    path = shared_folder(spark, "counted")
+    counted.repartitionByRange(*keys, "_v").withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.schema(T.StructType([*counted.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
+    inside = W.partitionBy("_range", *keys).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # one row per group and range: groups lie in neighbouring ranges
+    parts = placed.groupBy("_range", *keys).agg(F.sum("_n").alias("_part"))
+    whole = W.partitionBy(*keys)
+    before = F.sum("_part").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_part")
+    parts = parts.select("_range", *(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), before.alias("_before"), F.sum("_part").over(whole).alias("_all"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)), placed["_range"] == parts["_range"])
+    rows = placed.withColumn("_upto", F.sum("_n").over(inside)).join(parts, same).select(*keys, "_v", "_n", "_all", (F.col("_upto") + F.col("_before")).alias("_upto"))
+    wanted = F.array(*[F.lit(p) for p in percentiles])
+
+    def rank(p):
+        return (F.col("_all") - 1) * p / F.lit(100.0)
+
+    def holds(position):
+        return (position < F.col("_upto")) & (position >= F.col("_upto") - F.col("_n"))
+
+    held = F.filter(wanted, lambda p: holds(F.floor(rank(p))) | holds(F.ceil(rank(p))))
+    found = rows.select(*keys, "_v", "_n", "_upto", "_all", F.explode(held).alias("percentile"))
+    position = rank(F.col("percentile"))
+    low, high = F.floor(position), F.ceil(position)
+    ends = found.groupBy(*keys, "percentile").agg(
+        F.max(F.when(holds(low), F.col("_v"))).alias("_low"), F.max(F.when(holds(high), F.col("_v"))).alias("_high"), F.max(position - low).alias("_part"))
+    return ends.select(*keys, "percentile", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias(value))

@@ -158,3 +158,17 @@ def test_sensitive_scan_reports_where(spark):
     df = spark.createDataFrame(rows, "path string, text string, size long")
     found = sorted((r["path"], r["issue"]) for r in audit.scan_sensitive(df, "path", "text", "size", brands=("acme",)).collect())
     assert found == [(".env", "forbidden_path"), ("b.txt", "credential"), ("c.txt", "brand_in_text"), ("key.PEM", "forbidden_path"), ("logs/x", "forbidden_path")]
+
+
+def test_a_damaged_quantile_is_found(spark):
+    days = [(s, d(f"2031-{m:02d}-15"), float(v)) for s in ("AB", "CD", "EF") for m, v in enumerate((9, 30, 14, 22, 17), 1)]
+    rebuilt = spark.createDataFrame([*days, ("AB", d("2028-01-05"), 99.0), ("AB", d("2031-06-02"), None)], "symbol string, date date, pe double")
+    summary = spark.createDataFrame(
+        [(s, "qualified", True, d("2031-12-31"), 3, 17.0, 60.0, 5) for s in ("AB", "CD", "EF")],
+        "symbol string, status string, current_pe_qualified boolean, as_of date, horizon_years int, pe double, percentile double, sample_count int")
+    quantiles = {20: 13.0, 50: 17.0, 80: 23.6}
+    published = [(s, p, v * (1.0001 if (s, p) == ("CD", 20) else 1)) for s in ("AB", "CD") for p, v in quantiles.items()]
+    rows = audit.audit_valuation(summary, rebuilt, spark.createDataFrame(published, "symbol string, percentile int, pe double")).collect()
+    assert {r["symbol"]: r["quantiles_match"] for r in rows} == {"AB": True, "CD": False, "EF": None}
+    assert all(r["percentile_matches"] and r["count_matches"] for r in rows)
+    assert {(round(r["p20_pe"], 9), r["median_pe"], round(r["p80_pe"], 9)) for r in rows} == {(13.0, 17.0, 23.6)}

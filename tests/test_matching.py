@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from datetime import date, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import matching
@@ -52,3 +54,19 @@ def test_top_n_is_exact_for_a_key_with_most_rows(spark):
     hot = sorted((r["v"] for r in rows if r["k"] == "hot"), reverse=True)
     assert hot == [v for v in range(4999, 0, -1) if v % 10 < 9][:30]
     assert {r["_rank"] for r in rows if r["k"] == "hot"} == set(range(1, 31))
+
+
+def test_order_statistics_against_numpy(spark):
+    rng = random.Random(8)
+    groups = {"one": [4.5], "two": [1.0, 2.0], "hot": [7.0] * 4000 + [rng.uniform(0, 9) for _ in range(3000)], None: [3.0, -1.0, 3.0], "few": [rng.uniform(-5, 5) for _ in range(33)]}
+    rows = [(k, v, "x") for k, values in groups.items() for v in values] + [("two", None, "x"), ("two", float("nan"), "x"), ("none", None, "x")]
+    df = spark.createDataFrame(rows, "k string, v double, percentile string")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        points = (0, 20, 37, 50, 80, 100)
+        found = {(r["k"], r["percentile"]): r["v"] for r in matching.order_statistics(df, ["k"], "v", points).collect()}
+        assert found == {(k, p): pytest.approx(float(np.percentile(values, p))) for k, values in groups.items() for p in points}
+        assert matching.order_statistics(df.limit(0), ["k"], "v", points).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
