@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import batches as B
 from plumbline.llm.components import components
+from plumbline.llm.rows import keyed, unpacked
 from plumbline.llm.store import land, land_by
 
 SIZE, CHUNKS, WIDTH = 5, 12, 4
@@ -289,9 +290,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` without all but one document of each group of near-duplicates: the one with the smallest id, and of
-    rows that repeat it the one whose text sorts first. Rows with a null id stay."""
-    kept = land(near_duplicates(docs, id_col, text).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_kept")).distinct(), "kept")
-    chosen = docs.join(kept, docs[id_col].cast("bigint") == F.col("_kept"), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(text)
-    return chosen.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row").union(docs.where(F.col(id_col).isNull()))
+    """The rows of `docs` without all but one row of each group of near-duplicates: the one with the smallest id, null ids last,
+    and of rows that repeat it the first by the digest of its text.
+
+    Every row is a document of its own, also where ids repeat or are null. Rows without words all stay. Columns of
+    any name are carried along.
+    """
+    rows = keyed(docs, id_col, text)
+    kept = land(near_duplicates(rows, "key", "text").where("kept").select("key"), "kept")
+    return unpacked(rows.join(kept, "key", "left_semi"), docs.columns, text=text)
