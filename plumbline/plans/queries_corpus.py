@@ -25,7 +25,8 @@ def _dressed(spark, sf):
     head = F.concat(
         F.when(k % 3 == 0, F.concat(F.lit("<meta property='og:title' content=\"Story's  "), n, F.lit(' &amp; more">'))).otherwise(""),
         F.when(k % 4 == 0, F.concat(F.lit("<meta content='Writer &quot;Q&quot; "), n, F.lit("' name=author>"))).otherwise(""),
-        F.when(k % 4 == 1, F.concat(F.lit('<h4 data-x="a>b" id=js_name> Desk <i>'), n, F.lit("</i> <b>East</b> </h4>"))).otherwise(""),
+        F.when(k % 8 == 1, F.concat(F.lit('<h4 data-x="a>b" id=js_name> Desk <i>'), n, F.lit("</i> <b>East</b> </h4>"))).otherwise(""),
+        F.when(k % 8 == 5, F.concat(F.lit("<!-- <p id=js_name>No</p> --><div id='js_name'><div>Desk</div><div><div>"), n, F.lit("</div><b></div> East</div></b> West <div>x</div>"))).otherwise(""),
         F.when(k % 5 == 0, F.lit("<script>var ct = \"850000000\";</script>")).otherwise(""),
         F.when(k % 5 == 1, F.lit("<meta name='publication_date' content='2001-02-03'>")).otherwise(""),
         F.when(k % 5 == 2, F.lit("<script>var publish_time = '3 o\\'clock';</script>")).otherwise(""),
@@ -59,7 +60,7 @@ SELECT page_id, 'It’s A é &bogus; €' || page_id || chr(10) || 'two' || chr(
 def page_references(spark, sf):
     html = F.concat(
         F.lit("<script>if (a < b) {}</script><p title='a>b'>It&#8217;s &#x41; &eacute; &bogus; &#128;"), F.col("page_id").cast("string"),
-        F.lit("</p><div class=\"it's\">two<br/>lines&nbsp; x</div>"))
+        F.lit("</p><div class=\"it's\">two<br/>lines&nbsp; x</div><template>a<template>b</template>c</template>"))
     return corpus.page_text(_pages(spark, sf).withColumn("html", html)).select("page_id", "text")
 
 

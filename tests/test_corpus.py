@@ -89,6 +89,32 @@ def test_quotes_entities_and_nesting_as_a_browser_reads_them(spark):
     assert "It\u2019s A \u00e9 &nope; \ufffd\u2013" in only(corpus.page_text(page(spark, html)))["text"]
 
 
+def test_elements_close_at_their_own_depth(spark):
+    def author(html):
+        return only(corpus.page_metadata(page(spark, html)))["author"]
+
+    assert author("<div id=js_name><div>A</div> B</div> C") == "A B"
+    assert author("<DIV id='js_name'><div><div>A</div></div><DIV >B</div >C</div></div>D") == "A B C"
+    assert author("<div id=js_name>A<span>B</div>C</span>") == "A B"  # crossed by another name
+    assert author("<div id=js_name><div>A</div> B<p>C") == "A B C"  # never closed
+    assert author("<p id=js_name>A <b>B</b><p>C</p>") == "A B"  # cannot hold its own kind
+    assert author("<input id=js_name>A</input>") is None
+    assert author("<!-- <i id=js_name>no</i> --><i id=js_name>A<!-- </i> --><script>'</i>'</script> B</i> C") == "A B"
+    assert author("<ul id=js_name><li>A<ul><li title='</ul>'>B</ul><li>C</ul>D") == "A B C"
+    assert author("") is None and author(None) is None
+    deep = "<div>" * 500 + "A" + "</div>" * 500
+    assert author(f"<div id=js_name>{deep} B</div> C") == "A B"
+
+
+def test_nested_templates_are_hidden_whole(spark):
+    def text(html):
+        return only(corpus.page_text(page(spark, html)))["text"]
+
+    assert text("a<template>b<template>c</template>d</template>e</template>f") == "aef"
+    assert text("a<template>b<TEMPLATE x='>'>c</template>d") == "abcd"  # never closed
+    assert text("a<template>b<!-- </template> -->c</template>d") == "ad"
+
+
 COMPONENTS = "symbol string, event_id string, observed date, start date, end date, filed_at date, reported_eps double, split_adjustment double, eps double, accession string"
 # Quarters of thirteen weeks of a company that split 5 for 2 in between: (start, end, filed, reported, factor, adjusted, accession).
 WEEKS = [
