@@ -102,6 +102,23 @@ def financial_snapshot(periods: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_status(periods: DataFrame, snapshot: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """One row per symbol of the periods and of `symbols`, with its snapshot where there is one, and `status`.
+
+    `complete`: a snapshot with trailing-year revenue; `partial`: a snapshot without it; `no_revenue`: periods of other metrics
+    only; `no_periods`: a listed symbol without any. The latest end of any metric tells how far the others reach.
+    """
+    held = periods.groupBy("symbol").agg(F.max("end").alias("latest_end"), F.array_sort(F.collect_set("metric")).alias("_metrics"))
+    if symbols is not None:
+        held = symbols.select("symbol").where("symbol IS NOT NULL").distinct().join(held, "symbol", "full")
+    status = (
+        F.when(F.col("revenue_ttm").isNotNull(), "complete").when(F.col("period_end").isNotNull(), "partial")
+        .when(F.col("latest_end").isNotNull(), "no_revenue").otherwise("no_periods")
+    )
+    rows = held.join(snapshot, "symbol", "left").withColumn("status", status)
+    return rows.withColumn("metrics", F.array_join(F.coalesce("_metrics", F.array().cast("array<string>")), ",")).drop("_metrics")
+
+
 def fiscal_quarter(periods: DataFrame, fiscal_calendar: DataFrame) -> DataFrame:
     """Fiscal year and quarter per period end; issuers without an entry in the calendar use calendar quarters."""
     end = F.col("end")

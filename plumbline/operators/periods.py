@@ -30,7 +30,7 @@ def observations(facts: DataFrame, concepts: DataFrame) -> DataFrame:
             S.accepted_form(F.col("form")) & F.col("taxonomy_rank").isNotNull() & F.col("filed").isNotNull()
             & S.finite(F.col("val")) & S.accepted_span(S.period_days(F.col("start"), F.col("end")))
         )
-        .join(F.broadcast(concepts), ["concept", "unit"])
+        .join(concepts, ["concept", "unit"])
     )
 
 

@@ -23,7 +23,7 @@ def instant_rows(facts: DataFrame, concepts: DataFrame) -> DataFrame:
             F.col("start").isNull() & F.col("end").isNotNull() & F.col("filed").isNotNull()
             & F.col("taxonomy_rank").isNotNull() & S.accepted_form(F.col("form")) & S.finite(F.col("val"))
         )
-        .join(F.broadcast(concepts), ["concept", "unit"])
+        .join(concepts, ["concept", "unit"])
     )
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import audit, corpus, valuation
+from plumbline.operators import audit, corpus, reconcile, valuation
 from plumbline.plans import fixtures as fx
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.plans.sql_views import day, r2
+from plumbline.session import shared_folder
 
 # pages -------------------------------------------------------------------------------------------------------------
 
@@ -329,3 +330,40 @@ def checkpoint_audit(spark, sf):
     read = facts.where("form = '10-K'").select(
         "symbol", "end", F.when(F.col("symbol").endswith("8"), F.col("val") + 1).otherwise(F.col("val")).alias("expected"))
     return audit.audit_checkpoints(facts, read)
+
+
+# reconciliation by digests -----------------------------------------------------------------------------------------
+
+def _stored_trees(spark, sf):
+    """Published samples with a few damaged months, the rebuilt ones, and their trees, written as they would be beside the tables."""
+    sessions = fx.calendar(spark, sf).select(F.col("session_date").alias("date"))
+    published = V.states(spark, sf).where("state = 'valid'").join(sessions, "date", "left_semi")
+    damaged, lost = F.col("symbol").endswith("5") & (F.month("date") == 3), F.col("symbol").endswith("6") & (F.dayofyear("date") == 100)
+    published = published.where(~lost).withColumn("price", F.when(damaged, F.col("price") + 1).otherwise(F.col("price")))
+    rebuilt, folders = _rebuilt(spark, sf), []
+    for rows in (published, rebuilt.where("pe IS NOT NULL")):
+        folders.append(shared_folder(spark, "tree"))
+        reconcile.write_tree(rows, folders[-1])
+    return published, rebuilt, *[spark.read.parquet(folder) for folder in folders]
+
+
+_SOUND = "v_states WHERE state = 'valid' AND date IN (SELECT session_date FROM fx_calendar)"
+_HARM = "CASE WHEN ends_with(symbol, '6') AND dayofyear(date) = 100 THEN 'not_published' WHEN ends_with(symbol, '5') AND month(date) = 3 THEN 'price' END"
+
+
+@query("digest_differences", "J12 U4 Q2", f"""
+SELECT symbol, CAST(date AS VARCHAR) AS date, {_HARM} AS issue FROM {_SOUND} AND {_HARM} IS NOT NULL""")
+def digest_differences(spark, sf):
+    return reconcile.reconcile_by_digests(*_stored_trees(spark, sf))
+
+
+@query("digest_descent", "J12 U4", f"""
+WITH r AS (SELECT symbol, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, {_HARM} AS issue FROM {_SOUND}),
+s AS (SELECT symbol, count(issue) > 0 AS differs FROM r GROUP BY ALL),
+y AS (SELECT symbol, year, count(issue) > 0 AS differs FROM r WHERE symbol IN (SELECT symbol FROM s WHERE differs) GROUP BY ALL),
+m AS (SELECT symbol, year, month, count(issue) > 0 AS differs FROM r JOIN (SELECT symbol, year FROM y WHERE differs) USING (symbol, year) GROUP BY ALL)
+SELECT 'symbol' AS level, symbol, NULL AS year, NULL AS month, differs FROM s UNION ALL SELECT 'year', symbol, year, NULL, differs FROM y
+UNION ALL SELECT 'month', symbol, year, month, differs FROM m""")
+def digest_descent(spark, sf):
+    """The nodes a comparison looks at, level by level."""
+    return reconcile.compared_nodes(*_stored_trees(spark, sf)[2:])

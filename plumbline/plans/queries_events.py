@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import directory, filings, matching, quotes
+from plumbline.operators import catalog_index, directory, filings, matching, quotes
 from plumbline.plans import fixtures as fx
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.plans.sql_views import crc32_sql, day
 from plumbline.session import shared_folder
-from plumbline.sources import readers, sinks
+from plumbline.sources import file_index, readers, sinks
 from plumbline.sources.versions import Table
 from plumbline.streaming import streams
 
@@ -576,3 +576,36 @@ def batch_log(spark, sf):
     rows = fx.table(spark, sf, "events").select("event_id")
     _run(spark, rows, "event_id", "log", lambda stream, checkpoint: streams.each_batch(stream, checkpoint, step))
     return spark.read.parquet(log)
+
+
+_NEEDLES = "(SELECT DISTINCT lower(right(symbol, 3)) AS needle FROM fx_catalog UNION SELECT DISTINCT substr(lower(name), 3, 6) FROM fx_catalog)"
+
+
+@query("catalog_search_indexed", "T1 F11", f"""
+SELECT needle, symbol, name, rank, position FROM (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY rank, length(name), symbol) AS position FROM (
+  SELECT needle, symbol, name, CASE WHEN lower(symbol) = needle THEN 0 WHEN lower(name) = needle THEN 1 WHEN starts_with(lower(symbol), needle) THEN 2
+    WHEN starts_with(lower(name), needle) THEN 3 ELSE 4 END AS rank
+  FROM fx_catalog, (SELECT DISTINCT CASE needle WHEN 'aws' THEN 'amzn' ELSE needle END AS needle FROM (SELECT trim(needle) AS needle FROM {_NEEDLES}) WHERE needle <> '')
+  WHERE contains(lower(symbol), needle) OR contains(lower(name), needle))) WHERE position <= 8""")
+def catalog_search_indexed(spark, sf):
+    """Searches for the end of every symbol and a piece of every name, through stored postings."""
+    catalog = fx.catalog(spark, sf)
+    ends = catalog.select(F.lower(F.right("symbol", F.lit(3))).alias("text"))
+    texts = ends.unionByName(catalog.select(F.substring(F.lower("name"), 3, 6).alias("text")))
+    path = shared_folder(spark, "grams")
+    catalog_index.write_index(catalog, path)
+    return catalog_index.search_indexed(catalog, path, texts).withColumn("position", F.col("position").cast("long"))
+
+
+@query("archive_of_symbols", "S5 F13", f"""
+SELECT {_FILING} FROM fx_filings WHERE filed >= DATE '1997-01-01' AND symbol IN (SELECT 'C' || c_custkey FROM customer WHERE c_acctbal < 0)""")
+def archive_of_symbols(spark, sf):
+    """Filings of the symbols with a negative balance, from the archive files that hold them."""
+    rows = _filing_payloads(spark, sf)
+    recent_path, archive, index = (shared_folder(spark, purpose) for purpose in ("recent", "archive", "file-index"))
+    rows.where("filed >= date'2000-01-01'").drop("filed").write.json(recent_path)
+    old = rows.where("filed < date'2000-01-01'").withColumn("filing_to", F.concat(F.year("filed").cast("string"), F.lit("-12-31")))
+    old.drop("filed").repartitionByRange(16, "symbol").write.partitionBy("filing_to").json(archive)
+    file_index.update_index(spark, archive, index, readers.filing_payloads(spark, recent_path))
+    wanted = fx.table(spark, sf, "customer").where("c_acctbal < 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("symbol"))
+    return file_index.read_archive_of(spark, recent_path, archive, index, wanted, "1997-01-01")

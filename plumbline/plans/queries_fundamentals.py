@@ -428,3 +428,18 @@ def balance_evidence(spark, sf):
     return evidence.select(
         "symbol", F.size("balance_evidence").alias("items"), F.col("balance_evidence")["equity"]["val"].alias("equity"),
         F.col("balance_evidence")["cash"]["accn"].alias("cash_accession"))
+
+
+@query("snapshot_status", "C6", """
+WITH p AS (SELECT * FROM v_periods WHERE NOT (metric = 'revenue' AND ends_with(symbol, 'A'))),
+h AS (SELECT symbol, max("end") AS last, string_agg(DISTINCT metric, ',' ORDER BY metric) AS metrics FROM p GROUP BY symbol),
+a AS (SELECT coalesce(h.symbol, s.symbol) AS symbol, last, coalesce(metrics, '') AS metrics FROM h FULL JOIN (SELECT 'C' || c_custkey AS symbol FROM customer) s ON h.symbol = s.symbol)
+SELECT a.symbol, CAST(last AS VARCHAR) AS latest_end, metrics, CAST(v.period_end AS VARCHAR) AS period_end, v.revenue_ttm,
+  CASE WHEN v.revenue_ttm IS NOT NULL THEN 'complete' WHEN v.period_end IS NOT NULL THEN 'partial' WHEN last IS NOT NULL THEN 'no_revenue' ELSE 'no_periods' END AS status
+FROM a LEFT JOIN (SELECT * FROM v_snapshot WHERE NOT ends_with(symbol, 'A')) v ON a.symbol = v.symbol""")
+def snapshot_status(spark, sf):
+    """Every symbol with periods or on the list; symbols that end in A have lost their revenue."""
+    rows = V.current_periods(spark, sf).where(~((F.col("metric") == "revenue") & F.col("symbol").endswith("A")))
+    listed = fx.table(spark, sf, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("symbol"))
+    found = fundamentals.snapshot_status(rows, fundamentals.financial_snapshot(rows), listed)
+    return found.select("symbol", "latest_end", "metrics", "period_end", "revenue_ttm", "status")
