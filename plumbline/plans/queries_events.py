@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
@@ -13,7 +15,7 @@ from plumbline.plans.sql_views import crc32_sql, day
 from plumbline.session import shared_folder
 from plumbline.sources import file_index, readers, sinks
 from plumbline.sources.versions import Table
-from plumbline.streaming import streams
+from plumbline.streaming import deadlines, streams
 
 _SPAN = f"{day('start')}, {day('end')}, {day('filed')}"
 
@@ -609,3 +611,29 @@ def archive_of_symbols(spark, sf):
     file_index.update_index(spark, archive, index, readers.filing_payloads(spark, recent_path))
     wanted = fx.table(spark, sf, "customer").where("c_acctbal < 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("symbol"))
     return file_index.read_archive_of(spark, recent_path, archive, index, wanted, "1997-01-01")
+
+
+_CLOCKS = ("2024-01-08 00:00:00", "2024-01-16 12:00:00", "2024-02-01 00:00:00", "2024-02-01 03:00:00", "2024-02-01 06:30:00")
+
+
+@query("deadline_stream", "Y6 Y8", f"""
+WITH q AS (SELECT symbol, event_id, captured_at AS seen, captured_at + CASE WHEN kind = 'error' THEN INTERVAL 5 MINUTE ELSE INTERVAL 6 HOUR END AS due FROM fx_quotes),
+n AS (SELECT clock, symbol, arg_max(due, struct_pack(seen, event_id)) AS due FROM q, (SELECT unnest([{', '.join(f"TIMESTAMP '{c}'" for c in _CLOCKS)}]) AS clock) WHERE seen < clock GROUP BY ALL)
+SELECT symbol, strftime(due, '%Y-%m-%d %H:%M:%S') AS due, strftime(min(clock), '%Y-%m-%d %H:%M:%S') AS fired_at FROM n WHERE due <= clock GROUP BY symbol, due""")
+def deadline_stream(spark, sf):
+    """Each quote sets its symbol's next check, six hours on, or five minutes after a failed one. Three deliveries, then two
+    ticks of the clock without input."""
+    path, inbox, checkpoint = (shared_folder(spark, purpose) for purpose in ("deadlines", "deadlines-inbox", "deadlines-checkpoint"))
+    wait = F.when(F.col("kind") == "error", 300).otherwise(6 * 3600).cast("bigint")
+    at = F.col("captured_at").cast("timestamp")
+    rows = fx.quotes(spark, sf).select(
+        F.col("symbol").alias("key"), F.timestamp_micros(F.unix_micros(at) + wait * 1_000_000).alias("due"), at.alias("at"), F.col("event_id").alias("seq"))
+    before = "1970-01-01 00:00:00"
+    for number, clock in enumerate(_CLOCKS):
+        if number < 3:
+            delivery = rows.where((F.col("at") >= F.lit(before).cast("timestamp")) & (F.col("at") < F.lit(clock).cast("timestamp")))
+            delivery.write.mode("append").parquet(inbox)
+            deadlines.deadline_stream(spark.readStream.schema(rows.schema).parquet(inbox), path, checkpoint, buckets=4).awaitTermination()
+        deadlines.fire(spark, path, datetime.fromisoformat(clock), buckets=4)
+        before = clock
+    return Table(spark, f"{path}/emitted").read().select(F.col("key").alias("symbol"), "due", "fired_at")

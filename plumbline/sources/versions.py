@@ -172,6 +172,8 @@ class Table:
             commit, filled = self._write(with_bucket(merged, keys, buckets), keys, most)
             while True:
                 files, rows = (dict(base.files), dict(base.rows)) if base else ({}, {})
+                for name in [str(b) for b in touched if replace and b not in filled]:
+                    files.pop(name, None), rows.pop(name, None)  # nothing is left of the bucket
                 for bucket, n in filled.items():
                     name = str(bucket)
                     files[name], rows[name] = ([commit], n) if replace else ([*files.get(name, []), commit], rows.get(name, 0) + n)
