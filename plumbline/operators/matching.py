@@ -15,7 +15,7 @@ from plumbline.session import shared_folder
 
 def asof_backward(
     left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str,
-    payload: list[str], bucket: str | None = None,
+    payload: list[str], bucket: str | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """Each left row with the latest right row at or before its time; `event` is null when there is none.
 
@@ -23,7 +23,8 @@ def asof_backward(
     struct is carried, so an event with a null value still replaces the one before it. Right rows must be unique per
     key and time. Without `bucket` a key is one window group, right for daily series (a key has at most one row per
     day on each side). With `bucket` (a `date_trunc` unit) groups are cut by time, so a key of any size is spread over
-    many tasks; the last event of earlier buckets comes from a small table of bucket summaries.
+    many tasks; the last event of earlier buckets comes from a small table of bucket summaries. `tasks` is the number of
+    tasks the keys are dealt to without `bucket`; Spark chooses where none is given.
     """
     event = F.struct(*payload)
     left_columns = left.columns
@@ -31,6 +32,7 @@ def asof_backward(
     events = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), event.alias("_event"))
     both = rows.unionByName(events, allowMissingColumns=True)
     if bucket is None:
+        both = both.repartition(tasks, *by) if tasks else both
         window = W.partitionBy(*by).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
         return (
             both.withColumn("event", F.last("_event", ignorenulls=True).over(window))
@@ -75,6 +77,17 @@ def band_join(
     ).drop("_slot")
 
 
+def lookup_join(df: DataFrame, vocabulary: DataFrame, keys: list[str], deal_by: list[str], shares: int = 64) -> DataFrame:
+    """Inner join with a small table on few distinct keys, each of which may hold a large part of the rows.
+
+    The table is listed once per share and a row looks in the share its `deal_by` columns fall into: where Spark does not
+    broadcast the table, the rows of one key are dealt to many tasks instead of one.
+    """
+    listed = vocabulary.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    share = F.pmod(F.xxhash64(*deal_by), F.lit(shares)).cast("int")
+    return df.withColumn("_share", share).join(listed, [*keys, "_share"]).drop("_share")
+
+
 def keep_latest(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """One row per key, the greatest by `order`; an aggregate, so each task reduces its rows before the shuffle."""
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators.matching import band_join
+from plumbline.operators.matching import band_join, lookup_join
 from plumbline.schemas import taxonomy_rank
 
 DETAIL = ("val", "filed", "form", "accn", "concept")
@@ -24,14 +24,11 @@ def early(day: Column) -> Column:
 
 def observations(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     """Accepted duration facts with metric and tag priority: known form and taxonomy, finite value, 50 to 400 days."""
-    return (
-        facts.withColumn("taxonomy_rank", taxonomy_rank("taxonomy"))
-        .where(
-            S.accepted_form(F.col("form")) & F.col("taxonomy_rank").isNotNull() & F.col("filed").isNotNull()
-            & S.finite(F.col("val")) & S.accepted_span(S.period_days(F.col("start"), F.col("end")))
-        )
-        .join(concepts, ["concept", "unit"])
+    rows = facts.withColumn("taxonomy_rank", taxonomy_rank("taxonomy")).where(
+        S.accepted_form(F.col("form")) & F.col("taxonomy_rank").isNotNull() & F.col("filed").isNotNull()
+        & S.finite(F.col("val")) & S.accepted_span(S.period_days(F.col("start"), F.col("end")))
     )
+    return lookup_join(rows, concepts, ["concept", "unit"], ["symbol", "end", "filed"])
 
 
 def compact(obs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
+from plumbline.operators.matching import lookup_join
 from plumbline.operators.periods import (
     as_date, observations, periods_as_of, standalone_quarters, trailing_year,
 )
@@ -17,14 +18,11 @@ HISTORY_METRICS = ("revenue", "net_income", "operating_income", "operating_cash_
 
 def instant_rows(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     """Accepted balance facts: no start, known form and taxonomy, finite value."""
-    return (
-        facts.withColumn("taxonomy_rank", taxonomy_rank("taxonomy"))
-        .where(
-            F.col("start").isNull() & F.col("end").isNotNull() & F.col("filed").isNotNull()
-            & F.col("taxonomy_rank").isNotNull() & S.accepted_form(F.col("form")) & S.finite(F.col("val"))
-        )
-        .join(concepts, ["concept", "unit"])
+    rows = facts.withColumn("taxonomy_rank", taxonomy_rank("taxonomy")).where(
+        F.col("start").isNull() & F.col("end").isNotNull() & F.col("filed").isNotNull()
+        & F.col("taxonomy_rank").isNotNull() & S.accepted_form(F.col("form")) & S.finite(F.col("val"))
     )
+    return lookup_join(rows, concepts, ["concept", "unit"], ["symbol", "end", "filed"])
 
 
 def instant_facts(rows: DataFrame, ends: DataFrame, as_of) -> DataFrame:

@@ -28,11 +28,13 @@ def valid_prices(prices: DataFrame, as_of) -> DataFrame:
     return rows.groupBy("symbol", "date").agg(F.max_by("close", "pos").alias("close"))
 
 
-def daily_states(prices: DataFrame, timeline: DataFrame) -> DataFrame:
-    """Each price with the earnings event in force and its state, decided in the order missing, stale, loss, valid."""
+def daily_states(prices: DataFrame, timeline: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Each price with the earnings event in force and its state, decided in the order missing, stale, loss, valid.
+
+    `tasks`: how many tasks the symbols are dealt to, where the caller knows the size of the series."""
     fields = ["eps", "filed_at", "period_end"]
     matched = asof_backward(
-        prices.select("symbol", "date", "close"), timeline, ["symbol"], "date", "available_on", fields)
+        prices.select("symbol", "date", "close"), timeline, ["symbol"], "date", "available_on", fields, tasks=tasks)
     eps = F.col("event.eps")
     state = (
         F.when(eps.isNull(), "missing_eps")

@@ -151,7 +151,7 @@ WITH q AS (SELECT h.symbol, quantile_cont(pe, [0.2, 0.5, 0.8]) AS v FROM v_histo
 SELECT symbol, p AS percentile, round(v[i], 6) AS pe, round(v[i] * current_eps, 6) AS price
 FROM q JOIN v_ends USING (symbol), (SELECT unnest([20, 50, 80]) AS p, unnest([1, 2, 3]) AS i)""")
 def reference_prices(spark, sf):
-    states = V.states(spark, sf)
+    states = V.dealt_states(spark, sf)
     selected = valuation.selected_horizon(valuation.coverage_windows(states, fx.calendar(spark, sf), V.AS_OF))
     eps = states.groupBy("symbol").agg(F.max_by("eps", "date").alias("eps"))
     samples = states.where("pe IS NOT NULL")

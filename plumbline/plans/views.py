@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import filings, fundamentals, periods, quality, valuation
 from plumbline.plans import fixtures as fx
 from plumbline.schemas import concept_map
-from plumbline.session import landed
+from plumbline.session import input_tasks, landed
 
 AS_OF = fx.AS_OF
 
@@ -24,11 +24,17 @@ def raw_obs(spark: SparkSession, sf: str) -> DataFrame:
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     """Compact observations, stored by metric so that a reader of one metric reads nothing else."""
-    return landed(spark, sf, "obs", lambda: periods.compact(raw_obs(spark, sf)), partition_by=("metric",))
+    def build() -> DataFrame:
+        return periods.compact(raw_obs(spark, sf).repartition(input_tasks(spark, sf), "symbol", "metric", "start", "end", "filed"))
+
+    return landed(spark, sf, "obs", build, partition_by=("metric",))
 
 
 def current_periods(spark: SparkSession, sf: str) -> DataFrame:
-    return landed(spark, sf, "periods", lambda: periods.periods_as_of(obs(spark, sf), AS_OF), partition_by=("metric",))
+    def build() -> DataFrame:
+        return periods.periods_as_of(obs(spark, sf).repartition(input_tasks(spark, sf), "symbol", "metric", "start", "end"), AS_OF)
+
+    return landed(spark, sf, "periods", build, partition_by=("metric",))
 
 
 def instants(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,20 +54,30 @@ def timeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_states(spark: SparkSession, sf: str) -> DataFrame:
-    return valuation.daily_states(clean_prices(spark, sf), build_timeline(spark, sf))
+    return valuation.daily_states(clean_prices(spark, sf), build_timeline(spark, sf), series_tasks(spark, sf))
 
 
 def states(spark: SparkSession, sf: str) -> DataFrame:
     return landed(spark, sf, "states", lambda: build_states(spark, sf))
 
 
+def series_tasks(spark: SparkSession, sf: str) -> int:
+    """Tasks for the daily series: their steps sort each row several times at once, so a task gets less of it."""
+    return input_tasks(spark, sf, 8 << 20)
+
+
+def dealt_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The states, each symbol in one of many tasks: windows over a symbol read them as they lie."""
+    return states(spark, sf).repartition(series_tasks(spark, sf), "symbol")
+
+
 def windows(spark: SparkSession, sf: str) -> DataFrame:
-    return valuation.coverage_windows(states(spark, sf), fx.calendar(spark, sf), AS_OF)
+    return valuation.coverage_windows(dealt_states(spark, sf), fx.calendar(spark, sf), AS_OF)
 
 
 def build_summary(spark: SparkSession, sf: str) -> DataFrame:
     return valuation.valuation_summary(
-        clean_prices(spark, sf), states(spark, sf), fx.splits(spark, sf), fx.calendar(spark, sf), AS_OF)
+        clean_prices(spark, sf), dealt_states(spark, sf), fx.splits(spark, sf), fx.calendar(spark, sf), AS_OF)
 
 
 def summary(spark: SparkSession, sf: str) -> DataFrame:

@@ -65,13 +65,16 @@ SUPPLEMENT_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in (
 
 
 def concept_map(spark: SparkSession, concepts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """Fixed-size lookup (metric, concept, priority, unit): one row per tag of the vocabulary, never data-sized."""
+    """Fixed-size lookup (metric, concept, priority, unit): one row per tag of the vocabulary, never data-sized.
+
+    The rows are literals, so Spark knows how small the table is.
+    """
     rows = [
-        (metric, concept, priority, UNITS.get(metric, "USD"))
+        F.struct(F.lit(metric).alias("metric"), F.lit(concept).alias("concept"), F.lit(priority).alias("priority"), F.lit(UNITS.get(metric, "USD")).alias("unit"))
         for metric, names in (concepts or {**CONCEPTS, **INSTANT_CONCEPTS}).items()
         for priority, concept in enumerate(names)
     ]
-    return spark.createDataFrame(rows, "metric string, concept string, priority int, unit string")
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def taxonomy_rank(column):

@@ -41,6 +41,14 @@ def input_identity(spark: SparkSession, scope: str) -> str:
     return str(tuple(files.agg(F.count(F.lit(1)), mark).first()))
 
 
+def input_tasks(spark: SparkSession, scope: str, bytes_each: int = 16 << 20) -> int:
+    """A number of tasks in proportion to the files under the folder: one for each 16 MB, and no fewer than the session's own
+    parallelism. Steps that sort or hash all rows are dealt by it, so that what one task holds does not grow with the input."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(scope)
+    held = files.agg(F.sum("length")).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-held // bytes_each))
+
+
 def landed(
     spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = (),
 ) -> DataFrame:

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import matching
+from plumbline.operators.matching import lookup_join
+from plumbline.schemas import concept_map
 
 BASE = date(2020, 1, 1)
 
@@ -70,3 +72,29 @@ def test_order_statistics_against_numpy(spark):
         assert matching.order_statistics(df.limit(0), ["k"], "v", points).count() == 0
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_lookup_join_deals_the_rows_of_one_key_to_many_tasks(spark):
+    rows = spark.range(400).select(F.lit("hot").alias("key"), F.col("id").alias("n")).unionByName(
+        spark.createDataFrame([(None, -1), ("none", -2)], "key string, n bigint"))
+    words = spark.createDataFrame([("hot", 1), ("hot", 2), ("cold", 3)], "key string, meaning int")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        joined = lookup_join(rows, words, ["key"], ["n"])
+        tasks = joined.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        found = sorted((r["key"], r["n"], r["meaning"]) for r in joined.collect())
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < 400
+    assert found == sorted(("hot", n, m) for n in range(400) for m in (1, 2)) and joined.columns == ["key", "n", "meaning"]
+
+
+def test_the_tag_vocabulary_is_known_to_be_small(spark):
+    facts = spark.range(10).select(F.lit("Revenues").alias("concept"), F.lit("USD").alias("unit"), "id")
+    joined = lookup_join(facts, concept_map(spark), ["concept", "unit"], ["id"])
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert {(r["metric"], r["priority"]) for r in joined.collect()} == {("revenue", 1)} and joined.count() == 10
