@@ -33,16 +33,21 @@ def bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
-def write_index(catalog: DataFrame, path: str) -> None:
+def write_index(catalog: DataFrame, path: str, tasks: int | None = None) -> None:
     """Postings (gram, part, symbol) in folders by hash of the gram, and beside them how many entries each gram has.
 
-    One gram may stand in nearly every name, so its postings are cut into parts by symbol.
+    One gram may stand in nearly every name, so its postings are cut into parts by symbol. An entry becomes some eighty postings:
+    `tasks`, given by a caller that knows the size of the directory, deals the entries before they are cut up, by symbol, so that
+    repeated ones meet without a shuffle of the postings.
     """
     every = tuple(range(1, LONGEST + 1))
     texts = F.array_distinct(F.concat(grams(F.lower("symbol"), every), grams(F.lower("name"), every)))
-    postings = catalog.select("symbol", F.explode(texts).alias("gram")).distinct()
+    entries = catalog.select("symbol", "name")
+    entries = entries.repartition(tasks, "symbol") if tasks else entries
+    postings = entries.select("symbol", F.explode(texts).alias("gram")).distinct()
     postings = postings.withColumns({"bucket": bucket(F.col("gram")), "part": F.pmod(F.xxhash64("symbol"), F.lit(PARTS)).cast("int")})
-    postings.repartition("bucket", "part").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    dealt = postings.repartition(tasks, "bucket", "part") if tasks else postings.repartition("bucket", "part")
+    dealt.sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     stored = catalog.sparkSession.read.parquet(f"{path}/postings")
     stored.groupBy("bucket", "gram").count().repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/counts")
 

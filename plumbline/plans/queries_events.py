@@ -12,7 +12,7 @@ from plumbline.plans import fixtures as fx
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.plans.sql_views import crc32_sql, day
-from plumbline.session import shared_folder
+from plumbline.session import input_tasks, shared_folder
 from plumbline.sources import file_index, readers, sinks
 from plumbline.sources.versions import Table
 from plumbline.streaming import deadlines, streams
@@ -595,7 +595,7 @@ def catalog_search_indexed(spark, sf):
     ends = catalog.select(F.lower(F.right("symbol", F.lit(3))).alias("text"))
     texts = ends.unionByName(catalog.select(F.substring(F.lower("name"), 3, 6).alias("text")))
     path = shared_folder(spark, "grams")
-    catalog_index.write_index(catalog, path)
+    catalog_index.write_index(catalog, path, input_tasks(spark, sf, 4 << 20))
     return catalog_index.search_indexed(catalog, path, texts).withColumn("position", F.col("position").cast("long"))
 
 

@@ -10,6 +10,7 @@ from datetime import date, timedelta
 import pytest
 
 from plumbline.operators import audit, catalog_index, directory, fundamentals, reconcile
+from plumbline.session import input_tasks
 from plumbline.sources import file_index, readers
 
 SAMPLES = "symbol string, date date, price double, pe double, eps double, eps_filed_at date, eps_period_end date"
@@ -176,3 +177,29 @@ def test_symbols_without_revenue_get_a_status_row(spark):
     listed = spark.createDataFrame([("A",), ("Z",), ("Z",), (None,)], "symbol string")
     rows = {r["symbol"]: (r["status"], r["metrics"]) for r in fundamentals.snapshot_status(periods, shots, listed).collect()}
     assert rows == {"A": ("no_revenue", "capex"), "B": ("complete", "revenue"), "D": ("partial", "revenue"), "Z": ("no_periods", "")}
+
+
+def test_an_index_dealt_to_tasks_finds_the_same_and_lists_repeated_entries_once(spark, tmp_path):
+    rows = [("AB", "Alpha Beta"), ("AB", "Alpha Beta"), ("AB", "Abacus"), (None, "Alphabet"), ("XY", None)]
+    catalog = spark.createDataFrame(rows, "symbol string, name string").coalesce(1)
+    texts = spark.createDataFrame([("alpha",), ("ab",), ("xy",)], "text string")
+    whole, dealt = str(tmp_path / "whole"), str(tmp_path / "dealt")
+    catalog_index.write_index(catalog, whole)
+    catalog_index.write_index(catalog, dealt, 5)
+
+    def stored(path):
+        return sorted(map(str, spark.read.parquet(f"{path}/postings").select("symbol", "gram", "part").collect()))
+
+    def found(path):
+        return sorted(map(str, catalog_index.search_indexed(catalog, path, texts).collect()))
+
+    assert stored(dealt) == stored(whole) and len(stored(dealt)) == len(set(stored(dealt)))
+    assert found(dealt) == found(whole) != []
+
+
+def test_tasks_grow_with_the_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "t.parquet").mkdir()
+    (tmp_path / "t.parquet" / "part-0").write_bytes(b"x" * 900)
+    own = spark.sparkContext.defaultParallelism
+    assert input_tasks(spark, str(tmp_path), 1000) == own
+    assert input_tasks(spark, str(tmp_path), 10) == 90
