@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators.matching import order_statistics
+from plumbline.operators.matching import dealt, order_statistics
 
 TOLERANCE = 1e-10
 
@@ -32,18 +32,23 @@ def relative_gap(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     return F.abs(a - b) > F.greatest(F.abs(a), F.abs(b)) * F.lit(tolerance)
 
 
-def audit_components(components: DataFrame, facts: DataFrame) -> DataFrame:
+def audit_components(components: DataFrame, facts: DataFrame, tasks: int | None = None) -> DataFrame:
     """Violations (symbol, event, check, n) of the rules a four-quarter sum must keep.
 
     `components` has one row per quarter: symbol, event_id, observed (a date), start, end, filed_at, reported_eps,
-    split_adjustment, eps, accession. Every quarter must match an original fact on five keys.
+    split_adjustment, eps, accession. Every quarter must match an original fact on five keys. `tasks`: how many tasks the rows
+    are dealt to, where the caller knows the size of the input.
     """
     keys = ["symbol", "event_id"]
+    # a number as its text, zero without sign: Spark deals texts as they are, but brings numbers into one form before it joins them
+    match = ["symbol", "start", "end", "filed_at", "accession", "_value"]
     order = W.partitionBy(*keys).orderBy("end")
     source = facts.select(
         "symbol", F.col("start").alias("start"), F.col("end").alias("end"), F.col("filed").alias("filed_at"),
-        F.col("accn").alias("accession"), F.col("val").alias("reported_eps")).distinct().withColumn("_found", F.lit(True))
-    rows = components.join(source, ["symbol", "start", "end", "filed_at", "accession", "reported_eps"], "left")
+        F.col("accn").alias("accession"), (F.col("val") + 0.0).cast("string").alias("_value"))
+    source = dealt(source, tasks, *match).distinct().withColumn("_found", F.lit(True))
+    components = components.withColumn("_value", (F.col("reported_eps") + 0.0).cast("string"))
+    rows = dealt(dealt(components, tasks, *match).join(source, match, "left"), tasks, *keys)
     rows = rows.withColumn("_previous", F.lag("end").over(order))
     adjusted = F.try_divide("reported_eps", "split_adjustment")
     checks = {
@@ -67,14 +72,14 @@ def audit_components(components: DataFrame, facts: DataFrame) -> DataFrame:
     return counts.select(*keys, F.inline(F.filter(listed, lambda c: c["n"] > 0)))
 
 
-def rebuild_samples(prices: DataFrame, timeline: DataFrame, calendar: DataFrame) -> DataFrame:
+def rebuild_samples(prices: DataFrame, timeline: DataFrame, calendar: DataFrame, tasks: int | None = None) -> DataFrame:
     """Samples rebuilt with a plan of its own: events as validity intervals cut into months, equi-joined with sessions.
 
-    Only prices on calendar sessions count.
+    Only prices on calendar sessions count. `tasks`: how many tasks both sides are dealt to, where the caller knows their size.
     """
     order = W.partitionBy("symbol").orderBy("available_on")
-    intervals = timeline.select(
-        "symbol", "available_on", F.lead("available_on").over(order).alias("until"), "eps", "filed_at", "period_end")
+    events = dealt(timeline.select("symbol", "available_on", "eps", "filed_at", "period_end"), tasks, "symbol")
+    intervals = events.withColumn("until", F.lead("available_on").over(order))
     # an event is stale 160 days after its period end, so its interval never needs to reach further
     last = F.least(F.coalesce(F.date_sub("until", 1), F.date_add("period_end", 160)), F.date_add("period_end", 160))
     live = intervals.where(F.col("eps").isNotNull()).withColumn("last", last).where(F.col("last") >= F.col("available_on"))
@@ -82,7 +87,7 @@ def rebuild_samples(prices: DataFrame, timeline: DataFrame, calendar: DataFrame)
     live = live.withColumn("month", F.explode(months))
     sessions = prices.join(calendar.select(F.col("session_date").alias("date")), "date", "left_semi").withColumn("month", F.trunc("date", "MM"))
     return (
-        sessions.join(live, ["symbol", "month"]).where(F.col("date").between(F.col("available_on"), F.col("last")))
+        dealt(sessions, tasks, "symbol", "month").join(dealt(live, tasks, "symbol", "month"), ["symbol", "month"]).where(F.col("date").between(F.col("available_on"), F.col("last")))
         .select("symbol", "date", F.col("close").alias("price"), "eps", F.when(F.col("eps") > 0, F.col("close") / F.col("eps")).alias("pe"),
                 F.col("filed_at").alias("eps_filed_at"), F.col("period_end").alias("eps_period_end"))
     )

@@ -32,7 +32,7 @@ def asof_backward(
     events = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), event.alias("_event"))
     both = rows.unionByName(events, allowMissingColumns=True)
     if bucket is None:
-        both = both.repartition(tasks, *by) if tasks else both
+        both = dealt(both, tasks, *by)
         window = W.partitionBy(*by).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
         return (
             both.withColumn("event", F.last("_event", ignorenulls=True).over(window))
@@ -52,6 +52,23 @@ def asof_backward(
     )
 
 
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """The rows dealt to `tasks` tasks by their keys; where no number is given, Spark deals them as the next step needs."""
+    return df.repartition(tasks, *keys) if tasks else df
+
+
+def multiset_difference(left: DataFrame, right: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows that one side holds more often than the other, once for each time, with `in_left`; nulls equal nulls.
+
+    Both sides are counted together, so each is read and moved once.
+    """
+    columns = left.columns
+    both = left.withColumn("_n", F.lit(1)).unionByName(right.withColumn("_n", F.lit(-1)))
+    rest = dealt(both, tasks, *columns).groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    times = F.array_repeat(F.col("_n") > 0, F.abs("_n").cast("int"))
+    return rest.select(*columns, F.explode(times).alias("in_left"))
+
+
 def band_join(
     left: DataFrame, right: DataFrame, keys: list[str], left_day: str, right_day: str, low: int, high: int,
 ) -> DataFrame:

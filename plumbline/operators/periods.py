@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators.matching import band_join, lookup_join
+from plumbline.operators.matching import dealt, lookup_join
 from plumbline.schemas import taxonomy_rank
 
 DETAIL = ("val", "filed", "form", "accn", "concept")
@@ -292,17 +292,18 @@ def trailing_eps(periods: DataFrame) -> DataFrame:
     return four_in_a_row(quarters, keys, 1, 1).where(F.col("end") == F.col("latest_end")).drop("latest_end")
 
 
-def earnings_timeline(obs: DataFrame, policy: DataFrame, as_of) -> DataFrame:
+def earnings_timeline(obs: DataFrame, policy: DataFrame, as_of, tasks: int | None = None) -> DataFrame:
     """One event per distinct filing date of a symbol: the trailing EPS known then, effective the next day.
 
     The reference quarter set of a date can only hold quarters within 400 days of the latest known end, so each date
-    looks up that handful of quarters (a bucketed band join) and takes each one's version as of the date (an as-of
-    join per quarter). Work grows with filing dates, not with facts times dates. Events without a valid sum keep a null
-    `eps`; they end the event before them.
+    looks up that handful among the symbol's quarter ends (a list bounded by dates) and takes each one's version as of the
+    date (an as-of join per quarter). Work grows with filing dates, not with facts times dates. Events without a valid sum
+    keep a null `eps`; they end the event before them. `tasks`: how many tasks the symbols are dealt to, where the caller
+    knows the size of the input.
     """
     as_of = as_date(as_of)
     eps = obs.where((F.col("metric") == "eps") & (F.col("filed") <= as_of))
-    rows = with_split_factor(eps, policy, as_of).withColumn("seen", F.greatest("filed", "end"))
+    rows = with_split_factor(dealt(eps, tasks, "symbol"), policy, as_of).withColumn("seen", F.greatest("filed", "end"))
 
     # per day: was something filed, and the latest end known by then
     moment = F.explode(F.array_distinct(F.array("filed", "seen")))
@@ -319,14 +320,16 @@ def earnings_timeline(obs: DataFrame, policy: DataFrame, as_of) -> DataFrame:
         .agg(F.max_by(F.struct(*detail), F.struct("filed", "start", -F.col("priority"), "taxonomy_rank", "pos")).alias("_event"))
         .select("symbol", "q_end", F.col("seen").alias("t"), F.lit(0).alias("side"), "_event")
     )
-    quarter_ends = direct.select("symbol", "q_end").distinct()
-    wanted = band_join(latest, quarter_ends, ["symbol"], "period_end", "q_end", -400, 0)
+    quarter_ends = direct.groupBy("symbol").agg(F.collect_set("q_end").alias("_ends"))
+    near = F.filter("_ends", lambda end: F.datediff(end, F.col("period_end")).between(-400, 0))
+    wanted = latest.join(quarter_ends, "symbol").select("symbol", "filed_at", "period_end", F.explode(near).alias("q_end"))
     # one bare row per date keeps dates without any quarter
     asked = wanted.unionByName(latest.withColumn("q_end", F.lit(None).cast("date"))).select(
         "symbol", "q_end", F.col("filed_at").alias("t"), F.lit(1).alias("side"), "period_end")
 
     # a handful of rows per filing date: bring each symbol together once, everything below keeps that partitioning
-    both = asked.unionByName(versions, allowMissingColumns=True).repartition("symbol")
+    both = asked.unionByName(versions, allowMissingColumns=True)
+    both = dealt(both, tasks, "symbol") if tasks else both.repartition("symbol")
     backward = W.partitionBy("symbol", "q_end").orderBy("t", "side").rowsBetween(W.unboundedPreceding, W.currentRow)
     known = both.withColumn("event", F.last("_event", ignorenulls=True).over(backward)).where("side = 1")
 

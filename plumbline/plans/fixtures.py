@@ -46,12 +46,12 @@ def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier to symbol: its region, its nation and itself."""
+    """Supplier to symbol: its region, its nation and itself, told apart by `level`."""
     return (
         table(spark, sf_dir, "supplier")
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", "s_acctbal", F.explode(F.array("r_name", "n_name", "s_name")).alias("symbol"))
+        .select("s_suppkey", "s_acctbal", F.posexplode(F.array("r_name", "n_name", "s_name")).alias("level", "symbol"))
     )
 
 
@@ -64,15 +64,17 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily close per symbol, four decimals."""
+    """Daily close per symbol, four decimals. Regions and nations shrink to one row per task and day before they move; most rows
+    are a supplier's own days, dealt to as many tasks as the input asks for."""
+    tasks = input_tasks(spark, sf_dir)
     close = F.floor(F.sum("cents") * F.lit(100.0) / F.sum("qty") + F.lit(0.5)) / F.lit(10000.0)
-    return (
-        supplier_days(spark, sf_dir)
-        .select("l_suppkey", "date", "cents", "qty")
+    days = (
+        supplier_days(spark, sf_dir).select("l_suppkey", "date", "cents", "qty").repartition(tasks, "l_suppkey")
         .join(entities(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("symbol", "date")
-        .agg(close.alias("close"))
     )
+    own = days.where("level = 2").select("symbol", "date", "cents", "qty")
+    shared = days.where("level < 2").groupBy("symbol", "date").agg(F.sum("cents").alias("cents"), F.sum("qty").alias("qty"))
+    return own.unionByName(shared).repartition(tasks, "symbol", "date").groupBy("symbol", "date").agg(close.alias("close"))
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +120,7 @@ def build_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_quarter = (
         supplier_days(spark, sf_dir)
         .withColumn("qs", F.trunc("date", "quarter"))
+        .repartition(input_tasks(spark, sf_dir), "l_suppkey")
         .groupBy("l_suppkey", "qs")
         .agg(*[F.sum(c).alias(c) for c in sums])
         .join(entities(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -130,7 +133,7 @@ def build_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     year = W.partitionBy("symbol", "ys").orderBy("qs").rowsBetween(W.unboundedPreceding, W.currentRow)
     life = W.partitionBy("symbol").orderBy("qs").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return by_quarter.select(
+    return by_quarter.repartition(input_tasks(spark, sf_dir), "symbol").select(
         "*",
         F.count("*").over(year).alias("known"),
         *[F.sum(c).over(year).alias(f"ytd_{c}") for c in sums],

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import audit, corpus, reconcile, valuation
+from plumbline.operators import audit, corpus, matching, reconcile, valuation
 from plumbline.plans import fixtures as fx
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.plans.sql_views import day, r2
-from plumbline.session import shared_folder
+from plumbline.session import input_tasks, shared_folder
 
 # pages -------------------------------------------------------------------------------------------------------------
 
@@ -270,11 +270,11 @@ def component_audit(spark, sf):
         "symbol", F.col("event_date").cast("string").alias("event_id"), F.date_add("event_date", late).alias("observed"),
         F.date_add("start", F.when(F.col("symbol").endswith("3") & (F.month("end") == 6), 1).otherwise(0)).alias("start"), "end", "filed_at",
         "reported_eps", "split_adjustment", (F.col("eps") * F.when(F.col("symbol").endswith("5"), 2).otherwise(1)).alias("eps"), "accession")
-    return audit.audit_components(damaged, fx.facts(spark, sf).where("unit = 'USD/shares'"))
+    return audit.audit_components(damaged, fx.facts(spark, sf).where("unit = 'USD/shares'"), input_tasks(spark, sf))
 
 
 def _rebuilt(spark, sf):
-    return audit.rebuild_samples(V.clean_prices(spark, sf), V.timeline(spark, sf), fx.calendar(spark, sf))
+    return audit.rebuild_samples(V.clean_prices(spark, sf), V.timeline(spark, sf), fx.calendar(spark, sf), V.series_tasks(spark, sf))
 
 
 @query("rebuilt_samples", "Q2 J1", f"""
@@ -302,8 +302,8 @@ UNION ALL SELECT symbol, CAST(date AS VARCHAR), 'lacking' FROM v_states WHERE st
 def session_differences(spark, sf):
     published = V.states(spark, sf).where("state = 'valid' AND NOT (day(date) = 9 AND weekday(date) < 5)").select("symbol", "date")
     rebuilt = _rebuilt(spark, sf).where("pe IS NOT NULL").select("symbol", "date")
-    extra = published.exceptAll(rebuilt).withColumn("side", F.lit("extra"))
-    return extra.unionByName(rebuilt.exceptAll(published).withColumn("side", F.lit("lacking")))
+    differing = matching.multiset_difference(published, rebuilt, V.series_tasks(spark, sf))
+    return differing.select("symbol", "date", F.when(F.col("in_left"), "extra").otherwise("lacking").alias("side"))
 
 
 @query("valuation_audit", "Q2 A1 A2", f"""

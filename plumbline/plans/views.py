@@ -46,7 +46,7 @@ def clean_prices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    return periods.earnings_timeline(obs(spark, sf), fx.splits(spark, sf), AS_OF)
+    return periods.earnings_timeline(obs(spark, sf), fx.splits(spark, sf), AS_OF, series_tasks(spark, sf))
 
 
 def timeline(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +63,7 @@ def states(spark: SparkSession, sf: str) -> DataFrame:
 
 def series_tasks(spark: SparkSession, sf: str) -> int:
     """Tasks for the daily series: their steps sort each row several times at once, so a task gets less of it."""
-    return input_tasks(spark, sf, 8 << 20)
+    return input_tasks(spark, sf, 4 << 20)
 
 
 def dealt_states(spark: SparkSession, sf: str) -> DataFrame:
