@@ -300,10 +300,13 @@ def session_lag(priced: DataFrame, calendar: DataFrame, now: Column) -> DataFram
     return priced.join(lags, "priced_on", "left")
 
 
-def valuation_summary(clean: DataFrame, states: DataFrame, policy: DataFrame, calendar: DataFrame, as_of, now: Column | None = None) -> DataFrame:
+def valuation_summary(
+    clean: DataFrame, states: DataFrame, policy: DataFrame, calendar: DataFrame, as_of, now: Column | None = None, selected: DataFrame | None = None,
+) -> DataFrame:
     """One row per priced symbol: multiple, ranks, status and counters, or a reason why there is none.
 
-    `states` (from `daily_states` over the valid prices) is read several times; give it as a written table.
+    `states` (from `daily_states` over the valid prices) is read several times; give it as a written table. So is `selected`, the
+    `selected_horizon` of the coverage windows: without it the windows are counted twice, here and for the history.
     """
     as_of = as_date(as_of)
     now = now if now is not None else F.date_add(as_of, 1).cast("timestamp")
@@ -314,7 +317,7 @@ def valuation_summary(clean: DataFrame, states: DataFrame, policy: DataFrame, ca
         F.count_if(F.col("state").isin("missing_eps", "stale_eps")).alias("missing_earnings_days"),
         F.count_if(F.col("state") == "nonpositive_eps").alias("nonpositive_earnings_days"),
     ).select("symbol", "now.*", "first_sample", "missing_earnings_days", "nonpositive_earnings_days")
-    selected = selected_horizon(coverage_windows(states, calendar, as_of))
+    selected = selected_horizon(coverage_windows(states, calendar, as_of)) if selected is None else selected
     history = samples_in_horizon(samples, selected).groupBy("symbol").agg(
         F.count("*").alias("sample_count"), F.min("date").alias("history_start"), F.max("date").alias("history_end"))
     broken = split_continuity(clean, policy, as_of).where("status = 'rejected'").select("symbol", F.lit(True).alias("broken")).distinct()

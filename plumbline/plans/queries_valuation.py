@@ -152,10 +152,9 @@ SELECT symbol, p AS percentile, round(v[i], 6) AS pe, round(v[i] * current_eps,
 FROM q JOIN v_ends USING (symbol), (SELECT unnest([20, 50, 80]) AS p, unnest([1, 2, 3]) AS i)""")
 def reference_prices(spark, sf):
     states = V.dealt_states(spark, sf)
-    selected = valuation.selected_horizon(valuation.coverage_windows(states, fx.calendar(spark, sf), V.AS_OF))
     eps = states.groupBy("symbol").agg(F.max_by("eps", "date").alias("eps"))
     samples = states.where("pe IS NOT NULL")
-    return valuation.reference_prices(samples.drop("eps"), selected.drop("percentile"), eps).withColumns(
+    return valuation.reference_prices(samples.drop("eps"), V.selected(spark, sf).drop("percentile"), eps).withColumns(
         {"pe": F.round("pe", 6), "price": F.round("price", 6)})
 
 

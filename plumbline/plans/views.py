@@ -75,9 +75,15 @@ def windows(spark: SparkSession, sf: str) -> DataFrame:
     return valuation.coverage_windows(dealt_states(spark, sf), fx.calendar(spark, sf), AS_OF)
 
 
+def selected(spark: SparkSession, sf: str) -> DataFrame:
+    """Each symbol's horizon, counted once for all that read it."""
+    return landed(spark, sf, "selected", lambda: valuation.selected_horizon(windows(spark, sf)))
+
+
 def build_summary(spark: SparkSession, sf: str) -> DataFrame:
     return valuation.valuation_summary(
-        clean_prices(spark, sf), dealt_states(spark, sf), fx.splits(spark, sf), fx.calendar(spark, sf), AS_OF)
+        clean_prices(spark, sf), dealt_states(spark, sf), fx.splits(spark, sf), fx.calendar(spark, sf), AS_OF,
+        selected=selected(spark, sf))
 
 
 def summary(spark: SparkSession, sf: str) -> DataFrame:
