@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
 from plumbline.operators import periods, valuation
-from plumbline.operators.matching import keep_latest
+from plumbline.operators.matching import dealt
 from plumbline.operators.periods import as_date
 from plumbline.sources.versions import Table
 
@@ -52,9 +52,9 @@ def change_set(obs: DataFrame | None = None, prices: DataFrame | None = None, sp
     return changes.where("symbol IS NOT NULL AND since IS NOT NULL").groupBy("symbol").agg(F.min("since").alias("since"))
 
 
-def _suffix(stored: DataFrame, changes: DataFrame, day: str, since: Column, fresh: DataFrame) -> DataFrame:
+def _suffix(stored: DataFrame, changes: DataFrame, day: str, since: Column, fresh: DataFrame, tasks: int | None) -> DataFrame:
     """The stored rows before `since`, and the fresh ones."""
-    before = stored.join(changes, "symbol", "left").where(F.col("since").isNull() | (F.col(day) < since)).select(stored.columns)
+    before = dealt(stored, tasks, "symbol").join(changes, "symbol", "left").where(F.col("since").isNull() | (F.col(day) < since)).select(stored.columns)
     return before.unionByName(fresh.select(stored.columns))
 
 
@@ -65,11 +65,14 @@ def monthly(states: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("pe").alias("least"), F.max("pe").alias("most"), F.array_sort(F.collect_list(F.struct("pe", "date"))).alias("samples"))
 
 
-def refresh(stores: Stores, obs: DataFrame | None, prices: DataFrame | None, policy: DataFrame, as_of, splits: DataFrame | None = None) -> DataFrame:
+def refresh(
+    stores: Stores, obs: DataFrame | None, prices: DataFrame | None, policy: DataFrame, as_of, splits: DataFrame | None = None, tasks: int | None = None,
+) -> DataFrame:
     """Take in new or corrected observations (of `periods.observations`) and prices, and bring the states and months up to date.
 
     What is known is bounded by `as_of`, so rows that a later `as_of` newly admits are to be among `obs` and `prices`. `splits`
-    names symbols (column symbol) whose policy changed. Returns the change set. The first refresh makes the tables.
+    names symbols (column symbol) whose policy changed. Returns the change set. The first refresh makes the tables. `tasks`: how
+    many tasks stored and new rows are dealt to, where the caller knows the size of the tables.
     """
     changes = change_set(obs, prices, splits)
 
@@ -81,21 +84,25 @@ def refresh(stores: Stores, obs: DataFrame | None, prices: DataFrame | None, pol
 
     def newest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-        return keep_latest(both, ["symbol", "date"], "_new").drop("_new")
+        return dealt(both, tasks, "symbol", "date").groupBy("symbol", "date").agg(F.max_by("close", "_new").alias("close"))
 
-    facts = take("obs", None if obs is None else periods.compact(obs), lambda stored, incoming: periods.compact(stored.unionByName(incoming)))
+    def compact(rows: DataFrame) -> DataFrame:
+        return periods.compact(dealt(rows, tasks, "symbol", "metric", "start", "end", "filed"))
+
+    facts = take("obs", None if obs is None else compact(obs), lambda stored, incoming: compact(stored.unionByName(incoming)))
     closes = take("prices", None if prices is None else valuation.valid_prices(prices, as_of).select("symbol", "date", "close"), newest)
     changed = changes.select("symbol")
-    timeline = periods.earnings_timeline(facts.read(keys=changed).join(changed, "symbol", "left_semi"), policy, as_of)
-    days = closes.read(keys=changed).join(changes, "symbol").where((F.col("date") >= F.col("since")) & (F.col("date") <= as_date(as_of))).drop("since")
-    fresh = valuation.daily_states(days, timeline)
+    known = dealt(facts.read(keys=changed), tasks, "symbol").join(changed, "symbol", "left_semi")
+    timeline = periods.earnings_timeline(known, policy, as_of, tasks)
+    days = dealt(closes.read(keys=changed), tasks, "symbol").join(changes, "symbol").where((F.col("date") >= F.col("since")) & (F.col("date") <= as_date(as_of))).drop("since")
+    fresh = valuation.daily_states(days, timeline, tasks)
     states = stores.table("states")
-    states.commit(changes, ["symbol"], lambda stored, _: _suffix(stored, changes, "date", F.col("since"), fresh), stores.buckets, True, columns=STATES)
+    states.commit(changes, ["symbol"], lambda stored, _: _suffix(stored, changes, "date", F.col("since"), fresh, tasks), stores.buckets, True, columns=STATES)
 
     month = F.trunc("since", "MM")
-    again = monthly(states.read(keys=changed).join(changes, "symbol").where(F.col("date") >= month))
+    again = monthly(dealt(states.read(keys=changed), tasks, "symbol").join(changes, "symbol").where(F.col("date") >= month))
     months = stores.table("months")
-    months.commit(changes, ["symbol"], lambda stored, _: _suffix(stored, changes, "month", month, again), stores.buckets, True, columns=MONTHS)
+    months.commit(changes, ["symbol"], lambda stored, _: _suffix(stored, changes, "month", month, again, tasks), stores.buckets, True, columns=MONTHS)
     return changes
 
 

@@ -291,14 +291,14 @@ def future_split_factor(spark, sf):
 
 def _refreshed(spark, sf):
     """A first run without the late filings and prices of some symbols, and with wrong prices of others; then a refresh."""
-    stores = refresh.Stores(spark, shared_folder(spark, "refresh"), 16)
+    stores, tasks = refresh.Stores(spark, shared_folder(spark, "refresh"), 16), V.series_tasks(spark, sf)
     obs, prices, splits = V.obs(spark, sf).where("metric = 'eps'"), fx.prices(spark, sf).select("symbol", "date", "close"), fx.splits(spark, sf)
     late = F.col("symbol").endswith("3") & (F.col("filed") >= F.lit("2000-01-01").cast("date"))
     missing = F.col("symbol").endswith("5") & (F.col("date") >= F.lit("2000-06-01").cast("date"))
     wrong = F.col("symbol").endswith("8") & (F.dayofmonth("date") == 11)
     first = prices.where(~missing).withColumn("close", F.when(wrong, F.col("close") * 2).otherwise(F.col("close")))
-    refresh.refresh(stores, obs.where(~late), first, splits, V.AS_OF)
-    refresh.refresh(stores, obs.where(late), prices.where(missing | wrong), splits, V.AS_OF)
+    refresh.refresh(stores, obs.where(~late), first, splits, V.AS_OF, tasks=tasks)
+    refresh.refresh(stores, obs.where(late), prices.where(missing | wrong), splits, V.AS_OF, tasks=tasks)
     return stores
 
 
@@ -318,4 +318,4 @@ def refreshed_ranks(spark, sf):
     """Ranks over three years, read from the months that the refresh keeps."""
     stores = _refreshed(spark, sf)
     current = stores.table("states").read().where("state = 'valid'").groupBy("symbol").agg(F.max_by("pe", "date").alias("pe"))
-    return refresh.rank_from_months(stores.table("months").read(), current, V.AS_OF, 3)
+    return refresh.rank_from_months(stores.table("months").read().repartition(V.series_tasks(spark, sf), "symbol"), current, V.AS_OF, 3)

@@ -128,11 +128,14 @@ class Table:
         """Rows per bucket: at most as many entries as buckets."""
         return {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}
 
-    def _write(self, rows: DataFrame, keys: list[str], most: int) -> tuple[str, dict[int, int]]:
-        """One new commit folder: one shuffle by bucket and key hash, a bucket in as many tasks as up to `most` rows need."""
+    def _write(self, rows: DataFrame, keys: list[str], held: list[int]) -> tuple[str, dict[int, int]]:
+        """One new commit folder: one shuffle by bucket and key hash, a bucket in as many tasks as the rows of the largest need.
+        `held` is up to how many rows each bucket gets. Tables of more than one file have four tasks for each of theirs, so that
+        seldom two fall together: a task sorts what it writes."""
         commit = uuid.uuid4().hex
-        tasks = max(1, -(-most // ROWS_PER_FILE))
-        spread = rows.repartition("bucket", F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(tasks)))
+        tasks = max(1, -(-max(held, default=0) // ROWS_PER_FILE))
+        places = ("bucket", F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(tasks)))
+        spread = rows.repartition(4 * tasks * len(held), *places) if sum(held) > ROWS_PER_FILE else rows.repartition(*places)
         spread.write.partitionBy("bucket").parquet(f"{self.path}/data/{commit}")
         files, folder = _hadoop(self.spark, f"{self.path}/data/{commit}")
         if not any(status.isDirectory() for status in files.util().listStatus(folder)):
@@ -168,8 +171,8 @@ class Table:
             if base and {f.name for f in stored.schema} != {f.name for f in merged.schema}:
                 raise ValueError(f"{self.path} has the columns {stored.columns}, not {merged.columns}")
             held = base.rows if base and replace else {}
-            most = max((n + held.get(str(b), 0) for b, n in touched.items()), default=0)
-            commit, filled = self._write(with_bucket(merged, keys, buckets), keys, most)
+            sizes = [n + held.get(str(b), 0) for b, n in touched.items()]
+            commit, filled = self._write(with_bucket(merged, keys, buckets), keys, sizes)
             while True:
                 files, rows = (dict(base.files), dict(base.rows)) if base else ({}, {})
                 for name in [str(b) for b in touched if replace and b not in filled]:
