@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators.matching import band_join, keep_latest
+from plumbline.operators.matching import band_join, dealt, keep_latest
 from plumbline.operators.periods import (
     as_date, early, period_type, periods_as_of, standalone_quarters, trailing_eps, trailing_year, with_latest_end,
 )
@@ -26,19 +26,22 @@ def snapshot_basis(periods: DataFrame) -> DataFrame:
     return basis.join(ends, "symbol")
 
 
-def financial_snapshot(periods: DataFrame) -> DataFrame:
+def financial_snapshot(periods: DataFrame, tasks: int | None = None) -> DataFrame:
     """One wide row per symbol with revenue: the current period, trailing year, growth and cash deltas.
 
     Resolved periods are brought together by symbol once. Quarters and whole periods are laid out in long form and folded
     by one aggregate per symbol; trailing sums join on the symbol. All of it keeps the one partitioning. A metric counts
-    only on the very period of revenue; anything else stays null.
+    only on the very period of revenue; anything else stays null. `tasks`: how many tasks the symbols are dealt to, where the
+    caller knows the size of the input.
     """
-    flows = periods.where(F.col("metric").isin(*SNAPSHOT_METRICS)).repartition("symbol")
+    flows = periods.where(F.col("metric").isin(*SNAPSHOT_METRICS))
+    flows = dealt(flows, tasks, "symbol") if tasks else flows.repartition("symbol")
     base = snapshot_basis(flows)
     detail = F.struct("start", "end", "val", "filed", "concept")
     quarters = standalone_quarters(flows).select("symbol", "metric", F.lit("quarter").alias("tag"), detail.alias("r"))
     whole = flows.select("symbol", "metric", F.lit("period").alias("tag"), detail.alias("r"))
-    rows = quarters.unionByName(whole).repartition("symbol").select("symbol", "metric", "tag", "r.*").join(base, "symbol")
+    rows = quarters.unionByName(whole)
+    rows = (dealt(rows, tasks, "symbol") if tasks else rows.repartition("symbol")).select("symbol", "metric", "tag", "r.*").join(base, "symbol")
 
     is_quarter = F.col("period_type") == "quarter"
     gap = F.datediff("period_end", "end")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators.matching import lookup_join
+from plumbline.operators.matching import dealt, lookup_join
 from plumbline.operators.periods import (
     as_date, observations, periods_as_of, standalone_quarters, trailing_year,
 )
@@ -25,11 +25,11 @@ def instant_rows(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     return lookup_join(rows, concepts, ["concept", "unit"], ["symbol", "end", "filed"])
 
 
-def instant_facts(rows: DataFrame, ends: DataFrame, as_of) -> DataFrame:
+def instant_facts(rows: DataFrame, ends: DataFrame, as_of, tasks: int | None = None) -> DataFrame:
     """The winning balance fact per (symbol, metric, end) for the asked ends: latest filed, preferred tag, first listed."""
     order = F.struct("filed", -F.col("priority"), -F.col("taxonomy_rank"), -F.col("pos"))
     return (
-        rows.where(F.col("filed") <= as_date(as_of)).join(ends.select("symbol", "end"), ["symbol", "end"], "left_semi")
+        dealt(rows.where(F.col("filed") <= as_date(as_of)), tasks, "symbol", "end").join(ends.select("symbol", "end"), ["symbol", "end"], "left_semi")
         .groupBy("symbol", "metric", "end").agg(F.max_by(F.struct("val", "filed", "accn", "concept"), order).alias("w"))
         .select("symbol", "metric", "end", "w.*")
     )
@@ -130,16 +130,17 @@ def financial_quality(facts: DataFrame, concepts: DataFrame, snapshots: DataFram
         periods_as_of(obs.where(F.col("metric").isin(*wanted)), as_of), instant_rows(facts, concepts), snapshots, as_of)
 
 
-def quality_of(periods: DataFrame, instants: DataFrame, snapshots: DataFrame, as_of) -> DataFrame:
-    """`financial_quality` from resolved periods and balance rows; every join is on the symbol alone."""
-    periods = periods.repartition("symbol")
+def quality_of(periods: DataFrame, instants: DataFrame, snapshots: DataFrame, as_of, tasks: int | None = None) -> DataFrame:
+    """`financial_quality` from resolved periods and balance rows; every join is on the symbol alone. `tasks`: how many tasks the
+    rows are dealt to, where the caller knows the size of the input."""
+    periods = dealt(periods, tasks, "symbol") if tasks else periods.repartition("symbol")
     summary = annual_summary(annual_history(periods))
     ends = snapshots.select("symbol", F.col("period_end").alias("end"))
     balance = (
-        instant_facts(instants, ends, as_of).groupBy("symbol").pivot("metric", list(INSTANT_CONCEPTS)).agg(F.first("val"))
+        instant_facts(instants, ends, as_of, tasks).groupBy("symbol").pivot("metric", list(INSTANT_CONCEPTS)).agg(F.first("val"))
     )
     equity = instants.where("metric = 'equity'")
-    prior = instant_facts(equity, prior_equity_ends(equity, snapshots), as_of).select(
+    prior = instant_facts(equity, prior_equity_ends(equity, snapshots), as_of, tasks).select(
         "symbol", F.col("val").alias("prior_equity"))
     compensation = trailing_year(periods.where("metric = 'share_compensation'")).select(
         "symbol", F.col("end").alias("_sbc_end"), F.col("val").alias("_sbc"))

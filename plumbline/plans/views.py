@@ -91,7 +91,7 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return fundamentals.financial_snapshot(current_periods(spark, sf))
+    return fundamentals.financial_snapshot(current_periods(spark, sf), series_tasks(spark, sf))
 
 
 def snapshot(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +99,7 @@ def snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.quality_of(current_periods(spark, sf), instants(spark, sf), snapshot(spark, sf), AS_OF)
+    return quality.quality_of(current_periods(spark, sf), instants(spark, sf), snapshot(spark, sf), AS_OF, series_tasks(spark, sf))
 
 
 def quality_record(spark: SparkSession, sf: str) -> DataFrame:
