@@ -103,7 +103,8 @@ def test_snapshot_and_balance_facts_are_dealt_by_the_given_number(spark):
     assert dealt == plain and len(plain) == 3
     assert TASKS in counts  # the session's number is left to joins of one row per symbol and metric
     balance = [fact(None, "2030-12-31", 5, filed="2031-02-01", concept="StockholdersEquity", symbol=s) for s in "ABC"]
-    instants = spark.createDataFrame(quality.instant_rows(facts(spark, *balance), concept_map(spark)).collect())
+    found = quality.instant_rows(facts(spark, *balance), concept_map(spark))
+    instants = spark.createDataFrame(found.collect(), found.schema)
     ends = spark.createDataFrame([("A", d("2030-12-31")), ("B", d("2030-12-31"))], "symbol string, end date")
     _, _, plain = unbroadcast(spark, lambda: quality.instant_facts(instants, ends, NOW))
     _, counts, dealt = unbroadcast(spark, lambda: quality.instant_facts(instants, ends, NOW, TASKS))
