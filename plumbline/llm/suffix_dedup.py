@@ -16,13 +16,16 @@ A string of `LENGTH` bytes repeats if it also starts earlier: in a document with
 
 Places of a document with equal bytes around the same k-gram are merged where the text is read. K-grams with more than
 `MEMBERS` different places, in one document or in many, are not gathered in a task. Equal surroundings are first merged by an
-aggregate (all but the first are repeats as a whole); of the different ones that stay, each window is hashed to 128 bits and
-the earliest place of each is found by an aggregate. That way is exact too, and no group of copies meets in one task.
+aggregate (all but the first are repeats as a whole); the different ones that stay are cut to the windows that start near or
+far from the k-gram and grouped by the longer string these share, again and again until a group has few places. That way is
+exact too, no group of copies meets in one task, and a place moves as one or two rows instead of one per window.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -243,15 +246,15 @@ def repeat_groups(right: list[bytes], left: list[bytes], length: int) -> Iterato
                 yield d, r, group
 
 
-def covered(right: list[bytes], left: list[bytes], length: int) -> list[tuple[int, int] | None]:
+def covered(right: list[bytes], left: list[bytes], length: int, at: list[tuple[int, int]] | None = None) -> list[tuple[int, int] | None]:
     """For each place, in order of position: how far the repeats reach that stand at an earlier place (bytes before the anchor,
-    bytes from it on), or None.
+    bytes from it on), or None. `at` gives the positions where some are equal, as those of texts that share an id.
 
     All of them hold the anchor, so together they are one span. Few places go through their maximal repeat groups; for many,
     common prefixes of each with all others are running minima over the two enhanced suffix arrays, one place at a time.
     """
     n = len(right)
-    if n <= TREE:
+    if n <= TREE and at is None:
         reach: list[tuple[int, int] | None] = [None] * n
         for d, r, group in repeat_groups(right, left, length):
             for m in group:
@@ -276,7 +279,8 @@ def covered(right: list[bytes], left: list[bytes], length: int) -> list[tuple[in
     ahead, behind = sorted_side(right), sorted_side(left)
     reach = [None] * n
     for m in range(1, n):
-        r, d = shared_with(m, ahead)[:m], shared_with(m, behind)[:m]
+        earlier = bisect_left(at, at[m]) if at else m
+        r, d = shared_with(m, ahead)[:earlier], shared_with(m, behind)[:earlier]
         good = r + d >= length
         if good.any():
             reach[m] = int(d[good].max()), int(r[good].max())
@@ -329,40 +333,76 @@ def _solve(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, PLACES)
 
 
-def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """(w, w2, doc, tk, start): every window of some places, named by 128 bits."""
+def _halves(kinds: DataFrame, length: int) -> DataFrame:
+    """Each place once per half of its group's offsets `lo` to `hi` that it has windows for, cut to these windows; the group is
+    named by the bytes that all windows of the half hold."""
+    middle = F.expr("(lo + hi) div 2")
+    half = F.explode(F.array(F.struct(F.col("lo").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("hi").alias("b"))))
+    most, least = F.least("off", F.col("half.b")), F.greatest(F.col("off") - F.length("context") + length, F.col("half.a"))
+    cut = kinds.where("lo < hi").withColumn("half", half).withColumn("most", most).withColumn("least", least).where("least <= most")
+    cut = cut.select(F.col("half.a").alias("lo"), F.col("half.b").alias("hi"), F.col("most").alias("off"), "doc", "tk", (F.col("start") + F.col("off") - F.col("most")).alias("start"),
+                     F.expr(f"substring(context, cast(off - most + 1 as int), cast(most - least + {length} as int))").alias("context"), "group")
+    held = F.expr(f"substring(context, cast(off - lo + 1 as int), cast(lo + {length} - hi as int))")
+    return cut.withColumn("group", F.xxhash64("group", "lo", "hi", held))
+
+
+def _reached(rows: DataFrame, length: int) -> DataFrame:
+    """(doc, tk, start, end): what repeats of the different places (group, off, doc, tk, start, context) of each group, none of
+    which has more than `MEMBERS`."""
+    schema = "doc bigint, tk bigint, start bigint, end bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.slices(batches, "context", 500_000):
-            t = B.texts(batch.column(3))
-            doc, tk, start = (batch.column(i).to_numpy() for i in range(3))
-            n = len(t.data)
-            names = []
-            for salt in (0, 0x5851F42D4C957F2D):
-                numbers = B.mix(B.table("byte") ^ np.uint64(salt))
-                sums = np.zeros(n + 1, np.uint64)
-                np.cumsum(numbers[t.data] * B.table("up")[:n], out=sums[1:])
-                names.append(sums)
-            count = np.diff(t.bounds) - length + 1
-            at, row = B.ranges(t.bounds[:-1], count), np.repeat(np.arange(t.rows), count)
-            w = [B.mix((s[at + length] - s[at]) * B.table("down")[at]).view(np.int64) for s in names]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, w), pa.array(doc[row]), pa.array(tk[row]), pa.array(start[row] + at - t.bounds[row])], ["w", "w2", "doc", "tk", "start"])
-
-    return rows.select("doc", "tk", "start", "context").mapInArrow(run, "w bigint, w2 bigint, doc bigint, tk bigint, start bigint")
-
-
-def _frequent(rows: DataFrame, length: int) -> DataFrame:
-    """The same for k-grams with many members: aggregates only, so no group meets in one task."""
-    named = rows.withColumn("name", F.unhex(F.md5("context"))).select("h", "off", "name", "doc", "tk", "start", "end", "context")
+        held: list[tuple] = []
+        out: list[dict] = []
+
+        def settle() -> None:
+            if len(held) > 1:
+                held.sort(key=lambda x: (x[2], x[4] + x[1], x[3]))  # by document and place of the k-gram
+                at = [(x[2], x[4] + x[1]) for x in held]
+                found = covered([x[5][x[1] :] for x in held], [x[5][: x[1]][::-1] for x in held], length, at if len(set(at)) < len(at) else None)
+                out.extend({"doc": x[2], "tk": x[3], "start": x[4] + x[1] - f[0], "end": x[4] + x[1] + f[1]} for x, f in zip(held, found, strict=True) if f)
+            held.clear()
+
+        key = None
+        types = pa.schema([(c, pa.int64()) for c in ("doc", "tk", "start", "end")])
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != key:
+                    settle()
+                    key = row[0]
+                held.append(row)
+            yield pa.RecordBatch.from_pylist(out, types)
+            out.clear()
+        settle()
+        yield pa.RecordBatch.from_pylist(out, types)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("group", "off", "doc", "tk", "start", "context").repartition(parts, "group").sortWithinPartitions("group").mapInArrow(run, schema)
+
+
+def _frequent(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same for k-grams with many members, halved until few are left.
+
+    A group's windows start `lo` to `hi` bytes before the k-gram. Equal surroundings are merged by an aggregate, all but the first
+    are repeats as a whole. Up to `MEMBERS` different ones are solved in a task; more are cut to either half of the offsets and
+    grouped by the bytes that all windows of the half hold, which equal windows share. Groups of one offset hold equal windows,
+    so halving ends; a place has at most one row in either half.
+    """
     place = F.struct("doc", "start", "tk")
-    kinds = land(named.groupBy("h", "off", "name").agg(F.min(place).alias("p"), F.first("context").alias("context"))
-                 .select("h", "off", "name", "p.doc", "p.start", "p.tk", "context"), "kinds")
-    firsts = kinds.select("h", "off", "name", F.col("doc").alias("doc1"), F.col("start").alias("start1"))
-    whole = named.drop("context").join(firsts, ["h", "off", "name"]).where("doc <> doc1 or start <> start1").select("doc", "tk", "start", "end")
-    windows = _windows(kinds, length)
-    early = land(windows.groupBy("w", "w2").agg(F.min(F.struct("doc", "start")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "w2", F.col("p.doc").alias("doc1"), F.col("p.start").alias("start1")), "early")
-    again = windows.join(early, ["w", "w2"]).where("doc <> doc1 or start <> start1").select("doc", "tk", "start", (F.col("start") + length).alias("end"))
-    return whole.union(again)
+    part = rows.select(F.lit(0).cast("bigint").alias("lo"), F.lit(length - gram).cast("bigint").alias("hi"), "off", "doc", "tk", "start", "context", F.col("h").alias("group"))
+    found = []
+    while True:
+        named = part.withColumn("name", F.unhex(F.md5("context")))
+        kinds = land(named.groupBy("group", "lo", "hi", "off", "name").agg(F.min(place).alias("p"), F.first("context").alias("context"), F.count(F.lit(1)).alias("n"))
+                     .select("group", "lo", "hi", "off", "name", "p.doc", "p.start", "p.tk", "context", "n"), "kinds")
+        firsts = kinds.where("n > 1").select("group", "lo", "hi", "off", "name", F.col("doc").alias("doc1"), F.col("start").alias("start1"))
+        ends = named.withColumn("end", F.col("start") + F.length("context")).drop("context")
+        whole = ends.join(firsts, ["group", "lo", "hi", "off", "name"]).where("doc <> doc1 or start <> start1")
+        large = land(kinds.groupBy("group").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") > MEMBERS).select("group"), "large")
+        found += [whole.select("doc", "tk", "start", "end"), _reached(kinds.join(F.broadcast(large), "group", "left_anti"), length)]
+        if large.isEmpty():
+            return reduce(DataFrame.union, found)
+        part = land(_halves(kinds.join(F.broadcast(large), "group"), length), "halves")
 
 
 def names(id_col: str = "doc_id", text: str = "text") -> list:
@@ -401,7 +441,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     solved = land(_solve(places(touched, length, gram), length), "solved")
     spans = solved.where(F.col("kind") == SPAN).select("doc", "tk", "start", "end")
     if not often.isEmpty():
-        spans = spans.union(_frequent(solved.where(F.col("kind") == MANY), length))
+        spans = spans.union(_frequent(solved.where(F.col("kind") == MANY), length, gram))
     listed = spans.groupBy("doc").agg(F.collect_set(F.struct("tk", "start", "end")).alias("spans"))
     schema = "doc bigint, tk bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 

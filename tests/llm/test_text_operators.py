@@ -237,6 +237,31 @@ def test_repeats_of_a_key_at_many_places_of_few_documents(spark, monkeypatch):
     assert most > 30  # a single document shows that its key has many places
 
 
+def test_places_of_a_frequent_key_move_by_place_not_by_window(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MEMBERS", 30)
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(rng.choice(list("uvwxyz"), n))
+    key = "".join(rng.choice(list("abcdefgh"), 40))
+    shared = [text(45) for _ in range(3)]
+    rows = [(i, text(40) + (shared[i % 3] if i % 5 == 0 else text(45)) + key + (shared[i % 2] if i % 7 < 2 else text(45)) + text(40)) for i in range(300)]
+    made = []
+    kind = type(spark.range(0))
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda *args, **named: made.append(plain(*args, **named)) or made[-1])
+    check_repeats(spark, rows)
+    docs = suffix_dedup._keyed(spark.createDataFrame(rows, DOCS), "doc_id", "text")
+    h = suffix_dedup.shared(docs, suffix_dedup.LENGTH, suffix_dedup.GRAM).groupBy("h").count().where("count > 30")
+    assert h.count()  # the key has more places than a task gathers
+    places = max(df.count() for df in made if "context" in df.columns)
+    assert all(df.count() <= 2 * places for df in made if "start" in df.columns)
+
+
+def test_texts_that_share_an_id_repeat_only_at_another_start(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MEMBERS", 2)
+    body = "".join(np.random.default_rng(9).choice(list("abcdefgh"), 300))
+    check_repeats(spark, [(None, body + x) for x in ("q", "rr", "sss", "tttt")])
+
+
 def test_many_places_take_memory_by_place_not_by_pair():
     import tracemalloc
 
