@@ -242,7 +242,9 @@ def _rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     filed = rows.select("id", "label", "members").mapInArrow(first_elements, schema).repartition(parts, "element")
     filed = land_by(filed, "filed", "element")
     key = ["element", "class"]
-    mixed = filed.groupBy(key).agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("asks").alias("asked"), F.min("asks").alias("given")).where("x <> y and asked and not given")
+    mixed = filed.groupBy(key).agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("asks").alias("asked"), F.min("asks").alias("given"), F.min("before").alias("from"), F.max("before").alias("to"))
+    # no pair comes of an element that stands behind the same one in all its sets, so only the others move on
+    mixed = mixed.where("x <> y and asked and not given and from <> to")
     open_keys = land(mixed.select(key), "open-keys").toDF("e", "c")
     filed = land(filed.join(open_keys, (F.col("element") == F.col("e")) & (F.col("class") - F.col("c") == 0), "left_semi"), "open-rows")
     main = land(filed.groupBy(*key, "label").count().groupBy(key).agg(F.max_by("label", F.struct("count", "label")).alias("main")), "main")

@@ -149,6 +149,19 @@ def test_rest_of_open_buckets_is_joined_exactly(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == expected
 
 
+def test_elements_that_follow_each_other_in_all_sets_meet_once(spark, monkeypatch):
+    own = {i: [*range(12), *range(1000 * (i + 1), 1000 * (i + 1) + 100)] for i in range(10)}
+    own |= {100 * (i + 1) + k: own[i][12:] for i in range(10) for k in range(20)}
+    labels = {i: i if i < 10 else i // 100 - 1 for i in own}
+    left = spark.createDataFrame([(0, i, labels[i]) for i in own], "key bigint, id bigint, label bigint")
+    sets = spark.createDataFrame([(i, np.array(x, np.uint64).tobytes()) for i, x in own.items()], "id bigint, members binary")
+    landed, land = {}, near_dedup.land
+    monkeypatch.setattr(near_dedup, "land", lambda df, name: landed.setdefault(name, land(df, name)))
+    met = {tuple(r) for r in near_dedup._rest(left, sets, 75).collect()}
+    assert met == {(i, j) for i in range(10) for j in range(i + 1, 10)}
+    assert {r["element"] for r in landed["told"].select("element").collect()} == {0}  # the other eleven follow it in every set
+
+
 def test_pairs_within_the_distance_share_a_key():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 2**16, near_dedup.VALUES).astype(np.uint16)
