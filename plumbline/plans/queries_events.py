@@ -113,15 +113,17 @@ def report_pages(spark, sf):
     return readers.read_reports(spark, f"{sf}/pages.parquet").select("page_id", "url", F.length("html").cast("long").alias("characters"))
 
 
-def _files(documents, name, pretty):
+def _files(documents, name, pretty, tasks):
     """Write (symbol, document) rows as files: one document per line, and where `pretty` one per file, printed over many lines.
 
-    Every seventh line document is followed by a line that is cut off."""
+    Every seventh line document is followed by a line that is cut off. The files of one document each are dealt to `tasks` tasks,
+    each with a folder of its own: they are written and listed side by side, and committed by one rename per folder."""
     folder = shared_folder(documents.sparkSession, name)
     cut = F.when(F.crc32("symbol") % 7 == 0, F.array("document", F.substring("document", 1, 25))).otherwise(F.array("document"))
     documents.where(~F.expr(pretty)).select(F.explode(cut).alias("value")).write.text(f"{folder}/lines")
     spaced = F.replace(F.replace("document", F.lit("{"), F.lit("{\n")), F.lit(","), F.lit(",\n "))
-    documents.where(pretty).select("symbol", spaced.alias("value")).repartition("symbol").write.partitionBy("symbol").text(f"{folder}/documents")
+    single = documents.where(pretty).select("symbol", spaced.alias("value")).repartition(tasks, "symbol")
+    single.select(F.spark_partition_id().alias("share"), "value").write.partitionBy("share").option("maxRecordsPerFile", 1).text(f"{folder}/documents")
     return folder
 
 
@@ -151,7 +153,7 @@ SELECT symbol, taxonomy, concept, unit, {_SPAN}, form, accn, val,
 def facts_files(spark, sf):
     """Company facts written as files of both kinds and read back: the company by its cik, the position inside its list."""
     documents = _fact_documents(spark, sf)
-    path = _files(documents, "facts", _PRETTY)
+    path = _files(documents, "facts", _PRETTY, input_tasks(spark, sf))
     return readers.read_company_facts(spark, path, documents.select(F.crc32("symbol").cast("string").alias("cik"), "symbol"))
 
 
@@ -166,7 +168,7 @@ def _price_documents(spark, sf):
 @query("price_files", "S2", f"SELECT upper(symbol) AS symbol, {day('date')}, close FROM fx_prices")
 def price_files(spark, sf):
     """Price responses written as files of both kinds and read back."""
-    return readers.read_prices(spark, _files(_price_documents(spark, sf), "prices", _PRETTY))
+    return readers.read_prices(spark, _files(_price_documents(spark, sf), "prices", _PRETTY, input_tasks(spark, sf)))
 
 
 @query("bad_price_records", "S2", f"""
@@ -174,7 +176,7 @@ SELECT count(*) AS records, 25 * count(*) AS characters FROM ({_CIKS}) WHERE len
   AND symbol IN (SELECT symbol FROM fx_prices)""")
 def bad_price_records(spark, sf):
     """Records that do not parse, as the side table holds them."""
-    path = _files(_price_documents(spark, sf), "prices", _PRETTY)
+    path = _files(_price_documents(spark, sf), "prices", _PRETTY, input_tasks(spark, sf))
     bad = readers.bad_records(readers.json_documents(spark, path, readers.PRICE_DOCUMENT))
     return bad.agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("bad")).alias("characters"))
 
@@ -188,7 +190,7 @@ def filing_files(spark, sf):
     arrays = F.struct(*(F.col(f"rows.{n}").alias(n) for n in names))
     document = F.struct("cik", F.array("symbol").alias("tickers"), F.struct(arrays.alias("recent")).alias("filings"))
     rows = rows.select("symbol", F.to_json(document).alias("document")).withColumn("document", F.replace("document", F.lit("2.02,9.01"), F.lit("2.02;9.01")))
-    read = readers.read_filings(spark, _files(rows, "filings", "crc32(symbol) % 10 = 0"))
+    read = readers.read_filings(spark, _files(rows, "filings", "crc32(symbol) % 10 = 0", input_tasks(spark, sf)))
     return read.withColumn("items", F.replace("items", F.lit(";"), F.lit(",")))
 
 

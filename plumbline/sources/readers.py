@@ -15,6 +15,7 @@ from plumbline.operators.matching import keep_latest
 
 BAD = "_bad"
 TREE = {"recursiveFileLookup": "true"}  # all files below a path, whatever its folders are called
+MARKS = re.compile(r"([\[\]{}*?\\])")  # what makes a path a pattern
 
 
 def file_layouts(spark: SparkSession, path: str) -> DataFrame:
@@ -24,12 +25,41 @@ def file_layouts(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy("path").agg((F.count_if(whole) * 2 >= F.count(F.lit(1))).alias("per_line"))
 
 
+def layout_paths(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """The paths to read as lines (True) and as documents (False): `path` itself where all files below it are of one kind, else
+    the highest folders of one kind and the single files of folders that hold both. The driver gets these, not every file."""
+    files = file_layouts(spark, path).persist()
+    try:
+        every, some = files.agg(F.every("per_line"), F.some("per_line")).first()
+        if every is None or every == some:
+            return {True: [path], False: []} if every is None or every else {True: [], False: [path]}
+        rows = files
+        if not MARKS.search(path):  # the files that a pattern names may stand beside others, so its folders are not read whole
+            base = spark._jvm.org.apache.hadoop.fs.Path(path)
+            depth = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/").count("/")
+            parts = F.split("path", "/")
+            head = F.size(parts) - F.size(F.split(F.regexp_replace("path", "^[^:/]+:(//[^/]*)?", ""), "/"))
+            above = F.transform(F.sequence(head + (depth + 1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+            folders = files.select(F.explode(above).alias("path"), "per_line").groupBy("path").agg(F.every("per_line").alias("every"), F.some("per_line").alias("some"))
+            mixed = folders.where("every <> some").select(F.col("path").alias("folder"))
+            whole = folders.where("every = some").select("path", F.col("every").alias("per_line")).unionByName(files)
+            rows = whole.join(mixed, F.regexp_replace("path", "/[^/]*$", "") == F.col("folder"), "left_semi")
+        paths = {True: [], False: []}
+        for row in rows.collect():
+            # the listing gives names as URLs, and Spark takes marks in a name for a pattern
+            paths[row["per_line"]].append(MARKS.sub(r"\\\1", unquote(row["path"])))
+        return paths
+    finally:
+        files.unpersist()
+
+
 def json_documents(spark: SparkSession, path: str, schema: T.StructType, layout: str | None = None) -> DataFrame:
     """(path, d, bad): the JSON documents of text files as structs, or the text of a record that does not parse, with null `d`.
 
     `lines`: one document per line; files are split, a bad line is one bad record. `documents`: a file holds one document, or a
     list of them, printed over many lines; it is parsed as a stream, a bad file is one bad record. Without a layout each file is
-    told by `file_layouts`. Blank lines are skipped. Which files are of which kind is known to the driver, as their listing is.
+    told by `file_layouts`, and folders of one kind are read as folders (`layout_paths`); files are not to be added meanwhile.
+    Blank lines are skipped.
     """
     fields = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
@@ -48,11 +78,8 @@ def json_documents(spark: SparkSession, path: str, schema: T.StructType, layout:
     if layout is not None:
         found = {"lines": split, "documents": streamed}[layout](path)
     else:
-        kinds = {True: [], False: []}
-        for row in file_layouts(spark, path).collect():
-            # the listing gives names as URLs, and Spark takes marks in a name for a pattern
-            kinds[row["per_line"]].append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(row["path"])))
-        parts = [read(kinds[kind]) for kind, read in ((True, split), (False, streamed)) if kinds[kind]] or [split(path)]
+        paths = layout_paths(spark, path)
+        parts = [read(paths[kind]) for kind, read in ((True, split), (False, streamed)) if paths[kind]]
         found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return found.select("path", F.when(F.col("bad").isNull(), F.col("d").dropFields(BAD)).alias("d"), "bad")
 

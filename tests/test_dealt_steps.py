@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 
@@ -9,6 +10,7 @@ from conftest import d, fact, facts
 from pyspark.sql import functions as F
 
 from plumbline.operators import audit, fundamentals, matching, periods, quality, refresh, valuation
+from plumbline.plans import queries_events
 from plumbline.schemas import concept_map
 
 NOW = "2031-12-31"
@@ -131,3 +133,12 @@ def test_a_dealt_refresh_gives_what_a_plain_one_gives(spark, tmp_path):
         refresh.refresh(stores, obs.where("filed >= '2030-06-01'"), prices.where("symbol <> 'B'"), policy(spark), NOW, tasks=tasks)
         found.append([rows_of(stores.table(t).read()) for t in ("obs", "prices", "states", "months")])
     assert found[0] == found[1] and all(found[0])
+
+
+def test_files_of_one_document_each_are_written_by_many_tasks(spark):
+    """One file per document, as the provider sends them, in a folder per task and not one per company."""
+    documents = spark.range(41).selectExpr("concat('C', id) AS symbol", """concat('{"n":', id, ',"m":[1,2]}') AS document""")
+    path = queries_events._files(documents, "single", "symbol <> 'C40'", 3)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/documents").selectExpr("path", "cast(content AS string) AS text").collect()
+    assert sorted(json.loads(r["text"])["n"] for r in files) == list(range(40)) and all(r["text"].count("\n") > 2 for r in files)
+    assert len({r["path"].rsplit("/", 1)[0] for r in files}) == 3

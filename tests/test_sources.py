@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 from urllib.parse import unquote
 
 import pytest
@@ -137,6 +138,34 @@ def test_lines_and_documents_are_told_apart_and_bad_records_reported(spark, tmp_
     assert readers.good(readers.json_documents(spark, str(folder / "list*.json"), schema, "documents")).count() == 2
 
 
+def test_folders_of_one_kind_are_read_as_folders(spark, tmp_path):
+    """However many companies have a file of their own, the driver is not handed each of them."""
+    root, schema = tmp_path / "in put %41", T.StructType([T.StructField("n", T.LongType())])
+    for name in ("documents/a[1]", "documents/b", "lines", "both/deep", "both/more"):
+        (root / name).mkdir(parents=True)
+    for n in range(10):
+        (root / "documents" / ("a[1]" if n % 2 else "b") / f"{n}.json").write_text(json.dumps({"n": n}, indent=1))
+    (root / "documents" / "b" / "blank.json").write_text("\n \n")
+    for n in (10, 12):
+        write(root / "lines" / f"{n}.json", {"n": n}, {"n": n + 1})
+    write(root / "both" / "l.json", {"n": 14}, {"n": 15})
+    (root / "both" / "d.json").write_text(json.dumps([{"n": 16}, {"n": 17}], indent=1))
+    (root / "both" / "deep" / "d.json").write_text(json.dumps({"n": 18}, indent=1))
+    write(root / "both" / "more" / "l.json", {"n": 19}, {"n": 20})
+    write(root / "both" / "l.txt", {"n": 99})
+
+    def read(path):
+        found = readers.json_documents(spark, path, schema)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return sorted(r["n"] for r in found.select("d.n").collect()), sorted(int(n) for n in re.findall(r"InMemoryFileIndex\((\d+) paths\)", plan))
+
+    assert read(str(root)) == ([*range(21), 99], [3, 4])  # documents, both/d.json, both/deep; lines, both/l.json, both/l.txt, both/more
+    assert read(str(root / "documents")) == ([*range(10)], [1])
+    assert read(str(root / "lines") + "/") == ([10, 11, 12, 13], [1])
+    assert read(str(root / "documents" / "b" / "*.json")) == ([0, 2, 4, 6, 8], [6])  # Spark lists what a pattern names
+    assert read(str(root / "both" / "*.json")) == ([14, 15, 16, 17], [1, 1])  # and not what stands beside it
+
+
 def test_a_line_file_is_split(spark, tmp_path):
     schema = T.StructType([T.StructField("n", T.LongType())])
     (tmp_path / "big.json").write_text("".join(f'{{"n": {i}, "pad": "{"x" * 200}"}}\n' for i in range(20_000)))
